@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,10 +81,23 @@ def redact(text: Column) -> Column:
 
 
 def redact_json(body: Column) -> Column:
-    """A flat JSON object without the values of contact keys, then redacted as text; other bodies as text."""
-    parsed = F.from_json(body, "map<string,string>")
-    cleaned = F.to_json(F.transform_values(parsed, lambda k, v: F.when(F.lower(k).isin(CONTACT_KEYS), REDACTED).otherwise(v)))
-    return redact(F.when(F.btrim(body).startswith("{") & parsed.isNotNull(), cleaned).otherwise(body))
+    """A JSON body without the values of contact keys at any depth, then redacted as text; a body that is no JSON as text."""
+    @F.pandas_udf("string")
+    def blank(bodies: pd.Series) -> pd.Series:
+        def walk(v):
+            if isinstance(v, dict):
+                return {k: REDACTED if k.lower() in CONTACT_KEYS else walk(x) for k, x in v.items()}
+            return [walk(x) for x in v] if isinstance(v, list) else v
+
+        def one(text: str | None) -> str | None:
+            try:
+                return None if text is None else json.dumps(walk(json.loads(text)), ensure_ascii=False)
+            except (ValueError, RecursionError):
+                return text
+
+        return bodies.map(one)
+
+    return redact(F.when(F.btrim(body).rlike(r"^[{\[]"), blank(body)).otherwise(body))
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
