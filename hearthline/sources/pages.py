@@ -148,9 +148,9 @@ def parameters(page_json: Column, codes: dict[str, dict[str, str]]) -> Column:
     """map of a detail page's parameter dictionary: ids go through the given code tables (an unknown id stays), else the text stays."""
     held = F.from_json(page_json, "map<string,struct<id:string,text:string,value:string>>")
     out = F.transform_values(held, lambda k, v: F.coalesce(F.nullif(v["id"], F.lit("")), F.nullif(v["text"], F.lit("")), v["value"]))
-    for key, table in codes.items():
-        table_map = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-        out = F.transform_values(out, lambda k, v, key=key, table_map=table_map: F.when(k == key, F.coalesce(F.try_element_at(table_map, v), v)).otherwise(v))
+    named = F.create_map(*[x for key, table in codes.items() for code, name in table.items() for x in (F.lit(f"{key}\0{code}"), F.lit(name))])
+    if codes:
+        out = F.transform_values(out, lambda k, v: F.coalesce(F.try_element_at(named, F.concat(k, F.lit("\0"), v)), v))
     return F.map_filter(out, lambda _, v: v.isNotNull())
 
 

@@ -64,7 +64,7 @@ def slot_yield_stream(runs: DataFrame, zone: str = "UTC", late: str = "1 hour")
 
 
 def first_alerts(alerts: DataFrame, keys: list[str], time: str = "created_at", within: str = "1 hour") -> DataFrame:
-    """Alerts without those whose keys had one within the time before."""
+    """Alerts without those whose keys had one within the time before; a key is free again once the watermark has passed, at the next batch."""
     return alerts.withWatermark(time, within).dropDuplicatesWithinWatermark(keys)
 
 
