@@ -32,27 +32,34 @@ _MARGIN = 24  # words beyond a chain's ends that alignment may extend over: more
 
 
 def seeds(docs: DataFrame, k: int = 5, window: int = 10) -> DataFrame:
-    """(h, doc_id, pos) of the minimizers of docs (doc_id, text)."""
+    """(h, doc_id, pos, first) of the minimizers of docs (doc_id, text); first marks a hash's first place in its text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                hashes, ids, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+                hashes, ids, places, firsts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
                 for doc, text in zip(batch.column(0).slice(at, 512).to_pylist(), batch.column(1).slice(at, 512)):
                     all_kmers = kmers(word_hashes(text.as_py()), k)
                     where = minimizers(all_kmers, window)
                     hashes.append(all_kmers[where])
                     ids.append(np.full(len(where), doc, np.int64))
                     places.append(where.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places))], ["h", "doc_id", "pos"])
+                    firsts.append(np.isin(np.arange(len(where)), np.unique(hashes[-1], return_index=True)[1]))
+                columns = [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places)), pa.array(np.concatenate(firsts))]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "pos", "first"])
 
-    return docs.mapInArrow(run, "h long, doc_id long, pos int")
+    return docs.mapInArrow(run, "h long, doc_id long, pos int, first boolean")
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """(doc_id, pos, owner, at): each seed that an earlier document holds too, with the first that does."""
-    by_hash = Window.partitionBy("h").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    owned = found.select("doc_id", "pos", F.first("doc_id").over(by_hash).alias("owner"), F.first("pos").over(by_hash).alias("at"))
-    return owned.where("owner < doc_id")
+    """(doc_id, pos, owner, at): each seed that an earlier document holds too, with the first that does.
+
+    Owners are aggregated map-side and only those of shared seeds are kept, as a table; the join with them may be split where a seed is in very many
+    documents, which a window over the seed's rows can't be.
+    """
+    found = written(found)
+    held = found.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.min_by("pos", F.when(F.col("first"), F.col("doc_id"))).alias("at"))
+    owners = written(held.where("owner < last").select("h", "owner", "at"))
+    return found.join(owners, "h").where("owner < doc_id").select("doc_id", "pos", "owner", "at")
 
 
 class Fenwick:
