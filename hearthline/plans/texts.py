@@ -64,7 +64,7 @@ def _latin(lang: str) -> str:
     sized AS (SELECT *, greatest(length(regexp_replace(s, '[^a-z]', '', 'g')), 1) AS n FROM low), scored AS (SELECT *, {', '.join(f'{_latin(x)} AS {x}' for x in language.STRONG)} FROM sized)
     SELECT doc_id, CASE WHEN letters < 20 THEN NULL WHEN cyr > 0 AND cyr::DOUBLE / letters >= 0.5 THEN 'ru' WHEN cs >= en AND cs >= it AND cs >= nl THEN 'cs' WHEN en >= it AND en >= nl THEN 'en' WHEN it >= nl THEN 'it' ELSE 'nl' END AS lang FROM scored""")
 def i31_language(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "documents").select("doc_id", language.detect(F.col("text"))["lang"].alias("lang"))
+    return language.detect(t(spark, d, "documents").select("doc_id", "text"), "text", "found").select("doc_id", F.col("found").alias("lang"))
 
 
 @query("SELECT page_id, nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS title FROM pages")

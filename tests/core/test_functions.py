@@ -67,9 +67,10 @@ def test_page_classes(spark):
 def test_language(spark):
     samples = {"Prodáme světlý byt s velkou kuchyní, nová podlaha, klidná ulice, blízko lesů a metra.": "cs", "Vendiamo un appartamento con riscaldamento nuovo e posizione tranquilla vicino agli uffici.": "it",
                "Wij verkopen een woonhuis met ruime keuken, rustig gelegen bij het station, geen tuin.": "nl", "The house is for sale and the kitchen is looking out to the garden.": "en", "Продаётся светлая квартира рядом с парком": "ru"}
-    got = column(spark, [*samples, "Byt na prodej", "", "123 456"], language.detect)
-    assert [g["lang"] for g in got] == [*samples.values(), None, None, None]
-    assert all(g["confidence"] >= 0.35 for g in got[:5]) and [g["confidence"] for g in got[5:]] == [0, 0, 0]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate([*samples, "Byt na prodej", "", "123 456", None])], "i int, v string")
+    got = language.detect(rows, "v").orderBy("i").collect()
+    assert [g["detected"] for g in got] == [*samples.values(), None, None, None, None]
+    assert all(g["detected_confidence"] >= 0.35 for g in got[:5]) and [g["detected_confidence"] for g in got[5:]] == [0, 0, 0, 0]
     assert column(spark, ["ru", "cs", None], language.targets) == [["en"], ["ru", "en"], ["ru", "en"]]
 
 
