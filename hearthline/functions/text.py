@@ -154,7 +154,7 @@ def seller_confidence(kind: Column, rules: dict[str, tuple[list[str], float]] =
 def join_unique(parts: list[Column], separator: str = ", ") -> Column:
     """The parts that aren't null or empty, each once, in order."""
     kept = F.filter(F.array(*parts), lambda p: p.isNotNull() & (F.trim(p) != ""))
-    return F.array_join(F.array_distinct(F.transform(kept, F.trim)), separator)
+    return F.array_join(F.array_distinct(F.transform(kept, lambda p: F.trim(p))), separator)
 
 
 def excerpt(text: Column, word: Column | str, before: int = 100, length: int = 300) -> Column:

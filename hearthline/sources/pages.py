@@ -60,7 +60,7 @@ def completeness(problems: Column, failed_pages: Column, expected_pages: Column)
 
 def label_block(text: Column, labels: list[str] = LABELS) -> Column:
     """map of label to what its lines hold, joined by "; ". A label is a line of its own, with or without a colon; its first place counts."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     keys = F.transform(lines, lambda x: F.lower(F.regexp_replace(x, ":$", "")))
     known = [label.lower() for label in labels]
     label_of = F.create_map(*[v for label in labels for v in (F.lit(label.lower()), F.lit(label))])

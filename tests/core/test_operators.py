@@ -321,3 +321,58 @@ def test_quality(spark):
     kept = {r["id"]: sorted(r["attributes"]) for r in quality.without_low_confidence(objects, ways).collect()}
     assert kept == {1: ["area_sqm", "rooms", "seller_type"], 2: ["area_sqm"]}
     assert sorted((r["object_id"], r["attr_key"]) for r in rules.missing_attributes(objects, registry, ways.where("object_id = 0")).collect()) == [(1, "lift"), (2, "lift")]
+
+
+# probing and extraction ---------------------------------------------------------------------------------------------
+
+
+def test_probing(spark):
+    from hearthline.operators import probing
+
+    rows = spark.createDataFrame([("http://s.cz/12345-a", "Prodej bytu 2+kk, 54 m², 5 000 000 Kč, Praha 150 00, majitel, 1.2.2026 {\"lat\": 50.1, \"lng\": 14.2}"), ("", "Pronájem domu, cena na dotaz"), (None, None)], "url string, html string")
+    cover = probing.field_coverage(probing.field_sample(rows)).first().asDict()
+    assert cover == {"n": 3, "external_id": 1, "url": 1, "price": 2, "deal_type": 2, "property_type": 1, "area": 1, "layout": 1, "location": 1, "position": 1, "seller": 1, "date": 1}
+    links = ["http://s.cz/prodej/byt", "http://s.cz/inzerat/5/byt", "http://s.cz/blog/byt", "http://s.cz/x.css", "http://other.cz/prodej", "http://www.s.cz/vypis/nemovitosti", "http://s.cz/o-nas", "http://s.cz/prodej/byt", "http://s.cz/prodej/dum"]
+    frame = spark.createDataFrame([(1, "s.cz", u, i) for i, u in enumerate(links)], "page_id int, site string, link string, pos int")
+    assert [r["link"] for r in probing.best_links(frame, 2).orderBy(F.desc("score"), "pos").collect()] == [links[5], links[0]]
+    cover = lambda n, k: {"n": n, "external_id": k, "url": k, "price": k, "deal_type": k, "property_type": k}
+    cases = [("blocked", "", "a.cz", cover(0, 0), "blocked"), ("pending", "ceskereality " * 5, "a.cz", cover(30, 30), "mirror"), (None, "RE/MAX", "a.cz", cover(30, 30), "agency_site"), (None, "", "a.sk", cover(30, 30), "excluded_no_data"), (None, "", "a.cz", cover(30, 30), "direct"), (None, "", "a.cz", cover(29, 29), "excluded_no_data"), (None, None, "a.cz", cover(30, 29), "excluded_no_data")]
+    frame = spark.createDataFrame([c[:4] for c in cases], "o string, h string, d string, c struct<n:int,external_id:int,url:int,price:int,deal_type:int,property_type:int>")
+    assert [r[0] for r in frame.select(probing.probe_class(F.col("o"), F.col("h"), F.col("d"), F.col("c"))).collect()] == [c[4] for c in cases]
+    waits = spark.createDataFrame([("120",), ("Mon, 03 Aug 2026 00:00:30 GMT",), ("Sat, 01 Aug 2020 00:00:00 GMT",), ("soon",)], "h string")
+    assert [r[0] for r in waits.select(probing.retry_seconds(F.col("h"), F.lit("2026-08-03").cast("timestamp"))).collect()] == [120, 30, 0, None]
+    cache = spark.createDataFrame([("a|b", True, 1.0, 2.0), ("c", False, None, None)], "query_norm string, hit boolean, lat double, lng double")
+    asked = spark.createDataFrame([("a|b",), ("c",), ("d",), ("",)], "query_norm string")
+    found, missing = probing.cached_answers(asked, cache)
+    assert {r["query_norm"]: r["hit"] for r in found.collect()} == {"a|b": True, "c": False, "d": None, "": None} and [r[0] for r in missing.collect()] == ["d"]
+
+
+def test_extraction(spark):
+    from hearthline.operators import extraction
+
+    answers = spark.createDataFrame([(1, '<think>{x}</think> ```json\n{"rooms": {"value": 3, "confidence": 0.95}, "lift": {"value": "TRUE", "confidence": 0.5}, "state": {"value": "Good", "confidence": 0.5}, "odd": {"value": 1, "confidence": 1}, "area_sqm": {"value": 90, "confidence": 1}}\n```', {"total_area": "80"}),
+                                     (2, '{"total_area": {"value": 60, "confidence": 1, "quote": "užitná plocha 60"}, "rooms": {"value": 2.5, "confidence": 1}, "lift": {"value": true, "confidence": 2}, "state": {"value": null, "confidence": 1}}', {}), (3, "no answer", {})], "object_id long, answer string, attributes map<string,string>")
+    registry = spark.createDataFrame([("rooms", "int", None, 1.0, 9.0), ("lift", "bool", None, None, None), ("state", "enum", ["good", "bad"], None, None), ("area_sqm", "float", None, None, None), ("total_area", "float", None, None, None)], "key string, data_type string, allowed_values array<string>, value_min double, value_max double")
+    good, bad = extraction.attributes_of(answers, registry)
+    assert sorted(tuple(r) for r in good.collect()) == [(1, "lift", "true", 0.5), (1, "rooms", "3", 0.9), (1, "state", "good", 0.5)]
+    assert sorted(tuple(r) for r in bad.collect()) == [(1, "area_sqm", "area_over_total"), (1, "odd", "unknown_key"), (2, "lift", "bad_confidence"), (2, "rooms", "not_int"), (2, "state", "no_value"), (2, "total_area", "living_area")]
+    raw = spark.createDataFrame([('{"a": true, "b": 3.50, "c": 4, "d": "x0"}',)], "j string")
+    assert raw.select(extraction.normalised_attributes(F.col("j"))).first()[0] == {"a": "true", "b": "3.5", "c": "4", "d": "x0"}
+    pairs = spark.createDataFrame([("1", "1.0"), ("true", '"true"'), ('"1"', "1"), ('"a"', ' "a"'), ("true", "true")], "a string, b string")
+    assert [r[0] for r in pairs.select(extraction.same_json(F.col("a"), F.col("b"))).collect()] == [True, False, False, True, True]
+    objects = spark.createDataFrame([(1, 50.0, 14.0, "old", 5.0, {"a": "1"}, "h0", None, False, True), (2, 50.0, 14.0, "keep", 6.0, {}, None, None, False, True), (3, None, None, None, None, {}, None, None, False, True)], "id long, lat double, lng double, address string, area_sqm double, attributes map<string,string>, detail_hash string, detail_fetched_at timestamp, zone_dirty boolean, zone_terminal boolean")
+    details = spark.createDataFrame([(1, 50.1, 14.0, "new", None, {"a": "2", "b": "3"}, "h1"), (2, 50.0, 14.0, "", 7.0, None, "h2")], "id long, lat double, lng double, address string, area_sqm double, attributes map<string,string>, detail_hash string")
+    got = {r["id"]: tuple(r)[1:] for r in extraction.merge_details(objects, details, F.lit("2026-08-01").cast("timestamp")).collect()}
+    assert got == {1: (50.1, 14.0, "new", 5.0, {"a": "2", "b": "3"}, "h1", T0, True, False), 2: (50.0, 14.0, "keep", 7.0, {}, "h2", T0, False, True), 3: (None, None, None, None, {}, None, None, False, True)}
+
+
+def test_settings_and_schemas(spark):
+    from hearthline.settings import Thresholds
+    from hearthline.sources import schemas
+
+    assert Thresholds().delist_misses == 2
+    for wrong in ({"dedupe_similarity": 1.5}, {"delist_misses": 1}, {"map_points": -1}):
+        with pytest.raises(ValueError):
+            Thresholds(**wrong)
+    assert all(schemas.schema(name).fields for name in schemas.SCHEMAS)
+    assert spark.createDataFrame([], schemas.schema("objects")).count() == 0
