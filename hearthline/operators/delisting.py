@@ -43,10 +43,9 @@ def delist_pass(objects: DataFrame, missed: DataFrame, least_misses: int = 2, ma
     report = joined.agg(F.count_if("due").alias("candidates"), F.count_if(F.col("status") == "active").alias("active"))
     report = report.withColumn("anomaly", (F.col("active") >= min_objects) & (100.0 * F.col("candidates") > max_share_pct * F.col("active")))
     checked = joined.join(verdicts.withColumnRenamed("object_id", "id"), "id", "left") if verdicts is not None else joined.withColumn("verdict", F.lit("unknown"))
-    gone = F.col("due") & ~F.col("anomaly") & F.coalesce(F.col("verdict").isin("unknown", "relisted"), F.lit(False))
-    after = checked.join(F.broadcast(report.select("anomaly")))
+    gone = F.col("due") & ~report.select("anomaly").scalar() & F.coalesce(F.col("verdict").isin("unknown", "relisted"), F.lit(False))
     new = {"status": F.when(gone, "delisted").otherwise(F.col("status")), "delisted_reason": F.when(gone, F.col("verdict")).otherwise(F.col("delisted_reason"))}
-    return after.select(*[new[c].alias(c) if c in new else F.col(c) for c in objects.columns]), report
+    return checked.select(*[new[c].alias(c) if c in new else F.col(c) for c in objects.columns]), report
 
 
 def reactivate(objects: DataFrame, seen: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def attributes_of(answers: DataFrame, registry: DataFrame, cap: float = 0.9, obj
     """
     parsed = answers.select(object_id, F.col(known).alias("__known"), F.from_json(answer_json(F.col(answer)), ANSWER).alias("a"))
     rows = parsed.select(object_id, "__known", F.explode("a").alias("attr_key", "e")).select(object_id, "__known", "attr_key", "e.*")
-    joined = rows.join(F.broadcast(registry.select(F.col("key").alias("attr_key"), "data_type", "allowed_values", "value_min", "value_max")), "attr_key", "left")
+    joined = rows.join(registry.select(F.col("key").alias("attr_key"), "data_type", "allowed_values", "value_min", "value_max"), "attr_key", "left")
     said = F.lower(F.concat_ws(" ", "quote", "pattern"))
     living = (said.contains("obytn") | said.contains("užitn") | said.contains("uzitn")) & ~said.contains("celkov") & ~said.contains("total")
     wrong = valid_value(F.col("value"), F.col("data_type"), F.col("allowed_values"), F.col("value_min").cast("double"), F.col("value_max").cast("double"))

@@ -23,10 +23,9 @@ def brier(rows: DataFrame, p: str, y: str) -> DataFrame:
 
 def brier_parts(table: DataFrame) -> DataFrame:
     """reliability, resolution, uncertainty over calibration()'s at most ten rows."""
-    base = table.agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("actual")) / F.sum("n")).alias("base"))
-    joined = table.join(F.broadcast(base))
-    weighted = lambda a, b: F.sum(F.col("n") * F.pow(F.col(a) - F.col(b), 2)) / F.first("total")
-    return joined.agg(weighted("predicted", "actual").alias("reliability"), weighted("actual", "base").alias("resolution"), F.first(F.col("base") * (1 - F.col("base"))).alias("uncertainty"))
+    based = table.withColumn("base", table.agg(F.sum(F.col("n") * F.col("actual")) / F.sum("n")).scalar())
+    weighted = lambda a, b: F.sum(F.col("n") * F.pow(F.col(a) - F.col(b), 2)) / F.sum("n")
+    return based.agg(weighted("predicted", "actual").alias("reliability"), weighted("actual", "base").alias("resolution"), F.max(F.col("base") * (1 - F.col("base"))).alias("uncertainty"))
 
 
 def c_index(rows: DataFrame, p: str, y: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def coverage_by_method(objects: DataFrame, registry: DataFrame, provenance: DataFrame) -> DataFrame:
     """attr_key, n_objects and distinct objects per way of extraction, over active objects of the registry's countries."""
-    wanted = objects.where("status = 'active'").select("object_id", "country").join(F.broadcast(registry.select("country", F.col("key").alias("attr_key"))), "country")
+    wanted = objects.where("status = 'active'").select("object_id", "country").join(registry.select("country", F.col("key").alias("attr_key")), "country")
     joined = wanted.join(provenance.select("object_id", "attr_key", "extracted_by"), ["object_id", "attr_key"], "left")
     of = lambda *ways: F.count_distinct(F.when(F.col("extracted_by").isin(*ways), F.col("object_id")))
     return joined.groupBy("attr_key").agg(
@@ -64,8 +64,8 @@ def invariants(objects: DataFrame, sources: DataFrame, configs: DataFrame, runs:
     positions = corpus.agg(F.count_if(F.col("geo_confidence").isNull()).alias("k"), F.count("*").alias("n"))
     out.append(row(positions, "not_modeled", ok((F.col("n") == 0) | (F.col("k") <= not_modeled_share * F.col("n"))), text(F.col("k"), "/", F.col("n"))))
     lost = corpus.agg(F.count_if(F.col("detail_fetched_at").isNull() & (F.col("first_seen_at") < F.lit(as_of - dt.timedelta(hours=24)))).alias("k"))
-    paused = sources.agg((F.bool_and(F.col("state") == "paused")).alias("paused"))
-    out.append(row(lost.join(F.broadcast(paused)), "lost", F.when(F.col("k") == 0, "OK").when(F.coalesce("paused", F.lit(False)), "INFO").otherwise("FAIL"), text(F.col("k"), " without a detail page for over 24 h")))
+    paused = sources.agg(F.bool_and(F.col("state") == "paused")).scalar()
+    out.append(row(lost, "lost", F.when(F.col("k") == 0, "OK").when(F.coalesce(paused, F.lit(False)), "INFO").otherwise("FAIL"), text(F.col("k"), " without a detail page for over 24 h")))
     active = configs.where("active").groupBy("source_id").agg(F.count("*").alias("n_configs"))
     last = runs.groupBy("source_id").agg(F.max("started_at").alias("last_at"))
     planned = sources.join(active, "source_id", "left").join(last, "source_id", "left")

@@ -20,9 +20,9 @@ def queue_depth(notifications: DataFrame, as_of: dt.datetime, limit_minutes: int
 
 def depth_alert(notifications: DataFrame, as_of: dt.datetime, limit_minutes: int = 5, realert_minutes: int = 60, namespace: str = "prod") -> DataFrame:
     """The alert row that is due (none if the queue moves, or the last alert is younger than realert_minutes)."""
-    last = notifications.where((F.col("kind") == "queue_depth") & (F.col("queue_ns") == namespace)).agg(F.max("created_at").alias("last_alert"))
-    due = (F.col("pending_older") > 0) & F.coalesce(F.col("last_alert") <= F.lit(as_of - dt.timedelta(minutes=realert_minutes)), F.lit(True))
-    return queue_depth(notifications, as_of, limit_minutes, namespace).join(F.broadcast(last)).where(due).drop("last_alert")
+    last = notifications.where((F.col("kind") == "queue_depth") & (F.col("queue_ns") == namespace)).agg(F.max("created_at")).scalar()
+    due = (F.col("pending_older") > 0) & F.coalesce(last <= F.lit(as_of - dt.timedelta(minutes=realert_minutes)), F.lit(True))
+    return queue_depth(notifications, as_of, limit_minutes, namespace).where(due)
 
 
 def without_repeats(alerts: DataFrame, keys: list[str], time: str, tie: str, seconds: float) -> DataFrame:

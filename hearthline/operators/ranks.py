@@ -33,9 +33,8 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFram
 def deciles(df: DataFrame, order: list[str], name: str = "decile") -> DataFrame:
     """df with floor(10 * position / n), at most 9; unlike ntile the first groups aren't the larger ones."""
     ranked = global_rank(df, order, "__rank")
-    n = df.agg(F.count("*").alias("__n"))  # one row
-    position = F.floor((F.col("__rank") - 1) * 10 / F.col("__n")).cast("int")
-    return ranked.join(F.broadcast(n)).withColumn(name, F.least(F.lit(9), position)).drop("__rank", "__n")
+    n = df.agg(F.count("*")).scalar()
+    return ranked.withColumn(name, F.least(F.lit(9), F.floor((F.col("__rank") - 1) * 10 / n).cast("int"))).drop("__rank")
 
 
 def folds(df: DataFrame, key: str, k: int, name: str = "fold") -> DataFrame:

@@ -119,7 +119,7 @@ def apply_rules(objects: DataFrame, rules: list[Rule], keys: list[str], id_col:
 
 def missing_attributes(objects: DataFrame, registry: DataFrame, provenance: DataFrame) -> DataFrame:
     """object_id, attr_key of the country's registry that an object neither holds nor has provenance of."""
-    wanted = objects.select("object_id", "country", "attributes").join(F.broadcast(registry.select("country", F.col("key").alias("attr_key"))), "country")
+    wanted = objects.select("object_id", "country", "attributes").join(registry.select("country", F.col("key").alias("attr_key")), "country")
     gaps = wanted.where(~F.map_contains_key("attributes", F.col("attr_key"))).select("object_id", "attr_key")
     return gaps.join(provenance.select("object_id", "attr_key").distinct(), ["object_id", "attr_key"], "left_anti")
 

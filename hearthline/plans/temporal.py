@@ -61,9 +61,8 @@ def f04_deciles(spark: SparkSession, d: str) -> DataFrame:
 def f05_fold_baseline(spark: SparkSession, d: str) -> DataFrame:
     """What the mean of the other folds is off for each fold."""
     folded = ranks.folds(t(spark, d, "orders"), "o_orderkey", 5).groupBy("fold").agg(F.count("*").alias("n"), F.sum(market.cents("o_totalprice")).alias("s"))
-    whole = folded.agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
-    mean = (F.col("all_s") - F.col("s")).cast("double") / (F.col("all_n") - F.col("n"))
-    return folded.join(F.broadcast(whole)).select("fold", "n", F.round((F.col("s").cast("double") / F.col("n") - mean) / 100, 2).alias("bias"))
+    mean = (folded.agg(F.sum("s")).scalar() - F.col("s")).cast("double") / (folded.agg(F.sum("n")).scalar() - F.col("n"))
+    return folded.select("fold", "n", F.round((F.col("s").cast("double") / F.col("n") - mean) / 100, 2).alias("bias"))
 
 
 @query("SELECT event_id, sum(round(value * 100)::BIGINT) OVER (ORDER BY ts, event_id)::BIGINT AS upto FROM events")
@@ -88,8 +87,8 @@ def d16_asof_rate(spark: SparkSession, d: str) -> DataFrame:
         coalesce(floor(epoch(m.mark - known_at) / 86400), 0)::INTEGER AS days_since, CASE WHEN up > 0 THEN 1 ELSE 0 END::INTEGER AS increased FROM marks m LEFT JOIN known k ON k.object_id = m.object_id AND k.mark = m.mark""")
 def d17_price_behaviour(spark: SparkSession, d: str) -> DataFrame:
     history = market.history(spark, d)
-    days = spark.createDataFrame([("2024-01-08",), ("2024-01-15",), ("2024-01-29",)], "day string").select(F.col("day").cast("timestamp").alias("mark"))
-    marks = history.select("object_id").distinct().join(F.broadcast(days))  # three days for each object, as stated
+    days = F.array(*[F.lit(x).cast("timestamp") for x in ("2024-01-08", "2024-01-15", "2024-01-29")])
+    marks = history.select("object_id").distinct().select("object_id", F.explode(days).alias("mark"))
     rows = asof.price_behaviour(marks, history, "object_id", "mark", "change_at", "id", "price_minor")
     return rows.select("object_id", F.date_format("mark", "yyyy-MM-dd").alias("mark"), "reductions", F.round("drop_pct", 6).alias("drop_pct"), "days_since", "increased")
 
