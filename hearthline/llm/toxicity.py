@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Documents are learnt from by the presence of byte n-grams (3 to 5 bytes of the lower-cased UTF-8 text). Spark counts, for
-each n-gram, the toxic and the clean training documents that hold it; the ratio's z-value selects features;
-a logistic regression on presence times log-count ratio is fitted on the driver. Training reads at most
+Documents are learnt from by the presence of byte n-grams (4 to 10 bytes of the lower-cased UTF-8 text, within a word and the
+spaces around it). Spark counts, for each n-gram, the toxic and the clean training documents that hold it; the
+likelihood ratio of the counts selects features; a logistic regression on presence times log-count ratio is fitted on the driver. Training reads at most
 max_rows labelled rows (a documented bound, chosen by the ids' hash); scoring reads every whole text.
 
 Null and empty texts have no features and get the score of the intercept. Several labels of one id count as toxic if one is.
@@ -20,29 +20,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SIZES = (3, 4, 5)
+from hearthline.llm.word_hashes import mixed
+
+SIZES = (4, 5, 6, 8, 10)
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = bytes(32 if i in (9, 10, 11, 12, 13) else i for i in range(256))
 _FILTER_BITS = 20
 
 
-def _grams(text: str | None) -> Iterator[np.ndarray]:
-    """For each n the exact n-grams of the text as numbers, n in the top byte; with repeats."""
+def _grams(text: str | None, inside: bool = False) -> Iterator[np.ndarray]:
+    """For each n a 64-bit hash of each n-gram of the text; with repeats. inside: only those within a word and its borders."""
     raw = np.frombuffer(b" " + (text or "").lower().encode("utf-8", "replace").translate(_SPACES) + b" ", np.uint8)
-    if len(raw) < 3:
-        return
     step = 1 << 20
     for at in range(0, len(raw), step):
-        part = raw[at:at + step + SIZES[-1] - 1].astype(np.uint64)
-        key = part[:-1] | part[1:] << np.uint64(8)
-        for n in SIZES:
-            if len(part) < n:
-                break
-            key = key[:len(part) - n + 1] | part[n - 1:] << np.uint64(8 * n - 8)
-            yield key[:step] | np.uint64(n << 56)
+        part = raw[at:at + step + SIZES[-1] - 1].astype(np.uint64) + np.uint64(1)
+        spaces = np.concatenate(([0], np.cumsum(part == 33)))
+        key = np.zeros(len(part) + 1, np.uint64)
+        for n in range(1, min(SIZES[-1], len(part)) + 1):
+            key = key[:len(part) - n + 1] * _MULTIPLIER + part[n - 1:]
+            if n in SIZES:
+                within = spaces[n - 1:-1] == spaces[1:len(part) - n + 2]  # no space but at the ends
+                yield mixed((key[:step][within[:step]] if inside else key[:step]) + np.uint64(n))
 
 
 def gram_set(text: str | None) -> np.ndarray:
-    parts = [np.unique(g) for g in _grams(text)]
+    """The n-grams within words. Scoring needn't leave out the others: a model has none of them."""
+    parts = [np.unique(g) for g in _grams(text, True)]
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
@@ -76,29 +79,54 @@ class Model:
 
 
 def _fit(rows: list[np.ndarray], toxic: np.ndarray, ratios: np.ndarray, strength: float, rounds: int) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression by accelerated gradient descent; rows hold feature positions."""
-    sizes = np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    where = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
-    value = ratios[where]
+    """L2-regularised logistic regression by Newton steps, each solved by conjugate gradients; rows hold feature positions.
+
+    The n-grams of one word are nearly the same feature, which plain gradient steps would take thousands of rounds for.
+    """
     n, k = len(rows), len(ratios)
-    weights, bias = np.zeros(k), float(np.log((toxic.mean() + 1e-6) / (1 - toxic.mean() + 1e-6)))
-    x, b, t = weights.copy(), bias, 1.0
-    norm = max(1e-9, np.bincount(owner, value * value, n).max() + 1)
-    step = 4.0 / (norm + 4 * strength / n)
+    owner = np.repeat(np.arange(n), [len(r) for r in rows])
+    where = np.concatenate(rows) if n else np.zeros(0, np.int64)
+    value = ratios[where]
+    ridge = np.append(np.full(k, strength), 1e-9)
+
+    def forward(x: np.ndarray) -> np.ndarray:
+        return np.bincount(owner, value * x[where], n) + x[k]
+
+    def backward(e: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(where, value * e[owner], k), e.sum())
+
+    def loss(x: np.ndarray) -> float:
+        margin = forward(x)
+        return float(np.logaddexp(0, margin).sum() - toxic @ margin + ridge @ (x * x) / 2)
+
+    x = np.zeros(k + 1)
+    x[k] = np.log((toxic.mean() + 1e-6) / (1 - toxic.mean() + 1e-6))
+    now = loss(x)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, value * x[where], n) + b, -35, 35)))
-        error = p - toxic
-        new = x - step * (np.bincount(where, value * error[owner], k) / n + strength / n * x)
-        new_bias = b - step * error.mean()
-        following = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        x, b = new + (t - 1) / following * (new - weights), new_bias + (t - 1) / following * (new_bias - bias)
-        weights, bias, t = new, new_bias, following
-    return weights * ratios, bias
+        p = 1 / (1 + np.exp(-np.clip(forward(x), -35, 35)))
+        slope, weight = backward(p - toxic) + ridge * x, p * (1 - p)
+        step, left = np.zeros(k + 1), -slope
+        way, size = left.copy(), left @ left
+        for _ in range(100):
+            if size <= 1e-4 * (slope @ slope):
+                break
+            bent = backward(weight * forward(way)) + ridge * way
+            scale = size / (way @ bent)
+            step, left = step + scale * way, left - scale * bent
+            size, before = left @ left, size
+            way = left + size / before * way
+        part = 1.0
+        while loss(x + part * step) > now and part > 1e-6:
+            part /= 2
+        x = x + part * step
+        now, last = loss(x), now
+        if last - now < 1e-7 * n:
+            break
+    return x[:k] * ratios, float(x[k])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          max_rows: int = 16_000, max_features: int = 4096, z_least: float = 3.0, strength: float = 0.05, rounds: int = 600) -> Model:
+          max_rows: int = 16_000, max_features: int = 4096, least: float = 9.0, strength: float = 1.0, rounds: int = 40) -> Model:
     """Fit on at most max_rows of the labelled documents whose crc32(id) mod 5 isn't 0."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("d")).agg(F.max(label_col).cast("int").alias("toxic"))
     chosen = marked.where(F.crc32(F.col("d").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("d"), "d").limit(max_rows)
@@ -121,9 +149,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, False)
     totals = sample.select("text", "toxic").mapInArrow(count, "gram long, bad long, good long").groupBy("gram").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     ratio = F.log((F.col("bad") + 0.5) / (bad_rows + 1) / ((F.col("good") + 0.5) / (good_rows + 1)))
-    z = ratio / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    best = totals.where(F.col("bad") + F.col("good") >= 3).select("gram", ratio.alias("ratio"), F.abs(z).alias("z")).where(F.col("z") >= z_least)
-    picked = sorted(best.orderBy(F.desc("z"), "gram").limit(max_features).select("gram", "ratio").collect(), key=lambda r: r["gram"])
+    bad, good, rows = F.col("bad"), F.col("good"), float(bad_rows + good_rows)
+    term = lambda seen, row, column: F.when(seen > 0, seen * F.log(seen * rows / (row * column))).otherwise(0.0)
+    held, absent = bad + good, rows - bad - good
+    likelihood = 2 * (term(bad, held, bad_rows) + term(good, held, good_rows) + term(bad_rows - bad, absent, bad_rows) + term(good_rows - good, absent, good_rows))
+    best = totals.where(held >= 3).select("gram", ratio.alias("ratio"), likelihood.alias("likelihood")).where(F.col("likelihood") >= least)
+    picked = sorted(best.orderBy(F.desc("likelihood"), "gram").limit(max_features).select("gram", "ratio").collect(), key=lambda r: r["gram"] % (1 << 64))
     keys = np.array([r["gram"] for r in picked], np.int64).view(np.uint64)
     if not len(keys):
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(bad_rows / good_rows)), False)
