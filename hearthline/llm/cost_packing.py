@@ -123,6 +123,7 @@ def cost_packing(docs: DataFrame, json_path: str, ranks_path: str, id_col: str =
         if pool or held:
             out, _, _ = flush(pool, held, first, True)
             yield out
+        tokens.words.clear()  # the worker goes on to other tasks
 
     def flush(pool: list, held: list, first: int, last: bool):
         """Held pieces take part as items of their own that keep their place in their document."""

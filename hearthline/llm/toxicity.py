@@ -134,9 +134,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            for at in range(0, batch.num_rows, 64):
                 sets, marks = [], []
-                for text, toxic in zip(batch.column(0).slice(at, 256), batch.column(1).slice(at, 256)):
+                for text, toxic in zip(batch.column(0).slice(at, 64), batch.column(1).slice(at, 64)):
                     sets.append(gram_set(text.as_py()))
                     marks.append(np.full(len(sets[-1]), toxic.as_py()))
                 keys, inverse, total = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
