@@ -63,9 +63,6 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: st
     targets = F.transform(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(HREF_HOST), 1)), lambda h: F.translate(h, UPPER, LOWER))
     linked = named.where("host <> ''").select(F.col("host").alias("src"), F.explode(targets).alias("dst")).where("dst <> '' and dst <> src")
     edges = written(linked.groupBy("src", "dst").agg(F.count("*").alias("n")))
-    score = F.lit(None).cast("double")
-    if edges.isEmpty():  # no host points to another, so no host gets more than its own seed
-        return judged.select("page_id", "host", "path", "rule", F.coalesce("said", F.lit("allow")).alias("verdict"), score.alias("trust"), score.alias("distrust"))
     seeds = written(judged.where("host <> ''").groupBy("host").agg(
         F.count_if(F.col("said") == "allow").alias("good"), F.count_if(F.col("said") == "block").alias("bad"), F.count("*").alias("n")))
 

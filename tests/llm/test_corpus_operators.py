@@ -337,6 +337,14 @@ def test_url_verdicts(spark):
     assert url_verdicts(spark.createDataFrame([], "page_id long, url string, html string"), Q.RULES).count() == 0
 
 
+def test_unrelated_link_changes_no_verdict(spark):
+    rows = [(1, "http://a.example.com/de/", ""), (2, "http://a.example.com/fr/", ""), (3, "http://b.dev/", "")]
+    other = [(4, "http://c.dev/", "<a href='http://d.dev/'>t</a>")]
+    alone, beside = ({r["page_id"]: r["verdict"] for r in url_verdicts(spark.createDataFrame(x, "page_id long, url string, html string"), Q.RULES).collect()} for x in (rows, rows + other))
+    assert alone == {1: "block", 2: "block", 3: "allow"} and beside == alone | {4: "allow"}
+    assert url_verdicts(spark.createDataFrame([], "page_id long, url string, html string"), Q.RULES).count() == 0
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
