@@ -38,14 +38,25 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return rule, verdict
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12) -> DataFrame:
-    """Personalised PageRank: edges (src, dst, share), shares of a src sum to 1; seeds (host, seed) -> (host, rank)."""
-    rank = written(seeds.select("host", F.col("seed").alias("rank")))
-    for _ in range(rounds):
-        moved = edges.join(rank, edges.src == rank.host).groupBy("dst").agg((damping * F.sum(F.col("rank") * F.col("share"))).alias("rank"))
-        start = seeds.select("host", ((1 - damping) * F.col("seed")).alias("rank"))
-        rank = written(moved.select(F.col("dst").alias("host"), "rank").unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank")))
-    return rank
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, bound: int = 10_000, step: int = 6) -> DataFrame:
+    """Personalised PageRank of each kind: edges (kind, src, dst, share), shares of a src sum to 1; seeds (kind, host, seed) -> (kind, host, rank).
+
+    Ranks only grow from round to round, as they start from the seeds' own. The loop ends when a round changes no host's
+    rank by more than tolerance of it, so not before every host that the seeds reach is reached. Every step rounds are one written table.
+    """
+    own = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank"))
+    rank = written(own)
+    for _ in range(0, bound, step):
+        for _ in range(step):
+            before = rank.select(F.col("kind").alias("of"), F.col("host").alias("at"), F.col("rank").alias("had"))
+            moved = edges.join(before, (edges.kind == F.col("of")) & (edges.src == F.col("at"))).select("kind", F.col("dst").alias("host"), (damping * F.col("had") * F.col("share")).alias("rank"), F.lit(0.0).alias("had"))
+            kept = before.select(F.col("of").alias("kind"), F.col("at").alias("host"), F.lit(0.0).alias("rank"), "had")
+            rank = moved.unionByName(own.withColumn("had", F.lit(0.0))).unionByName(kept).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("had").alias("had"))
+        rank = written(rank)
+        if rank.where(F.abs(F.col("rank") - F.col("had")) > tolerance * F.col("rank")).isEmpty():
+            return rank.select("kind", "host", "rank")
+        rank = rank.select("kind", "host", "rank")
+    raise RuntimeError(f"ranks did not settle in {bound} rounds")
 
 
 def _shares(edges: DataFrame) -> DataFrame:
@@ -54,7 +65,7 @@ def _shares(edges: DataFrame) -> DataFrame:
 
 
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                 damping: float = 0.85, rounds: int = 12, threshold: float = 0.0) -> DataFrame:
+                 damping: float = 0.85, threshold: float = 0.0) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust: one row per row of pages."""
     few = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     named = few.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
@@ -71,10 +82,9 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: st
         total = share.agg(F.sum("s").alias("all"))  # one row
         return share.join(F.broadcast(total)).select("host", (F.col("s") / F.col("all")).alias("seed"))
 
-    forward = written(_shares(edges))
-    backward = written(_shares(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")))
-    trust = spread(forward, start("good"), damping, rounds).withColumnRenamed("rank", "trust")
-    distrust = spread(backward, start("bad"), damping, rounds).withColumnRenamed("rank", "distrust")
-    both = trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    trusts, distrusts = F.lit("trust").alias("kind"), F.lit("distrust").alias("kind")  # distrust goes from a link's target to its source
+    linked = written(_shares(edges).select(trusts, "*").unionByName(_shares(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")).select(distrusts, "*")))
+    ranks = spread(linked, written(start("good").select(trusts, "*").unionByName(start("bad").select(distrusts, "*"))), damping)
+    both = ranks.groupBy("host").agg(*(F.coalesce(F.max(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
     method = F.when((F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     return judged.join(both, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "trust", "distrust")

@@ -345,6 +345,22 @@ def test_unrelated_link_changes_no_verdict(spark):
     assert url_verdicts(spark.createDataFrame([], "page_id long, url string, html string"), Q.RULES).count() == 0
 
 
+def test_ranks_settle(spark):
+    """Ranks are those of the solved linear system, also over a chain of 20 hosts."""
+    n = 20
+    hosts = [f"h{i}.dev" for i in range(n)] + ["bad.net"]
+    rows = [(i, f"http://{h}/x", f"<a href='http://{hosts[i + 1]}/'>t</a>" + "<a href='http://h0.dev/'>t</a>" * (i == 3)) for i, h in enumerate(hosts[:-1])] + [(n, "http://bad.net/x", "")]
+    got = {r["host"]: r for r in url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string"), Q.RULES).collect()}
+    move = np.zeros((n + 1, n + 1))
+    for i in range(n):
+        move[i, i + 1] = 1  # distrust goes from a target to its sources
+    move[3, 0] = 1
+    start = np.array([0.0] * n + [1.0])
+    share = move / np.maximum(move.sum(axis=0), 1)
+    want = np.linalg.solve(np.eye(n + 1) - 0.85 * share, 0.15 * start)
+    assert all(got[h]["distrust"] == pytest.approx(w, rel=1e-4) and got[h]["verdict"] == "block" for h, w in zip(hosts, want))
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
