@@ -1,12 +1,10 @@
 """Fuzzy repeated passages by collinear chaining of shared k-mer seeds.
 
-1. Seeds are minimizers of word 5-mers: an exact run of k + window - 1 words always holds one. 2. Of the seeds with one hash
-the first (smallest doc_id, then position) owns it; every seed of another document is matched with the owner only, so a
-passage that many documents share costs one match a seed, not a pair for each two of them. 3. The matches of a
-document with an owner are chained in order: matches on one diagonal merge, and a Fenwick tree over the owner's positions finds
-each piece's best predecessor under a linear gap cost. 4. The words of both sides are fetched in fixed blocks, and each chain is
-aligned: extended over its ends, and switched between its diagonals where that matches most. Alignments under
-the similarity are dropped; the rest are merged to passages of at least min_words words.
+1. Seeds are all word 5-mers. 2. A seed at up to 16 places of the corpus is matched with each earlier one. A more frequent seed is paired with the next frequent one beside it and the pairs
+are matched in that way, and so are pairs of frequent pairs; frequent seeds and pairs are also matched with their first and their nearest earlier holder. 3. The matches of a document with an
+owner are chained in order: matches on one diagonal merge, and each piece follows the best of the pieces that end within max_gap of it, under a linear gap cost.
+4. The words of both sides are fetched in fixed blocks, and each chain is aligned: extended over its ends, and switched between its diagonals where that
+matches most. Alignments under the similarity are dropped; the rest are merged to passages of at least min_words words.
 
 A document's passages repeat text of documents with smaller ids; copies thus are passages of their first holder's text.
 Repeats inside one document aren't looked for. Null and empty texts have no passages. Rows that share an id are matched as one
@@ -25,41 +23,131 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline.llm.shared import written
-from hearthline.llm.word_hashes import kmers, minimizers, word_hashes
+from hearthline.llm.word_hashes import kmers, mixed, word_hashes
 
 _BLOCK = 64
-_MARGIN = 24  # words beyond a chain's ends that alignment may extend over: more than a window and a k-mer
+_ROWS = 50_000  # rows of a batch that goes to the JVM
+_MARGIN = 46  # words beyond a chain's ends that alignment may extend over: with the chain's least words they make a passage of 50
 
 
-def seeds(docs: DataFrame, k: int = 5, window: int = 10) -> DataFrame:
-    """(h, doc_id, pos, first) of the minimizers of docs (doc_id, text); first marks a hash's first place in its text."""
+def seeds(docs: DataFrame, k: int = 5) -> DataFrame:
+    """(h, doc_id, pos) of every k-mer of docs (doc_id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                hashes, ids, places, firsts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
-                for doc, text in zip(batch.column(0).slice(at, 512).to_pylist(), batch.column(1).slice(at, 512)):
-                    all_kmers = kmers(word_hashes(text.as_py()), k)
-                    where = minimizers(all_kmers, window)
-                    hashes.append(all_kmers[where])
-                    ids.append(np.full(len(where), doc, np.int64))
-                    places.append(where.astype(np.int32))
-                    firsts.append(np.isin(np.arange(len(where)), np.unique(hashes[-1], return_index=True)[1]))
-                columns = [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places)), pa.array(np.concatenate(firsts))]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "pos", "first"])
-
-    return docs.mapInArrow(run, "h long, doc_id long, pos int, first boolean")
-
-
-def matches(found: DataFrame) -> DataFrame:
-    """(doc_id, pos, owner, at): each seed that an earlier document holds too, with the first that does.
-
-    Owners are aggregated map-side and only those of shared seeds are kept, as a table; the join with them may be split where a seed is in very many
-    documents, which a window over the seed's rows can't be.
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = kmers(word_hashes(text.as_py()), k).view(np.int64)
+                for at in range(0, len(own), _ROWS):
+                    part = own[at:at + _ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), doc, np.int64)), pa.array(np.arange(at, at + len(part), dtype=np.int32))], ["h", "doc_id", "pos"])
+
+    return docs.mapInArrow(run, "h long, doc_id long, pos int")
+
+
+def met(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices (later, earlier) of matched rows, and those of the rows of frequent hashes; rows (h, doc_id, pos) in order.
+
+    Rows of up to most with one hash are matched each with each; of more, each with the first holder and the nearest earlier one.
+    """
+    h, doc = rows[:, 0], rows[:, 1]
+    new = np.concatenate(([True], h[1:] != h[:-1]))
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, len(rows)))
+    first, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
+    shared = np.repeat(doc[starts] != doc[starts + sizes - 1], sizes)
+    at, later, earlier = np.flatnonzero(shared & (size <= most)), [], []
+    for back in range(1, most):
+        at = at[at - back >= first[at]]
+        other = doc[at] != doc[at - back]
+        later.append(at[other])
+        earlier.append(at[other] - back)
+    often = np.flatnonzero(shared & (size > most))
+    held = np.maximum.accumulate(np.where(new | np.concatenate(([True], doc[1:] != doc[:-1])), np.arange(len(rows)), 0))  # the first row of its hash and document
+    own = often[held[often] > first[often]]
+    near = held[own] - 1
+    apart = doc[near] != doc[first[own]]
+    return np.concatenate([*later, own, own[apart]]), np.concatenate([*earlier, near, first[own[apart]]]), often
+
+
+def meetings(found: DataFrame, most: int) -> DataFrame:
+    """(doc_id, pos, owner, at, h): matches of found (h, doc_id, pos) with earlier documents; rows of frequent hashes come too, with null owners."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # rows of the last hash of a batch may go on in the next
+        for batch in batches:
+            rows = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            if not len(rows):
+                continue
+            if held and rows[-1, 0] == held[0][0, 0]:
+                held.append(rows)
+                continue
+            rows = np.concatenate([*held, rows])
+            whole = np.searchsorted(rows[:, 0], rows[-1, 0])
+            held = [rows[whole:]]
+            yield from tables(rows[:whole])
+        if held:
+            yield from tables(np.concatenate(held))
+
+    def tables(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(rows):
+            return
+        later, earlier, often = met(rows, most)
+        for at in range(0, len(later), _ROWS):
+            i, j = later[at:at + _ROWS], earlier[at:at + _ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rows[i, 1], rows[i, 2], rows[j, 1], rows[j, 2], rows[i, 0])], names)
+        for at in range(0, len(often), _ROWS):
+            i = often[at:at + _ROWS]
+            none = pa.nulls(len(i), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(rows[i, 1]), pa.array(rows[i, 2]), none, none, pa.array(rows[i, 0])], names)
+
+    names = ["doc_id", "pos", "owner", "at", "h"]
+    placed = found.select("h", "doc_id", F.col("pos").cast("long")).repartition("h").sortWithinPartitions("h", "doc_id", "pos")
+    return placed.mapInArrow(run, "doc_id long, pos long, owner long, at long, h long")
+
+
+def neighbours(often: DataFrame, k: int, max_gap: int) -> DataFrame:
+    """(h, doc_id, pos, gap) of pairs of frequent k-mers: each with the next one of its document that shares no word with it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 3), np.int64)  # a pair may lie in two batches
+        for batch in batches:
+            rows = np.concatenate([held, np.column_stack([batch.column(i).to_numpy() for i in range(3)])])
+            if not len(rows):
+                continue
+            whole = int(np.flatnonzero((rows[:, 0] != rows[-1, 0]) | (rows[:, 1] < rows[-1, 1] - max_gap))[-1:].sum()) + 1 if (rows[0, 0] != rows[-1, 0] or rows[0, 1] < rows[-1, 1] - max_gap) else 0
+            yield table(rows, whole)
+            held = rows[whole:]
+        yield table(held, len(held))
+
+    def table(rows: np.ndarray, count: int) -> pa.RecordBatch:
+        doc, pos, h = rows.T
+        at = np.arange(count)
+        then = at.copy()
+        for _ in range(k):  # positions of a document grow, so the next one k words on is at most k rows away
+            then = np.where((then < len(rows) - 1) & (doc[then] == doc[:count]) & (pos[then] < pos[:count] + k), then + 1, then)
+        gap = pos[then] - pos[:count]
+        good = (doc[then] == doc[:count]) & (gap >= k) & (gap <= max_gap)
+        at, then, gap = at[good], then[good], gap[good]
+        key = mixed(mixed(h[at].view(np.uint64)) + h[then].view(np.uint64) * np.uint64(0xD1342543DE82EF95) + gap.view(np.uint64)).view(np.int64)
+        key = (key & ~np.int64(31)) | gap  # max_gap is under 32, so that a key tells its gap
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc[at]), pa.array(pos[at])], ["h", "doc_id", "pos"])
+
+    if max_gap >= 32:
+        raise ValueError("max_gap has to be under 32")
+    return often.select("doc_id", "pos", "h").repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(run, "h long, doc_id long, pos long")
+
+
+def matches(found: DataFrame, k: int = 5, max_gap: int = 24, most: int = 16) -> DataFrame:
+    """(doc_id, pos, owner, at): each k-mer with the places in earlier documents that hold it.
+
+    k-mers at up to most places are matched with all of them. More frequent ones are paired with their next frequent neighbour, frequent pairs with the next
+    frequent pair, and both are matched in the same way; what is frequent is also matched with its first and its nearest earlier holder.
     """
-    found = written(found)
-    held = found.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.min_by("pos", F.when(F.col("first"), F.col("doc_id"))).alias("at"))
-    owners = written(held.where("owner < last").select("h", "owner", "at"))
-    return found.join(owners, "h").where("owner < doc_id").select("doc_id", "pos", "owner", "at")
+    level = written(meetings(found, most))
+    out, width = level.where("owner is not null").select("doc_id", "pos", "owner", "at"), k
+    gap = F.col("h").bitwiseAND(F.lit(31))
+    while 2 * width <= max_gap:
+        level = written(meetings(neighbours(level.where("owner is null"), width, max_gap), most))
+        both = level.where("owner is not null").select(F.explode(F.array(F.lit(0), gap)).alias("on"), "doc_id", "pos", "owner", "at")
+        out, width = out.unionByName(both.select("doc_id", (F.col("pos") + F.col("on")).alias("pos"), "owner", (F.col("at") + F.col("on")).alias("at"))), 2 * width
+    return out
 
 
 class Fenwick:
@@ -83,10 +171,12 @@ class Fenwick:
 
 
 def diagonal_runs(x: np.ndarray, y: np.ndarray, k: int, max_gap: int) -> list[tuple[int, int, int, int, int]]:
-    """(x0, y0, x1, y1, seeds) of matches in order of x that follow each other on a diagonal; x1, y1 past the end."""
+    """(x0, y0, x1, y1, seeds) of matches that follow each other on a diagonal, in order of x0; x1, y1 past the end."""
+    order = np.lexsort((x, y - x))
+    x, y = x[order], y[order]
     cut = np.flatnonzero((np.diff(y - x) != 0) | (np.diff(x) > max_gap)) + 1
     first, last = np.concatenate(([0], cut)), np.concatenate((cut - 1, [len(x) - 1]))
-    return [(int(x[a]), int(y[a]), int(x[b]) + k, int(y[b]) + k, int(b - a + 1)) for a, b in zip(first, last)]
+    return sorted((int(x[a]), int(y[a]), int(x[b]) + k, int(y[b]) + k, int(b - a + 1)) for a, b in zip(first, last))
 
 
 def chains(runs: list[tuple[int, int, int, int, int]], max_gap: int, reward: float = 4.0, gap_cost: float = 0.1) -> list[list[int]]:
@@ -135,6 +225,7 @@ def chained(matched: DataFrame, k: int, max_gap: int, least_seeds: int) -> DataF
         if len(rows):
             cut = np.flatnonzero((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)) + 1
             for part in np.split(rows, cut):
+                part = np.unique(part, axis=0) if len(part) > 1 else part
                 if len(part) < least_seeds:
                     continue
                 runs = diagonal_runs(part[:, 2], part[:, 3], k, max_gap)
@@ -148,8 +239,12 @@ def chained(matched: DataFrame, k: int, max_gap: int, least_seeds: int) -> DataF
     return sorted_rows.mapInArrow(run, "doc_id long, owner long, x0 int, runs array<int>")
 
 
-def aligned(runs: list[int], left: tuple[int, np.ndarray], right: tuple[int, np.ndarray]) -> tuple[int, int, int, int, int]:
-    """(x0, x1, y0, y1, equal words) of a chain; left and right are the first word's position and the words of either side."""
+def aligned(runs: list[int], left: tuple[int, np.ndarray], right: tuple[int, np.ndarray], least: int = 50, similarity: float = 0.8) -> tuple[int, int, int, int, int]:
+    """(x0, x1, y0, y1, equal words) of a chain; left and right are the first word's position and the words of either side.
+
+    Ends lie where equal words outweigh others three to one. An alignment of fewer than least words is extended further, to the span of least
+    words or more with the greatest share of equal words, if that share is similarity or more.
+    """
     (lx, a), (ly, b) = left, right
     pieces = [tuple(runs[i:i + 4]) for i in range(0, len(runs), 4)]
 
@@ -163,9 +258,9 @@ def aligned(runs: list[int], left: tuple[int, np.ndarray], right: tuple[int, np.
     grown = int(np.argmax(gain)) + 1 if len(gain) and gain.max() > 0 else 0
     x0, y0 = x - grown, y - grown
     equal = int(same(x0, y0, grown).sum())
-    for i, (x, y, x1, y1) in enumerate(pieces):
-        if i:
-            px, py = pieces[i - 1][2], pieces[i - 1][3]
+    px = py = None
+    for x, y, x1, y1 in pieces:
+        if px is not None:
             overlap = max(0, px - x, py - y)
             x, y = x + overlap, y + overlap
             if x >= x1:
@@ -176,22 +271,35 @@ def aligned(runs: list[int], left: tuple[int, np.ndarray], right: tuple[int, np.
             best = np.concatenate(([0], np.cumsum(old[:n]))) + np.concatenate((np.cumsum(new[:n][::-1])[::-1], [0]))
             equal += int(best.max())
         equal += int(same(x, y, x1 - x).sum())
-    x, y = pieces[-1][2], pieces[-1][3]
+        px, py = x1, y1
+    x, y = px, py
     gain = np.cumsum(np.where(same(x, y, _MARGIN), 1, -3))
     grown = int(np.argmax(gain)) + 1 if len(gain) and gain.max() > 0 else 0
     equal += int(same(x, y, grown).sum())
-    return x0, x + grown, y0, y + grown, equal
+    x1, y1 = x + grown, y + grown
+    if 0 < (short := least - max(x1 - x0, y1 - y0)):
+        back = min(x0 - lx, y0 - ly, short)
+        before = np.concatenate(([0], np.cumsum(same(x0 - back, y0 - back, back)[::-1])))
+        after = np.concatenate(([0], np.cumsum(same(x1, y1, short))))
+        if equal + before[-1] + after[-1] >= similarity * least:
+            length = max(x1 - x0, y1 - y0) + np.arange(len(before))[:, None] + np.arange(len(after))
+            share = np.where(length >= least, (equal + before[:, None] + after) / length, 0)
+            i, j = np.unravel_index(int(share.argmax()), share.shape)
+            if share[i, j] >= similarity:
+                return x0 - int(i), x1 + int(j), y0 - int(i), y1 + int(j), equal + int(before[i] + after[j])
+    return x0, x1, y0, y1, equal
 
 
 def _blocks(low: Column, high: Column) -> Column:
     return F.sequence(F.floor(F.greatest(low - _MARGIN, F.lit(0)) / _BLOCK).cast("int"), F.floor((high + _MARGIN) / _BLOCK).cast("int"))
 
 
-def alignments(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+def alignments(docs: DataFrame, candidates: DataFrame, least: int = 50, similarity: float = 0.8) -> DataFrame:
     """(doc_id, x0, x1, owner, y0, y1, equal) of chains; docs (doc_id, text) with unique ids."""
     ends = candidates.select("*", F.element_at("runs", -2).alias("x1"), F.element_at("runs", 2).alias("y0"), F.element_at("runs", -1).alias("y1"))
-    sides = ends.select("doc_id", "x0", F.lit(0).alias("side"), F.col("doc_id").alias("of"), F.explode(_blocks(F.col("x0"), F.col("x1"))).alias("block")).unionByName(
-        ends.select("doc_id", "x0", F.lit(1).alias("side"), F.col("owner").alias("of"), F.explode(_blocks(F.col("y0"), F.col("y1"))).alias("block")))
+    key = ["doc_id", "owner", "x0", "y0"]
+    sides = ends.select(*key, F.lit(0).alias("side"), F.col("doc_id").alias("of"), F.explode(_blocks(F.col("x0"), F.col("x1"))).alias("block")).unionByName(
+        ends.select(*key, F.lit(1).alias("side"), F.col("owner").alias("of"), F.explode(_blocks(F.col("y0"), F.col("y1"))).alias("block")))
     needed = sides.select("of", "block").distinct().groupBy("of").agg(F.collect_list("block").alias("blocks"))  # a document has so many at most
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,34 +315,34 @@ def alignments(docs: DataFrame, candidates: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int32(), pa.binary()))], ["of", "block", "words"])
 
     words = docs.join(needed, docs.doc_id == needed.of).select("of", "text", "blocks").mapInArrow(cut, "of long, block int, words binary")
-    pieces = sides.join(words, ["of", "block"]).select("doc_id", "x0", "side", "block", "words", F.lit(None).cast("array<int>").alias("runs"), F.lit(None).cast("long").alias("owner"))
-    rows = pieces.unionByName(candidates.select("doc_id", "x0", F.lit(2).alias("side"), F.lit(0).alias("block"), F.lit(None).cast("binary").alias("words"), "runs", "owner"))
+    pieces = sides.join(words, ["of", "block"]).select(*key, "side", "block", "words", F.lit(None).cast("array<int>").alias("runs"))
+    rows = pieces.unionByName(ends.select(*key, F.lit(2).alias("side"), F.lit(0).alias("block"), F.lit(None).cast("binary").alias("words"), "runs"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sides_of, out = None, ([], []), []
         for batch in batches:
-            for doc, x0, side, block, own, runs, owner in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != (doc, x0):
-                    key, sides_of = (doc, x0), ([], [])
+            for doc, owner, x0, y0, side, block, own, runs in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != (doc, owner, x0, y0):
+                    key, sides_of = (doc, owner, x0, y0), ([], [])
                 if side < 2:
                     sides_of[side].append((block, own))
                 elif sides_of[0] and sides_of[1]:
                     left, right = ((s[0][0] * _BLOCK, np.frombuffer(b"".join(w for _, w in s), np.uint32)) for s in sides_of)
-                    a0, a1, b0, b1, equal = aligned(runs, left, right)
+                    a0, a1, b0, b1, equal = aligned(runs, left, right, least, similarity)
                     out.append((doc, a0, a1, owner, b0, b1, equal))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 7)], ["doc_id", "x0", "x1", "owner", "y0", "y1", "equal"])
             out = []
 
-    placed = rows.repartition("doc_id", "x0").sortWithinPartitions("doc_id", "x0", "side", "block")
+    placed = rows.repartition(*key).sortWithinPartitions(*key, "side", "block")
     return placed.mapInArrow(align, "doc_id long, x0 long, x1 long, owner long, y0 long, y1 long, equal long")
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, window: int = 10, max_gap: int = 24,
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, max_gap: int = 24,
                       least_seeds: int = 2, similarity: float = 0.8, min_words: int = 50) -> DataFrame:
     """doc_id, start, n_words, first_doc_id, n_sources, similarity: one row per repeated passage, in words of doc_id's text."""
     few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    candidates = written(chained(matches(seeds(few, k, window)), k, max_gap, least_seeds))
-    found = alignments(few, candidates).where(F.col("equal") >= similarity * F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+    candidates = written(chained(matches(seeds(few, k), k, max_gap), k, max_gap, least_seeds))
+    found = alignments(few, candidates, min_words, similarity).where(F.col("equal") >= similarity * F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
     by_doc = Window.partitionBy("doc_id").orderBy("x0", "x1", "owner")
     reach = F.max("x1").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     marked = found.withColumn("new", F.when(F.col("x0") > F.coalesce(reach, F.lit(-1)) + 1, 1).otherwise(0))

@@ -495,3 +495,18 @@ def test_exact_passages_are_found(spark):
 def test_chains():
     runs = [(0, 0, 20, 20, 4), (25, 27, 40, 42, 3), (30, 500, 45, 515, 3), (50, 50, 70, 70, 4)]
     assert [0, 1, 3] in chains(sorted(runs), 24) and [2] in chains(sorted(runs), 24)
+
+
+def fresh_words(rng, n):
+    return ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("times", [1, 20])
+def test_passage_of_scattered_seeds(spark, times):
+    """Every 5-mer of the passage is in other documents too, before its first holder and between the two."""
+    rng = np.random.default_rng(7)
+    shared = fresh_words(rng, 60)
+    docs = {100 * t + i + 5000 * side: [*fresh_words(rng, 9), *shared[i:i + 5], *fresh_words(rng, 9)] for side in (0, 1) for t in range(times) for i in range(56)}
+    docs[4000], docs[9000] = fresh_words(rng, 30) + shared, fresh_words(rng, 20) + shared + fresh_words(rng, 20)
+    got = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["start"], r["n_words"]) for r in got] == [(9000, 20, 60)]
