@@ -150,26 +150,6 @@ def matches(found: DataFrame, k: int = 5, max_gap: int = 24, most: int = 16) ->
     return out
 
 
-class Fenwick:
-    """Prefix maxima over ranks, with the item that has the maximum."""
-
-    def __init__(self, size: int):
-        self.best = [(float("-inf"), -1)] * (size + 1)
-
-    def put(self, rank: int, value: float, item: int) -> None:
-        while rank < len(self.best):
-            if value > self.best[rank][0]:
-                self.best[rank] = (value, item)
-            rank += rank & -rank
-
-    def up_to(self, rank: int) -> tuple[float, int]:
-        out = (float("-inf"), -1)
-        while rank:
-            out = max(out, self.best[rank])
-            rank -= rank & -rank
-        return out
-
-
 def diagonal_runs(x: np.ndarray, y: np.ndarray, k: int, max_gap: int) -> list[tuple[int, int, int, int, int]]:
     """(x0, y0, x1, y1, seeds) of matches that follow each other on a diagonal, in order of x0; x1, y1 past the end."""
     order = np.lexsort((x, y - x))
@@ -179,19 +159,26 @@ def diagonal_runs(x: np.ndarray, y: np.ndarray, k: int, max_gap: int) -> list[tu
     return sorted((int(x[a]), int(y[a]), int(x[b]) + k, int(y[b]) + k, int(b - a + 1)) for a, b in zip(first, last))
 
 
-def chains(runs: list[tuple[int, int, int, int, int]], max_gap: int, reward: float = 4.0, gap_cost: float = 0.1) -> list[list[int]]:
-    """Collinear chains of runs, best first; each run is in one chain. Runs are disjoint in x and in order of it."""
-    ends = sorted({r[3] for r in runs})
-    rank = {e: i + 1 for i, e in enumerate(ends)}
-    tree, score, back = Fenwick(len(ends)), [], []
-    starts = np.searchsorted(ends, [r[1] + 4 for r in runs], side="right")  # overlap of up to k - 1 words is let through
+def chains(runs: list[tuple[int, int, int, int, int]], max_gap: int, reward: float = 1.0, gap_cost: float = 0.1, overlap: int = 4) -> list[list[int]]:
+    """Collinear chains of runs, best first; each run is in one chain. Runs are in order of x0.
+
+    Only runs that end within max_gap words of a run's start, on both sides, can precede it: they are looked up in cells of that width.
+    """
+    cells: dict[tuple[int, int], list[int]] = {}
+    score, back = [], []
     for i, (x0, y0, x1, y1, n) in enumerate(runs):
-        value, j = tree.up_to(int(starts[i]))
-        gain = value - gap_cost * (x0 + y0)
-        near = j >= 0 and gain > 0 and abs(x0 - runs[j][2]) <= max_gap and abs(y0 - runs[j][3]) <= max_gap and runs[j][1] < y0
-        score.append(reward * n + (gain if near else 0.0))
-        back.append(j if near else -1)
-        tree.put(rank[y1], score[-1] + gap_cost * (x1 + y1), i)
+        best, before = 0.0, -1
+        for a in (-1, 0, 1):
+            for b in (-1, 0, 1):
+                for j in cells.get((x0 // max_gap + a, y0 // max_gap + b), ()):
+                    px0, py0, px1, py1, _ = runs[j]
+                    if px0 < x0 and py0 < y0 and x0 + overlap >= px1 >= x0 - max_gap and y0 + overlap >= py1 >= y0 - max_gap:
+                        gain = score[j] - gap_cost * (abs(x0 - px1) + abs(y0 - py1))
+                        if gain > best:
+                            best, before = gain, j
+        score.append(reward * n + best)
+        back.append(before)
+        cells.setdefault((x1 // max_gap, y1 // max_gap), []).append(i)
     used, out = set(), []
     for i in sorted(range(len(runs)), key=lambda i: -score[i]):
         line = []

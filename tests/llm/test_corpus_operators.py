@@ -510,3 +510,13 @@ def test_passage_of_scattered_seeds(spark, times):
     docs[4000], docs[9000] = fresh_words(rng, 30) + shared, fresh_words(rng, 20) + shared + fresh_words(rng, 20)
     got = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()
     assert [(r["doc_id"], r["start"], r["n_words"]) for r in got] == [(9000, 20, 60)]
+
+
+def test_near_predecessor_is_chained(spark):
+    """A far run with a higher score doesn't keep a run from its near predecessor."""
+    rng = np.random.default_rng(8)
+    long, second = fresh_words(rng, 200), fresh_words(rng, 80)
+    docs = {1: long + fresh_words(rng, 30) + second, 2: long + fresh_words(rng, 30) + second[:40] + fresh_words(rng, 2) + second[40:]}
+    got = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["start"], r["n_words"]) for r in got) == [(2, 0, 200), (2, 230, 82)]
+    assert [1, 2] in chains([(0, 0, 200, 200, 36), (230, 230, 270, 270, 7), (272, 270, 312, 310, 7)], 24)
