@@ -1,6 +1,7 @@
 """Fuzzy repeated passages by collinear chaining of shared k-mer seeds.
 
-1. Seeds are all word 5-mers. 2. A seed at up to 16 places of the corpus is matched with each earlier one. A more frequent seed is paired with the next frequent one beside it and the pairs
+1. Seeds are all word 4-mers: of n words with e edited ones at least n - 3 - 4e are left, so 50 words with 10 edits still share 7,
+and 4 (least_seeds) on one side of the one gap over max_gap that they may have. 2. A seed at up to 16 places of the corpus is matched with each earlier one. A more frequent seed is paired with the next frequent one beside it and the pairs
 are matched in that way, and so are pairs of frequent pairs; frequent seeds and pairs are also matched with their first and their nearest earlier holder. 3. The matches of a document with an
 owner are chained in order: matches on one diagonal merge, and each piece follows the best of the pieces that end within max_gap of it, under a linear gap cost.
 4. The words of both sides are fetched in fixed blocks, and each chain is aligned: extended over its ends, and switched between its diagonals where that
@@ -30,7 +31,7 @@ _ROWS = 50_000  # rows of a batch that goes to the JVM
 _MARGIN = 46  # words beyond a chain's ends that alignment may extend over: with the chain's least words they make a passage of 50
 
 
-def seeds(docs: DataFrame, k: int = 5) -> DataFrame:
+def seeds(docs: DataFrame, k: int = 4) -> DataFrame:
     """(h, doc_id, pos) of every k-mer of docs (doc_id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +135,7 @@ def neighbours(often: DataFrame, k: int, max_gap: int) -> DataFrame:
     return often.select("doc_id", "pos", "h").repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(run, "h long, doc_id long, pos long")
 
 
-def matches(found: DataFrame, k: int = 5, max_gap: int = 24, most: int = 16) -> DataFrame:
+def matches(found: DataFrame, k: int = 4, max_gap: int = 24, most: int = 16) -> DataFrame:
     """(doc_id, pos, owner, at): each k-mer with the places in earlier documents that hold it.
 
     k-mers at up to most places are matched with all of them. More frequent ones are paired with their next frequent neighbour, frequent pairs with the next
@@ -324,8 +325,8 @@ def alignments(docs: DataFrame, candidates: DataFrame, least: int = 50, similari
     return placed.mapInArrow(align, "doc_id long, x0 long, x1 long, owner long, y0 long, y1 long, equal long")
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, max_gap: int = 24,
-                      least_seeds: int = 2, similarity: float = 0.8, min_words: int = 50) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, max_gap: int = 24,
+                      least_seeds: int = 4, similarity: float = 0.8, min_words: int = 50) -> DataFrame:
     """doc_id, start, n_words, first_doc_id, n_sources, similarity: one row per repeated passage, in words of doc_id's text."""
     few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     candidates = written(chained(matches(seeds(few, k), k, max_gap), k, max_gap, least_seeds))

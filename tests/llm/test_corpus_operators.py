@@ -520,3 +520,20 @@ def test_near_predecessor_is_chained(spark):
     got = repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["start"], r["n_words"]) for r in got) == [(2, 0, 200), (2, 230, 82)]
     assert [1, 2] in chains([(0, 0, 200, 200, 36), (230, 230, 270, 270, 7), (272, 270, 312, 310, 7)], 24)
+
+
+def test_fuzzy_passages_at_the_threshold(spark):
+    """60-word passages with every 5th to 10th word replaced (0.8 to 0.9 equal), or as many words at any place."""
+    rng = np.random.default_rng(9)
+    docs, want = [], {}
+    for n in range(200):
+        step = (5, 6, 7, 8, 10)[n % 5]
+        own = fresh_words(rng, 60)
+        places = range(step - 1, 60, step) if n < 100 else rng.choice(60, 60 // step, replace=False)
+        edited = [w if i not in places else fresh_words(rng, 1)[0] for i, w in enumerate(own)]
+        docs += [(n, " ".join(fresh_words(rng, 20) + own)), (1000 + n, " ".join(fresh_words(rng, 20) + edited + fresh_words(rng, 20)))]
+        want[1000 + n] = (n, step)
+    got = {r["doc_id"]: r for r in repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [(i, want[i]) for i in want if i not in got and want[i][0] < 100] == []
+    assert [(i, want[i]) for i in want if i not in got and want[i][1] > 5] == []
+    assert all(r["similarity"] >= 0.8 for r in got.values())
