@@ -49,23 +49,9 @@ def pack_lengths(lengths: list[int], capacity: int) -> tuple[list[tuple[int, int
             tails.append((length - at, item, at))
     count = -(-sum(t[0] for t in tails) // capacity)
     used = [0] * count
-    open_sequences = [(0.0, k) for k in range(count)]  # by cost
     tails.sort(key=lambda t: (-t[0], t[1]))
-    waiting = []
-    for length, item, start in tails:
-        tried = []
-        while open_sequences and capacity - used[open_sequences[0][1]] < length and len(tried) < 8:
-            tried.append(heapq.heappop(open_sequences))
-        if open_sequences and capacity - used[open_sequences[0][1]] >= length:
-            spent, k = heapq.heappop(open_sequences)
-            pieces.append((item, start, length, sequence + k, used[k]))
-            used[k] += length
-            if used[k] < capacity:
-                heapq.heappush(open_sequences, (spent + cost(length), k))
-        else:
-            waiting.append((length, item, start))
-        for entry in tried:
-            heapq.heappush(open_sequences, entry)
+    whole, waiting = placed(tails, used, capacity)
+    pieces += [(item, start, length, sequence + k, offset) for item, start, length, k, offset in whole]
     rooms = sorted((k for k in range(count) if used[k] < capacity), key=lambda k: (used[k], k), reverse=True)
     for length, item, start in waiting:
         while length:
@@ -80,6 +66,49 @@ def pack_lengths(lengths: list[int], capacity: int) -> tuple[list[tuple[int, int
     return _tightened(pieces, used, sequence, capacity), sequence + count
 
 
+def placed(tails: list[tuple[int, int, int]], used: list[int], capacity: int) -> tuple[list, list]:
+    """Whole pieces (item, start, length, sequence, offset), each in the sequence of least cost of all that have room, and the tails that fit nowhere; fills used.
+
+    Sequences lie in a heap by cost for each room that is left; a tree over the rooms holds the least of each range of them.
+    """
+    none = (float("inf"), -1)
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+    tree = [none] * (2 * capacity + 2)
+
+    def refresh(room: int) -> None:
+        at = room + capacity + 1
+        tree[at] = heaps[room][0] if heaps[room] else none
+        while at > 1:
+            at //= 2
+            tree[at] = min(tree[2 * at], tree[2 * at + 1])
+
+    heaps[capacity] = [(0.0, k) for k in range(len(used))]
+    refresh(capacity)
+    pieces, waiting = [], []
+    for length, item, start in tails:
+        best, low, high = none, length + capacity + 1, 2 * capacity + 2
+        while low < high:
+            if low & 1:
+                best, low = min(best, tree[low]), low + 1
+            if high & 1:
+                high -= 1
+                best = min(best, tree[high])
+            low, high = low // 2, high // 2
+        spent, k = best
+        if k < 0:
+            waiting.append((length, item, start))
+            continue
+        room = capacity - used[k]
+        heapq.heappop(heaps[room])
+        refresh(room)
+        pieces.append((item, start, length, k, used[k]))
+        used[k] += length
+        if used[k] < capacity:
+            heapq.heappush(heaps[room - length], (spent + cost(length), k))
+            refresh(room - length)
+    return pieces, waiting
+
+
 def _tightened(pieces: list, used: list[int], base: int, capacity: int) -> list:
     """Move tokens from the emptiest sequence into the room of the others until at most one isn't full."""
     short = sorted((k for k in range(len(used)) if used[k] < capacity), key=lambda k: (used[k], k))

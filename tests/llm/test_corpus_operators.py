@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from hearthline.llm import queries as Q
 from hearthline.llm.byte_tokens import PATTERN, ByteTokens
-from hearthline.llm.cost_packing import cost_packing, pack_lengths
+from hearthline.llm.cost_packing import cost, cost_packing, pack_lengths, placed
 from hearthline.llm.embed_dedup import embedding_dedup
 from hearthline.llm.forced_bpe import ForcedBpe, encode_digests, encode_ids
 from hearthline.llm.heavy_hitter_dedup import exact_dedup
@@ -217,6 +217,25 @@ def test_pack_lengths():
         assert all(sum(n for _, n in s) <= 64 for s in used.values())
 
 
+def test_least_cost_of_all_with_room():
+    """The sequence of least cost is looked for among all that have room, however many cheaper ones have none."""
+    rng = np.random.default_rng(4)
+    for n in [int(x) for x in rng.integers(1, 120, 100)]:
+        tails = sorted(((int(x), i, 0) for i, x in enumerate(rng.integers(1, 64, n))), key=lambda t: (-t[0], t[1]))
+        count = -(-sum(t[0] for t in tails) // 64)
+        used, spent, want, left = [0] * count, [0.0] * count, [], []
+        for length, item, start in tails:
+            fits = [(spent[k], k) for k in range(count) if 64 - used[k] >= length]
+            if not fits:
+                left.append((length, item, start))
+                continue
+            k = min(fits)[1]
+            want.append((item, start, length, k, used[k]))
+            used[k], spent[k] = used[k] + length, spent[k] + cost(length)
+        filled = [0] * count
+        assert placed(tails, filled, 64) == (want, left) and filled == used
+
+
 def test_separator_scan(spark):
     docs, rows = [[5, 6], [], [7] * 300, [1], []], []
     flat = [i for d in docs for i in [*d, 50256]] + [9, 9]
