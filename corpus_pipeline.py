@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthline.llm.cost_packing import cost_packing
 from hearthline.llm.heavy_hitter_dedup import exact_dedup
 from hearthline.llm.queries import BYTE_BPE
-from hearthline.llm.shared import written
-from hearthline.llm.simhash_dedup import simhash_dedup
+from hearthline.llm.shared import WS, text_or_empty, written
+from hearthline.llm.simhash_dedup import fingerprint, simhash_dedup
 from hearthline.llm.substring_chain import repeated_passages, without_passages
 from hearthline.llm.toxicity import toxicity_score, train
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the ids of dropped; Spark broadcasts the ids only where they are few."""
-    gone = dropped.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+def _without(docs: DataFrame, dropped: DataFrame, key: Column) -> DataFrame:
+    """docs without the rows whose id and key are in dropped (doc_id, key); the key follows from the row's text, ids may repeat or be null."""
+    gone = dropped.select(F.col("doc_id").alias("__gone"), F.col("key").alias("__gone_key")).distinct()
+    keyed = docs.withColumn("__key", key)
+    return keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["__gone"]) & (keyed["__key"] == gone["__gone_key"]), "left_anti").drop("__key")
+
+
+def _fingerprints(text: str) -> Column:
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([f"{fingerprint(t):016x}" for t in texts], dtype=object)
+
+    return run(text)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,11 +36,15 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, written(exact_dedup(docs).where("not kept").select("doc_id")))
+    dropped = written(exact_dedup(docs).where("not kept").select("doc_id", F.col("text_sha256").alias("key")))
+    return _without(docs, dropped, F.sha2(F.regexp_replace(text_or_empty("text"), WS, " "), 256))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, written(simhash_dedup(docs).where("doc_id <> component_id").select("doc_id")))
+    dropped = written(simhash_dedup(docs).where("not doc_id <=> component_id").select("doc_id", F.col("fingerprint").alias("key")))
+    ids = dropped.select(F.col("doc_id").alias("__id")).distinct()
+    named = docs["doc_id"].eqNullSafe(ids["__id"])  # only rows with such an id need their fingerprints again
+    return docs.join(ids, named, "left_anti").unionByName(_without(docs.join(ids, named, "left_semi"), dropped, _fingerprints("text")))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

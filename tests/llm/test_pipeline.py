@@ -33,3 +33,15 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_rows_are_dropped_by_their_own_decision(spark):
+    """A copy goes, also without an id, and a unique text that shares its id with a copy stays."""
+    words = [f"w{i}" for i in range(40)]
+    same, other, third = " ".join(words), " ".join(words[::-1]), " ".join(words[20:] + words[:20] + ["end"] * 30)
+    docs = spark.createDataFrame([(1, same), (2, same), (2, other), (None, same), (None, third)], "doc_id long, text string")
+    steps = dict(corpus_pipeline.STAGES)
+    for name in ("exact_dedup", "simhash_dedup"):
+        left = steps[name](spark, docs, SF)
+        assert left.columns == docs.columns
+        assert sorted(map(tuple, left.collect()), key=str) == sorted([(1, same), (2, other), (None, third)], key=str)
