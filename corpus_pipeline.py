@@ -48,8 +48,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the passages that an earlier one, or its own text before, has; n_chars, where docs has it, counts what is left."""
     cut = without_passages(docs, written(repeated_passages(docs)))
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    sized = F.length(cut["text"]).cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in docs.columns else None
+    return cut.select(*(sized if c == "n_chars" else cut[c] for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

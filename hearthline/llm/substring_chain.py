@@ -1,20 +1,22 @@
 """Fuzzy repeated passages by collinear chaining of shared k-mer seeds.
 
-1. Seeds are all word 4-mers: of n words with e edited ones at least n - 3 - 4e are left, so 50 words with 10 edits still share 7,
-and 4 (least_seeds) on one side of the one gap over max_gap that they may have. 2. A seed at up to 16 places of the corpus is matched with each earlier one. A more frequent seed is paired with the next frequent one beside it and the pairs
-are matched in that way, and so are pairs of frequent pairs; frequent seeds and pairs are also matched with their first and their nearest earlier holder. 3. The matches of a document with an
-owner are chained in order: matches on one diagonal merge, and each piece follows the best of the pieces that end within max_gap of it, under a linear gap cost.
-4. The words of both sides are fetched in fixed blocks, and each chain is aligned: extended over its ends, and switched between its diagonals where that
-matches most. Alignments under the similarity are dropped; the rest are merged to passages of at least min_words words.
-
-A document's passages repeat text of documents with smaller ids; copies thus are passages of their first holder's text.
-Repeats inside one document aren't looked for. Null and empty texts have no passages. Rows that share an id are matched as one
-document (words of either). Null ids have no passages. Words are what stands between ASCII white space, A-Z lower-cased. Other columns are ignored.
+1. Seeds are the word 4-mers whose hash falls into a given share (density) of all hashes; which ones depends on their words only, so that equal 4-mers are
+all seeds or none. Of n words with e edited ones at least n - 3 - 4e 4-mers are left. 2. A seed at up to `most` places of the corpus is matched with each earlier one. A more frequent seed is paired with the next frequent one beside it,
+the pairs are matched in that way, and so are pairs of frequent pairs; what is frequent is also matched with its first and its nearest earlier holder. Tasks match the frequent seeds of their own rows before
+anything is shuffled and send on one place of each, so that a seed that every document holds comes to no task in full. 3. The matches of a document with an owner are chained in order: matches on one diagonal merge to runs, and each
+run follows the best of the runs that end within max_gap of it on both sides, under a linear gap cost; Fenwick trees over slabs of the owner's words give the best one. 4. The words of both sides are fetched in fixed blocks, and each chain
+is aligned: extended over its ends, and switched between its diagonals where that matches most. An alignment under the similarity is cut to its stretches that reach it. Passages are what alignments cover, min_words words or more.
+
+A document's passages repeat text of documents with smaller ids, or earlier text of the document itself (of which they may overlap the end); copies thus are passages of their first holder's text.
+Rows that share an id are documents of their own, told apart by text_key, a hash of the text; equal rows count once. Null and empty texts have no passages, and rows with a null id neither. Texts of any length are read whole, in parts of bounded size.
+Of passages with equal claims the one of the smallest owner and place counts. Words are what stands between ASCII white space, A-Z lower-cased. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,125 +30,177 @@ from hearthline.llm.word_hashes import kmers, mixed, word_hashes
 
 _BLOCK = 64
 _ROWS = 50_000  # rows of a batch that goes to the JVM
+_HELD = 1 << 18  # places that a task holds before it matches the frequent ones among them
 _MARGIN = 46  # words beyond a chain's ends that alignment may extend over: with the chain's least words they make a passage of 50
+_PLAIN, _STANDS_FOR_MANY, _FREQUENT, _MATCH = range(4)
+_PLACED = "kind int, h long, doc_id long, pos long, owner long, at long"
 
 
-def seeds(docs: DataFrame, k: int = 4) -> DataFrame:
-    """(h, doc_id, pos) of every k-mer of docs (doc_id, text)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = kmers(word_hashes(text.as_py()), k).view(np.int64)
-                for at in range(0, len(own), _ROWS):
-                    part = own[at:at + _ROWS]
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), doc, np.int64)), pa.array(np.arange(at, at + len(part), dtype=np.int32))], ["h", "doc_id", "pos"])
+def text_key(text: str | Column) -> Column:
+    """30 bits of a text's hash. A row's words are numbered from text_key * 2^32 on, so that rows which share an id lie apart."""
+    return F.shiftrightunsigned(F.xxhash64(text), 34)
+
+
+def _batch(kind: int, rows: np.ndarray, owners: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Places, or matches with owners' places, in the columns of _PLACED."""
+    for at in range(0, len(rows), _ROWS):
+        part = rows[at:at + _ROWS]
+        other = [pa.nulls(len(part), pa.int64())] * 2 if owners is None else [pa.array(owners[at:at + _ROWS, i]) for i in (1, 2)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), *(pa.array(np.ascontiguousarray(part[:, i])) for i in range(3)), *other], ["kind", "h", "doc_id", "pos", "owner", "at"])
 
-    return docs.mapInArrow(run, "h long, doc_id long, pos int")
 
+def _sorted_once(rows: np.ndarray) -> np.ndarray:
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    return rows[np.concatenate(([True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))] if len(rows) else rows
 
-def met(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Indices (later, earlier) of matched rows, and those of the rows of frequent hashes; rows (h, doc_id, pos) in order.
 
-    Rows of up to most with one hash are matched each with each; of more, each with the first holder and the nearest earlier one.
+def met(rows: np.ndarray, most: int, known: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Indices (later, earlier) of matched rows, of the rows of frequent hashes, and of the first one of each; rows (h, doc_id, pos, stands for many) in order.
+
+    Rows of up to most with one hash are matched each with each. Of more, a document's first place is matched with the nearest earlier document's last one and with
+    the first holder, a later place with the one before. The first `known` rows stand for earlier rows of the first hash and are only matched with.
     """
     h, doc = rows[:, 0], rows[:, 1]
     new = np.concatenate(([True], h[1:] != h[:-1]))
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, len(rows)))
-    first, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
-    shared = np.repeat(doc[starts] != doc[starts + sizes - 1], sizes)
-    at, later, earlier = np.flatnonzero(shared & (size <= most)), [], []
+    many = (sizes > most) | (np.add.reduceat(rows[:, 3], starts) > 0)
+    many[:1] |= known > 0
+    first, often = np.repeat(starts, sizes), np.repeat(many, sizes)
+    at, later, earlier = np.flatnonzero(~often & np.repeat(sizes > 1, sizes)), [], []
     for back in range(1, most):
         at = at[at - back >= first[at]]
-        other = doc[at] != doc[at - back]
-        later.append(at[other])
-        earlier.append(at[other] - back)
-    often = np.flatnonzero(shared & (size > most))
-    held = np.maximum.accumulate(np.where(new | np.concatenate(([True], doc[1:] != doc[:-1])), np.arange(len(rows)), 0))  # the first row of its hash and document
-    own = often[held[often] > first[often]]
-    near = held[own] - 1
-    apart = doc[near] != doc[first[own]]
-    return np.concatenate([*later, own, own[apart]]), np.concatenate([*earlier, near, first[own[apart]]]), often
+        later.append(at)
+        earlier.append(at - back)
+    often = np.flatnonzero(often)
+    often = often[often >= known]
+    after = often[often > first[often]]
+    begins = after[doc[after] != doc[after - 1]]
+    apart = begins[doc[begins - 1] != doc[first[begins]]]
+    return np.concatenate([*later, after, apart]), np.concatenate([*earlier, after - 1, first[apart]]), often, often[often == first[often]]
+
+
+def combined(found: Iterator[np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
+    """Places (h, doc_id, pos) as rows of _PLACED: what is frequent among a task's places is matched here, and one place of it is sent on."""
+    def flush() -> Iterator[pa.RecordBatch]:
+        rows = _sorted_once(np.concatenate(held))
+        rows = np.column_stack([rows, np.zeros(len(rows), np.int64)])
+        later, earlier, often, firsts = met(rows, most)
+        many = np.zeros(len(rows), bool)
+        many[often] = True
+        yield from _batch(_PLAIN, rows[~many])
+        yield from _batch(_STANDS_FOR_MANY, rows[firsts])
+        here = many[later]
+        yield from _batch(_MATCH, rows[later[here]], rows[earlier[here]])
+        many[firsts] = False
+        yield from _batch(_FREQUENT, rows[many])
+
+    held, size = [], 0
+    for rows in found:
+        for at in range(0, len(rows), _HELD):
+            held.append(rows[at:at + _HELD])
+            size += len(held[-1])
+            if size >= _HELD:
+                yield from flush()
+                held, size = [], 0
+    if size:
+        yield from flush()
+
+
+def seeds(docs: DataFrame, k: int = 4, most: int = 16, density: float = 0.5) -> DataFrame:
+    """_PLACED of the seeds of docs (doc_id, base, text)."""
+    limit = np.uint64(min(density, 1.0) * float(2**64 - 2048))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            for doc, base, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                own = kmers(word_hashes(text.as_py()), k)
+                at = np.flatnonzero(own <= limit)
+                yield np.column_stack([own[at].view(np.int64), np.full(len(at), doc, np.int64), base + at])
+
+    return docs.select("doc_id", "base", "text").mapInArrow(lambda batches: combined(places(batches), most), _PLACED)
 
 
 def meetings(found: DataFrame, most: int) -> DataFrame:
-    """(doc_id, pos, owner, at, h): matches of found (h, doc_id, pos) with earlier documents; rows of frequent hashes come too, with null owners."""
+    """_PLACED rows of kind _MATCH (matches with earlier places) and _FREQUENT (places of frequent hashes) out of found rows of _PLACED."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # rows of the last hash of a batch may go on in the next
+        held, known = np.zeros((0, 4), np.int64), 0  # rows of the last hash of a batch may go on in the next
         for batch in batches:
-            rows = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            kind = batch.column(0).to_numpy()
+            settled = kind >= _FREQUENT
+            if settled.any():
+                yield batch.filter(pa.array(settled))
+            rows = np.column_stack([*(batch.column(i).to_numpy(zero_copy_only=False)[~settled] for i in (1, 2, 3)), (kind[~settled] == _STANDS_FOR_MANY).astype(np.int64)])
             if not len(rows):
                 continue
-            if held and rows[-1, 0] == held[0][0, 0]:
-                held.append(rows)
-                continue
-            rows = np.concatenate([*held, rows])
-            whole = np.searchsorted(rows[:, 0], rows[-1, 0])
-            held = [rows[whole:]]
-            yield from tables(rows[:whole])
-        if held:
-            yield from tables(np.concatenate(held))
-
-    def tables(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(rows):
-            return
-        later, earlier, often = met(rows, most)
-        for at in range(0, len(later), _ROWS):
-            i, j = later[at:at + _ROWS], earlier[at:at + _ROWS]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rows[i, 1], rows[i, 2], rows[j, 1], rows[j, 2], rows[i, 0])], names)
-        for at in range(0, len(often), _ROWS):
-            i = often[at:at + _ROWS]
-            none = pa.nulls(len(i), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(rows[i, 1]), pa.array(rows[i, 2]), none, none, pa.array(rows[i, 0])], names)
-
-    names = ["doc_id", "pos", "owner", "at", "h"]
-    placed = found.select("h", "doc_id", F.col("pos").cast("long")).repartition("h").sortWithinPartitions("h", "doc_id", "pos")
-    return placed.mapInArrow(run, "doc_id long, pos long, owner long, at long, h long")
-
-
-def neighbours(often: DataFrame, k: int, max_gap: int) -> DataFrame:
-    """(h, doc_id, pos, gap) of pairs of frequent k-mers: each with the next one of its document that shares no word with it."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate([held, rows])
+            whole = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            if whole:
+                yield from matched(rows[:whole], known)
+                held, known = rows[whole:], 0
+            else:
+                held = rows
+            if len(held) > _HELD:
+                yield from matched(held, known)
+                held, known = held[[0, -1]], 2
+        if len(held):
+            yield from matched(held, known)
+
+    def matched(rows: np.ndarray, known: int) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate([rows[:known], rows[known:][np.concatenate(([True], (rows[known + 1:, :3] != rows[known:-1, :3]).any(axis=1)))]]) if len(rows) > known else rows
+        later, earlier, often, _ = met(rows, most, known)
+        yield from _batch(_MATCH, rows[later], rows[earlier])
+        yield from _batch(_FREQUENT, rows[often])
+
+    settled = F.col("kind") >= _FREQUENT
+    placed = found.repartition(F.when(settled, F.xxhash64("doc_id", "pos")).otherwise(F.col("h"))).sortWithinPartitions("h", "doc_id", "pos")
+    return placed.mapInArrow(run, _PLACED)
+
+
+def neighbours(often: DataFrame, width: int, max_gap: int, most: int) -> DataFrame:
+    """_PLACED of pairs of frequent places: each with the next one of its document that is width words on or more; the last 5 bits of h are the gap."""
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         held = np.zeros((0, 3), np.int64)  # a pair may lie in two batches
         for batch in batches:
             rows = np.concatenate([held, np.column_stack([batch.column(i).to_numpy() for i in range(3)])])
             if not len(rows):
                 continue
-            whole = int(np.flatnonzero((rows[:, 0] != rows[-1, 0]) | (rows[:, 1] < rows[-1, 1] - max_gap))[-1:].sum()) + 1 if (rows[0, 0] != rows[-1, 0] or rows[0, 1] < rows[-1, 1] - max_gap) else 0
-            yield table(rows, whole)
+            rows = rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))]
+            whole = len(rows) - int(((rows[:, 0] == rows[-1, 0]) & (rows[:, 1] >= rows[-1, 1] - max_gap)).sum())
+            yield found(rows, whole)
             held = rows[whole:]
-        yield table(held, len(held))
+        yield found(held, len(held))
 
-    def table(rows: np.ndarray, count: int) -> pa.RecordBatch:
+    def found(rows: np.ndarray, count: int) -> np.ndarray:
         doc, pos, h = rows.T
         at = np.arange(count)
         then = at.copy()
-        for _ in range(k):  # positions of a document grow, so the next one k words on is at most k rows away
-            then = np.where((then < len(rows) - 1) & (doc[then] == doc[:count]) & (pos[then] < pos[:count] + k), then + 1, then)
+        for _ in range(width):  # positions of a document grow, so the next one width words on is at most width rows away
+            then = np.where((then < len(rows) - 1) & (doc[then] == doc[:count]) & (pos[then] < pos[:count] + width), then + 1, then)
         gap = pos[then] - pos[:count]
-        good = (doc[then] == doc[:count]) & (gap >= k) & (gap <= max_gap)
+        good = (doc[then] == doc[:count]) & (gap >= width) & (gap <= max_gap)
         at, then, gap = at[good], then[good], gap[good]
         key = mixed(mixed(h[at].view(np.uint64)) + h[then].view(np.uint64) * np.uint64(0xD1342543DE82EF95) + gap.view(np.uint64)).view(np.int64)
-        key = (key & ~np.int64(31)) | gap  # max_gap is under 32, so that a key tells its gap
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc[at]), pa.array(pos[at])], ["h", "doc_id", "pos"])
+        return np.column_stack([(key & ~np.int64(31)) | gap, doc[at], pos[at]])
 
     if max_gap >= 32:
         raise ValueError("max_gap has to be under 32")
-    return often.select("doc_id", "pos", "h").repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(run, "h long, doc_id long, pos long")
+    placed = often.select("doc_id", "pos", "h").repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+    return placed.mapInArrow(lambda batches: combined(pairs(batches), most), _PLACED)
 
 
 def matches(found: DataFrame, k: int = 4, max_gap: int = 24, most: int = 16) -> DataFrame:
-    """(doc_id, pos, owner, at): each k-mer with the places in earlier documents that hold it.
+    """(doc_id, pos, owner, at): each seed with the earlier places that hold it.
 
-    k-mers at up to most places are matched with all of them. More frequent ones are paired with their next frequent neighbour, frequent pairs with the next
+    Seeds at up to most places are matched with all of them. More frequent ones are paired with their next frequent neighbour, frequent pairs with the next
     frequent pair, and both are matched in the same way; what is frequent is also matched with its first and its nearest earlier holder.
     """
     level = written(meetings(found, most))
-    out, width = level.where("owner is not null").select("doc_id", "pos", "owner", "at"), k
+    out, width = level.where(F.col("kind") == _MATCH).select("doc_id", "pos", "owner", "at"), k
     gap = F.col("h").bitwiseAND(F.lit(31))
     while 2 * width <= max_gap:
-        level = written(meetings(neighbours(level.where("owner is null"), width, max_gap), most))
-        both = level.where("owner is not null").select(F.explode(F.array(F.lit(0), gap)).alias("on"), "doc_id", "pos", "owner", "at")
+        level = written(meetings(neighbours(level.where(F.col("kind") == _FREQUENT), width, max_gap, most), most))
+        both = level.where(F.col("kind") == _MATCH).select(F.explode(F.array(F.lit(0), gap)).alias("on"), "doc_id", "pos", "owner", "at")
         out, width = out.unionByName(both.select("doc_id", (F.col("pos") + F.col("on")).alias("pos"), "owner", (F.col("at") + F.col("on")).alias("at"))), 2 * width
     return out
 
@@ -160,26 +214,57 @@ def diagonal_runs(x: np.ndarray, y: np.ndarray, k: int, max_gap: int) -> list[tu
     return sorted((int(x[a]), int(y[a]), int(x[b]) + k, int(y[b]) + k, int(b - a + 1)) for a, b in zip(first, last))
 
 
-def chains(runs: list[tuple[int, int, int, int, int]], max_gap: int, reward: float = 1.0, gap_cost: float = 0.1, overlap: int = 4) -> list[list[int]]:
-    """Collinear chains of runs, best first; each run is in one chain. Runs are in order of x0.
+class FenwickSlabs:
+    """The best of the points whose y lies in a window and whose x isn't too old, points and questions coming in order of x.
+
+    y is cut into slabs of `width` places with two Fenwick trees each, for the maximum from the slab's first place up and from its last place down. A node is a heap, so that points
+    which have become too old fall out of it when they come up. A window wider than a slab is the end of one slab, whole slabs, and the beginning of another.
+    """
 
-    Only runs that end within max_gap words of a run's start, on both sides, can precede it: they are looked up in cells of that width.
+    def __init__(self, width: int):
+        self.width = width
+        self.nodes: dict[tuple[int, int, int], list[tuple[float, int, int]]] = defaultdict(list)
+
+    def add(self, x: int, y: int, value: float, name: int) -> None:
+        slab, at = divmod(y, self.width)
+        for side, node in ((0, at + 1), (1, self.width - at)):
+            while node <= self.width:
+                heapq.heappush(self.nodes[slab, side, node], (-value, x, name))
+                node += node & -node
+
+    def _most(self, slab: int, side: int, node: int, since: int) -> tuple[float, int, int] | None:
+        best = None
+        while node > 0:
+            heap = self.nodes.get((slab, side, node))
+            while heap and heap[0][1] < since:
+                heapq.heappop(heap)
+            if heap and (best is None or heap[0] < best):
+                best = heap[0]
+            node -= node & -node
+        return best
+
+    def best(self, low: int, high: int, since: int) -> tuple[float, int]:
+        """(value, name) of the greatest value at low <= y <= high, x >= since; (-inf, -1) if there is none. high - low is width or more."""
+        (first, a), (last, b) = divmod(low, self.width), divmod(high, self.width)
+        found = [self._most(first, 1, self.width - a, since), self._most(last, 0, b + 1, since), *(self._most(slab, 0, self.width, since) for slab in range(first + 1, last))]
+        found = [f for f in found if f is not None]
+        return (-min(found)[0], min(found)[2]) if found else (float("-inf"), -1)
+
+
+def chains(runs: list[tuple[int, int, int, int, int]], max_gap: int, reward: float = 1.0, gap_cost: float = 0.1, overlap: int = 3) -> list[list[int]]:
+    """Collinear chains of runs, best first; each run is in one chain. Runs are in order of x0 and longer than overlap.
+
+    A run may follow those that end within max_gap words before its start, on both sides; their ends may overlap its start by a few words.
     """
-    cells: dict[tuple[int, int], list[int]] = {}
-    score, back = [], []
-    for i, (x0, y0, x1, y1, n) in enumerate(runs):
-        best, before = 0.0, -1
-        for a in (-1, 0, 1):
-            for b in (-1, 0, 1):
-                for j in cells.get((x0 // max_gap + a, y0 // max_gap + b), ()):
-                    px0, py0, px1, py1, _ = runs[j]
-                    if px0 < x0 and py0 < y0 and x0 + overlap >= px1 >= x0 - max_gap and y0 + overlap >= py1 >= y0 - max_gap:
-                        gain = score[j] - gap_cost * (abs(x0 - px1) + abs(y0 - py1))
-                        if gain > best:
-                            best, before = gain, j
-        score.append(reward * n + best)
-        back.append(before)
-        cells.setdefault((x1 // max_gap, y1 // max_gap), []).append(i)
+    slabs, score, back = FenwickSlabs(max_gap), [0.0] * len(runs), [-1] * len(runs)
+    for at, asks, i in sorted([(r[2], 0, i) for i, r in enumerate(runs)] + [(r[0] + overlap, 1, i) for i, r in enumerate(runs)]):
+        x0, y0, x1, y1, n = runs[i]
+        if asks:
+            value, before = slabs.best(y0 - max_gap, y0 + overlap, x0 - max_gap)
+            gain = value - gap_cost * (x0 + y0)
+            score[i], back[i] = (reward * n + gain, before) if gain > 0 else (reward * n, -1)
+        else:
+            slabs.add(x1, y1, score[i] + gap_cost * (x1 + y1), i)
     used, out = set(), []
     for i in sorted(range(len(runs)), key=lambda i: -score[i]):
         line = []
@@ -193,45 +278,67 @@ def chains(runs: list[tuple[int, int, int, int, int]], max_gap: int, reward: flo
 
 
 def chained(matched: DataFrame, k: int, max_gap: int, least_seeds: int) -> DataFrame:
-    """(doc_id, owner, x0, runs): a row per chain; runs holds x0, y0, x1, y1 of each piece."""
+    """(doc_id, owner, x0, runs): a row per chain; runs holds x0, y0, x1, y1 of each run."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # rows of the last document of a batch may go on in the next
+        held = np.zeros((0, 4), np.int64)  # rows of the last owner of a batch may go on in the next
         for batch in batches:
-            rows = np.column_stack([batch.column(i).to_numpy() for i in range(4)])
-            if held:
-                rows = np.concatenate([*held, rows])
+            rows = np.concatenate([held, np.column_stack([batch.column(i).to_numpy() for i in range(4)])])
             if not len(rows):
                 continue
-            whole = np.searchsorted(rows[:, 0], rows[-1, 0])
-            held = [rows[whole:]]
+            other = np.flatnonzero((rows[:, 0] != rows[-1, 0]) | (rows[:, 1] != rows[-1, 1]))
+            whole = int(other[-1]) + 1 if len(other) else 0
+            held = rows[whole:]
             yield table(rows[:whole])
-        if held:
-            yield table(held[0])
+        yield table(held)
 
     def table(rows: np.ndarray) -> pa.RecordBatch:
         out: list[tuple] = []
         if len(rows):
-            cut = np.flatnonzero((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)) + 1
-            for part in np.split(rows, cut):
-                part = np.unique(part, axis=0) if len(part) > 1 else part
-                if len(part) < least_seeds:
-                    continue
+            rows = rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))]
+            starts = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1))))
+            sizes = np.diff(np.append(starts, len(rows)))
+            enough = sizes >= least_seeds
+            if least_seeds == 2:  # two matches that lie too far apart make no chain
+                two = starts[sizes == 2]
+                near = (np.abs(np.diff(rows[np.column_stack([two, two + 1])], axis=1)[:, 0, 2:]) <= max_gap + k).all(axis=1)
+                enough[sizes == 2] = near
+            for a, n in zip(starts[enough].tolist(), sizes[enough].tolist()):
+                part = rows[a:a + n]
                 runs = diagonal_runs(part[:, 2], part[:, 3], k, max_gap)
                 for line in chains(runs, max_gap) if len(runs) > 1 else [[0]]:
                     if sum(runs[i][4] for i in line) >= least_seeds:
                         out.append((int(part[0, 0]), int(part[0, 1]), runs[line[0]][0], [v for i in line for v in runs[i][:4]]))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds)], ["doc_id", "owner", "x0", "runs"])
 
-    sorted_rows = matched.select("doc_id", "owner", F.col("pos").cast("long"), F.col("at").cast("long")).repartition("doc_id").sortWithinPartitions("doc_id", "owner", "pos")
-    return sorted_rows.mapInArrow(run, "doc_id long, owner long, x0 int, runs array<int>")
+    sorted_rows = matched.select("doc_id", "owner", "pos", "at").repartition("doc_id").sortWithinPartitions("doc_id", "owner", "pos", "at")
+    return sorted_rows.mapInArrow(run, "doc_id long, owner long, x0 long, runs array<long>")
+
+
+def _stretches(equal: np.ndarray, least: int, similarity: float) -> list[tuple[int, int]]:
+    """What the spans of least columns or more cover that begin and end with an equal one and have a share of similarity or more of equal ones."""
+    at = np.flatnonzero(equal)
+    if len(at) < similarity * least:
+        return []
+    over = np.concatenate(([0.0], np.cumsum(equal - similarity)))
+    before, after = over[at], over[at + 1]
+    furthest = np.maximum.accumulate(after[::-1])[::-1]
+    last = at[np.searchsorted(-furthest, -before + 1e-9, side="right") - 1] + 1
+    good = last - at >= least
+    out: list[tuple[int, int]] = []
+    for a, b in zip(at[good].tolist(), last[good].tolist()):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
-def aligned(runs: list[int], left: tuple[int, np.ndarray], right: tuple[int, np.ndarray], least: int = 50, similarity: float = 0.8) -> tuple[int, int, int, int, int]:
-    """(x0, x1, y0, y1, equal words) of a chain; left and right are the first word's position and the words of either side.
+def aligned(runs: list[int], left: tuple[int, np.ndarray], right: tuple[int, np.ndarray], least: int = 50, similarity: float = 0.8) -> list[tuple[int, int, int, int, int]]:
+    """(x0, x1, y0, y1, equal words) of the parts of a chain that reach the similarity; left and right are the first word's position and the words of either side.
 
     Ends lie where equal words outweigh others three to one. An alignment of fewer than least words is extended further, to the span of least
-    words or more with the greatest share of equal words, if that share is similarity or more.
+    words or more with the greatest share of equal words. One under the similarity gives its stretches that reach it.
     """
     (lx, a), (ly, b) = left, right
     pieces = [tuple(runs[i:i + 4]) for i in range(0, len(runs), 4)]
@@ -245,7 +352,7 @@ def aligned(runs: list[int], left: tuple[int, np.ndarray], right: tuple[int, np.
     gain = np.cumsum(np.where(same(x - back, y - back, back)[::-1], 1, -3))
     grown = int(np.argmax(gain)) + 1 if len(gain) and gain.max() > 0 else 0
     x0, y0 = x - grown, y - grown
-    equal = int(same(x0, y0, grown).sum())
+    parts: list[tuple[int, int, np.ndarray]] = [(x0, y0, same(x0, y0, grown))]  # stretches of diagonals
     px = py = None
     for x, y, x1, y1 in pieces:
         if px is not None:
@@ -256,38 +363,53 @@ def aligned(runs: list[int], left: tuple[int, np.ndarray], right: tuple[int, np.
             gap = min(x - px, y - py)  # on the old diagonal first, then on this one
             old, new = same(px, py, gap), same(x - gap, y - gap, gap)
             n = min(len(old), len(new))
-            best = np.concatenate(([0], np.cumsum(old[:n]))) + np.concatenate((np.cumsum(new[:n][::-1])[::-1], [0]))
-            equal += int(best.max())
-        equal += int(same(x, y, x1 - x).sum())
+            turn = int(np.argmax(np.concatenate(([0], np.cumsum(old[:n]))) + np.concatenate((np.cumsum(new[:n][::-1])[::-1], [0]))))
+            parts += [(px, py, old[:turn]), (x - gap + turn, y - gap + turn, new[turn:])]
+        parts.append((x, y, same(x, y, x1 - x)))
         px, py = x1, y1
-    x, y = px, py
-    gain = np.cumsum(np.where(same(x, y, _MARGIN), 1, -3))
+    gain = np.cumsum(np.where(same(px, py, _MARGIN), 1, -3))
     grown = int(np.argmax(gain)) + 1 if len(gain) and gain.max() > 0 else 0
-    equal += int(same(x, y, grown).sum())
-    x1, y1 = x + grown, y + grown
+    parts.append((px, py, same(px, py, grown)))
+    x1, y1, equal = px + grown, py + grown, sum(int(p[2].sum()) for p in parts)
     if 0 < (short := least - max(x1 - x0, y1 - y0)):
         back = min(x0 - lx, y0 - ly, short)
         before = np.concatenate(([0], np.cumsum(same(x0 - back, y0 - back, back)[::-1])))
         after = np.concatenate(([0], np.cumsum(same(x1, y1, short))))
-        if equal + before[-1] + after[-1] >= similarity * least:
-            length = max(x1 - x0, y1 - y0) + np.arange(len(before))[:, None] + np.arange(len(after))
-            share = np.where(length >= least, (equal + before[:, None] + after) / length, 0)
-            i, j = np.unravel_index(int(share.argmax()), share.shape)
-            if share[i, j] >= similarity:
-                return x0 - int(i), x1 + int(j), y0 - int(i), y1 + int(j), equal + int(before[i] + after[j])
-    return x0, x1, y0, y1, equal
+        if equal + before[-1] + after[-1] < similarity * least:
+            return []
+        length = max(x1 - x0, y1 - y0) + np.arange(len(before))[:, None] + np.arange(len(after))
+        share = np.where(length >= least, (equal + before[:, None] + after) / length, 0)
+        i, j = (int(v) for v in np.unravel_index(int(share.argmax()), share.shape))
+        return [(x0 - i, x1 + j, y0 - i, y1 + j, equal + int(before[i] + after[j]))] if share[i, j] >= similarity else []
+    if equal >= similarity * max(x1 - x0, y1 - y0):
+        return [(x0, x1, y0, y1, equal)]
+    xs, ys, marks = [], [], []
+    for k, (x, y, eq) in enumerate(parts):
+        xs.append(np.arange(x, x + len(eq)))
+        ys.append(np.arange(y, y + len(eq)))
+        marks.append(eq)
+        if k + 1 < len(parts) and (skipped := max(parts[k + 1][0] - x, parts[k + 1][1] - y) - len(eq)) > 0:  # words of one side only
+            xs.append(np.minimum(np.arange(x + len(eq), x + len(eq) + skipped), parts[k + 1][0]))
+            ys.append(np.minimum(np.arange(y + len(eq), y + len(eq) + skipped), parts[k + 1][1]))
+            marks.append(np.zeros(skipped, bool))
+    xs, ys, marks = np.concatenate(xs), np.concatenate(ys), np.concatenate(marks)
+    return [(int(xs[i]), int(xs[j - 1]) + 1, int(ys[i]), int(ys[j - 1]) + 1, int(marks[i:j].sum())) for i, j in _stretches(marks, least, similarity)]
 
 
 def _blocks(low: Column, high: Column) -> Column:
-    return F.sequence(F.floor(F.greatest(low - _MARGIN, F.lit(0)) / _BLOCK).cast("int"), F.floor((high + _MARGIN) / _BLOCK).cast("int"))
+    """Numbers of the blocks from _MARGIN words before low to as many after high, none of them of another text."""
+    start = F.shiftleft(F.shiftright(low, 32), 32)
+    return F.sequence(F.shiftright(F.greatest(low - _MARGIN, start), 6), F.shiftright(high + _MARGIN, 6))
 
 
 def alignments(docs: DataFrame, candidates: DataFrame, least: int = 50, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, x0, x1, owner, y0, y1, equal) of chains; docs (doc_id, text) with unique ids."""
+    """(doc_id, x0, x1, owner, y0, y1, equal) of chains; docs (doc_id, base, text)."""
     ends = candidates.select("*", F.element_at("runs", -2).alias("x1"), F.element_at("runs", 2).alias("y0"), F.element_at("runs", -1).alias("y1"))
     key = ["doc_id", "owner", "x0", "y0"]
-    sides = ends.select(*key, F.lit(0).alias("side"), F.col("doc_id").alias("of"), F.explode(_blocks(F.col("x0"), F.col("x1"))).alias("block")).unionByName(
-        ends.select(*key, F.lit(1).alias("side"), F.col("owner").alias("of"), F.explode(_blocks(F.col("y0"), F.col("y1"))).alias("block")))
+    none = F.lit(None).cast("long")
+    own = ends.select("doc_id", F.explode(_blocks(F.col("x0"), F.col("x1"))).alias("block")).distinct()
+    own = own.select("doc_id", none.alias("owner"), none.alias("x0"), none.alias("y0"), F.lit(0).alias("side"), F.col("doc_id").alias("of"), "block")
+    sides = own.unionByName(ends.select(*key, F.lit(1).alias("side"), F.col("owner").alias("of"), F.explode(_blocks(F.col("y0"), F.col("y1"))).alias("block")))
     needed = sides.select("of", "block").distinct().groupBy("of").agg(F.collect_list("block").alias("blocks"))  # a document has so many at most
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,54 +417,66 @@ def alignments(docs: DataFrame, candidates: DataFrame, least: int = 50, similari
             for at in range(0, batch.num_rows, 256):
                 out: list[tuple] = []
                 part = batch.slice(at, 256)
-                for doc, text, blocks in zip(part.column(0).to_pylist(), part.column(1), part.column(2)):
+                for doc, base, text, blocks in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3)):
                     words = word_hashes(text.as_py()).astype(np.uint32)
-                    for block in blocks.as_py():
-                        if len(own := words[block * _BLOCK:(block + 1) * _BLOCK]):
-                            out.append((doc, block, own.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int32(), pa.binary()))], ["of", "block", "words"])
+                    blocks = blocks.values.to_numpy()
+                    for block in blocks[(blocks >= base // _BLOCK) & (blocks * _BLOCK < base + len(words))].tolist():
+                        out.append((doc, block, words[block * _BLOCK - base:(block + 1) * _BLOCK - base].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()))], ["of", "block", "words"])
 
-    words = docs.join(needed, docs.doc_id == needed.of).select("of", "text", "blocks").mapInArrow(cut, "of long, block int, words binary")
-    pieces = sides.join(words, ["of", "block"]).select(*key, "side", "block", "words", F.lit(None).cast("array<int>").alias("runs"))
-    rows = pieces.unionByName(ends.select(*key, F.lit(2).alias("side"), F.lit(0).alias("block"), F.lit(None).cast("binary").alias("words"), "runs"))
+    words = docs.join(needed, docs.doc_id == needed.of).select("of", "base", "text", "blocks").mapInArrow(cut, "of long, block long, words binary")
+    pieces = sides.join(words, ["of", "block"]).select(*key, "side", "block", "words", F.lit(None).cast("array<long>").alias("runs"))
+    rows = pieces.unionByName(ends.select(*key, F.lit(2).alias("side"), none.alias("block"), F.lit(None).cast("binary").alias("words"), "runs"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sides_of, out = None, ([], []), []
+        of, chain, out = None, None, []
+        mine: dict[int, bytes] = {}
+        theirs: dict[int, bytes] = {}
         for batch in batches:
-            for doc, owner, x0, y0, side, block, own, runs in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != (doc, owner, x0, y0):
-                    key, sides_of = (doc, owner, x0, y0), ([], [])
-                if side < 2:
-                    sides_of[side].append((block, own))
-                elif sides_of[0] and sides_of[1]:
-                    left, right = ((s[0][0] * _BLOCK, np.frombuffer(b"".join(w for _, w in s), np.uint32)) for s in sides_of)
-                    a0, a1, b0, b1, equal = aligned(runs, left, right, least, similarity)
-                    out.append((doc, a0, a1, owner, b0, b1, equal))
+            for doc, owner, x0, y0, side, block, words, runs in zip(*(c.to_pylist() for c in batch.columns)):
+                if of != doc:
+                    of, mine = doc, {}
+                if side == 0:
+                    mine[block] = words
+                    continue
+                if chain != (doc, owner, x0, y0):
+                    chain, theirs = (doc, owner, x0, y0), {}
+                if side == 1:
+                    theirs[block] = words
+                    continue
+                first = max(x0 - _MARGIN, x0 >> 32 << 32) // _BLOCK
+                wanted = [mine[i] for i in range(first, (runs[-2] + _MARGIN) // _BLOCK + 1) if i in mine]
+                if wanted and theirs:
+                    left = first * _BLOCK, np.frombuffer(b"".join(wanted), np.uint32)
+                    right = min(theirs) * _BLOCK, np.frombuffer(b"".join(theirs[i] for i in sorted(theirs)), np.uint32)
+                    out += [(doc, a0, a1, owner, b0, b1, equal) for a0, a1, b0, b1, equal in aligned(runs, left, right, least, similarity)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 7)], ["doc_id", "x0", "x1", "owner", "y0", "y1", "equal"])
             out = []
 
-    placed = rows.repartition(*key).sortWithinPartitions(*key, "side", "block")
+    placed = rows.repartition("doc_id").sortWithinPartitions(*key, "side", "block")  # a document's own blocks, which have no owner, come first
     return placed.mapInArrow(align, "doc_id long, x0 long, x1 long, owner long, y0 long, y1 long, equal long")
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, max_gap: int = 24,
-                      least_seeds: int = 4, similarity: float = 0.8, min_words: int = 50) -> DataFrame:
-    """doc_id, start, n_words, first_doc_id, n_sources, similarity: one row per repeated passage, in words of doc_id's text."""
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, max_gap: int = 24, density: float = 0.5,
+                      least_seeds: int = 2, most: int = 16, similarity: float = 0.8, min_words: int = 50) -> DataFrame:
+    """doc_id, text_key, start, n_words, first_doc_id, n_sources, similarity: one row per repeated passage, in words of the text."""
     few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    candidates = written(chained(matches(seeds(few, k), k, max_gap), k, max_gap, least_seeds))
-    found = alignments(few, candidates, min_words, similarity).where(F.col("equal") >= similarity * F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
-    by_doc = Window.partitionBy("doc_id").orderBy("x0", "x1", "owner")
+    few = few.select("doc_id", F.shiftleft(text_key("text"), 32).alias("base"), "text")
+    candidates = written(chained(matches(seeds(few, k, most, density), k, max_gap, most), k, max_gap, least_seeds))
+    found = alignments(few, candidates, min_words, similarity)
+    by_doc = Window.partitionBy("doc_id").orderBy("x0", "x1", "owner", "y0")
     reach = F.max("x1").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     marked = found.withColumn("new", F.when(F.col("x0") > F.coalesce(reach, F.lit(-1)) + 1, 1).otherwise(0))
     numbered = marked.withColumn("passage", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     merged = numbered.groupBy("doc_id", "passage").agg(
-        F.min("x0").alias("start"), (F.max("x1") - F.min("x0")).alias("n_words"), F.min("owner").alias("first_doc_id"), F.countDistinct("owner").alias("n_sources"),
+        F.min("x0").alias("x0"), (F.max("x1") - F.min("x0")).alias("n_words"), F.min("owner").alias("first_doc_id"), F.countDistinct("owner").alias("n_sources"),
         (F.sum("equal") / F.sum(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).alias("similarity"))
-    return merged.where(F.col("n_words") >= min_words).drop("passage")
+    return merged.where(F.col("n_words") >= min_words).select(
+        "doc_id", F.shiftright("x0", 32).alias("text_key"), F.col("x0").bitwiseAND(F.lit((1 << 32) - 1)).alias("start"), "n_words", "first_doc_id", "n_sources", "similarity")
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with each passage cut out of its document's text; all columns stay."""
+    """docs with each passage cut out of its row's text; all columns stay. Rows with a null id or text stay as they are."""
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
@@ -359,6 +493,8 @@ def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id
             out.append("".join([*kept, text[at:]]))
         return pd.Series(out, dtype=object)
 
-    spans = passages.groupBy(F.col("doc_id").alias("__passage_doc")).agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"))).alias("__passages"))
-    joined = docs.join(spans, docs[id_col] == spans["__passage_doc"], "left")
-    return joined.withColumn(text_col, F.when(F.col("__passages").isNull(), F.col(text_col)).otherwise(cut(text_col, "__passages"))).select(*docs.columns)
+    spans = passages.groupBy(F.col("doc_id").alias("__passage_doc"), F.col("text_key").alias("__passage_text")).agg(
+        F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"))).alias("__passages"))
+    joined = docs.join(spans, (docs[id_col] == spans["__passage_doc"]) & (text_key(docs[text_col]) == spans["__passage_text"]), "left")
+    changed = F.when(F.col("__passages").isNull(), docs[text_col]).otherwise(cut(docs[text_col], F.col("__passages"))).alias(text_col)
+    return joined.select(*(changed if c == text_col else docs[c] for c in docs.columns))
