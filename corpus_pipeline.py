@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hearthline.llm.cost_packing import cost_packing
 from hearthline.llm.heavy_hitter_dedup import exact_dedup
-from hearthline.llm.queries import BYTE_BPE
+from hearthline.llm.queries import BYTE_BPE, PASSAGES
 from hearthline.llm.shared import WS, text_or_empty, written
 from hearthline.llm.simhash_dedup import fingerprint, simhash_dedup
 from hearthline.llm.substring_chain import repeated_passages, without_passages
@@ -49,7 +49,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the passages that an earlier one, or its own text before, has; n_chars, where docs has it, counts what is left."""
-    cut = without_passages(docs, written(repeated_passages(docs)))
+    cut = without_passages(docs, written(repeated_passages(docs, **PASSAGES)))
     sized = F.length(cut["text"]).cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in docs.columns else None
     return cut.select(*(sized if c == "n_chars" else cut[c] for c in docs.columns))
 

@@ -1,7 +1,7 @@
 """Fuzzy repeated passages by collinear chaining of shared k-mer seeds.
 
-1. Seeds are the word 4-mers whose hash falls into a given share (density) of all hashes; which ones depends on their words only, so that equal 4-mers are
-all seeds or none. Of n words with e edited ones at least n - 3 - 4e 4-mers are left. 2. A seed at up to `most` places of the corpus is matched with each earlier one. A more frequent seed is paired with the next frequent one beside it,
+1. Seeds are word k-mers: the least of each `window` neighbours by hash, or all of them with window 1. 50 words of which 0.8 of the 5-word shingles are equal hold two equal stretches of 18 or more 5-mers in all (or a longer one),
+so that at window 10 each gives a seed, and the two are within max_gap. For 0.8 of equal words instead (shingle 1), it takes all 4-mers: of n words with e edited ones at least n - 3 - 4e are left. 2. A seed at up to `most` places of the corpus is matched with each earlier one. A more frequent seed is paired with the next frequent one beside it,
 the pairs are matched in that way, and so are pairs of frequent pairs; what is frequent is also matched with its first and its nearest earlier holder. Tasks match the frequent seeds of their own rows before
 anything is shuffled and send on one place of each, so that a seed that every document holds comes to no task in full. 3. The matches of a document with an owner are chained in order: matches on one diagonal merge to runs, and each
 run follows the best of the runs that end within max_gap of it on both sides, under a linear gap cost; Fenwick trees over slabs of the owner's words give the best one. 4. The words of both sides are fetched in fixed blocks, and each chain
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline.llm.shared import written
-from hearthline.llm.word_hashes import kmers, mixed, word_hashes
+from hearthline.llm.word_hashes import kmers, minimizers, mixed, word_hashes
 
 _BLOCK = 64
 _ROWS = 50_000  # rows of a batch that goes to the JVM
@@ -107,15 +107,13 @@ def combined(found: Iterator[np.ndarray], most: int) -> Iterator[pa.RecordBatch]
         yield from flush()
 
 
-def seeds(docs: DataFrame, k: int = 4, most: int = 16, density: float = 0.5) -> DataFrame:
+def seeds(docs: DataFrame, k: int = 4, window: int = 1, most: int = 16) -> DataFrame:
     """_PLACED of the seeds of docs (doc_id, base, text)."""
-    limit = np.uint64(min(density, 1.0) * float(2**64 - 2048))
-
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             for doc, base, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 own = kmers(word_hashes(text.as_py()), k)
-                at = np.flatnonzero(own <= limit)
+                at = minimizers(own, window) if window > 1 else np.arange(len(own))
                 yield np.column_stack([own[at].view(np.int64), np.full(len(at), doc, np.int64), base + at])
 
     return docs.select("doc_id", "base", "text").mapInArrow(lambda batches: combined(places(batches), most), _PLACED)
@@ -205,11 +203,11 @@ def matches(found: DataFrame, k: int = 4, max_gap: int = 24, most: int = 16) ->
     return out
 
 
-def diagonal_runs(x: np.ndarray, y: np.ndarray, k: int, max_gap: int) -> list[tuple[int, int, int, int, int]]:
-    """(x0, y0, x1, y1, seeds) of matches that follow each other on a diagonal, in order of x0; x1, y1 past the end."""
+def diagonal_runs(x: np.ndarray, y: np.ndarray, k: int, apart: int) -> list[tuple[int, int, int, int, int]]:
+    """(x0, y0, x1, y1, seeds) of matches that follow each other on a diagonal as they do in equal text, at most apart words on, in order of x0; x1, y1 past the end."""
     order = np.lexsort((x, y - x))
     x, y = x[order], y[order]
-    cut = np.flatnonzero((np.diff(y - x) != 0) | (np.diff(x) > max_gap)) + 1
+    cut = np.flatnonzero((np.diff(y - x) != 0) | (np.diff(x) > apart)) + 1
     first, last = np.concatenate(([0], cut)), np.concatenate((cut - 1, [len(x) - 1]))
     return sorted((int(x[a]), int(y[a]), int(x[b]) + k, int(y[b]) + k, int(b - a + 1)) for a, b in zip(first, last))
 
@@ -223,16 +221,16 @@ class FenwickSlabs:
 
     def __init__(self, width: int):
         self.width = width
-        self.nodes: dict[tuple[int, int, int], list[tuple[float, int, int]]] = defaultdict(list)
+        self.nodes: dict[tuple[int, int, int], list[tuple[int, int, int]]] = defaultdict(list)
 
-    def add(self, x: int, y: int, value: float, name: int) -> None:
+    def add(self, x: int, y: int, value: int, name: int) -> None:
         slab, at = divmod(y, self.width)
         for side, node in ((0, at + 1), (1, self.width - at)):
             while node <= self.width:
                 heapq.heappush(self.nodes[slab, side, node], (-value, x, name))
                 node += node & -node
 
-    def _most(self, slab: int, side: int, node: int, since: int) -> tuple[float, int, int] | None:
+    def _most(self, slab: int, side: int, node: int, since: int) -> tuple[int, int, int] | None:
         best = None
         while node > 0:
             heap = self.nodes.get((slab, side, node))
@@ -243,28 +241,28 @@ class FenwickSlabs:
             node -= node & -node
         return best
 
-    def best(self, low: int, high: int, since: int) -> tuple[float, int]:
-        """(value, name) of the greatest value at low <= y <= high, x >= since; (-inf, -1) if there is none. high - low is width or more."""
+    def best(self, low: int, high: int, since: int) -> tuple[int, int]:
+        """(value, name) of the greatest value at low <= y <= high, x >= since; (0, -1) if there is none. high - low is width or more."""
         (first, a), (last, b) = divmod(low, self.width), divmod(high, self.width)
         found = [self._most(first, 1, self.width - a, since), self._most(last, 0, b + 1, since), *(self._most(slab, 0, self.width, since) for slab in range(first + 1, last))]
         found = [f for f in found if f is not None]
-        return (-min(found)[0], min(found)[2]) if found else (float("-inf"), -1)
+        return (-min(found)[0], min(found)[2]) if found else (0, -1)
 
 
-def chains(runs: list[tuple[int, int, int, int, int]], max_gap: int, reward: float = 1.0, gap_cost: float = 0.1, overlap: int = 3) -> list[list[int]]:
+def chains(runs: list[tuple[int, int, int, int, int]], max_gap: int, worth: int = 10, overlap: int = 3) -> list[list[int]]:
     """Collinear chains of runs, best first; each run is in one chain. Runs are in order of x0 and longer than overlap.
 
-    A run may follow those that end within max_gap words before its start, on both sides; their ends may overlap its start by a few words.
+    Each word of a run counts `worth` points, each word of a gap on either side costs one; points are whole, as places are large numbers. A run may follow those that end within max_gap words before its start, on both sides; their ends may overlap its start by a few words.
     """
-    slabs, score, back = FenwickSlabs(max_gap), [0.0] * len(runs), [-1] * len(runs)
+    slabs, score, back = FenwickSlabs(max_gap), [0] * len(runs), [-1] * len(runs)
     for at, asks, i in sorted([(r[2], 0, i) for i, r in enumerate(runs)] + [(r[0] + overlap, 1, i) for i, r in enumerate(runs)]):
-        x0, y0, x1, y1, n = runs[i]
+        x0, y0, x1, y1, _ = runs[i]
         if asks:
             value, before = slabs.best(y0 - max_gap, y0 + overlap, x0 - max_gap)
-            gain = value - gap_cost * (x0 + y0)
-            score[i], back[i] = (reward * n + gain, before) if gain > 0 else (reward * n, -1)
+            gain = value - (x0 + y0) if before >= 0 else 0
+            score[i], back[i] = (worth * (x1 - x0) + gain, before) if gain > 0 else (worth * (x1 - x0), -1)
         else:
-            slabs.add(x1, y1, score[i] + gap_cost * (x1 + y1), i)
+            slabs.add(x1, y1, score[i] + x1 + y1, i)
     used, out = set(), []
     for i in sorted(range(len(runs)), key=lambda i: -score[i]):
         line = []
@@ -277,7 +275,7 @@ def chains(runs: list[tuple[int, int, int, int, int]], max_gap: int, reward: flo
     return out
 
 
-def chained(matched: DataFrame, k: int, max_gap: int, least_seeds: int) -> DataFrame:
+def chained(matched: DataFrame, k: int, window: int, max_gap: int, least_seeds: int) -> DataFrame:
     """(doc_id, owner, x0, runs): a row per chain; runs holds x0, y0, x1, y1 of each run."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 4), np.int64)  # rows of the last owner of a batch may go on in the next
@@ -298,13 +296,11 @@ def chained(matched: DataFrame, k: int, max_gap: int, least_seeds: int) -> DataF
             starts = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1))))
             sizes = np.diff(np.append(starts, len(rows)))
             enough = sizes >= least_seeds
-            if least_seeds == 2:  # two matches that lie too far apart make no chain
-                two = starts[sizes == 2]
-                near = (np.abs(np.diff(rows[np.column_stack([two, two + 1])], axis=1)[:, 0, 2:]) <= max_gap + k).all(axis=1)
-                enough[sizes == 2] = near
+            two = starts[enough & (sizes == 2)]  # two matches that lie too far apart make no chain
+            enough[enough & (sizes == 2)] = (np.abs(rows[two + 1, 2:] - rows[two, 2:]) <= max_gap + k).all(axis=1)
             for a, n in zip(starts[enough].tolist(), sizes[enough].tolist()):
                 part = rows[a:a + n]
-                runs = diagonal_runs(part[:, 2], part[:, 3], k, max_gap)
+                runs = diagonal_runs(part[:, 2], part[:, 3], k, max(k, window))
                 for line in chains(runs, max_gap) if len(runs) > 1 else [[0]]:
                     if sum(runs[i][4] for i in line) >= least_seeds:
                         out.append((int(part[0, 0]), int(part[0, 1]), runs[line[0]][0], [v for i in line for v in runs[i][:4]]))
@@ -334,11 +330,77 @@ def _stretches(equal: np.ndarray, least: int, similarity: float) -> list[tuple[i
     return out
 
 
-def aligned(runs: list[int], left: tuple[int, np.ndarray], right: tuple[int, np.ndarray], least: int = 50, similarity: float = 0.8) -> list[tuple[int, int, int, int, int]]:
-    """(x0, x1, y0, y1, equal words) of the parts of a chain that reach the similarity; left and right are the first word's position and the words of either side.
+def _grown(equal: np.ndarray) -> int:
+    """How many columns to go on for, so that equal ones outweigh others most at three to one."""
+    gain = np.cumsum(np.where(equal, 1, -3))
+    best = int(gain.argmax()) if len(gain) else 0
+    return best + 1 if len(gain) and gain[best] > 0 else 0
+
+
+def _shingles(equal: np.ndarray, size: int) -> np.ndarray:
+    """Of each run of size columns whether all are equal."""
+    out = equal[:max(0, len(equal) - size + 1)].copy()
+    for i in range(1, size):
+        out &= equal[i:len(equal) - size + 1 + i]
+    return out
+
 
-    Ends lie where equal words outweigh others three to one. An alignment of fewer than least words is extended further, to the span of least
-    words or more with the greatest share of equal words. One under the similarity gives its stretches that reach it.
+Columns = list[tuple[np.ndarray, int, int]]  # stretches of alignment columns: whether words are equal, and whether a column takes a word of the left and of the right side
+
+
+def _outward(u: np.ndarray, v: np.ndarray) -> tuple[Columns, int]:
+    """Columns from two places on, and how many of them to keep: words on one diagonal while that pays, then on one up to 3 words beside it whose next words are equal."""
+    out: Columns = []
+    i = j = kept = done = 0
+    while True:
+        n = min(len(u) - i, len(v) - j)
+        equal = u[i:i + n] == v[j:j + n]
+        grown = _grown(equal)
+        done += grown
+        if grown:
+            out.append((equal[:grown], 1, 1))
+            i, j, kept = i + grown, j + grown, done
+        for s in (1, -1, 2, -2, 3, -3):
+            a, b = i + max(0, -s), j + max(0, s)
+            if a < len(u) and b < len(v) and u[a] == v[b]:
+                m = min(len(u) - a, len(v) - b)
+                if np.cumsum(np.where(u[a:a + m] == v[b:b + m], 1, -3)).max() > 3 * abs(s):
+                    out.append((np.zeros(abs(s), bool), int(s < 0), int(s > 0)))
+                    i, j, done = a, b, done + abs(s)
+                    break
+        else:
+            out.append((equal[grown:], 1, 1))
+            return out, kept
+
+
+def _bridge(u: np.ndarray, v: np.ndarray) -> Columns:
+    """The columns that align two short stretches whole: two points for equal words, minus one for others, minus two for a word of one side only."""
+    a, b = u.tolist(), v.tolist()
+    rows = [[-2 * j for j in range(len(b) + 1)]]
+    for i, x in enumerate(a, 1):
+        before, row = rows[-1], [-2 * i]
+        for j, y in enumerate(b):
+            row.append(max(before[j] + (2 if x == y else -1), before[j + 1] - 2, row[j] - 2))
+        rows.append(row)
+    i, j, out = len(a), len(b), []
+    while i or j:
+        if i and j and rows[i][j] == rows[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -1):
+            i, j = i - 1, j - 1
+            out.append((np.array([a[i] == b[j]]), 1, 1))
+        elif i and rows[i][j] == rows[i - 1][j] - 2:
+            i -= 1
+            out.append((np.zeros(1, bool), 1, 0))
+        else:
+            j -= 1
+            out.append((np.zeros(1, bool), 0, 1))
+    return out[::-1]
+
+
+def aligned(runs: list[int], left: tuple[int, np.ndarray], right: tuple[int, np.ndarray], least: int = 50, similarity: float = 0.8, shingle: int = 1) -> list[tuple[int, int, int, int, int, int]]:
+    """(x0, x1, y0, y1, equal, all) of the parts of a chain that reach the similarity; left and right are the first word's position and the words of either side.
+
+    equal and all count shingles of aligned words. Ends lie where equal words outweigh others three to one. An alignment of fewer than least words is extended further, to the span of least
+    words or more with the greatest share of equal shingles. One under the similarity gives its stretches that reach it.
     """
     (lx, a), (ly, b) = left, right
     pieces = [tuple(runs[i:i + 4]) for i in range(0, len(runs), 4)]
@@ -347,53 +409,57 @@ def aligned(runs: list[int], left: tuple[int, np.ndarray], right: tuple[int, np.
         n = max(0, min(n, lx + len(a) - x, ly + len(b) - y))
         return a[x - lx:x - lx + n] == b[y - ly:y - ly + n]
 
-    x, y = pieces[0][0], pieces[0][1]
-    back = min(x - lx, y - ly, _MARGIN)
-    gain = np.cumsum(np.where(same(x - back, y - back, back)[::-1], 1, -3))
-    grown = int(np.argmax(gain)) + 1 if len(gain) and gain.max() > 0 else 0
-    x0, y0 = x - grown, y - grown
-    parts: list[tuple[int, int, np.ndarray]] = [(x0, y0, same(x0, y0, grown))]  # stretches of diagonals
+    x, y = pieces[0][:2]
+    before, grown = _outward(a[max(0, x - lx - _MARGIN):x - lx][::-1], b[max(0, y - ly - _MARGIN):y - ly][::-1])
+    columns: Columns = [(equal[::-1], takes_x, takes_y) for equal, takes_x, takes_y in before[::-1]]
+    size = sum(len(c[0]) for c in columns)
+    first = size - grown
+    x -= sum(len(equal) * takes_x for equal, takes_x, _ in columns)
+    y -= sum(len(equal) * takes_y for equal, _, takes_y in columns)
     px = py = None
-    for x, y, x1, y1 in pieces:
+    for nx, ny, x1, y1 in pieces:
         if px is not None:
-            overlap = max(0, px - x, py - y)
-            x, y = x + overlap, y + overlap
-            if x >= x1:
+            overlap = max(0, px - nx, py - ny)
+            nx, ny = nx + overlap, ny + overlap
+            if nx >= x1:
                 continue
-            gap = min(x - px, y - py)  # on the old diagonal first, then on this one
-            old, new = same(px, py, gap), same(x - gap, y - gap, gap)
-            n = min(len(old), len(new))
-            turn = int(np.argmax(np.concatenate(([0], np.cumsum(old[:n]))) + np.concatenate((np.cumsum(new[:n][::-1])[::-1], [0]))))
-            parts += [(px, py, old[:turn]), (x - gap + turn, y - gap + turn, new[turn:])]
-        parts.append((x, y, same(x, y, x1 - x)))
+            gap = min(nx - px, ny - py)  # on the old diagonal first, then on this one
+            old, new = same(px, py, gap), same(nx - gap, ny - gap, gap)
+            held = np.concatenate(([0], np.cumsum(old))) + np.concatenate((np.cumsum(new[::-1])[::-1], [0]))
+            turn = int(held.argmax())
+            skipped = nx - px - (ny - py)  # words of one side only
+            if gap - held[turn] > 3:  # or on others in between
+                columns += _bridge(a[px - lx:nx - lx], b[py - ly:ny - ly])
+            else:
+                columns += [(old[:turn], 1, 1), (np.zeros(abs(skipped), bool), int(skipped > 0), int(skipped < 0)), (new[turn:], 1, 1)]
+        columns.append((same(nx, ny, x1 - nx), 1, 1))
         px, py = x1, y1
-    gain = np.cumsum(np.where(same(px, py, _MARGIN), 1, -3))
-    grown = int(np.argmax(gain)) + 1 if len(gain) and gain.max() > 0 else 0
-    parts.append((px, py, same(px, py, grown)))
-    x1, y1, equal = px + grown, py + grown, sum(int(p[2].sum()) for p in parts)
-    if 0 < (short := least - max(x1 - x0, y1 - y0)):
-        back = min(x0 - lx, y0 - ly, short)
-        before = np.concatenate(([0], np.cumsum(same(x0 - back, y0 - back, back)[::-1])))
-        after = np.concatenate(([0], np.cumsum(same(x1, y1, short))))
-        if equal + before[-1] + after[-1] < similarity * least:
+    after, grown = _outward(a[px - lx:px - lx + _MARGIN], b[py - ly:py - ly + _MARGIN])
+    last = sum(len(c[0]) for c in columns) + grown
+    columns += after
+    good = _shingles(np.concatenate([c[0] for c in columns]), shingle)
+    total = np.concatenate(([0], np.cumsum(good)))
+    xs = x + np.concatenate(([0], np.cumsum(np.concatenate([np.full(len(c[0]), c[1]) for c in columns]))))
+    ys = y + np.concatenate(([0], np.cumsum(np.concatenate([np.full(len(c[0]), c[2]) for c in columns]))))
+
+    def span(i: int, j: int) -> tuple[int, int, int, int, int, int]:
+        return int(xs[i]), int(xs[j]), int(ys[i]), int(ys[j]), int(total[j - shingle + 1] - total[i]), int(words(i, j)) - shingle + 1
+
+    def words(i: int, j: int) -> np.ndarray:
+        return np.maximum(xs[j] - xs[i], ys[j] - ys[i])
+
+    if words(first, last) < least:
+        if total[-1] < similarity * (least - shingle + 1):
             return []
-        length = max(x1 - x0, y1 - y0) + np.arange(len(before))[:, None] + np.arange(len(after))
-        share = np.where(length >= least, (equal + before[:, None] + after) / length, 0)
-        i, j = (int(v) for v in np.unravel_index(int(share.argmax()), share.shape))
-        return [(x0 - i, x1 + j, y0 - i, y1 + j, equal + int(before[i] + after[j]))] if share[i, j] >= similarity else []
-    if equal >= similarity * max(x1 - x0, y1 - y0):
-        return [(x0, x1, y0, y1, equal)]
-    xs, ys, marks = [], [], []
-    for k, (x, y, eq) in enumerate(parts):
-        xs.append(np.arange(x, x + len(eq)))
-        ys.append(np.arange(y, y + len(eq)))
-        marks.append(eq)
-        if k + 1 < len(parts) and (skipped := max(parts[k + 1][0] - x, parts[k + 1][1] - y) - len(eq)) > 0:  # words of one side only
-            xs.append(np.minimum(np.arange(x + len(eq), x + len(eq) + skipped), parts[k + 1][0]))
-            ys.append(np.minimum(np.arange(y + len(eq), y + len(eq) + skipped), parts[k + 1][1]))
-            marks.append(np.zeros(skipped, bool))
-    xs, ys, marks = np.concatenate(xs), np.concatenate(ys), np.concatenate(marks)
-    return [(int(xs[i]), int(xs[j - 1]) + 1, int(ys[i]), int(ys[j - 1]) + 1, int(marks[i:j].sum())) for i, j in _stretches(marks, least, similarity)]
+        i, j = np.arange(max(0, last - least), first + 1)[::-1, None], np.arange(last, min(len(xs) - 1, first + least) + 1)[None, :]
+        length = words(i, j)
+        share = np.where(length >= least, (total[j - shingle + 1] - total[i]) / (length - shingle + 1), 0)
+        at = np.unravel_index(int(share.argmax()), share.shape)
+        return [span(int(i[at[0], 0]), int(j[0, at[1]]))] if share[at] >= similarity else []
+    whole = span(first, last)
+    if whole[4] >= similarity * whole[5]:
+        return [whole]
+    return [span(first + i, first + j + shingle - 1) for i, j in _stretches(good[first:last - shingle + 1], least - shingle + 1, similarity)]
 
 
 def _blocks(low: Column, high: Column) -> Column:
@@ -402,8 +468,8 @@ def _blocks(low: Column, high: Column) -> Column:
     return F.sequence(F.shiftright(F.greatest(low - _MARGIN, start), 6), F.shiftright(high + _MARGIN, 6))
 
 
-def alignments(docs: DataFrame, candidates: DataFrame, least: int = 50, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, x0, x1, owner, y0, y1, equal) of chains; docs (doc_id, base, text)."""
+def alignments(docs: DataFrame, candidates: DataFrame, least: int = 50, similarity: float = 0.8, shingle: int = 1) -> DataFrame:
+    """(doc_id, x0, x1, owner, y0, y1, equal, all) of chains; docs (doc_id, base, text)."""
     ends = candidates.select("*", F.element_at("runs", -2).alias("x1"), F.element_at("runs", 2).alias("y0"), F.element_at("runs", -1).alias("y1"))
     key = ["doc_id", "owner", "x0", "y0"]
     none = F.lit(None).cast("long")
@@ -449,28 +515,28 @@ def alignments(docs: DataFrame, candidates: DataFrame, least: int = 50, similari
                 if wanted and theirs:
                     left = first * _BLOCK, np.frombuffer(b"".join(wanted), np.uint32)
                     right = min(theirs) * _BLOCK, np.frombuffer(b"".join(theirs[i] for i in sorted(theirs)), np.uint32)
-                    out += [(doc, a0, a1, owner, b0, b1, equal) for a0, a1, b0, b1, equal in aligned(runs, left, right, least, similarity)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 7)], ["doc_id", "x0", "x1", "owner", "y0", "y1", "equal"])
+                    out += [(doc, a0, a1, owner, b0, b1, *counts) for a0, a1, b0, b1, *counts in aligned(runs, left, right, least, similarity, shingle)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 8)], ["doc_id", "x0", "x1", "owner", "y0", "y1", "equal", "all"])
             out = []
 
     placed = rows.repartition("doc_id").sortWithinPartitions(*key, "side", "block")  # a document's own blocks, which have no owner, come first
-    return placed.mapInArrow(align, "doc_id long, x0 long, x1 long, owner long, y0 long, y1 long, equal long")
+    return placed.mapInArrow(align, "doc_id long, x0 long, x1 long, owner long, y0 long, y1 long, equal long, all long")
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, max_gap: int = 24, density: float = 0.5,
-                      least_seeds: int = 2, most: int = 16, similarity: float = 0.8, min_words: int = 50) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, window: int = 1, max_gap: int = 24,
+                      least_seeds: int = 4, most: int = 16, similarity: float = 0.8, shingle: int = 1, min_words: int = 50) -> DataFrame:
     """doc_id, text_key, start, n_words, first_doc_id, n_sources, similarity: one row per repeated passage, in words of the text."""
     few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     few = few.select("doc_id", F.shiftleft(text_key("text"), 32).alias("base"), "text")
-    candidates = written(chained(matches(seeds(few, k, most, density), k, max_gap, most), k, max_gap, least_seeds))
-    found = alignments(few, candidates, min_words, similarity)
+    candidates = written(chained(matches(seeds(few, k, window, most), k, max_gap, most), k, window, max_gap, least_seeds))
+    found = alignments(few, candidates, min_words, similarity, shingle)
     by_doc = Window.partitionBy("doc_id").orderBy("x0", "x1", "owner", "y0")
     reach = F.max("x1").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     marked = found.withColumn("new", F.when(F.col("x0") > F.coalesce(reach, F.lit(-1)) + 1, 1).otherwise(0))
     numbered = marked.withColumn("passage", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     merged = numbered.groupBy("doc_id", "passage").agg(
         F.min("x0").alias("x0"), (F.max("x1") - F.min("x0")).alias("n_words"), F.min("owner").alias("first_doc_id"), F.countDistinct("owner").alias("n_sources"),
-        (F.sum("equal") / F.sum(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).alias("similarity"))
+        (F.sum("equal") / F.sum("all")).alias("similarity"))
     return merged.where(F.col("n_words") >= min_words).select(
         "doc_id", F.shiftright("x0", 32).alias("text_key"), F.col("x0").bitwiseAND(F.lit((1 << 32) - 1)).alias("start"), "n_words", "first_doc_id", "n_sources", "similarity")
 

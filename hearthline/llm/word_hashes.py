@@ -61,12 +61,20 @@ def kmers(words: np.ndarray, k: int) -> np.ndarray:
     return mixed(total)
 
 
+def _least(values: np.ndarray, window: int) -> np.ndarray:
+    """The least of each run of window values, by runs of 1, 2, 4, ... of them."""
+    size, least = 1, values
+    while 2 * size <= window:
+        least, size = np.minimum(least[:-size], least[size:]), 2 * size
+    rest = window - size
+    return np.minimum(least[:len(least) - rest], least[rest:]) if rest else least
+
+
 def minimizers(hashes: np.ndarray, window: int) -> np.ndarray:
     """Positions that hold the least hash of some window of neighbours: each window has one."""
     n = len(hashes)
     if n <= window:
         return np.flatnonzero(hashes == hashes.min()) if n else np.zeros(0, np.int64)
-    low = np.lib.stride_tricks.sliding_window_view(hashes, window).min(axis=1)
     ends = np.zeros(window - 1, np.uint64)  # a position counts if some window over it has it as its least
-    most = np.lib.stride_tricks.sliding_window_view(np.concatenate((ends, low, ends)), window).max(axis=1)
+    most = ~_least(~np.concatenate((ends, _least(hashes, window), ends)), window)
     return np.flatnonzero(hashes == most)

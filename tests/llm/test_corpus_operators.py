@@ -541,6 +541,96 @@ def test_near_predecessor_is_chained(spark):
     assert [1, 2] in chains([(0, 0, 200, 200, 36), (230, 230, 270, 270, 7), (272, 270, 312, 310, 7)], 24)
 
 
+def passages_of(spark, docs, **options):
+    frame = spark.createDataFrame([(i, w if isinstance(w, str) else " ".join(w)) for i, w in docs], "doc_id long, text string")
+    return sorted((r["doc_id"], r["start"], r["n_words"], r["first_doc_id"]) for r in repeated_passages(frame, **options).collect())
+
+
+@pytest.mark.parametrize("options", [{}, Q.PASSAGES])
+def test_rows_that_share_an_id(spark, options):
+    """Equal rows count once; rows of one id with other texts are documents of their own, also of each other."""
+    rng = np.random.default_rng(21)
+    shared, other = fresh_words(rng, 150), fresh_words(rng, 90)
+    docs = [(1, fresh_words(rng, 20) + shared), (2, fresh_words(rng, 40) + shared + fresh_words(rng, 9)), (3, fresh_words(rng, 30) + other), (4, fresh_words(rng, 70))]
+    want = [(2, 40, 150, 1)]
+    assert passages_of(spark, docs, **options) == passages_of(spark, docs + docs[1:2], **options) == passages_of(spark, docs + docs[:1], **options) == want
+    assert passages_of(spark, [*docs, (2, other)], **options) == sorted([*want, (3, 30, 90, 2)])
+    own = passages_of(spark, [(5, other + fresh_words(rng, 5)), (5, fresh_words(rng, 7) + other)], **options)
+    assert [r[2:] for r in own] == [(90, 5)]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in [*docs, (2, other), (2, docs[1][1])]], "doc_id long, text string")
+    left = sorted(len(r["text"].split()) for r in without_passages(frame, repeated_passages(frame, **options)).collect() if r["doc_id"] == 2)
+    assert left == [49, 49, 90]
+
+
+@pytest.mark.parametrize("options", [{}, Q.PASSAGES])
+def test_repeats_within_a_document(spark, options):
+    rng = np.random.default_rng(22)
+    line, rest = fresh_words(rng, 60), fresh_words(rng, 40)
+    assert passages_of(spark, [(1, line + rest + line), (2, fresh_words(rng, 99))], **options) == [(1, 100, 60, 1)]
+    many = [(1, (line[:30] + ["x"]) * 40)]  # overlaps the end of what it repeats
+    assert passages_of(spark, many, **options) == [(1, 31, 39 * 31, 1)]
+    assert passages_of(spark, [(1, ["w"] * 3000)], **options)[0][:2] == (1, 1)
+
+
+@pytest.mark.parametrize("options", [{}, Q.PASSAGES])
+def test_exact_part_of_a_poor_alignment(spark, options):
+    """A passage isn't lost to what is chained to it."""
+    rng = np.random.default_rng(23)
+    exact, tail = fresh_words(rng, 60), fresh_words(rng, 12)
+    docs = [(1, exact + fresh_words(rng, 20) + tail), (2, exact + fresh_words(rng, 20) + tail)]
+    (doc, start, n, first), = passages_of(spark, docs, **options)
+    assert (doc, start, first) == (2, 0, 1) and 60 <= n <= 75
+
+
+def test_shingle_passages(spark):
+    """All passages of 50 to 70 words of which 0.8 of the 5-word shingles are equal are found with the query's parameters, edits being replaced, left out or put in."""
+    rng = np.random.default_rng(24)
+    docs, want = [], set()
+    for n in range(300):
+        own = fresh_words(rng, int(rng.integers(50, 71)))
+        edited = list(own)
+        for at in sorted(rng.choice(np.arange(3, len(own) - 3), int(rng.integers(1, 4)), replace=False))[::-1]:
+            kind = int(rng.integers(3))
+            edited[at:at + (kind < 2)] = fresh_words(rng, 1) if kind != 1 else []
+        equal = {tuple(own[i:i + 5]) for i in range(len(own) - 4)} & {tuple(edited[i:i + 5]) for i in range(len(edited) - 4)}
+        docs += [(n, fresh_words(rng, 30) + own + fresh_words(rng, 9)), (1000 + n, fresh_words(rng, 11) + edited + fresh_words(rng, 30))]
+        if len(equal) >= 0.8 * (max(len(own), len(edited)) - 4) and len(edited) >= 50:
+            want.add(1000 + n)
+    got = {r[0] for r in passages_of(spark, docs, **Q.PASSAGES)}
+    assert len(want) > 100 and not want - got
+
+
+def test_production_seeds_find_exact_passages(spark):
+    """On the smallest tables: what every exact run of 50 words covers, within documents too, lies in reported passages."""
+    texts = {i: t.lower().split() for i, t in texts_of(spark).items()}
+    got = {}
+    for r in repeated_passages(spark.read.parquet(f"{SMALL}/documents.parquet"), **Q.PASSAGES).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["start"] + r["n_words"]))
+    seen, missed = set(), []
+    for i in sorted(texts):
+        for j in range(len(texts[i]) - 49):
+            run = tuple(texts[i][j:j + 50])
+            if run in seen and not any(a <= j and j + 50 <= b for a, b in got.get(i, [])):
+                missed.append((i, j))
+            seen.add(run)
+    assert not missed
+
+
+def test_chains_against_brute_force():
+    """Fenwick trees over slabs give each run the best of all that it may follow."""
+    rng = np.random.default_rng(25)
+    for _ in range(60):
+        x, y, n = (rng.integers(lo, hi, 40) for lo, hi in ((0, 300), (0, 300), (4, 12)))
+        runs = sorted({(int(a), int(b), int(a + c), int(b + c), int(c - 3)) for a, b, c in zip(x, y, n)})
+        score = [0.0] * len(runs)
+        for i in sorted(range(len(runs)), key=lambda i: runs[i][0]):
+            may = [j for j in range(len(runs)) if runs[i][0] + 3 >= runs[j][2] >= runs[i][0] - 24 and runs[i][1] + 3 >= runs[j][3] >= runs[i][1] - 24]
+            score[i] = runs[i][2] - runs[i][0] + max([0.0, *(score[j] - 0.1 * (runs[i][0] - runs[j][2] + runs[i][1] - runs[j][3]) for j in may)])
+        best = chains(runs, 24)[0]
+        value = sum(runs[i][2] - runs[i][0] for i in best) - 0.1 * sum(runs[b][0] - runs[a][2] + runs[b][1] - runs[a][3] for a, b in zip(best, best[1:]))
+        assert value == pytest.approx(max(score))
+
+
 def test_fuzzy_passages_at_the_threshold(spark):
     """60-word passages with every 5th to 10th word replaced (0.8 to 0.9 equal), or as many words at any place."""
     rng = np.random.default_rng(9)
