@@ -1,12 +1,13 @@
 """Main text of web pages by a maximum-scoring subsequence of words and tags.
 
-A page is read as a sequence of words and tags. Words score positive, less so or below zero under elements that menus, adverts and
-such are made of; tags score negative. The weights are log-odds counted over labelled pages. One linear scan finds the
-contiguous region of the highest score; the article is the smallest container that holds it, without the
-parts inside that are no article text (navigation, adverts, forms, comments, scripts).
+A page is read once, from left to right, as a sequence of words and tags. Words score positive, by the kind of block and link that they stand in and by the names (class, id, role) of the elements around them;
+tags score negative, most of all those that main text rarely holds. The weights are log-odds counted over labelled pages. One linear scan finds the contiguous region of the highest score, and its words are the text, by whole blocks;
+elements inside that can't be article text (navigation, adverts, forms, comments, scripts) are taken out before the scan and only cost what a tag does.
 
-Null and empty html, and pages without text, give an empty text. Rows that share an id are read each. An
-empty table gives an empty result; other columns are ignored.
+A name that is known whole ("sidebar") decides for its element. A name of which only parts are known ("has-sidebar", "no-ads") counts by its parts, but not against an element that holds over half of the page's words, which is a wrapper.
+
+Null and empty html, and pages without words, give an empty text. Of regions with equal scores the first counts. Elements are nested up to 512 deep, as in browsers; deeper ones stand beside each other. Time grows in
+proportion to the page's length, also for broken markup: from the first tag that never ends on, quotes aren't looked at. Rows that share an id are read each. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import functools
 import html as entities
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,158 +26,181 @@ from pyspark.sql import functions as F
 
 from hearthline.llm import labelled_pages
 
-_TAG = re.compile(r"""<!--(.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
-_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Fixed values of HTML: elements without content, with raw content, that stand as blocks, and never hold article text.
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_INSIDE = re.compile(r"""(?:[^>"'=]++|=(?:\s*+(?:"[^"]*+"|'[^']*+'))?|["'])*+""")
+_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Fixed values of HTML: elements without content, with raw content, that stand as blocks, and that never hold article text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe textarea title svg math object xmp".split())
 BLOCK = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 NEVER = set("head nav aside footer form button select dialog menu datalist".split())
 CLOSES_P = BLOCK - set("body html head br option td th tr tbody thead tfoot caption li dd dt summary figcaption".split())
+HIDES_P = set("td th button table".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 SECTION = {"article", "main", "section"}
-CONTAINER = SECTION | {"div", "body", "html", "td"}
+DEEPEST = 512
 
 
-@dataclass
+@dataclass(eq=False, slots=True)
 class Element:
     tag: str
     parent: "Element | None"
-    hints: tuple[str, ...] = ()
-    depth: int = 0
+    names: tuple[str, ...] = ()
     hidden: bool = False
-    on_path: frozenset[str] = frozenset()  # hints of this element and those around it
-    path_score: float = 0.0
+    depth: int = 0
+    open_p: "Element | None" = None  # the paragraph that a block inside would end
+    block: str = ""  # the block that its words stand in
+    link: bool = False
+    words: int = 0  # of the whole element
+    score: float = 0.0  # of the names of this element and those around it
     out: bool = False  # no article text in it
 
 
 @dataclass
 class Page:
-    """The page as a sequence: (element, text or None for a tag, tag name), in page order; marks: main text by label."""
+    """The page as a sequence of (element, text or None for a tag, "tag" or "/tag"), in page order; marks: main text by label."""
     items: list[tuple[Element, str | None, str]] = field(default_factory=list)
     marks: list[bool] = field(default_factory=list)
+    elements: list[Element] = field(default_factory=list)
 
 
-def parse(source: str) -> Page:
-    page, inside = Page(), False
-    root = Element("#", None)
-    here, at, end = root, 0, len(source)
+def _names(rest: str) -> tuple[tuple[str, ...], bool]:
+    """The names in an element's attributes, and whether it is hidden."""
+    names, hidden = [], False
+    for key, *values in _ATTRIBUTE.findall(rest):
+        key, value = key.lower(), next((v for v in values if v), "")
+        if key in ("class", "id", "role"):
+            names += value.split()
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            hidden = True
+    return tuple(dict.fromkeys(names)), hidden
 
-    def add(element: Element, text: str | None, tag: str) -> None:
-        page.items.append((element, text, tag))
+
+def parse(source: str) -> Page:
+    page, inside, quotes = Page(), False, True
+    here = root = Element("#", None)
+    page.elements.append(root)
+    opened: dict[str, int] = defaultdict(int)
+    endless: set[str] = set()  # raw elements that no later tag ends
+    at, said, end = 0, 0, len(source)
+
+    def add(text: str | None, tag: str) -> None:
+        page.items.append((here, text, tag))
         page.marks.append(inside)
 
+    def leave(last: Element) -> None:
+        nonlocal here
+        while here is not last.parent:
+            opened[here.tag] -= 1
+            here = here.parent
+
     while at < end:
-        match = _TAG.search(source, at)
-        start = match.start() if match else end
-        if start > at:
-            add(here, source[at:start], "")
-        if not match:
+        start = source.find("<", at)
+        if start < 0:
+            break
+        name = _NAME.match(source, start + 2 if (closing := source.startswith("/", start + 1)) else start + 1)
+        if not name and not source.startswith(("!", "?", "/"), start + 1):
+            at = start + 1
+            continue
+        stop = source.find("-->", start + 4) + 3 if source.startswith("<!--", start) else _INSIDE.match(source, start + 1).end() + 1 if quotes else source.find(">", start) + 1
+        if stop == 2 or stop > end:  # a comment without end, or a tag whose quotes hold the rest of the page
+            if source.startswith("<!--", start):
+                stop = end
+            else:
+                quotes, stop = False, source.find(">", start) + 1
+        if not stop:
             break
-        at = match.end()
-        if match[1] is not None:
-            inside = {"[": True, "]": False}.get(match[1], inside)
+        if start > said:
+            add(source[said:start], "")
+        at = said = stop
+        if source.startswith("<!--", start):
+            inside = {"[": True, "]": False}.get(source[start + 4:stop - 3], inside)
             continue
-        closing, name, rest = (match[2], match[3], match[4]) if match[3] else (match[5], match[6], match[7])
         if not name:
             continue
-        tag = name.lower()
+        tag = name[0].lower()
         if closing:
-            found = here
-            while found.parent is not None and found.tag != tag:
-                found = found.parent
-            add(here, None, tag)
-            if found.parent is not None:
-                here = found.parent
+            add(None, "/" + tag)
+            if opened[tag] > 0:
+                found = here
+                while found.tag != tag:
+                    found = found.parent
+                leave(found)
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            add(here, None, tag)
-            at = stop.end() if stop else (end if tag in ("script", "style") else at)
+            add(None, tag)
+            ending = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+            if ending:
+                at = said = ending.end()
+            elif tag in ("script", "style"):
+                at = said = end
+            else:
+                endless.add(tag)
             continue
-        if tag in CLOSES_P:
-            found = here
-            while found.parent is not None and found.tag not in ("p", "td", "th", "button", "table"):
-                found = found.parent
-            if found.tag == "p":
-                here = found.parent
-        if tag in SAME:
+        if tag in CLOSES_P and here.open_p is not None:
+            leave(here.open_p)
+        if tag in SAME and any(opened[t] > 0 for t in SAME[tag]):
             found = here
             while found.parent is not None and found.tag not in SAME[tag] and found.tag not in SCOPE[tag]:
                 found = found.parent
             if found.tag in SAME[tag]:
-                here = found.parent
+                leave(found)
                 if tag == "tr" and here.tag == "tr":
-                    here = here.parent
-        hints, hidden = [f"<{tag}>"], False
-        for key, *values in _ATTRIBUTE.findall(rest) if rest else ():
-            key, value = key.lower(), next((v for v in values if v), "")
-            if key in ("class", "id", "role"):
-                hints += [w.lower() for w in _NAME.findall(value)]
-            elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                hidden = True
-        element = Element(tag, here, tuple(dict.fromkeys(hints)), here.depth + 1, hidden)
-        add(element, None, tag)
-        if tag not in VOID and not rest.endswith("/"):
+                    leave(here)
+        rest = source[name.end():stop - 1]
+        names, hidden = _names(rest) if rest else ((), False)
+        element = Element(tag, here, names, hidden, here.depth + 1, block=tag if tag in BLOCK and tag != "br" else here.block, link=here.link or tag == "a")
+        element.open_p = element if tag == "p" else None if tag in HIDES_P else here.open_p
+        page.elements.append(element)
+        page.items.append((element, None, tag))
+        page.marks.append(inside)
+        if tag not in VOID and here.depth < DEEPEST:
             here = element
-        elif tag not in VOID and tag in BLOCK:
-            here = element  # a slash means nothing on an HTML element that can have content
+            opened[tag] += 1
+    if end > said:
+        add(source[said:], "")
     return page
 
 
-def _chain(element: Element | None) -> Iterator[Element]:
-    while element is not None:
-        yield element
-        element = element.parent
-
-
-def _shared(a: Element, b: Element) -> Element:
-    """The innermost element that holds both."""
-    while a is not b:
-        a, b = (a.parent, b) if a.depth > b.depth else (a, b.parent) if b.depth > a.depth else (a.parent, b.parent)
-    return a
-
-
-def _within(element: Element, known: dict[int, bool]) -> bool:
-    """Whether the element is one known to be inside, or in one."""
-    path = []
-    while element is not None and id(element) not in known:
-        path.append(element)
-        element = element.parent
-    inside = element is not None and known[id(element)]
-    known.update((id(e), inside) for e in path)
-    return inside
-
-
 @dataclass(frozen=True)
 class Weights:
-    word: float
-    hints: dict[str, float]
+    words: dict[tuple[str, bool], float]  # by block and link
+    whole: dict[str, float]  # names
+    parts: dict[str, float]  # of names
     tags: dict[str, float]
-    tag: float  # of a tag that no labelled page has
+    unknown_word: float
+    unknown_tag: float
+
+
+def _parts(name: str) -> list[str]:
+    return [p.lower() for p in _PART.findall(name)]
 
 
 def learn(sources: list[str]) -> Weights:
-    """Log-odds of main text: of a word, of the hints that it stands under, of tags."""
-    words, hints, tags = Counter(), Counter(), Counter()
+    """Log-odds of main text: of a word by its block, of the names that it stands under, of tags."""
+    words, whole, parts, tags = Counter(), Counter(), Counter(), Counter()
     for source in sources:
         page = parse(source)
         for (element, text, tag), main in zip(page.items, page.marks):
-            if any(e.tag == "head" for e in _chain(element)):
-                continue
             if text is None:
                 tags[tag, main] += 1
             elif n := len(text.split()):
-                words[main] += n
-                for hint in {h for e in _chain(element) for h in e.hints}:
-                    hints[hint, main] += n
-    odds = lambda c, k, a: math.log((c[k, True] + a) / (c[k, False] + a))
-    base = math.log((words[True] + 1) / (words[False] + 1))
-    hint = {k: max(-4.0, min(2.0, odds(hints, k, 2) - base)) for k in {k for k, _ in hints}}
-    cost = {k: -0.2 - max(0.0, min(1.5, -0.5 * odds(tags, k, 2))) for k in {k for k, _ in tags}}
-    return Weights(base, hint, cost, -0.6)
+                words[(element.block, element.link), main] += n
+                held: set[str] = set()
+                while element is not None:
+                    held.update(element.names)
+                    element = element.parent
+                for name in held:
+                    whole[name.lower(), main] += n
+                for part in {p for name in held for p in _parts(name)}:
+                    parts[part, main] += n
+
+    def odds(counts: Counter, least: float, most: float, prior: float, shift: float = 0.0) -> dict:
+        return {k: min(most, max(least, shift + math.log((counts[k, True] + prior) / (counts[k, False] + prior)))) for k in {k for k, _ in counts}}
+
+    return Weights(odds(words, 0.1, 6.0, 2.0, 1.0), odds(whole, -4.0, 1.0, 2.0), odds(parts, -4.0, 1.0, 2.0), odds(tags, -4.0, -0.05, 1.0, -0.5), 0.5, -1.0)
 
 
 @functools.lru_cache(maxsize=1)
@@ -184,42 +208,49 @@ def default_weights() -> Weights:
     return learn(labelled_pages.pages())
 
 
-def _own(element: Element, weights: Weights) -> float:
-    return sum(weights.hints.get(h, 0.0) for h in element.hints if not h.startswith("<"))
-
-
-def _prepare(element: Element, weights: Weights, seen: dict[int, Element]) -> None:
-    """Fill path_score and out from the root down."""
-    todo = []
-    for e in _chain(element):
-        if id(e) in seen:
-            break
-        todo.append(e)
-    for e in reversed(todo):
-        seen[id(e)] = e
-        up = e.parent
-        own = _own(e, weights)
-        around = up.on_path if up else frozenset()
-        new = [h for h in e.hints if h not in around]
-        e.on_path = around.union(new) if new else around
-        e.path_score = (up.path_score if up else 0.0) + sum(weights.hints.get(h, 0.0) for h in new)
-        header = e.tag == "header" and not any(x.tag in SECTION for x in _chain(up))
-        named = own <= -1.0 and e.tag not in ("html", "body", "article", "main", "#") or own <= -1.0 and e.tag == "article" and "comment" in " ".join(e.hints)
-        e.out = bool(up and up.out) or e.hidden or e.tag in NEVER or header or named
+def _judge(page: Page, weights: Weights) -> None:
+    """Fill words, score and out of all elements; parents come before their children."""
+    for element, text, _ in page.items:
+        if text is not None:
+            element.words += len(text.split())
+    for element in reversed(page.elements[1:]):
+        element.parent.words += element.words
+    most = page.elements[0].words / 2
+    for e in page.elements[1:]:
+        if not e.names and not e.hidden and e.tag != "header":
+            e.score, e.out = e.parent.score, e.parent.out or e.tag in NEVER
+            continue
+        known = [weights.whole[n] for n in (n.lower() for n in e.names) if n in weights.whole]
+        guessed = [sum(weights.parts.get(p, 0.0) for p in _parts(n)) for n in e.names if n.lower() not in weights.whole]
+        own = sum(known) + sum(guessed)
+        wrapper = e.words > most and sum(known) >= 0
+        own = 0.0 if wrapper and own < 0 or e.tag in ("html", "body") else max(-4.0, min(1.0, own))
+        within = e.parent
+        while within is not None and within.tag not in SECTION and e.tag == "header":
+            within = within.parent
+        header = e.tag == "header" and within is None and own <= 0
+        e.score = e.parent.score + own
+        e.out = e.parent.out or e.hidden or e.tag in NEVER or header or own <= -1.5
+
+
+def item_scores(page: Page, weights: Weights) -> list[float]:
+    """Of each item. Of an element that is no article text only the first tag counts."""
+    _judge(page, weights)
+    out = []
+    for element, text, tag in page.items:
+        if element.out:
+            out.append(0.0 if text is not None or tag.startswith("/") or element.parent.out else weights.unknown_tag)
+        elif text is None:
+            out.append(weights.tags.get(tag, weights.unknown_tag))
+        else:
+            out.append(len(text.split()) * max(0.1, weights.words.get((element.block, element.link), weights.unknown_word) + min(0.0, element.score)))
+    return out
 
 
 def region(page: Page, weights: Weights) -> tuple[int, int] | None:
     """First and last item of the contiguous region with the highest score; None if no score is over zero."""
     best, best_range, running, first = 0.0, None, 0.0, 0
-    seen: dict[int, Element] = {}
-    for i, (element, text, tag) in enumerate(page.items):
-        _prepare(element, weights, seen)
-        if text is None:
-            score = weights.tags.get(tag, weights.tag)
-        else:
-            n = len(text.split())
-            each = -2.0 if element.out else max(-2.0, min(3.0, weights.word + element.path_score))
-            score = n * each if element.out or each < 0 else n * max(0.2, each)
+    for i, score in enumerate(item_scores(page, weights)):
         if running <= 0:
             running, first = 0.0, i
         running += score
@@ -234,28 +265,20 @@ def main_text(source: str | None, weights: Weights | None = None) -> str:
     found = region(page, weights)
     if found is None:
         return ""
-    container = None
-    for element, text, _ in page.items[found[0]:found[1] + 1]:
-        if text is None or not text.strip() or element.out:
-            continue
-        container = element if container is None else _shared(container, element)
-    if container is None:
-        return ""
-    while container.parent is not None and container.tag not in CONTAINER:
-        container = container.parent
-    article = next((e for e in _chain(container) if e.tag == "article" and not e.out), None) or next((e for e in _chain(container) if e.tag == "main" and not e.out), None)
-    container = article or container
     blocks: list[str] = []
     current: list[str] = []
-    within = {id(container): True}
-    for element, text, tag in page.items:
+    inside = False  # whether the region holds part of the block
+    for i, (element, text, tag) in enumerate(page.items):
         if text is None:
-            if tag in BLOCK and current:
-                blocks.append("".join(current))
-                current = []
-        elif not element.out and _within(element, within):
+            if tag.lstrip("/") in BLOCK:
+                if inside and current:
+                    blocks.append("".join(current))
+                current, inside = [], False
+        elif not element.out:
             current.append(text)
-    blocks.append("".join(current))
+            inside = inside or found[0] <= i <= found[1] and bool(text.strip())
+    if inside and current:
+        blocks.append("".join(current))
     clean = (" ".join(entities.unescape(b).split()) for b in blocks)
     return "\n".join(b for b in clean if b)
 

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import time
 import zlib
 
 import numpy as np
@@ -18,7 +19,7 @@ from hearthline.llm.cost_packing import cost, cost_packing, pack_lengths, placed
 from hearthline.llm.embed_dedup import embedding_dedup
 from hearthline.llm.forced_bpe import ForcedBpe, encode_digests, encode_ids
 from hearthline.llm.heavy_hitter_dedup import exact_dedup
-from hearthline.llm.html_extract import extract_text, main_text
+from hearthline.llm.html_extract import default_weights, extract_text, item_scores, main_text, parse, region
 from hearthline.llm.separator_scan import separator_scan, token_counts
 from hearthline.llm.shared import components
 from hearthline.llm.simhash_dedup import fingerprint, links, segments, simhash_dedup
@@ -296,6 +297,50 @@ def test_html_layouts(layout):
     assert main_text(LAYOUTS[layout].format(P1, P2)) == "Flood\n" + html.unescape(P1) + "\n" + P2
 
 
+ARTICLE = f"<article><h1>Flood</h1><p>{P1}</p><p>{P2}</p></article>"
+PLAIN = f"<h1>Flood</h1><p>{P1}</p><p>{P2}</p>"
+ODD_LAYOUTS = [
+    *(f"<body><nav><a href=/>Home</a></nav><div class='{name}'>{ARTICLE}</div><footer>Bye</footer></body>" for name in ("page has-sidebar", "wrap no-ads", "search-article", "newsletter-issue")),
+    f"<div><header class='entry-header'><h1>Flood</h1></header><div class='x'><p>{P1}</p><p>{P2}</p></div></div>",
+    f"<body><div>Buy our new shoes here today</div>{ARTICLE}<div>Buy our new shoes here today</div></body>",
+    f"<body><div>Buy shoes today</div><div>{PLAIN}</div><div>Buy shoes today</div></body>",
+    f"<body>{ARTICLE}<div class='responses'><p>What a long night it was for all of us down by the river</p></div></body>",
+    f"<body><div class=text>{PLAIN}</div><section class=comments>{'<p>Many words by a reader in here and there and everywhere</p>' * 20}</section></body>",
+    f"<body><div hidden><p>{P2} {P2}</p></div><div>{PLAIN}</div></body>",
+]
+
+
+@pytest.mark.parametrize("layout", range(len(ODD_LAYOUTS)))
+def test_html_wrappers_and_neighbours(layout):
+    assert main_text(ODD_LAYOUTS[layout]) == "Flood\n" + html.unescape(P1) + "\n" + P2
+
+
+def test_html_region_against_brute_force():
+    """The linear scan finds the best of all regions of the same item scores."""
+    rng = np.random.default_rng(31)
+    tags, words = ["div", "p", "li", "article", "b", "aside"], ["one", "two three", "four five six seven"]
+    weights = default_weights()
+    for _ in range(60):
+        source = "".join(f"<{tags[int(rng.integers(6))]}>" if rng.random() < 0.4 else f"</{tags[int(rng.integers(6))]}>" if rng.random() < 0.4 else words[int(rng.integers(3))] + " " for _ in range(25))
+        page = parse(source)
+        found = region(page, weights)
+        scores = item_scores(page, weights)
+        best = max([sum(scores[i:j + 1]) for i in range(len(scores)) for j in range(i, len(scores))], default=0)
+        assert (found is None and best <= 0) or sum(scores[found[0]:found[1] + 1]) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("source", ['<a "' * 250_000, "<div>" * 110_000 + "</x>" * 110_000, "<textarea>" * 100_000, "<p><table><td>" + "<div>" * 200_000, "<li><ul>" + "<div><li></li>" * 70_000, "<a b=\"'" * 130_000, "<" * 1_000_000, "<!--" * 250_000])
+def test_broken_html_takes_linear_time(source):
+    """A megabyte costs about twice half of it, where quadratic time would be four times as much."""
+    def seconds(text):
+        began = time.process_time()
+        main_text(text)
+        return time.process_time() - began
+
+    main_text("<p>x")
+    assert seconds(source) < 3 * max(seconds(source[:len(source) // 2]), 0.3)
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 
