@@ -188,18 +188,17 @@ def neighbours(often: DataFrame, width: int, max_gap: int, most: int) -> DataFra
 
 
 def matches(found: DataFrame, k: int = 4, max_gap: int = 24, most: int = 16) -> DataFrame:
-    """(doc_id, pos, owner, at): each seed with the earlier places that hold it.
+    """(doc_id, pos, owner, at, gap): each seed with the earlier places that hold it; a pair's match is one of gap words further on too, and has gap 0 if there is none.
 
     Seeds at up to most places are matched with all of them. More frequent ones are paired with their next frequent neighbour, frequent pairs with the next
     frequent pair, and both are matched in the same way; what is frequent is also matched with its first and its nearest earlier holder.
     """
     level = written(meetings(found, most))
-    out, width = level.where(F.col("kind") == _MATCH).select("doc_id", "pos", "owner", "at"), k
-    gap = F.col("h").bitwiseAND(F.lit(31))
+    match, gap = F.col("kind") == _MATCH, F.col("h").bitwiseAND(F.lit(31)).cast("int").alias("gap")
+    out, width = level.where(match).select("doc_id", "pos", "owner", "at", F.lit(0).alias("gap")), k
     while 2 * width <= max_gap:
         level = written(meetings(neighbours(level.where(F.col("kind") == _FREQUENT), width, max_gap, most), most))
-        both = level.where(F.col("kind") == _MATCH).select(F.explode(F.array(F.lit(0), gap)).alias("on"), "doc_id", "pos", "owner", "at")
-        out, width = out.unionByName(both.select("doc_id", (F.col("pos") + F.col("on")).alias("pos"), "owner", (F.col("at") + F.col("on")).alias("at"))), 2 * width
+        out, width = out.unionByName(level.where(match).select("doc_id", "pos", "owner", "at", gap)), 2 * width
     return out
 
 
@@ -278,9 +277,9 @@ def chains(runs: list[tuple[int, int, int, int, int]], max_gap: int, worth: int
 def chained(matched: DataFrame, k: int, window: int, max_gap: int, least_seeds: int) -> DataFrame:
     """(doc_id, owner, x0, runs): a row per chain; runs holds x0, y0, x1, y1 of each run."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 4), np.int64)  # rows of the last owner of a batch may go on in the next
+        held = np.zeros((0, 5), np.int64)  # rows of the last owner of a batch may go on in the next
         for batch in batches:
-            rows = np.concatenate([held, np.column_stack([batch.column(i).to_numpy() for i in range(4)])])
+            rows = np.concatenate([held, np.column_stack([batch.column(i).to_numpy() for i in range(5)])])
             if not len(rows):
                 continue
             other = np.flatnonzero((rows[:, 0] != rows[-1, 0]) | (rows[:, 1] != rows[-1, 1]))
@@ -292,6 +291,9 @@ def chained(matched: DataFrame, k: int, window: int, max_gap: int, least_seeds:
     def table(rows: np.ndarray) -> pa.RecordBatch:
         out: list[tuple] = []
         if len(rows):
+            on = rows[rows[:, 4] > 0]
+            rows = np.concatenate([rows[:, :4], on[:, :4] + on[:, 4:] * np.array([0, 0, 1, 1])])
+            rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
             rows = rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))]
             starts = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1))))
             sizes = np.diff(np.append(starts, len(rows)))
@@ -307,7 +309,7 @@ def chained(matched: DataFrame, k: int, window: int, max_gap: int, least_seeds:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds)], ["doc_id", "owner", "x0", "runs"])
 
-    sorted_rows = matched.select("doc_id", "owner", "pos", "at").repartition("doc_id").sortWithinPartitions("doc_id", "owner", "pos", "at")
+    sorted_rows = matched.select("doc_id", "owner", "pos", "at", F.col("gap").cast("long")).repartition("doc_id").sortWithinPartitions("doc_id", "owner")
     return sorted_rows.mapInArrow(run, "doc_id long, owner long, x0 long, runs array<long>")
 
 
@@ -448,10 +450,10 @@ def aligned(runs: list[int], left: tuple[int, np.ndarray], right: tuple[int, np.
     def words(i: int, j: int) -> np.ndarray:
         return np.maximum(xs[j] - xs[i], ys[j] - ys[i])
 
-    if words(first, last) < least:
+    if (short := least - int(words(first, last))) > 0:
         if total[-1] < similarity * (least - shingle + 1):
             return []
-        i, j = np.arange(max(0, last - least), first + 1)[::-1, None], np.arange(last, min(len(xs) - 1, first + least) + 1)[None, :]
+        i, j = np.arange(max(0, first - short), first + 1)[::-1, None], np.arange(last, min(len(xs) - 1, last + short) + 1)[None, :]
         length = words(i, j)
         share = np.where(length >= least, (total[j - shingle + 1] - total[i]) / (length - shingle + 1), 0)
         at = np.unravel_index(int(share.argmax()), share.shape)

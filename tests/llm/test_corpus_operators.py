@@ -23,7 +23,7 @@ from hearthline.llm.html_extract import default_weights, extract_text, item_scor
 from hearthline.llm.separator_scan import separator_scan, token_counts
 from hearthline.llm.shared import components
 from hearthline.llm.simhash_dedup import fingerprint, links, segments, simhash_dedup
-from hearthline.llm.substring_chain import chains, repeated_passages, without_passages
+from hearthline.llm.substring_chain import aligned, chains, repeated_passages, without_passages
 from hearthline.llm.toxicity import gram_set, toxicity
 from hearthline.llm.url_trust import url_verdicts
 from hearthline.llm.word_hashes import kmers, minimizers, word_hashes
@@ -691,3 +691,14 @@ def test_fuzzy_passages_at_the_threshold(spark):
     assert [(i, want[i]) for i in want if i not in got and want[i][0] < 100] == []
     assert [(i, want[i]) for i in want if i not in got and want[i][1] > 5] == []
     assert all(r["similarity"] >= 0.8 for r in got.values())
+
+
+def test_alignment_with_more_columns_than_words():
+    """Words of one side only on both sides: an alignment of under 50 words may have over 50 columns."""
+    rng = np.random.default_rng(41)
+    numbers = lambda n: rng.integers(1, 2**32, n, dtype=np.uint32)
+    a, b, c, d = numbers(18), numbers(14), numbers(14), numbers(60)
+    left, right = np.concatenate([a, numbers(4), b, c, d[:30]]), np.concatenate([a, b, numbers(4), c, d[30:]])
+    for least in range(40, 60):
+        for x0, x1, y0, y1, equal, size in aligned([0, 0, 18, 18, 22, 18, 36, 32, 36, 36, 50, 50], (0, left), (0, right), least, 0.6, 5):
+            assert max(x1 - x0, y1 - y0) >= least and equal >= 0.6 * size
