@@ -20,7 +20,7 @@ from hearthline.llm.embed_dedup import embedding_dedup
 from hearthline.llm.forced_bpe import ForcedBpe, encode_digests, encode_ids
 from hearthline.llm.heavy_hitter_dedup import exact_dedup
 from hearthline.llm.html_extract import default_weights, extract_text, item_scores, main_text, parse, region
-from hearthline.llm.separator_scan import separator_scan, token_counts
+from hearthline.llm.separator_scan import flat_blocks, separator_scan, token_counts, token_files
 from hearthline.llm.shared import components
 from hearthline.llm.simhash_dedup import fingerprint, links, segments, simhash_dedup
 from hearthline.llm.substring_chain import aligned, chains, repeated_passages, without_passages
@@ -251,6 +251,26 @@ def test_separator_scan(spark):
     assert got == [*want, (0, 5, at, 2, False), (1, 0, 0, 0, True), (1, 1, 1, 0, True)]
 
 
+def test_separator_scan_in_ranges(spark, tmp_path):
+    """Files of many blocks, scanned in ranges of 3, and the same out of flat files."""
+    rng = np.random.default_rng(51)
+    rows, want = [], []
+    for file in range(3):
+        flat = rng.choice(np.array([1, 2, 50256], "<u2"), 700 + 13 * file, p=[0.6, 0.38, 0.02])
+        flat.tofile(tmp_path / f"{file}.bin")
+        rows += [(file, k, bytearray(flat[16 * k:16 * k + 16].tobytes())) for k in range(-(-len(flat) // 16))]
+        stops = np.flatnonzero(flat == 50256).tolist()
+        want += [(file, i, a + 1, b - a - 1, True) for i, (a, b) in enumerate(zip([-1, *stops], stops))]
+        want += [(file, len(stops), stops[-1] + 1, len(flat) - stops[-1] - 1, False)] if stops[-1] + 1 < len(flat) else []
+    frame = spark.createDataFrame(rows[::-1], "file int, block long, ids binary").withColumn("base", F.lit(1))
+    assert sorted(map(tuple, separator_scan(frame, range_blocks=3).collect())) == want
+    flat = separator_scan(flat_blocks(spark, str(tmp_path), 16), range_blocks=4).collect()
+    assert sorted((int(r["file"][-5]), *r[1:]) for r in flat) == want
+    assert separator_scan(spark.createDataFrame([], "file int, block long, ids binary")).count() == 0
+    with pytest.raises(Exception, match="65535"):
+        token_files(odd_docs(spark), *Q.BYTE_BPE, separator=70000)
+
+
 def test_token_counts(spark):
     whole = Tokenizer.from_file(Q.BYTE_BPE[0])
     whole.encode_special_tokens = True
@@ -447,12 +467,20 @@ def test_embedding_dedup(spark):
     rows += [(1000 + k, rows[0][1], 0) for k in range(20)] + [(2000, None, 0), (2001, [], 0), (2002, [0.0] * 8, 0), (2003, [float("nan")] + [1.0] * 7, 0), (2004, [None] + [1.0] * 7, 0), (2005, rows[0][1], None),
              (2006, [float("inf")] + [1.0] * 7, 0), (2007, [1.0, 2.0], 0), (2008, [2.0, 4.0], 0), (2009, [-0.0, 0.0], 0), (2010, [-c for c in rows[0][1]], 0)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("cell", F.lit(1))
-    for options in ({}, {"cell_rows": 20, "block_rows": 8}):
+    for options in ({}, {"cells": 15, "block_rows": 8}):
         got = embedding_dedup(frame, **options).collect()
         assert sorted(tuple(r) for r in got) == brute_vectors(rows)
     assert embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    """Each row has its own links and component, named by the smallest id in it."""
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (3, [0.01, 1.0], 0), (4, [-1.0, 0.0], 0)]
+    for options in ({}, {"cells": 3, "block_rows": 2}):
+        got = embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), **options).collect()
+        assert sorted(tuple(r) for r in got) == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
+
+
 # 2 ------------------------------------------------------------------------------------------------------------------
 
 
