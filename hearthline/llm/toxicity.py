@@ -1,12 +1,14 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Documents are learnt from by the presence of byte n-grams (4 to 10 bytes of the lower-cased UTF-8 text, within a word and the
+Documents are learnt from by the presence of character n-grams (4 to 10 characters of the lower-cased text, within a word and the
 spaces around it). Spark counts, for each n-gram, the toxic and the clean training documents that hold it; the
-likelihood ratio of the counts selects features; a logistic regression on presence times log-count ratio is fitted on the driver. Training reads at most
-max_rows labelled rows (a documented bound, chosen by the ids' hash); scoring reads every whole text.
+likelihood ratio of the counts selects features; a logistic regression on presence times log-count ratio is fitted on the driver. Scoring reads every whole text.
 
-Null and empty texts have no features and get the score of the intercept. Several labels of one id count as toxic if one is.
-Null labels and labels without a document are ignored. Without rows of both classes every score is 0.
+Bounds, all of training: it reads at most max_rows labelled rows (chosen by the ids' hash), an n-gram has to be in least_documents of them and to pass a likelihood-ratio test at `least` (9: one in 370 by chance), and of those that do the
+max_features with the greatest ratio are used, of equal ratios the ones with the smallest hash.
+
+Null and empty texts have no features and get the score of the intercept. Very long texts are read in parts. Of several rows with one labelled id the text with the smallest hash is learnt from; several labels of one id count as toxic if one is.
+Null labels and labels without a document are ignored, and so are null ids. Without rows of both classes every score is 0; without a feature it is the share of toxic rows. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,17 +22,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthline.llm.shared import text_or_empty, written
 from hearthline.llm.word_hashes import mixed
 
 SIZES = (4, 5, 6, 8, 10)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_SPACES = bytes(32 if i in (9, 10, 11, 12, 13) else i for i in range(256))
+_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
 _FILTER_BITS = 20
 
 
 def _grams(text: str | None, inside: bool = False) -> Iterator[np.ndarray]:
     """For each n a 64-bit hash of each n-gram of the text; with repeats. inside: only those within a word and its borders."""
-    raw = np.frombuffer(b" " + (text or "").lower().encode("utf-8", "replace").translate(_SPACES) + b" ", np.uint8)
+    raw = np.frombuffer(f" {(text or '').lower().translate(_SPACES)} ".encode("utf-32-le", "replace"), "<u4")
     step = 1 << 20
     for at in range(0, len(raw), step):
         part = raw[at:at + step + SIZES[-1] - 1].astype(np.uint64) + np.uint64(1)
@@ -69,7 +72,7 @@ class Model:
         if not self.trained:
             return 0.0
         hits = []
-        for keys in _grams(text):
+        for keys in _grams(text) if len(self.keys) else ():
             some = np.unique(keys[table[_slot(keys)]])
             at = np.searchsorted(self.keys, some)
             at[at == len(self.keys)] = 0
@@ -126,11 +129,12 @@ def _fit(rows: list[np.ndarray], toxic: np.ndarray, ratios: np.ndarray, strength
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          max_rows: int = 16_000, max_features: int = 4096, least: float = 9.0, strength: float = 1.0, rounds: int = 40) -> Model:
+          max_rows: int = 16_000, max_features: int = 4096, least: float = 9.0, least_documents: int = 3, strength: float = 1.0, rounds: int = 40) -> Model:
     """Fit on at most max_rows of the labelled documents whose crc32(id) mod 5 isn't 0."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("d")).agg(F.max(label_col).cast("int").alias("toxic"))
     chosen = marked.where(F.crc32(F.col("d").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("d"), "d").limit(max_rows)
-    sample = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "d").dropDuplicates(["d"])
+    found = docs.select(F.col(id_col).alias("d"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "d")
+    sample = written(found.groupBy("d", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,11 +157,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     term = lambda seen, row, column: F.when(seen > 0, seen * F.log(seen * rows / (row * column))).otherwise(0.0)
     held, absent = bad + good, rows - bad - good
     likelihood = 2 * (term(bad, held, bad_rows) + term(good, held, good_rows) + term(bad_rows - bad, absent, bad_rows) + term(good_rows - good, absent, good_rows))
-    best = totals.where(held >= 3).select("gram", ratio.alias("ratio"), likelihood.alias("likelihood")).where(F.col("likelihood") >= least)
+    best = totals.where(held >= least_documents).select("gram", ratio.alias("ratio"), likelihood.alias("likelihood")).where(F.col("likelihood") >= least)
     picked = sorted(best.orderBy(F.desc("likelihood"), "gram").limit(max_features).select("gram", "ratio").collect(), key=lambda r: r["gram"] % (1 << 64))
     keys = np.array([r["gram"] for r in picked], np.int64).view(np.uint64)
     if not len(keys):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(bad_rows / good_rows)), False)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(bad_rows / good_rows)), True)
     ratios = np.array([r["ratio"] for r in picked])
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
