@@ -5,6 +5,7 @@ allow rules fit (by the share of their pages) and follows links; distrust starts
 follows links backwards, as who links to blocked hosts is suspect. A host is blocked if its distrust is over the
 threshold and over its trust. Everything is a DataFrame join; ranks are written tables.
 
+Of rules of one length that fit, the one last by name counts. Equal trust and distrust allow. Very long pages are read whole.
 A null url, and one without "://", has an empty host and path, and no rule fits it. Null html has no links. Rows that
 share an id are judged each. An empty table gives an empty result; other columns are ignored.
 """
@@ -79,8 +80,7 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: st
 
     def start(column: str) -> DataFrame:
         share = seeds.where(F.col(column) > 0).select("host", (F.col(column) / F.col("n")).alias("s"))
-        total = share.agg(F.sum("s").alias("all"))  # one row
-        return share.join(F.broadcast(total)).select("host", (F.col("s") / F.col("all")).alias("seed"))
+        return share.select("host", (F.col("s") / share.agg(F.sum("s")).scalar()).alias("seed"))
 
     trusts, distrusts = F.lit("trust").alias("kind"), F.lit("distrust").alias("kind")  # distrust goes from a link's target to its source
     linked = written(_shares(edges).select(trusts, "*").unionByName(_shares(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")).select(distrusts, "*")))
