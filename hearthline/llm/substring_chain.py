@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.llm.shared import written
+from hearthline.llm.shared import discard, written
 from hearthline.llm.word_hashes import kmers, minimizers, mixed, word_hashes
 
 _BLOCK = 64
@@ -187,17 +187,17 @@ def neighbours(often: DataFrame, width: int, max_gap: int, most: int) -> DataFra
     return placed.mapInArrow(lambda batches: combined(pairs(batches), most), _PLACED)
 
 
-def matches(found: DataFrame, k: int = 4, max_gap: int = 24, most: int = 16) -> DataFrame:
+def matches(found: DataFrame, k: int = 4, max_gap: int = 24, most: int = 16, used: list[str] | None = None) -> DataFrame:
     """(doc_id, pos, owner, at, gap): each seed with the earlier places that hold it; a pair's match is one of gap words further on too, and has gap 0 if there is none.
 
     Seeds at up to most places are matched with all of them. More frequent ones are paired with their next frequent neighbour, frequent pairs with the next
-    frequent pair, and both are matched in the same way; what is frequent is also matched with its first and its nearest earlier holder.
+    frequent pair, and both are matched in the same way; what is frequent is also matched with its first and its nearest earlier holder. The tables that it reads are added to used.
     """
-    level = written(meetings(found, most))
+    level = written(meetings(found, most), used)
     match, gap = F.col("kind") == _MATCH, F.col("h").bitwiseAND(F.lit(31)).cast("int").alias("gap")
     out, width = level.where(match).select("doc_id", "pos", "owner", "at", F.lit(0).alias("gap")), k
     while 2 * width <= max_gap:
-        level = written(meetings(neighbours(level.where(F.col("kind") == _FREQUENT), width, max_gap, most), most))
+        level = written(meetings(neighbours(level.where(F.col("kind") == _FREQUENT), width, max_gap, most), most), used)
         out, width = out.unionByName(level.where(match).select("doc_id", "pos", "owner", "at", gap)), 2 * width
     return out
 
@@ -530,7 +530,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """doc_id, text_key, start, n_words, first_doc_id, n_sources, similarity: one row per repeated passage, in words of the text."""
     few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     few = few.select("doc_id", F.shiftleft(text_key("text"), 32).alias("base"), "text")
-    candidates = written(chained(matches(seeds(few, k, window, most), k, max_gap, most), k, window, max_gap, least_seeds))
+    used: list[str] = []
+    candidates = written(chained(matches(seeds(few, k, window, most), k, max_gap, most, used), k, window, max_gap, least_seeds))
+    discard(docs.sparkSession, used)
     found = alignments(few, candidates, min_words, similarity, shingle)
     by_doc = Window.partitionBy("doc_id").orderBy("x0", "x1", "owner", "y0")
     reach = F.max("x1").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
