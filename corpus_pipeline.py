@@ -9,17 +9,22 @@ from pyspark.sql import functions as F
 from hearthline.llm.cost_packing import cost_packing
 from hearthline.llm.heavy_hitter_dedup import exact_dedup
 from hearthline.llm.queries import BYTE_BPE, PASSAGES
-from hearthline.llm.shared import WS, text_or_empty, written
+from hearthline.llm.shared import WS, discard, text_or_empty, written
 from hearthline.llm.simhash_dedup import fingerprint, simhash_dedup
 from hearthline.llm.substring_chain import repeated_passages, without_passages
 from hearthline.llm.toxicity import toxicity_score, train
 
 
-def _without(docs: DataFrame, dropped: DataFrame, key: Column) -> DataFrame:
-    """docs without the rows whose id and key are in dropped (doc_id, key); the key follows from the row's text, ids may repeat or be null."""
-    gone = dropped.select(F.col("doc_id").alias("__gone"), F.col("key").alias("__gone_key")).distinct()
+def _once(docs: DataFrame, decided: DataFrame, key: Column) -> DataFrame:
+    """docs without the rows that were decided against, and one of each set of rows that share an id and key.
+
+    decided (doc_id, key, kept, n): n rows each; rows that are kept once needn't be in it. The key follows from the row's text; ids may repeat or be null.
+    """
+    odd = written(decided.where("not kept or n > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__decided"), "kept"))
     keyed = docs.withColumn("__key", key)
-    return keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["__gone"]) & (keyed["__key"] == gone["__gone_key"]), "left_anti").drop("__key")
+    this = keyed["doc_id"].eqNullSafe(odd["__id"]) & (keyed["__key"] == odd["__decided"])
+    twice = keyed.join(odd.where("kept"), this, "left_semi").dropDuplicates(["doc_id", "__key"])
+    return keyed.join(odd, this, "left_anti").unionByName(twice).drop("__key")
 
 
 def _fingerprints(text: str) -> Column:
@@ -31,20 +36,27 @@ def _fingerprints(text: str) -> Column:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose text scores under 0.5. Each row is judged by its own text, whatever its id; null and empty texts get the intercept's score, and an empty table gives none."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(toxicity_score(model, "text") < 0.5)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = written(exact_dedup(docs).where("not kept").select("doc_id", F.col("text_sha256").alias("key")))
-    return _without(docs, dropped, F.sha2(F.regexp_replace(text_or_empty("text"), WS, " "), 256))
+    """Of each group of equal texts one row with the smallest id; null texts count as empty, null ids come last. Other columns, whatever their names, go along."""
+    decided = exact_dedup(docs).groupBy("doc_id", F.col("text_sha256").alias("key"), "kept").agg(F.count("*").alias("n"))
+    return _once(docs, decided, F.sha2(F.regexp_replace(text_or_empty("text"), WS, " "), 256))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = written(simhash_dedup(docs).where("not doc_id <=> component_id").select("doc_id", F.col("fingerprint").alias("key")))
-    ids = dropped.select(F.col("doc_id").alias("__id")).distinct()
-    named = docs["doc_id"].eqNullSafe(ids["__id"])  # only rows with such an id need their fingerprints again
-    return docs.join(ids, named, "left_anti").unionByName(_without(docs.join(ids, named, "left_semi"), dropped, _fingerprints("text")))
+    """Of each group of near copies one row with the smallest id. Texts without words are near copies of each other; a row goes by its id and fingerprint, so that one of equal id and another text stays."""
+    rows = written(simhash_dedup(docs).groupBy("doc_id", F.col("fingerprint").alias("key"), "component_id", "component").agg(F.count("*").alias("n")))
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    stays = rows.where(first).groupBy("component").agg(F.min("key").alias("stays"), F.count("*").alias("prints")).where("prints > 1").drop("prints")
+    decided = rows.join(stays, "component", "left").select("doc_id", "key", (first & F.coalesce(F.col("key") == F.col("stays"), F.lit(True))).alias("kept"), "n")
+    decided = written(decided.where("not kept or n > 1"))
+    ids = decided.select(F.col("doc_id").alias("__named")).distinct()
+    named = docs["doc_id"].eqNullSafe(ids["__named"])  # only rows with such an id need their fingerprints again
+    return docs.join(ids, named, "left_anti").unionByName(_once(docs.join(ids, named, "left_semi"), decided, _fingerprints("text")))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +67,7 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows as pieces of sequences; rows that share an id are packed each, null texts as one end id."""
     return cost_packing(docs, *BYTE_BPE)
 
 
@@ -64,9 +77,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over documents; each stage is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        docs = docs if name == STAGES[-1][0] else written(docs)
-    return docs
+    """The rows of the last stage over documents; each stage is written and read again, and deleted when the next is written."""
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for _, stage in STAGES[:-1]:
+        new: list[str] = []
+        docs = written(stage(spark, docs, sf_dir), new)
+        discard(spark, old)
+        old = new
+    return STAGES[-1][1](spark, docs, sf_dir)

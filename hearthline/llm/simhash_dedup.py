@@ -95,9 +95,15 @@ def links(classes: DataFrame, max_bits: int = 4) -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach): one row per row of docs."""
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach), component (smallest fingerprint that they reach): one row per row of docs.
+
+    component tells apart components whose smallest ids are equal, as ids may repeat.
+    """
     table = written(fingerprints(docs, id_col, text_col, shingle))
     classes = written(table.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    groups = components(links(classes, max_bits))
-    named = classes.join(groups, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return table.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    groups = components(links(classes.select(F.col("fp").alias("rep"), "fp"), max_bits))
+    named = classes.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = named.select("fp", "component").join(least, "component")
+    digits = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0").alias(c if c == "component" else "fingerprint")
+    return table.join(named, "fp").select("doc_id", digits("fp"), "component_id", digits("component"))
