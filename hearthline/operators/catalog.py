@@ -125,6 +125,28 @@ def with_translations(objects: DataFrame, translations: DataFrame, languages: tu
     return objects.withColumn("__hash", F.sha2("description_original", 256)).join(wide, [key, "__hash"], "left").drop("__hash")
 
 
+def with_hazard(objects: DataFrame, estimates: DataFrame, key: str = "id") -> DataFrame:
+    """objects with hazard_probability of the latest estimate (object_id, horizon_days, computed_at), of one time the longest horizon's."""
+    latest = latest_per_key(estimates, ["object_id"], "computed_at", "horizon_days").select(F.col("object_id").alias(key), "hazard_probability", "horizon_days")
+    return objects.join(latest, key, "left")
+
+
+def with_zone(objects: DataFrame, zones: DataFrame) -> DataFrame:
+    """objects with zone_name and the name of the zone above."""
+    above = zones.select(F.col("id").alias("parent_id"), F.col("name").alias("parent_name"))
+    named = zones.select(F.col("id").alias("zone_id"), F.col("name").alias("zone_name"), "parent_id").join(above, "parent_id", "left").drop("parent_id")
+    return objects.join(named, "zone_id", "left")
+
+
+def wide_objects(objects: DataFrame, zones: DataFrame, valuations: DataFrame, estimates: DataFrame, history: DataFrame, photos: DataFrame, translations: DataFrame) -> DataFrame:
+    """Each object once with all that a page shows: zone, latest valuation and its class, hazard, price trend, cover, translations, where it lies."""
+    from hearthline.functions.classes import geometry_kind
+
+    rows = with_hazard(with_latest_valuation(with_zone(objects, zones), valuations), estimates)
+    rows = with_translations(with_cover(with_trend(rows, history), photos), translations)
+    return rows.withColumn("dev_class", deviation_class(F.col("price_deviation"))).withColumn("geom_kind", geometry_kind(F.col("lat"), F.col("lng"), F.col("zone_id")))
+
+
 def map_view(objects: DataFrame, zoom: int, box: tuple[float, float, float, float], points_max: int = 500) -> tuple[str, DataFrame]:
     """("points", rows) for few objects in the box, else ("cells", counts per grid cell with its majority class)."""
     geo.check_zoom(zoom, box)

@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.functions.areas import Area, HIGHEST, LOWEST, choose, number
+from hearthline.functions.areas import Area, Text, area_at, chosen
 from hearthline.functions.text import czech_number, mine_guard, normalised
 
 AREA_KEYS = ("area_sqm", "total_area")
@@ -78,13 +78,13 @@ def _area_hit(title: Column, text: Column, rules: list[Rule], total: bool) -> Co
         out = []
         for both in zip(titles, texts):
             found: list[tuple[Area, int]] = []
+            sources = [Text(source) for source in both if source]
             for i, pattern, group in compiled:
-                for source in filter(None, both):
-                    for m in pattern.finditer(source):
-                        if m[group] and (v := number(m[group])) is not None and LOWEST <= v <= HIGHEST:
-                            found.append((Area(v, source[:m.start(group)], source[m.end():]), i))
-            picked = choose([a for a, _ in found], total)
-            out.append((picked, next((i for a, i in found if a.value == picked), None)))
+                for source in sources:
+                    stated = (area_at(source, m.start(group), m.end(group), m.end()) for m in pattern.finditer(source.text) if m[group])
+                    found += [(area, i) for area in stated if area]
+            picked = chosen([a for a, _ in found], total)
+            out.append((picked.value, next(i for a, i in found if a is picked)) if picked else (None, None))
         return pd.DataFrame(out, columns=["value", "rule"]).astype({"rule": "Int32"})
 
     return run(title, text)

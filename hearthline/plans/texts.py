@@ -47,7 +47,7 @@ def i30_hashes(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.md5("text").alias("md"))
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}', '[REDACTED]', 'g'), '\+420[\s\-]?(?:\d[\s\-]?){8}\d', '[REDACTED]', 'g'), '\b[67]\d{2}[\s\-]\d{3}[\s\-]\d{3}\b', '[REDACTED]', 'g'), '(?i)(?:tel\.?|telefon|phone|mobil)[\s.:]*[67]\d{8}', '[REDACTED]', 'g')) AS h FROM documents""")
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\w%+-][\w.%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}', '[REDACTED]', 'g'), '\+420(?:[ -]?\d){9}', '[REDACTED]', 'g'), '\b[67]\d\d(?:[ -]\d{3}){2}\b', '[REDACTED]', 'g'), '(?i)(?:telefon|tel|phone|mobil)[ .:]*[67]\d{8}', '[REDACTED]', 'g')) AS h FROM documents""")
 def i34_redacted(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", F.md5(text.redact(F.col("text"))).alias("h"))
 
@@ -56,15 +56,17 @@ def _latin(lang: str) -> str:
     """Score of one language in SQL."""
     count = lambda m: f"((length(s) - length(replace(s, '{m}', '')))::DOUBLE / {len(m)})"
     strong, weak = (" + ".join(count(m) for m in marks[lang]) for marks in (language.STRONG, language.WEAK))
-    shares = " + ".join(f"least((length(s) - length(replace(s, '{chr(97 + i)}', '')))::DOUBLE / n, {x}::DOUBLE / 10000)" for i, x in enumerate(language.LETTERS[lang].split()))
+    shares = " + ".join(f"least((length(s) - length(replace(s, '{chr(97 + i)}', '')))::DOUBLE / n, {x}::DOUBLE)" for i, x in enumerate(language.LETTERS[lang]))
     return f"2 * ({strong}) + ({weak}) + 0.3::DOUBLE * ({shares})"
 
 
 @query(rf"""WITH low AS (SELECT doc_id, ' ' || lower(text) || ' ' AS s, length(regexp_replace(text, '\PL', '', 'g')) AS letters, length(regexp_replace(text, '[^\x{{0400}}-\x{{04FF}}]', '', 'g')) AS cyr FROM documents),
-    sized AS (SELECT *, greatest(length(regexp_replace(s, '[^a-z]', '', 'g')), 1) AS n FROM low), scored AS (SELECT *, {', '.join(f'{_latin(x)} AS {x}' for x in language.STRONG)} FROM sized)
-    SELECT doc_id, CASE WHEN letters < 20 THEN NULL WHEN cyr > 0 AND cyr::DOUBLE / letters >= 0.5 THEN 'ru' WHEN cs >= en AND cs >= it AND cs >= nl THEN 'cs' WHEN en >= it AND en >= nl THEN 'en' WHEN it >= nl THEN 'it' ELSE 'nl' END AS lang FROM scored""")
+    sized AS (SELECT *, greatest(length(regexp_replace(s, '[^a-z]', '', 'g')), 1) AS n FROM low), scored AS (SELECT *, {', '.join(f'{_latin(x)} AS {x}' for x in language.STRONG)} FROM sized),
+    ranked AS (SELECT *, list_reverse_sort([cs, en, it, nl]) AS r FROM scored)
+    SELECT doc_id, CASE WHEN letters < 20 THEN NULL WHEN cyr > 0 AND cyr::DOUBLE / letters >= 0.5 THEN 'ru' WHEN cs >= en AND cs >= it AND cs >= nl THEN 'cs' WHEN en >= it AND en >= nl THEN 'en' WHEN it >= nl THEN 'it' ELSE 'nl' END AS lang,
+        round(CASE WHEN letters < 20 THEN 0 WHEN cyr > 0 AND cyr::DOUBLE / letters >= 0.5 THEN cyr::DOUBLE / letters ELSE (r[1] - r[2]) / r[1] END, 6) AS confidence FROM ranked""")
 def i31_language(spark: SparkSession, d: str) -> DataFrame:
-    return language.detect(t(spark, d, "documents").select("doc_id", "text"), "text", "found").select("doc_id", F.col("found").alias("lang"))
+    return language.detect(t(spark, d, "documents").select("doc_id", "text"), "text", "found", "sure").select("doc_id", F.col("found").alias("lang"), F.round("sure", 6).alias("confidence"))
 
 
 @query("SELECT page_id, nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS title FROM pages")
@@ -73,7 +75,7 @@ def a08_titles(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]*>', '', 'g') AS s FROM pages),
-    decoded AS (SELECT page_id, replace(replace(replace(replace(replace(replace(s, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS s FROM bare)
+    decoded AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(s, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS s FROM bare)
     SELECT page_id, md5(trim(regexp_replace(regexp_replace(s, '[ \t\r\f]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), ' ' || chr(10))) AS h FROM decoded""")
 def i33_page_text(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", F.md5(text.html_text(F.col("html"))).alias("h"))

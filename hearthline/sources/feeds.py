@@ -12,14 +12,21 @@ from hearthline.operators.latest import top_per_key
 RATE = T.StructType([T.StructField("base", T.StringType()), T.StructField("quote", T.StringType()), T.StructField("rate", T.DecimalType(20, 10)), T.StructField("rate_date", T.DateType()), T.StructField("source", T.StringType())])
 
 
-def daily_rates_xml(spark: SparkSession, path: str, source: str = "ecb") -> DataFrame:
-    """Rates of the central bank's XML: a dated cube holds cubes with currency and rate. Entries without a rate are skipped."""
-    day = "struct<_time:string,Cube:array<struct<_currency:string,_rate:string>>>"
-    nested = spark.read.format("xml").option("rowTag", "Envelope").option("ignoreNamespace", "true").option("attributePrefix", "_").schema(f"Cube struct<Cube:array<{day}>>").load(path)
-    rows = nested.select(F.explode("Cube.Cube").alias("day")).select(F.col("day._time").alias("d"), F.explode("day.Cube").alias("c"))
+_ENVELOPE = "struct<Cube:struct<Cube:array<struct<_time:string,Cube:array<struct<_currency:string,_rate:string>>>>>>"
+
+
+def rates_in_xml(bodies: DataFrame, body: str = "body", source: str = "ecb") -> DataFrame:
+    """Rates of the central bank's XML, a document a row: a dated cube holds cubes with currency and rate. Entries without a rate are skipped."""
+    envelope = F.from_xml(F.col(body), _ENVELOPE, {"ignoreNamespace": "true", "attributePrefix": "_"})
+    rows = bodies.select(F.explode(envelope["Cube"]["Cube"]).alias("day")).select(F.col("day._time").alias("d"), F.explode("day.Cube").alias("c"))
     return rows.select(F.lit("EUR").alias("base"), F.col("c._currency").alias("quote"), F.col("c._rate").try_cast("decimal(20,10)").alias("rate"), F.to_date(F.try_to_timestamp("d")).alias("rate_date"), F.lit(source).alias("source")).where("rate is not null and rate_date is not null")
 
 
+def daily_rates_xml(spark: SparkSession, path: str, source: str = "ecb") -> DataFrame:
+    """The rates of XML files."""
+    return rates_in_xml(spark.read.text(path, wholetext=True), "value", source)
+
+
 def daily_rates_json(bodies: DataFrame, body: str = "body", source: str = "mirror") -> DataFrame:
     """Rates of a JSON mirror: {"base": "EUR", "rates": {date: {quote: number}}}; numbers are read as decimals, nulls skipped."""
     parsed = bodies.select(F.from_json(body, "struct<base:string,rates:map<string,map<string,decimal(20,10)>>>").alias("r")).where("r.base = 'EUR'")
@@ -40,11 +47,21 @@ FEATURES = f"type string, features array<struct<properties:map<string,string>,ge
 
 
 def zone_features(spark: SparkSession, path: str, country: str, source: str) -> tuple[DataFrame, DataFrame]:
-    """(zones, errors) of a FeatureCollection: external_code, name, level, parent_code, rings (of a multi-polygon the first part), country, source.
+    """(zones, errors) of the features in JSON files, each of which is one FeatureCollection."""
+    return features_in(spark.read.schema(FEATURES).option("multiLine", True).json(path), country, source)
+
+
+def features_of(bodies: DataFrame, country: str, source: str, body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """(zones, errors) of the features in a JSON column."""
+    return features_in(bodies.select(F.from_json(body, f"struct<{FEATURES.replace('type string', 'type:string', 1).replace(' features array', 'features:array')}>").alias("c")).select("c.*"), country, source)
+
+
+def features_in(collections: DataFrame, country: str, source: str) -> tuple[DataFrame, DataFrame]:
+    """(zones, errors) of FeatureCollections (type, features): external_code, name, level, parent_code, rings (of a multi-polygon the first part), country, source.
 
     Errors name what a feature lacks; a code that occurs twice is an error of both.
     """
-    rows = spark.read.schema(FEATURES).option("multiLine", True).json(path).select("type", F.posexplode_outer("features").alias("feature", "f"))
+    rows = collections.select("type", F.posexplode_outer("features").alias("feature", "f"))
     p = lambda k: F.nullif(F.trim(F.try_element_at("f.properties", F.lit(k))), F.lit(""))
     one = F.from_json("f.geometry.coordinates", f"array<array<{_POINT}>>")
     many = F.from_json("f.geometry.coordinates", f"array<array<array<{_POINT}>>>")
