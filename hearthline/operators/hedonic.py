@@ -5,9 +5,11 @@ Spark encodes rows, sums the normal equations per fold and scores; only matrices
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,7 @@ class Settings:
     max_condition: float = 1e12
     missing: str = "level"  # or "exclude"
     exclude_rate: float = 0.8
+    widest: int = 2000  # zones and types; the normal equations are as wide as the model
 
 
 @dataclass
@@ -113,6 +116,9 @@ def fit(rows: DataFrame, attributes: list[Attribute], parents: DataFrame, settin
     if settings.missing not in ("level", "exclude") or settings.folds < 2 or not settings.penalties or min(settings.penalties) <= 0:
         raise ValueError("missing must be level or exclude, folds 2 or more, penalties positive")
     grouped = zone_groups(rows, parents, settings.per_zone)
+    width = grouped.agg(F.count_distinct("zone_group").alias("zones"), F.count_distinct("property_type").alias("kinds")).first()
+    if width["zones"] + width["kinds"] > settings.widest:
+        raise ValueError(f"{width['zones']} zones and {width['kinds']} types make the model wider than {settings.widest} columns")
     seen = grouped.agg(
         F.count("*").alias("n"), F.collect_set("zone_group").alias("zones"), F.collect_set(F.nullif(F.col("property_type"), F.lit(""))).alias("kinds"),
         F.count_distinct(F.coalesce("geo_level", F.lit(""))).alias("geo"), F.avg((~F.coalesce(F.col("geo_level").isin(GEO_LEVELS), F.lit(False))).cast("double")).alias("geo_missing"),
@@ -164,11 +170,17 @@ def fit(rows: DataFrame, attributes: list[Attribute], parents: DataFrame, settin
 
 
 def _predictions(encoded: DataFrame, model: Fit) -> DataFrame:
-    """Scores as column expressions; the interval's x'Mx is a sum of array products."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-    literal = lambda v: F.lit([float(c) for c in v])
-    spread = F.aggregate(F.zip_with("x", F.array(*[literal(r) for r in model.inverse]), lambda u, row: F.when(u == 0, 0.0).otherwise(u * dot(F.col("x"), row))), F.lit(0.0), lambda s, v: s + v)
-    scored = encoded.select("object_id", "price_minor", "area_sqm", "zone_fallback", dot(F.col("x"), literal(model.beta)).alias("fit"), (F.lit(model.t_critical * model.sigma) * F.sqrt(1 + spread)).alias("half"))
+    """Scores by Arrow batches: the fit is a matrix product, and so is the interval's x'Mx; the matrix goes to each task once."""
+    beta, inverse = model.beta, model.inverse
+
+    @F.pandas_udf("fit double, spread double")
+    def products(rows: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            x = np.stack(part.to_numpy()) if len(part) else np.zeros((0, len(beta)))
+            yield pd.DataFrame({"fit": x @ beta, "spread": ((x @ inverse) * x).sum(axis=1)})
+
+    scored = encoded.select("object_id", "price_minor", "area_sqm", "zone_fallback", products("x").alias("p"))
+    scored = scored.select("object_id", "price_minor", "area_sqm", "zone_fallback", F.col("p.fit").alias("fit"), (F.lit(model.t_critical * model.sigma) * F.sqrt(1 + F.col("p.spread"))).alias("half"))
     price = lambda e: F.exp(e) * F.col("area_sqm").cast("double")
     usable = (price(F.col("fit")) > 0) & (price(F.col("fit")) < float("inf"))
     whole = lambda e: F.when(usable, F.round(price(e)).cast("long"))

@@ -78,7 +78,7 @@ def hull_of(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
 
 
 def convex_hull(points: DataFrame, x: str = "lng", y: str = "lat", tree: int = 16) -> DataFrame:
-    """(x, y) corners of the hull of all points: hulls of batches are merged in two levels, so no task holds the points of another."""
+    """(x, y) corners of the hull of all points: hulls of batches are merged in two levels, with a shuffle before each, so that no level narrows the one before."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[float, float]] = []
         for part in batches:
@@ -87,7 +87,7 @@ def convex_hull(points: DataFrame, x: str = "lng", y: str = "lat", tree: int = 1
 
     schema = "x double, y double"
     level = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null").mapInPandas(run, schema)
-    return level.coalesce(tree).mapInPandas(run, schema).coalesce(1).mapInPandas(run, schema)
+    return level.repartition(tree).mapInPandas(run, schema).repartition(1).mapInPandas(run, schema)
 
 
 def outside_hull(points: DataFrame, hull: list[tuple[float, float]], x: str = "lng", y: str = "lat") -> DataFrame:

@@ -15,6 +15,7 @@ from hearthline.operators.metrics import brier, brier_parts, c_index, calibratio
 from hearthline.session import materialised
 
 WEEKS = 12
+WIDEST = 2000  # zones, each a column of the model
 DAY_SECONDS = 86400
 
 
@@ -92,7 +93,10 @@ def fit_logistic(rows: DataFrame, width: int, ridge: float = 1e-6, rounds: int =
 
 def fit_hazard(periods: DataFrame, attributes: list[Attribute], **options) -> Hazard:
     """A hazard model of periods (with price features, zone_id and attrs); zones are those seen here, in order of id."""
-    zones = sorted(r["zone_id"] for r in periods.where("zone_id is not null").select("zone_id").distinct().collect())
+    found = periods.where("zone_id is not null").select("zone_id").distinct().limit(WIDEST + 1).collect()
+    if len(found) > WIDEST:
+        raise ValueError(f"over {WIDEST} zones make the model too wide; group them first")
+    zones = sorted(r["zone_id"] for r in found)
     columns = _columns(F.col("week"), F.month("period_start"), zones, attributes)
     rows = periods.select(F.array(*[c for _, c in columns]).alias("x"), F.col("target").cast("double").alias("y"))
     out = Hazard([n for n, _ in columns], zones, attributes)

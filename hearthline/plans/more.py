@@ -172,7 +172,11 @@ def g11_weighted_options(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "supplier").select("s_suppkey", market.cents("s_acctbal").alias("weight")).orderBy(F.desc("weight"), "s_suppkey")
 
 
-@query(None)
+@query(r"""WITH l AS (SELECT page_id, lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host, regexp_extract_all(html, '(?i)<a\s[^>]*?href="([^"]*)"', 1) AS found FROM pages),
+    e AS (SELECT page_id, 'http://' || host || '/prodej' || found[i] AS link, i - 1 AS pos FROM l, range(1, 1000) r(i) WHERE i <= len(found)), u AS (SELECT page_id, link, min(pos)::INTEGER AS pos, lower(link) AS s FROM e GROUP BY page_id, link),
+    scored AS (SELECT page_id, link, pos, CASE WHEN regexp_matches(regexp_extract(s, '^[^?#]*'), '\.(css|js|png|jpg|jpeg|gif|svg|webp|ico|woff|woff2|ttf|map|pdf|zip|mp4)$') OR contains(s, '/blog') OR contains(s, '/centrum-sluzeb') OR contains(s, '/cenik') OR regexp_matches(s, '/inzerat/\d+|/\d+-nabidka-|/nemovitosti-byty-domy/\d+|/\d{5,}(?:[/-]|\.php|$)') THEN 0
+        ELSE len(list_filter(['nemovit','realit','prodej','pronaj','byt','dum','dům','pozemek','inzer'], lambda w: contains(s, w))) + CASE WHEN len(list_filter(['/vypis/','/hledani','/hledání','/prodam/','/pronajmu/','/inzeraty/','/estates','/listing'], lambda w: contains(s, w))) > 0 THEN 5 ELSE 0 END END::INTEGER AS score FROM u)
+    SELECT page_id, link, pos, score FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) <= 3""")
 def g12_best_links(spark: SparkSession, d: str) -> DataFrame:
     from hearthline.functions import urls
 

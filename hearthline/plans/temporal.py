@@ -148,14 +148,21 @@ def i44_backoff(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(backoff_minutes(F.col("l_quantity"))).cast("long").alias("minutes"), effective_cap(F.col("l_linenumber"), 1 - F.col("l_discount") * 10).alias("cap"))
 
 
-@query(None)
+@query("""WITH RECURSIVE o AS (SELECT user_id AS source_id, ts AS "at", event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events WHERE event_type IN ('error', 'purchase')),
+    s AS (SELECT source_id, 0::BIGINT AS k, 0 AS strikes, 1.0::DOUBLE AS factor, false AS ok, NULL::TIMESTAMP AS "at" FROM (SELECT DISTINCT source_id FROM o)
+        UNION ALL SELECT o.source_id, o.k, CASE WHEN o.ok THEN 0 ELSE s.strikes + 1 END, CASE WHEN o.ok THEN least(1.0, s.factor * 1.5) ELSE greatest(0.25, s.factor / 2) END, o.ok, o."at" FROM s JOIN o ON o.source_id = s.source_id AND o.k = s.k + 1)
+    SELECT source_id, strftime("at", '%Y-%m-%d %H:%M:%S.%f') AS "at", ok, strikes, factor AS rate_factor, CASE WHEN ok THEN 0 ELSE least(4320, 60 * 2::DOUBLE ** (strikes - 1)) END::DOUBLE AS cooldown_minutes FROM s WHERE k > 0""")
 def k04_cooldown_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """Errors as failures, purchases as successes of each user as a source; a fold of state, which SQL has no word for."""
+    """Errors as failures, purchases as successes of each user as a source."""
     rows = t(spark, d, "events").where("event_type in ('error', 'purchase')").select(F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") == "purchase").alias("ok"))
-    return scheduling.cooldown_ladder(rows)
+    return scheduling.cooldown_ladder(rows).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
-@query(None)
+@query("""WITH e AS (SELECT user_id, ts, round(value)::BIGINT AS n FROM events), recent AS (SELECT * FROM e WHERE ts::DATE >= DATE '2024-01-20' - 14), days AS (SELECT user_id, dow FROM (SELECT DISTINCT user_id FROM e), range(7) r(dow)),
+    pooled AS (SELECT d.user_id, d.dow, count(r.ts) AS scans, coalesce(sum(n), 0)::DOUBLE / greatest(count(r.ts), 1) AS average FROM days d LEFT JOIN recent r ON r.user_id = d.user_id AND dayofweek(r.ts) = d.dow AND hour(r.ts) BETWEEN 6 AND 21 GROUP BY 1, 2),
+    total AS (SELECT user_id, count(*) AS all_scans FROM recent GROUP BY 1), most AS (SELECT user_id, max(average) AS most FROM pooled GROUP BY 1), used AS (SELECT user_id, count(*) AS used FROM e WHERE date_trunc('hour', ts) = TIMESTAMP '2024-01-20 12:00:00' AND ts <= TIMESTAMP '2024-01-20 12:30:00' GROUP BY 1)
+    SELECT user_id::VARCHAR AS source_id, user_id AS config_id, '6-12' AS slot_key, round(CASE WHEN coalesce(all_scans, 0) < 14 THEN 1.0 WHEN most > 0 THEN 0.1 + 0.9 * (average / most) ELSE 0.1 END, 9)::DOUBLE AS weight, (4 - coalesce(used, 0))::INTEGER AS remaining, coalesce(all_scans, 0) < 14 AS warming
+    FROM pooled JOIN most USING (user_id) LEFT JOIN total USING (user_id) LEFT JOIN used USING (user_id) WHERE dow = 6 AND 4 - coalesce(used, 0) > 0""")
 def k06_plan(spark: SparkSession, d: str) -> DataFrame:
     """What to crawl at a moment: users as sources in one window a day, their events as runs."""
     events = t(spark, d, "events").select(F.col("user_id").cast("string").alias("source_id"), F.col("user_id").alias("config_id"), F.col("ts").cast("timestamp").alias("started_at"), F.lit("complete").alias("completeness"), F.round("value").cast("long").alias("new_objects"))
@@ -163,7 +170,7 @@ def k06_plan(spark: SparkSession, d: str) -> DataFrame:
     windows = sources.select("source_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("day_of_week")).select("source_id", F.col("day_of_week").alias("window_id"), "day_of_week", F.lit(6).alias("hour_start"), F.lit(22).alias("hour_end"), F.lit(4).alias("max_requests_per_hour"))
     weighted = scheduling.window_weights(windows, scheduling.slot_yields(events), dt.date(2024, 1, 20))
     configs = events.select("source_id", "config_id").distinct().withColumn("active", F.lit(True))
-    return scheduling.plan(sources, weighted, configs, events, dt.datetime(2024, 1, 20, 12, 30))
+    return scheduling.plan(sources, weighted, configs, events, dt.datetime(2024, 1, 20, 12, 30)).withColumn("weight", F.round("weight", 9))
 
 
 @query("""WITH q AS (SELECT ts AS created_at, CASE WHEN event_type = 'error' THEN 'pending' ELSE 'sent' END AS status FROM events WHERE ts < TIMESTAMP '2024-01-15') SELECT count(*) FILTER (WHERE status = 'pending') AS pending_total,
@@ -174,7 +181,10 @@ def k10_queue_depth(spark: SparkSession, d: str) -> DataFrame:
     return queues.queue_depth(rows, as_of)
 
 
-@query(None)
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'error'),
+    s AS (SELECT user_id, event_id, k, ts AS last, true AS sent FROM e WHERE k = 1
+        UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN e.ts - s.last >= INTERVAL 1 DAY THEN e.ts ELSE s.last END, e.ts - s.last >= INTERVAL 1 DAY FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)
+    SELECT user_id, event_id FROM s WHERE sent""")
 def k10_without_repeats(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "events").where("event_type = 'error'").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
     return queues.without_repeats(rows, ["user_id"], "ts", "event_id", 86400.0).select("user_id", "event_id")

@@ -109,9 +109,9 @@ def i23_rule_engine(spark: SparkSession, d: str) -> DataFrame:
     return rules.apply_rules(docs, book, ["quality", "tongue"]).select("object_id", "attr_key", "value", "rule_id")
 
 
-@query(None)
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN p_size::DOUBLE + 20 END AS area, CASE WHEN p_partkey % 3 = 0 THEN p_size::DOUBLE + 20 END AS total_area FROM part")
 def i22_area_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """Areas of listing texts made from parts: 'celková plocha N m², sklep M m²' and the like. Windows are counted in bytes, which SQL can't say."""
+    """Areas of listing texts made from parts: 'celková plocha N m², sklep M m²' and the like; the SQL knows which number is which."""
     size, cellar = F.col("p_size") + 20, F.col("p_size") % 7 + 5
     said = F.when(F.col("p_partkey") % 3 == 0, F.format_string("byt o celkové ploše %d m², sklep %d m2", size, cellar)).when(F.col("p_partkey") % 3 == 1, F.format_string("sklep %d m², byt %d m²", cellar, size)).otherwise(F.format_string("balkón %d m²", cellar))
     return t(spark, d, "part").select("p_partkey", areas.area_of(said).alias("area"), areas.area_of(said, True).alias("total_area"))

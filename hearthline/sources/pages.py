@@ -37,7 +37,8 @@ def cards(pages: DataFrame, html: str = "html", marker: str = CARD, base: str =
 
     A price div with a number is that price in hundredths; one of the known phrases is no price; anything else is a problem, as the layout may have changed.
     """
-    split = pages.select("*", F.posexplode(F.slice(F.split(html, rf"\Q{marker}\E"), 2, 100_000)).alias("card_no", "card"))
+    parts = F.split(html, rf"\Q{marker}\E")
+    split = pages.select("*", F.posexplode(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("card_no", "card"))
     card = F.col("card")
     link = r'href="?(/inzerat/(\d+)/[^"\s>]*)'
     price_div = when_found(card, r'(?s)(<div class="?inzeratycena"?>.*?</div>)')
