@@ -86,7 +86,12 @@ def d05_two_languages(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, strftime(max(ts) FILTER (WHERE event_type <> 'error'), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events GROUP BY 1")
 def d08_last_seen(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "events").groupBy("user_id").agg(F.date_format(F.max(F.when(F.col("event_type") != "error", F.col("ts"))), "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
+    from hearthline.operators.delisting import home_configs
+
+    events = t(spark, d, "events")
+    runs = events.select(F.col("event_id").alias("run_id"), F.lit(1).alias("config_id"), F.col("ts").alias("started_at"), F.when(F.col("event_type") != "error", "complete").otherwise("partial").alias("completeness"))
+    seen = events.select(F.col("user_id").alias("object_id"), F.col("event_id").alias("run_id"), F.col("ts").alias("fetched_at"))
+    return home_configs(runs, seen).select(F.col("object_id").alias("user_id"), F.date_format("last_found_at", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
 
 
 @query("SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY 1")

@@ -328,11 +328,10 @@ def b08_update_known(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH obs AS (SELECT user_id, event_type, event_id, ts, round(value)::BIGINT AS price FROM events) SELECT event_id, price FROM obs QUALIFY price IS DISTINCT FROM lag(price) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)""")
 def k01_price_changes(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+    from hearthline.operators.asof import price_changes
 
     rows = t(spark, d, "events").select("event_id", "user_id", "event_type", "ts", F.round("value").cast("long").alias("price"))
-    before = F.lag("price").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    return rows.withColumn("before", before).where(~F.col("price").eqNullSafe(F.col("before"))).select("event_id", "price")
+    return price_changes(rows, ["user_id", "event_type"], "ts", "event_id", "price").select("event_id", "price")
 
 
 @query("""SELECT o_orderkey, CASE WHEN price IS NULL THEN 'no_price' WHEN currency IS NULL THEN 'no_currency' WHEN currency <> 'EUR' THEN 'currency_mismatch' WHEN area IS NULL OR area <= 0 THEN 'no_area' WHEN zone IS NULL THEN 'no_zone' WHEN kind = '' THEN 'no_type' END AS reason FROM (

@@ -95,10 +95,7 @@ def d17_price_behaviour(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, CASE WHEN d < 0 THEN 'down' WHEN d > 0 THEN 'up' END AS step FROM (SELECT event_id, round(value * 100)::BIGINT - lag(round(value * 100)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events)")
 def f06_price_steps(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    step = F.col("price_minor") - F.lag("price_minor").over(Window.partitionBy("object_id").orderBy("change_at", "id"))
-    return market.history(spark, d).withColumn("d", step).select(F.col("id").alias("event_id"), F.when(F.col("d") < 0, "down").when(F.col("d") > 0, "up").alias("step"))
+    return asof.price_steps(market.history(spark, d), "object_id", "change_at", "id", "price_minor").select(F.col("id").alias("event_id"), "step")
 
 
 @query("""WITH lives AS (SELECT o_custkey AS object_id, min(o_orderdate) AS a, max(o_orderdate) AS b, o_custkey % 2 = 0 AS gone FROM orders GROUP BY 1),
@@ -111,11 +108,15 @@ def j08_person_periods(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("object_id", "week", day("period_start", "starts"), day("period_end", "ends"), "target")
 
 
-@query("SELECT o_orderkey, round(1 - list_product(list_transform(range(5), lambda k: 1 - 1 / (1 + exp(-(-2 + 0.1::DOUBLE * (o_orderkey % 20 + k)))))), 6) AS p FROM orders")
+@query("""SELECT o_orderkey, round(1 - list_product(list_transform(range(5), lambda k: 1 - 1 / (1 + exp(-(-2 + 0.1::DOUBLE * least(o_orderkey % 15 + k, 12) + CASE WHEN month(o_orderdate + to_days((7 * k)::INTEGER)) >= 2 THEN 0.01::DOUBLE * month(o_orderdate + to_days((7 * k)::INTEGER)) ELSE 0 END + 0.05::DOUBLE * (o_orderkey % 3)))))), 6) AS p FROM orders""")
 def j11_horizon_probability(spark: SparkSession, d: str) -> DataFrame:
-    """A hazard that rises by the week over the five weeks of a 30-day horizon."""
-    stays = F.aggregate(F.sequence(F.lit(0), F.lit(4)), F.lit(1.0), lambda s, k: s * (1 - 1 / (1 + F.exp(-(-2.0 + 0.1 * (F.col("o_orderkey") % 20 + k))))))
-    return t(spark, d, "orders").select("o_orderkey", F.round(1 - stays, 6).alias("p"))
+    """The library's hazard with given coefficients over the five weeks of a 30-day horizon; weeks and months move on, prices stay."""
+    import numpy as np
+
+    beta = np.array([-2.0, *(0.1 * k for k in range(13)), *(0.01 * m for m in range(2, 13)), 0.05, 0, 0, 0, 0])
+    rows = t(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 15).alias("week"), F.col("o_orderdate").alias("period_start"), (F.col("o_orderkey") % 3).alias("reductions"), *[F.lit(0.0).alias(c) for c in ("drop_pct", "days_since", "increased", "price_deviation")], F.lit(1).alias("zone_id"))
+    model = survival.Hazard([], [], [], beta, True)
+    return rows.select("o_orderkey", F.round(survival.horizon_probability(model, 30), 6).alias("p"))
 
 
 @query("""WITH runs AS (SELECT DISTINCT date_trunc('day', ts) AS day FROM events), last AS (SELECT user_id, max(date_trunc('day', ts)) AS seen FROM events WHERE event_type <> 'error' GROUP BY 1)
