@@ -6,7 +6,7 @@ of length to the sequence of least cost that has room, and what fits nowhere who
 sequences with most room. Each task packs its own rows in pools of bounded token count and carries its unfinished
 sequence from pool to pool, so nothing is shuffled and a task pads at most one sequence.
 
-Null texts count as empty; each document ends with the end id, so an empty one is one token long. Rows that share
+Null texts count as empty; each document ends with the end id, so an empty one is one token long; very long ones fill sequences of their own first. Of equal lengths the first row goes first, of equal costs the first sequence. Rows that share
 an id are packed as rows of their own; null ids are carried along. An empty table gives an empty result. Other
 columns are ignored. Sequence ids are unique; they number the sequences of a task within a range of its own.
 """

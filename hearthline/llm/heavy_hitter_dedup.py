@@ -5,7 +5,7 @@ frequent; exact counts verify them; the verified winners, at most a few thousand
 their rows are settled where they are read. All other digests are grouped by an ordinary shuffle.
 DataFrame functions only.
 
-Null texts count as empty. Rows that share a doc_id are counted one by one; of equal texts every row
+Null texts count as empty; very long ones are hashed whole. Rows that share a doc_id are counted one by one; of equal texts every row
 that has the smallest doc_id is kept. A null doc_id never is the smallest unless all of the group are
 null; such a group keeps its rows. An empty table gives an empty result. Other columns are ignored.
 """

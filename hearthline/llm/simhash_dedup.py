@@ -3,9 +3,10 @@
 A 64-bit fingerprint is cut into the fewest segments of which one must differ by at most one bit:
 3 for 4 differing bits. Each segment is indexed once for each of its bits with that bit as a wildcard; equal
 variants are joined and the whole fingerprints compared. A pair is only emitted at the first variant that it
-shares, so each link comes once. Only distinct fingerprints are joined: copies cost one row.
+shares, so each link comes once. Only distinct fingerprints are joined: copies cost one row. A variant's key has 20 to 21 bits besides the
+wildcard's place, so beyond some ten million distinct fingerprints candidates grow with the square of their number; that is the price of few segments.
 
-Null and empty texts, and texts of white space only, have fingerprint zero and link like any other. Rows
+Null and empty texts, and texts of white space only, have fingerprint zero and link like any other. Very long texts are hashed whole, in parts. Rows
 that share a doc_id are rows of their own. Null ids are carried along and never name a group unless nothing
 else does. An empty table gives an empty result. Other columns are ignored.
 """
