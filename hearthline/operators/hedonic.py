@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthline.functions.classes import missing_reason
 from hearthline.functions.student import t_quantile
 from hearthline.operators.gram import gram_sums
 from hearthline.operators.ranks import folds
@@ -193,3 +194,16 @@ def _rejected(grouped: DataFrame, model: Fit) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     return grouped.select("object_id", none("double").alias("price_deviation"), F.lit(model.rejected).alias("null_reason"), none("long").alias("predicted_minor"),
                           none("long").alias("interval_low_minor"), none("long").alias("interval_high_minor"), "zone_fallback")
+
+
+def valuation_run(objects: DataFrame, attributes: list[Attribute], parents: DataFrame, currency: str, settings: Settings = Settings()) -> tuple[Fit, DataFrame, DataFrame]:
+    """(fit, valuations, report) of all active objects of a market.
+
+    objects: object_id, status, price_minor, currency, area_sqm, zone_id, property_type, attrs, month, geo_level. An object that lacks something gets the first reason of the cascade
+    instead of a value, the others what the model says; every row has a value or a reason. report: null_reason (null for valued ones), n.
+    """
+    active = objects.where("status = 'active'").withColumn("__reason", missing_reason(F.col("price_minor"), F.col("currency"), F.lit(currency), F.col("area_sqm"), F.col("zone_id"), F.col("property_type")))
+    model, predicted = fit(active.where("__reason is null").drop("__reason"), attributes, parents, settings)
+    lacking = active.where("__reason is not null").select("object_id", F.col("__reason").alias("null_reason"))
+    valuations = predicted.unionByName(lacking, allowMissingColumns=True)
+    return model, valuations, valuations.groupBy("null_reason").agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.operators.asof import asof_join, price_behaviour
+from hearthline.operators.asof import asof_join, price_behaviour, with_previous
 from hearthline.operators.gram import gram_sums
 from hearthline.operators.hedonic import Attribute
 from hearthline.operators.metrics import brier, brier_parts, c_index, calibration, worst_decile
@@ -179,3 +179,18 @@ def estimates(objects: DataFrame, model: Hazard | None, report: Report, horizon_
     none = F.when(F.col("status") == "delisted", "delisted").otherwise(report.status if model is None else None)
     value = F.when(none.isNull(), horizon_probability(model, horizon_days)) if model is not None else F.lit(None).cast("double")
     return objects.select("object_id", value.alias("hazard_probability"), none.alias("null_reason"))
+
+
+def with_run(history: DataFrame, report: Report, country: str, deal_type: str, model_version: str, computed_at: Column) -> DataFrame:
+    """The history of models (country, deal_type, model_version, status, reject_reason, n_completed_events, n_person_periods, max_calib_dev, brier_score, c_index, computed_at) with a run's row added."""
+    row = history.sparkSession.range(1).select(
+        F.lit(country).alias("country"), F.lit(deal_type).alias("deal_type"), F.lit(model_version).alias("model_version"), F.lit(report.status).alias("status"), F.lit(report.reason).cast("string").alias("reject_reason"), F.lit(report.completed).cast("long").alias("n_completed_events"),
+        F.lit(report.n_train + report.n_test).cast("long").alias("n_person_periods"), *[F.lit(v).cast("double").alias(n) for n, v in (("max_calib_dev", report.max_deviation), ("brier_score", report.brier), ("c_index", report.c_index))], computed_at.cast("timestamp").alias("computed_at"))
+    return history.unionByName(row)
+
+
+def transitions(history: DataFrame) -> DataFrame:
+    """country, deal_type, computed_at, model_version, before, status: the notices that are due, one for each run whose status isn't that of the run before; a first run counts if it is published."""
+    rows = with_previous(history, ["country", "deal_type"], "computed_at", "model_version", "status", "year", "before")
+    changed = F.when(F.col("before").isNull(), F.col("status") == "published").otherwise(F.col("status") != F.col("before"))
+    return rows.where(changed).select("country", "deal_type", "computed_at", "model_version", "before", "status")

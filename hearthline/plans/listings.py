@@ -452,3 +452,33 @@ def m_doctor(spark: SparkSession, d: str) -> DataFrame:
     values = t(spark, d, "lineitem").select(F.when(F.col("l_linenumber") > 4, F.col("l_discount")).alias("price_deviation"), F.when(~F.col("l_linenumber").isin(3, 5, 6, 7), "no_area").alias("deviation_null_reason"))
     found = quality.invariants(things, sources, searches, runs, queue, values, AS_OF)
     return found.where("name not in ('mirrors:rooms', 'mirrors:seller_type', 'notifs')")
+
+
+# J: model runs ------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {market.OBJECTS_SQL} SELECT id AS object_id, CASE WHEN current_price_minor IS NULL OR current_price_minor <= 0 THEN 'no_price' WHEN id % 31 = 0 THEN 'no_currency' WHEN id % 37 = 0 THEN 'currency_mismatch' WHEN area_sqm IS NULL OR area_sqm <= 0 THEN 'no_area' WHEN id % 41 = 0 THEN 'no_zone' WHEN id % 43 = 0 THEN 'no_type' END AS reason,
+    NOT (current_price_minor IS NULL OR current_price_minor <= 0 OR id % 31 = 0 OR id % 37 = 0 OR area_sqm IS NULL OR area_sqm <= 0 OR id % 41 = 0 OR id % 43 = 0) AS valued FROM objects WHERE status = 'active'""")
+def j07_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Every active object has a value or the first reason for having none."""
+    from hearthline.operators import hedonic
+
+    k = F.col("id")
+    rows = market.objects(spark, d).select(
+        k.alias("object_id"), "status", F.col("current_price_minor").alias("price_minor"), F.when(k % 31 > 0, F.when(k % 37 == 0, "CZK").otherwise("EUR")).alias("currency"), "area_sqm", F.when(k % 41 > 0, F.col("zone_id")).alias("zone_id"), F.when(k % 43 > 0, "flat").alias("property_type"),
+        F.create_map(F.lit("rooms"), F.col("rooms").cast("string")).alias("attrs"), F.month("first_seen_at").alias("month"), F.when(F.col("lng").isNotNull(), "street").otherwise("zone").alias("geo_level"))
+    parents = t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("zone_id"), (F.col("n_regionkey") + 1000).cast("long").alias("parent_id"))
+    _, valuations, _ = hedonic.valuation_run(rows, [hedonic.Attribute("rooms")], parents, "EUR")
+    return valuations.select("object_id", F.col("null_reason").alias("reason"), F.col("price_deviation").isNotNull().alias("valued"))
+
+
+@query("""WITH h AS (SELECT o_custkey % 50 AS country, o_orderpriority AS deal_type, o_orderdate AS computed_at, o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'published' WHEN 1 THEN 'uncalibrated' ELSE 'insufficient_history' END AS status FROM orders),
+    l AS (SELECT *, lag(status) OVER (PARTITION BY country, deal_type ORDER BY computed_at, o_orderkey) AS before FROM h)
+    SELECT country, deal_type, strftime(computed_at, '%Y-%m-%d') AS day, o_orderkey AS model_version, before, status FROM l WHERE CASE WHEN before IS NULL THEN status = 'published' ELSE status <> before END""")
+def j13_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """Notices of models whose status changed from run to run."""
+    from hearthline.operators import survival
+
+    k = F.col("o_orderkey")
+    history = t(spark, d, "orders").select((F.col("o_custkey") % 50).alias("country"), F.col("o_orderpriority").alias("deal_type"), F.col("o_orderdate").alias("computed_at"), k.alias("model_version"), F.when(k % 3 == 0, "published").when(k % 3 == 1, "uncalibrated").otherwise("insufficient_history").alias("status"))
+    return survival.transitions(history).select("country", "deal_type", F.date_format("computed_at", "yyyy-MM-dd").alias("day"), "model_version", "before", "status")
