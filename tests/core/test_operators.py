@@ -376,3 +376,79 @@ def test_settings_and_schemas(spark):
             Thresholds(**wrong)
     assert all(schemas.schema(name).fields for name in schemas.SCHEMAS)
     assert spark.createDataFrame([], schemas.schema("objects")).count() == 0
+
+
+# pairs, carried values, configurations, model history ---------------------------------------------------------------
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_similar_keys_against_brute_force(spark):
+    """Short and long keys, many of one stem, a pair of each kind over the border between the two ways of indexing."""
+    import random
+
+    from hearthline.operators import matching
+
+    rng = random.Random(3)
+    keys = [f"customer{n:09d}" for n in range(60)] + ["a", "b", "ab", "abc", ""]
+    for size in (9, 10, 11, 28, 29, 30, 31, 45):
+        for _ in range(6):
+            base = [rng.choice("abcd") for _ in range(size)]
+            for edits in (0, 1, 2, 3, 5):
+                word = list(base)
+                for _ in range(edits):
+                    at = rng.randrange(len(word))
+                    kind = rng.randrange(3)
+                    word[at:at + (kind != 1)] = [] if kind == 2 else [rng.choice("abcd")]
+                keys.append("".join(word))
+    frame = spark.createDataFrame([(k,) for k in keys] + [(None,)], "k string").repartition(3)
+    got = {(r["a"], r["b"]) for r in matching.similar_keys(frame, "k", 0.9).collect()}
+    own = sorted({k for k in keys if k})
+    assert got == {(a, b) for i, a in enumerate(own) for b in own[i + 1:] if 1 - plain_distance(a, b) / max(len(a), len(b)) >= 0.9 - 1e-12}
+
+
+def test_with_previous(spark):
+    """Over bucket borders, with null values and null keys, as one window would give it."""
+    import datetime as dt
+
+    from pyspark.sql import Window
+
+    from hearthline.operators import asof
+
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(days=13 * i), i, None if i % 5 == 0 else i * 7 % 11) for k in ("a", "b", None) for i in range(20)]
+    frame = spark.createDataFrame(rows, "k string, at timestamp, id int, v int").repartition(4)
+    whole = frame.select("k", "id", F.lag("v").over(Window.partitionBy("k").orderBy("at", "id")).alias("previous"))
+    got = asof.with_previous(frame, ["k"], "at", "id", "v").select("k", "id", "previous")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+
+
+def test_search_configs_and_payloads(spark):
+    import datetime as dt
+
+    from hearthline.operators import configs
+
+    problems = spark.createDataFrame([("sale", 1, 2, 1.0, 2.0, "EUR"), ("lease", 1, 2, None, None, "EUR"), (None, None, None, None, None, None), ("rent", 3, 2, None, None, "EUR"), ("rent", None, None, 3.0, 2.0, None), ("rent", -1, None, None, None, "EUR"), ("rent", 1, None, None, None, None), ("auction", None, None, None, None, None)], "d string, a long, b long, c double, e double, f string")
+    assert [r[0] for r in problems.select(configs.config_problem(*[F.col(c) for c in "dabcef"])).collect()] == [None, "bad_deal_type", "bad_deal_type", "price_min_over_max", "area_min_over_max", "negative_bound", "price_without_currency", None]
+    once = configs.retired(spark.createDataFrame([(1, True, dt.datetime(2024, 1, 1)), (2, False, dt.datetime(2024, 1, 1))], "id long, active boolean, updated_at timestamp"), spark.createDataFrame([(1,), (1,), (2,), (3,)], "id long"), dt.datetime(2024, 2, 1))
+    assert sorted(map(tuple, once.collect())) == [(1, False, dt.datetime(2024, 2, 1)), (2, False, dt.datetime(2024, 1, 1))]
+    said = spark.createDataFrame([("price_drop", {"object_id": "1", "old_price": "", "x": "y"}), ("price_drop", {"object_id": "1", "old_price": "2", "new_price": "1"}), ("other", {})], "k string, p map<string,string>")
+    assert [r[0] for r in said.select(configs.missing_keys(F.col("k"), F.col("p"))).collect()] == [["old_price", "new_price"], [], None]
+
+
+def test_model_history(spark):
+    from hearthline.operators import survival
+
+    schema = "country string, deal_type string, model_version string, status string, reject_reason string, n_completed_events long, n_person_periods long, max_calib_dev double, brier_score double, c_index double, computed_at timestamp"
+    history = spark.createDataFrame([], schema)
+    for day, status in (("2024-01-01", "insufficient_history"), ("2024-02-01", "published"), ("2024-03-01", "published"), ("2025-04-01", "uncalibrated")):
+        history = survival.with_run(history, survival.Report(status=status, completed=3, n_train=4, n_test=1, brier=0.2), "CZ", "sale", "v" + day, F.lit(day))
+    assert history.count() == 4 and {(r["n_completed_events"], r["n_person_periods"], r["brier_score"], r["c_index"]) for r in history.collect()} == {(3, 5, 0.2, None)}
+    due = survival.transitions(history).orderBy("computed_at").collect()
+    assert [(r["before"], r["status"]) for r in due] == [("insufficient_history", "published"), ("published", "uncalibrated")]
