@@ -23,8 +23,11 @@ def _once(docs: DataFrame, decided: DataFrame, key: Column) -> DataFrame:
     odd = written(decided.where("not kept or n > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__decided"), "kept"))
     keyed = docs.withColumn("__key", key)
     this = keyed["doc_id"].eqNullSafe(odd["__id"]) & (keyed["__key"] == odd["__decided"])
-    twice = keyed.join(odd.where("kept"), this, "left_semi").dropDuplicates(["doc_id", "__key"])
-    return keyed.join(odd, this, "left_anti").unionByName(twice).drop("__key")
+    rest = keyed.join(odd.hint("merge"), this, "left_anti")  # what is dropped grows with the documents, so it isn't broadcast
+    twice = odd.where("kept")
+    if not twice.isEmpty():
+        rest = rest.unionByName(keyed.join(twice.hint("merge"), this, "left_semi").dropDuplicates(["doc_id", "__key"]))
+    return rest.drop("__key")
 
 
 def _fingerprints(text: str) -> Column:
