@@ -681,7 +681,7 @@ def test_rows_that_share_an_id(spark, options):
     assert left == [49, 49, 90]
 
 
-@pytest.mark.parametrize("options", [{}, Q.PASSAGES])
+@pytest.mark.parametrize("options", [{}, Q.PASSAGES | {"within": True}])
 def test_repeats_within_a_document(spark, options):
     rng = np.random.default_rng(22)
     line, rest = fresh_words(rng, 60), fresh_words(rng, 40)
@@ -689,6 +689,9 @@ def test_repeats_within_a_document(spark, options):
     many = [(1, (line[:30] + ["x"]) * 40)]  # overlaps the end of what it repeats
     assert passages_of(spark, many, **options) == [(1, 31, 39 * 31, 1)]
     assert passages_of(spark, [(1, ["w"] * 3000)], **options)[0][:2] == (1, 1)
+    across = [(1, line + rest + line), (2, fresh_words(rng, 9) + line + fresh_words(rng, 9) + line), *((10 + i, line) for i in range(30))]
+    got = passages_of(spark, across, **options | {"within": False})
+    assert [r for r in got if r[0] < 10] == [(2, 9, 60, 1), (2, 78, 60, 1)] and {r[0] for r in got} == {2, *range(10, 40)} and all(r[3] != r[0] for r in got)
 
 
 @pytest.mark.parametrize("options", [{}, Q.PASSAGES])
@@ -723,7 +726,7 @@ def test_production_seeds_find_exact_passages(spark):
     """On the smallest tables: what every exact run of 50 words covers, within documents too, lies in reported passages."""
     texts = {i: t.lower().split() for i, t in texts_of(spark).items()}
     got = {}
-    for r in repeated_passages(spark.read.parquet(f"{SMALL}/documents.parquet"), **Q.PASSAGES).collect():
+    for r in repeated_passages(spark.read.parquet(f"{SMALL}/documents.parquet"), **Q.PASSAGES | {"within": True}).collect():
         got.setdefault(r["doc_id"], []).append((r["start"], r["start"] + r["n_words"]))
     seen, missed = set(), []
     for i in sorted(texts):
