@@ -7,7 +7,7 @@ anything is shuffled and send on one place of each, so that a seed that every do
 run follows the best of the runs that end within max_gap of it on both sides, under a linear gap cost; Fenwick trees over slabs of the owner's words give the best one. 4. The words of both sides are fetched in fixed blocks, and each chain
 is aligned: extended over its ends, and switched between its diagonals where that matches most. An alignment under the similarity is cut to its stretches that reach it. Passages are what alignments cover, min_words words or more.
 
-A document's passages repeat text of documents with smaller ids, or, with `within`, earlier text of the document itself (of which they may overlap the end); copies thus are passages of their first holder's text.
+A document's passages repeat text of documents with smaller ids, or earlier text of the document itself (of which they may overlap the end); without `within`, the latter only where it repeats another document too; copies thus are passages of their first holder's text.
 Rows that share an id are documents of their own, told apart by text_key, a hash of the text; equal rows count once. Null and empty texts have no passages, and rows with a null id neither. Texts of any length are read whole, in parts of bounded size.
 Of passages with equal claims the one of the smallest owner and place counts. Words are what stands between ASCII white space, A-Z lower-cased. An empty table gives an empty result; other columns are ignored.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -54,16 +55,16 @@ def _sorted_once(rows: np.ndarray) -> np.ndarray:
     return rows[np.concatenate(([True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))] if len(rows) else rows
 
 
-def met(rows: np.ndarray, most: int, known: int = 0, within: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def met(rows: np.ndarray, most: int, known: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Indices (later, earlier) of matched rows, of the rows of frequent hashes, and of the first one of each; rows (h, doc_id, pos, stands for many) in order.
 
     Rows of up to most with one hash are matched each with each. Of more, a text's first place is matched with the nearest earlier text's last one and with
-    the first holder, and a later place with the one before; without `within`, places are matched with those of other texts only. The first `known` rows stand for earlier rows of the first hash and are only matched with.
+    the first holder, and a later place with the one before. The first `known` rows stand for earlier rows of the first hash and are only matched with.
     """
     h, doc, base = rows[:, 0], rows[:, 1], rows[:, 2] >> 32
     new = np.concatenate(([True], h[1:] != h[:-1]))
     begins = new | np.concatenate(([True], (doc[1:] != doc[:-1]) | (base[1:] != base[:-1])))
-    text, began = np.cumsum(begins), np.maximum.accumulate(np.where(begins, np.arange(len(rows)), 0))
+    text = np.cumsum(begins)
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, len(rows)))
     many = (sizes > most) | (np.add.reduceat(rows[:, 3], starts) > 0)
@@ -72,23 +73,21 @@ def met(rows: np.ndarray, most: int, known: int = 0, within: bool = True) -> tup
     at, later, earlier = np.flatnonzero(~often & np.repeat(sizes > 1, sizes)), [], []
     for back in range(1, most):
         at = at[at - back >= first[at]]
-        other = at if within else at[text[at] != text[at - back]]
-        later.append(other)
-        earlier.append(other - back)
+        later.append(at)
+        earlier.append(at - back)
     often = np.flatnonzero(often)
     often = often[often >= known]
-    after = often[(often if within else began[often]) > first[often]]
-    near = after - 1 if within else began[after] - 1
-    ahead = (began[after] == after) & (text[near] != text[first[after]])
-    return np.concatenate([*later, after, after[ahead]]), np.concatenate([*earlier, near, first[after[ahead]]]), often, often[often == first[often]]
+    after = often[often > first[often]]
+    ahead = after[begins[after] & (text[after - 1] != text[first[after]])]
+    return np.concatenate([*later, after, ahead]), np.concatenate([*earlier, after - 1, first[ahead]]), often, often[often == first[often]]
 
 
-def combined(found: Iterator[np.ndarray], most: int, within: bool = True) -> Iterator[pa.RecordBatch]:
+def combined(found: Iterator[np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
     """Places (h, doc_id, pos) as rows of _PLACED: what is frequent among a task's places is matched here, and one place of it is sent on."""
     def flush() -> Iterator[pa.RecordBatch]:
         rows = _sorted_once(np.concatenate(held))
         rows = np.column_stack([rows, np.zeros(len(rows), np.int64)])
-        later, earlier, often, firsts = met(rows, most, 0, within)
+        later, earlier, often, firsts = met(rows, most)
         many = np.zeros(len(rows), bool)
         many[often] = True
         yield from _batch(_PLAIN, rows[~many])
@@ -110,7 +109,7 @@ def combined(found: Iterator[np.ndarray], most: int, within: bool = True) -> Ite
         yield from flush()
 
 
-def seeds(docs: DataFrame, k: int = 4, window: int = 1, most: int = 16, within: bool = True) -> DataFrame:
+def seeds(docs: DataFrame, k: int = 4, window: int = 1, most: int = 16) -> DataFrame:
     """_PLACED of the seeds of docs (doc_id, base, text)."""
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
@@ -119,10 +118,10 @@ def seeds(docs: DataFrame, k: int = 4, window: int = 1, most: int = 16, within:
                 at = minimizers(own, window) if window > 1 else np.arange(len(own))
                 yield np.column_stack([own[at].view(np.int64), np.full(len(at), doc, np.int64), base + at])
 
-    return docs.select("doc_id", "base", "text").mapInArrow(lambda batches: combined(places(batches), most, within), _PLACED)
+    return docs.select("doc_id", "base", "text").mapInArrow(lambda batches: combined(places(batches), most), _PLACED)
 
 
-def meetings(found: DataFrame, most: int, within: bool = True) -> DataFrame:
+def meetings(found: DataFrame, most: int) -> DataFrame:
     """_PLACED rows of kind _MATCH (matches with earlier places) and _FREQUENT (places of frequent hashes) out of found rows of _PLACED."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, known = np.zeros((0, 4), np.int64), 0  # rows of the last hash of a batch may go on in the next
@@ -149,7 +148,7 @@ def meetings(found: DataFrame, most: int, within: bool = True) -> DataFrame:
 
     def matched(rows: np.ndarray, known: int) -> Iterator[pa.RecordBatch]:
         rows = np.concatenate([rows[:known], rows[known:][np.concatenate(([True], (rows[known + 1:, :3] != rows[known:-1, :3]).any(axis=1)))]]) if len(rows) > known else rows
-        later, earlier, often, _ = met(rows, most, known, within)
+        later, earlier, often, _ = met(rows, most, known)
         yield from _batch(_MATCH, rows[later], rows[earlier])
         yield from _batch(_FREQUENT, rows[often])
 
@@ -158,7 +157,7 @@ def meetings(found: DataFrame, most: int, within: bool = True) -> DataFrame:
     return placed.mapInArrow(run, _PLACED)
 
 
-def neighbours(often: DataFrame, width: int, max_gap: int, most: int, within: bool = True) -> DataFrame:
+def neighbours(often: DataFrame, width: int, max_gap: int, most: int) -> DataFrame:
     """_PLACED of pairs of frequent places: each with the next one of its document that is width words on or more; the last 5 bits of h are the gap."""
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         held = np.zeros((0, 3), np.int64)  # a pair may lie in two batches
@@ -187,20 +186,20 @@ def neighbours(often: DataFrame, width: int, max_gap: int, most: int, within: bo
     if max_gap >= 32:
         raise ValueError("max_gap has to be under 32")
     placed = often.select("doc_id", "pos", "h").repartition("doc_id").sortWithinPartitions("doc_id", "pos")
-    return placed.mapInArrow(lambda batches: combined(pairs(batches), most, within), _PLACED)
+    return placed.mapInArrow(lambda batches: combined(pairs(batches), most), _PLACED)
 
 
-def matches(found: DataFrame, k: int = 4, max_gap: int = 24, most: int = 16, used: list[str] | None = None, within: bool = True) -> DataFrame:
+def matches(found: DataFrame, k: int = 4, max_gap: int = 24, most: int = 16, used: list[str] | None = None) -> DataFrame:
     """(doc_id, pos, owner, at, gap): each seed with the earlier places that hold it; a pair's match is one of gap words further on too, and has gap 0 if there is none.
 
     Seeds at up to most places are matched with all of them. More frequent ones are paired with their next frequent neighbour, frequent pairs with the next
     frequent pair, and both are matched in the same way; what is frequent is also matched with its first and its nearest earlier holder. The tables that it reads are added to used.
     """
-    level = written(meetings(found, most, within), used)
+    level = written(meetings(found, most), used)
     match, gap = F.col("kind") == _MATCH, F.col("h").bitwiseAND(F.lit(31)).cast("int").alias("gap")
     out, width = level.where(match).select("doc_id", "pos", "owner", "at", F.lit(0).alias("gap")), k
     while 2 * width <= max_gap:
-        level = written(meetings(neighbours(level.where(F.col("kind") == _FREQUENT), width, max_gap, most, within), most, within), used)
+        level = written(meetings(neighbours(level.where(F.col("kind") == _FREQUENT), width, max_gap, most), most), used)
         out, width = out.unionByName(level.where(match).select("doc_id", "pos", "owner", "at", gap)), 2 * width
     return out
 
@@ -528,15 +527,47 @@ def alignments(docs: DataFrame, candidates: DataFrame, least: int = 50, similari
     return placed.mapInArrow(align, "doc_id long, x0 long, x1 long, owner long, y0 long, y1 long, equal long, all long")
 
 
+def _across(found: DataFrame, least: int) -> DataFrame:
+    """Alignments with other documents, and those with the same text of which the source repeats least words or more of another document itself, by way of others or not.
+
+    A text's sources lie before what repeats them, so one pass over its alignments in order settles them.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, covered = None, []  # ends of what is covered so far, in order
+        for batch in batches:
+            keep = []
+            for doc, x0, x1, owner, y0, y1 in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if doc != of:
+                    of, covered = doc, []
+                own = owner == doc and x0 >> 32 == y0 >> 32
+                first = bisect_left(covered, y0, key=lambda c: c[1])
+                held = 0
+                for a, b in covered[first:] if own else ():
+                    if a >= y1:
+                        break
+                    held += min(b, y1) - max(a, y0)
+                keep.append(not own or held >= least)
+                if keep[-1]:
+                    if covered and x0 <= covered[-1][1]:
+                        covered[-1] = (covered[-1][0], max(covered[-1][1], x1))
+                    else:
+                        covered.append((x0, x1))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return found.repartition("doc_id").sortWithinPartitions("doc_id", "x0", "x1", "owner", "y0").mapInArrow(run, found.schema)
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, window: int = 1, max_gap: int = 24,
                       least_seeds: int = 4, most: int = 16, similarity: float = 0.8, shingle: int = 1, min_words: int = 50, within: bool = True) -> DataFrame:
     """doc_id, text_key, start, n_words, first_doc_id, n_sources, similarity: one row per repeated passage, in words of the text."""
     few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     few = few.select("doc_id", F.shiftleft(text_key("text"), 32).alias("base"), "text")
     used: list[str] = []
-    candidates = written(chained(matches(seeds(few, k, window, most, within), k, max_gap, most, used, within), k, window, max_gap, least_seeds))
+    candidates = written(chained(matches(seeds(few, k, window, most), k, max_gap, most, used), k, window, max_gap, least_seeds))
     discard(docs.sparkSession, used)
     found = alignments(few, candidates, min_words, similarity, shingle)
+    if not within:
+        found = _across(found, min_words)
     by_doc = Window.partitionBy("doc_id").orderBy("x0", "x1", "owner", "y0")
     reach = F.max("x1").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     marked = found.withColumn("new", F.when(F.col("x0") > F.coalesce(reach, F.lit(-1)) + 1, 1).otherwise(0))
