@@ -27,14 +27,14 @@ from hearthline.llm.word_hashes import mixed
 
 SIZES = (4, 5, 6, 8, 10)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
 _FILTER_BITS = 20
 
 
 def _grams(text: str | None, inside: bool = False) -> Iterator[np.ndarray]:
     """For each n a 64-bit hash of each n-gram of the text; with repeats. inside: only those within a word and its borders."""
-    raw = np.frombuffer(f" {(text or '').lower().translate(_SPACES)} ".encode("utf-32-le", "replace"), "<u4")
-    step = 1 << 20
+    raw = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "replace"), "<u4")
+    raw = np.where((raw >= 9) & (raw <= 13), np.uint32(32), raw)
+    step = 1 << 18
     for at in range(0, len(raw), step):
         part = raw[at:at + step + SIZES[-1] - 1].astype(np.uint64) + np.uint64(1)
         spaces = np.concatenate(([0], np.cumsum(part == 33)))
