@@ -185,6 +185,54 @@ def test_match_cascade(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(10, 1, "source_external", "high"), (11, 1, "geo", "high"), (12, 2, "address", "low"), (13, None, "created", "high"), (14, None, "created", "high"), (15, None, "created", "high"), (16, None, "created", "high")]
 
 
+MARKET_SCHEMA = "country string, deal_type string, lat double, lng double, address_key string, rooms int, property_type string, area_sqm double"
+
+
+def by_turns(listings, objects, links, radius=50, tolerance=0.1, least=0.9, nearest=20):
+    """Each source's listings by id, one after the other."""
+    km = lambda a, b: 2 * 6371 * math.asin(math.sqrt(math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2))
+    known = {(s, e): o for s, e, o in links}
+    taken, out = {(s, o) for s, _, o in links}, {}
+    for i, s, e, country, deal, lat, lng, key, rooms, kind, area in sorted(listings):
+        if (s, e) in known:
+            out[i] = (known[s, e], "source_external")
+            continue
+        free = [o for o in objects if o[1:3] == (country, deal) and (s, o[0]) not in taken]
+        if lat is not None:
+            method, cands = "geo", sorted((1000 * km((lat, lng), o[3:5]), o[0], o) for o in free if o[3] is not None)
+            cands = [c for c in cands if c[0] <= radius][:nearest]
+        else:
+            method, cands = "address", sorted((1 - (1 - edit(key, o[5]) / max(len(key), len(o[5]))), o[0], o) for o in free if o[3] is None and key and o[5]) if key else []
+            cands = [c for c in cands if 1 - c[0] >= least - 1e-12]
+        fits = lambda o: (rooms is None or o[6] is None or rooms == o[6]) and (kind is None or o[7] is None or kind == o[7]) and (area is None or o[8] is None or abs(area - o[8]) <= tolerance * o[8])
+        pick = next((o[0] for _, _, o in cands if fits(o)), None)
+        out[i] = (pick, method if pick else "created")
+        if pick:
+            taken.add((s, pick))
+    return out
+
+
+def test_match_second_choices(spark):
+    """Who comes too late for an object takes the next one; on random crowded markets, over several rounds and with more candidates than are looked at."""
+    frames = lambda ls, os, ks: (spark.createDataFrame(ls, f"listing_id long, source_id string, external_id string, {MARKET_SCHEMA}"), spark.createDataFrame(os, f"object_id long, {MARKET_SCHEMA}"), spark.createDataFrame(ks, "source_id string, external_id string, object_id long"))
+    objects = [(1, "CZ", "sale", 50.0, 14.0, "", 3, "byt", 60.0), (2, "CZ", "sale", 50.0001, 14.0, "", 3, "byt", 60.0)]
+    listings = [(11, "a", "x", "CZ", "sale", 50.0, 14.0, "", 3, "byt", 60.0), (12, "a", "y", "CZ", "sale", 50.0, 14.0, "", 3, "byt", 60.0), (13, "a", "z", "CZ", "sale", 50.0, 14.0, "", 3, "byt", 60.0)]
+    got = matching.match_listings(*frames(listings, objects, [("q", "q", 99)]))
+    assert {r["listing_id"]: (r["object_id"], r["method"]) for r in got.collect()} == {11: (1, "geo"), 12: (2, "geo"), 13: (None, "created")}
+    rng = random.Random(5)
+    spot = lambda: (50 + rng.randrange(4) * 0.0002, 14 + rng.randrange(3) * 0.0003)
+    keys = ["hlavni12praha", "hlavni13praha", "hlavni14praha", "jinde7brno"]
+    row = lambda: ("CZ", "sale", *(spot() if rng.random() < 0.8 else (None, None)), rng.choice(keys), rng.choice([1, 2, None]), "byt", rng.choice([50.0, 53.0, 80.0, None]))
+    objects = [(i, *row()) for i in range(1, 60)]
+    listings = [(100 + i, rng.choice("ab"), str(i), *row()) for i in range(50)]
+    links = [("a", "3", 7), ("b", "99", 8), ("a", "98", 9)]
+    for nearest in (20, 3):
+        got = matching.match_listings(*frames(listings, objects, links), nearest=nearest)
+        assert {r["listing_id"]: (r["object_id"], r["method"]) for r in got.collect()} == by_turns(listings, objects, links, nearest=nearest)
+    empty = [f.limit(0) for f in frames(listings, objects, links)]
+    assert matching.match_listings(*empty).collect() == [] and {r["method"] for r in matching.match_listings(frames(listings, objects, links)[0], *empty[1:]).collect()} == {"created"}
+
+
 def box(x1, y1, x2, y2):
     return [[{"x": x, "y": y} for x, y in ((x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1))]]
 
