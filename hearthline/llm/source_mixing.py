@@ -167,7 +167,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if with_text:
         words = F.array_remove(F.split("text", WS, -1), "")
         pieces = pieces.withColumn("text", F.array_join(F.slice(words, (F.col("first") + 1).cast("int"), F.col("words").cast("int")), " "))
-    return mix_slots.join(pieces, ["number", "block"]), documents
+    # the planner takes the slots, which Python makes from a short range of shards, for a small table; they grow with the corpus
+    return mix_slots.hint("merge").join(pieces, ["number", "block"]), documents
 
 
 def mix_counts(docs: DataFrame) -> DataFrame:
