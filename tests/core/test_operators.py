@@ -4,11 +4,15 @@ import datetime as dt
 import itertools
 import math
 import random
+import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
+from hearthline.functions import areas
 from hearthline.operators import asof, catalog, delisting, latest, matching, merging, quality, queues, ranks, rules, scheduling, spatial
+from hearthline.operators.phrases import needed
 
 T0 = dt.datetime(2026, 8, 1)
 
@@ -295,6 +299,87 @@ def test_rules(spark):
         rules.Rule(1, "k", "regex", "no group", None, 1.0).group
 
 
+def test_needed():
+    """Every text that a pattern matches holds one of the strings that it needs."""
+    assert needed(r"(?P<val>\d+)\. patro") == [". patro"] and needed("a|b c") == ["a", "b c"] and needed("ab?c+d") == ["a"]
+    for pattern in ("(?i)abc", r"\d+", "a?b*", "(abc)", "x|", r"\Qa\E", ""):
+        assert needed(pattern) is None
+    rng = random.Random(11)
+    parts = ["vý", "tah", "a", "b+", "c?", "d*", "e{2}", "f{0,1}", "[gh]", "[^i]", r"\d", r"\.", "(?:jk|l)", "(m)", r"\(", "o|", r"\p{L}", "(?=q)q", "[]x]", "(?<n>r)?", ".", "u++", "w+?"]
+    letters = "výtahabcdeeefghjklmno(qrx.]uw1"
+    seen = 0
+    for _ in range(400):
+        pattern = "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
+        pattern = pattern.replace("(?<n>", "(?:", 1) if pattern.count("(?<n>") > 1 else pattern
+        held = needed(pattern)
+        try:
+            compiled = regex.compile(pattern)
+        except regex.error:
+            continue
+        for _ in range(60):
+            text = "".join(rng.choice(letters) for _ in range(12))
+            if held and compiled.search(text):
+                seen += 1
+                assert any(h in text for h in held), (pattern, held, text)
+    assert seen > 500
+
+
+def first_hits(objects, book, keys):
+    """Rule by rule, text by text."""
+    number = lambda s: areas.number(s.replace(" ", ""))
+    out = []
+    for i, *texts in objects:
+        plain = [" ".join(re.split(r"[ \t\n\x0b\f\r]+", (t or "").lower())).strip() for t in texts]
+        for key in keys:
+            for r in book:
+                value = None
+                for t in plain:
+                    if r.key != key or value is not None:
+                        continue
+                    if r.kind == "literal":
+                        phrase = " ".join(r.pattern.lower().split())
+                        value = r.value if phrase and regex.search(rf"(?<![\p{{L}}\p{{Nd}}]){regex.escape(phrase)}(?![\p{{L}}\p{{Nd}}])", t) else None
+                    elif r.value is not None:
+                        value = r.value if regex.search(r.java, t) else None
+                    else:
+                        found = [number(m[r.group]) for m in regex.finditer(r.java, t)]
+                        value = next((str(n) for n in found if n is not None and (r.low is None or n >= r.low) and (r.high is None or n <= r.high)), None)
+                if value is not None:
+                    out.append((i, key, value, r.id))
+                    break
+    return sorted(out)
+
+
+def test_many_rules(spark):
+    """Thousands of rules give what each of them would give on its own."""
+    docs = [(r["doc_id"], r["text"][:40], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id % 4 = 0").collect()] + [(10**6, None, None), (10**6 + 1, "", "Byt, 3. patro z 12; lift: ano"), (10**6 + 2, "lift:ano", "xlift lifty")]
+    rng = random.Random(3)
+    words = sorted({w for _, _, t in docs if t for w in re.findall(r"[^\W\d]{3,}", t)})
+    book = [rules.Rule(i, rng.choice("abcdef"), "literal", rng.choice(words) + (" " + rng.choice(words) if i % 3 == 0 else ""), rng.choice(["x", "y", None]), 0.5) for i in range(1, 4500)]
+    book += [rules.Rule(i, rng.choice("abcg"), "regex", rng.choice([r"{}s? ", r"{}(?:,|\.) ", r"^{}", r"{}|{}"]).format(rng.choice(words).lower(), rng.choice(words).lower()), "z", 0.4) for i in range(4500, 4990)]
+    book += [rules.Rule(4990, "n", "regex", r"(?P<val>\d+)\. patro", None, 0.3, 1, 10), rules.Rule(4991, "n", "regex", r"z (\d+)", None, 0.3), rules.Rule(4992, "l", "literal", "LIFT", "true", 0.3), rules.Rule(4993, "q", "regex", r"[qxž]{2}", "w", 0.3), rules.Rule(4994, "a", "literal", "", "no", 0.1)]
+    rng.shuffle(book)
+    keys = [*"abcdefglnq"]
+    got = rules.apply_rules(spark.createDataFrame(docs, "object_id long, title string, description string"), book, keys)
+    found = sorted((r["object_id"], r["attr_key"], r["value"], r["rule_id"]) for r in got.collect())
+    assert found == first_hits(docs, book, keys) and len(found) > 100
+
+
+def test_replay(spark):
+    """Only the paired objects count; dynamic patterns keep their bounds; what holds on both confirmations is promoted."""
+    book = spark.createDataFrame([("CZ", "lift", "Má výtah", "true", "literal", None, None), ("CZ", "floor", r"(?P<val>\d+)\. patro", None, "regex", 1.0, 10.0), ("SK", "lift", "má výtah", "ano", "literal", None, None), ("CZ", "lift", "  ", "x", "literal", None, None), ("CZ", "energy", "třída [ab]", "low", "regex", None, None)],
+                                "country string, attr_key string, pattern string, value string, pattern_type string, value_min double, value_max double")
+    objects = spark.createDataFrame([(1, "Byt", "dům MÁ  výtah, 99. patro, 3. patro"), (2, None, "nemá výtah; třída B"), (3, "má výtah", None)], "object_id long, title string, description string")
+    pairs = book.select("country", "attr_key", "pattern").crossJoin(spark.createDataFrame([(1,), (2,), (9,)], "object_id long"))
+    got = sorted(map(tuple, rules.replay(book, objects, pairs.union(pairs)).collect()))
+    assert got == [("CZ", "energy", "třída [ab]", 2, "low"), ("CZ", "floor", r"(?P<val>\d+)\. patro", 1, "3.0"), ("CZ", "lift", "Má výtah", 1, "true"), ("SK", "lift", "má výtah", 1, "ano")]
+    kind = "country string, attr_key string, pattern string, value string, status string, occurrences long, conflicts long, last_ids array<long>, promoted_at timestamp"
+    table = spark.createDataFrame([("CZ", "lift", "má výtah", "true", "candidate", 5, 0, [1, 3], None), ("CZ", "lift", "výtah", "true", "candidate", 5, 0, [1, 2], None), ("CZ", "lift", "dům", "true", "candidate", 4, 0, [1, 3], None), ("CZ", "lift", "byt", "true", "active", 9, 0, [1, 1], T0)], kind)
+    current = spark.createDataFrame([(1, "lift", "true"), (2, "lift", "false"), (3, "lift", "true")], "object_id long, attr_key string, value string")
+    after = {r["pattern"]: (r["status"], r["promoted_at"]) for r in rules.promoted(table, objects, current, F.lit(T0)).collect()}
+    assert after == {"má výtah": ("active", T0), "výtah": ("candidate", None), "dům": ("candidate", None), "byt": ("active", T0)}
+
+
 def test_template_life(spark):
     kind = "country string, attr_key string, pattern string, value string, status string, confidence double, occurrences long, conflicts long, example_object_ids array<long>, last_ids array<long>"
     held = spark.createDataFrame([("CZ", "lift", "má výtah", "true", "candidate", 0.9, 4, 0, [1, 2, 3, 4], [3, 4]), ("CZ", "lift", "old", "true", "active", 0.5, 1, 0, [1], [1])], kind)
