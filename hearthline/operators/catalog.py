@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hearthline.functions import geo
 from hearthline.functions.classes import DEVIATION_CLASSES, deviation_class
 from hearthline.operators.latest import first_last, latest_per_key, majority, top_per_key, trend
+from hearthline.operators.trigrams import TrigramIndex
 
 SELLERS = ["private", "agency", "developer", "auction_organizer"]
 PARAMETERS = "page per_page country status sort price_min price_max area_min area_max rooms zone_id seller_type dev_class has_photo q bbox".split()
@@ -95,11 +96,14 @@ def with_latest_valuation(objects: DataFrame, valuations: DataFrame) -> DataFram
     return joined.withColumn("price_deviation", F.when(F.col("geo_confidence").isNotNull(), F.col("price_deviation"))).withColumn("not_modeled", F.col("geo_confidence").isNull())
 
 
-def list_objects(objects: DataFrame, valuations: DataFrame, photos: DataFrame, params: dict) -> tuple[DataFrame, DataFrame]:
-    """(page, total): the rows of a page in order, and a one-row count of all that match."""
+def list_objects(objects: DataFrame, valuations: DataFrame, photos: DataFrame, params: dict, addresses: TrigramIndex | None = None) -> tuple[DataFrame, DataFrame]:
+    """(page, total): the rows of a page in order, and a one-row count of all that match. With an index of their addresses, a search by address looks at the rows that its trigrams name only."""
     check_parameters(params)
     page, size = _number(params, "page", int, 1, 100_000) or 1, _number(params, "per_page", int, 1, 200) or 50
     sort = _one_of(params, "sort", list(orderings())) or "date_desc"
+    term = (params.get("q") or "").strip().lower()
+    if addresses and len(term) >= 3:
+        objects = objects.join(addresses.candidates(term), "id", "left_semi")
     rows = with_photo_filter(with_latest_valuation(objects, valuations), photos, params)
     for predicate in filters(params):
         rows = rows.where(predicate)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.operators.ranks import least_before
+
 
 def home_configs(runs: DataFrame, sightings: DataFrame) -> DataFrame:
     """object_id, config_id, last_found_at: the configuration of the last complete run that found the object, else of its first record.
@@ -54,3 +56,9 @@ def reactivate(objects: DataFrame, seen: DataFrame) -> DataFrame:
     back = (F.col("status") == "delisted") & F.col("__seen").isNotNull()
     new = {"status": F.when(back, "active").otherwise(F.col("status")), "delisted_reason": F.when(~back, F.col("delisted_reason"))}
     return objects.join(again, "id", "left").select(*[new[c].alias(c) if c in new else F.col(c) for c in objects.columns])
+
+
+def moved_forward(postings: DataFrame, keys: list[str], order: str, posted: str) -> DataFrame:
+    """postings with moved_forward: an earlier sighting of the same listing says an older date of posting."""
+    rows = least_before(postings, keys, order, posted, "__oldest")
+    return rows.withColumn("moved_forward", F.coalesce(F.col("__oldest") < F.col(posted), F.lit(False))).drop("__oldest")

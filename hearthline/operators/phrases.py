@@ -111,20 +111,26 @@ class Finder:
             for word in set(held or []):
                 words.setdefault(word, ([], []))[1].append(number)
         self.words = ahocorasick.Automaton()
-        for word, numbers in words.items():
-            self.words.add_word(word, (len(word), *numbers))
+        self.numbers = list(words.values())
+        for k, word in enumerate(words):
+            self.words.add_word(word, (k, len(word)))
         self.words.make_automaton()
 
     def in_texts(self, texts: Sequence[str]) -> tuple[set[int], set[int]]:
         """(literals that stand in one of the texts, patterns to be tried)."""
         sure: set[int] = set()
         maybe = set(self.always)
-        if len(self.words):
-            for text in texts:
-                for last, (size, exact, hinted) in self.words.iter(text):
-                    maybe.update(hinted)
-                    if exact and exact[0] not in sure and _alone(text, last - size, last + 1):
-                        sure.update(exact)
+        settled: set[int] = set()  # words that need no further look
+        for text in texts if len(self.words) else ():
+            for last, (k, size) in self.words.iter(text):
+                if k in settled:
+                    continue
+                exact, hinted = self.numbers[k]
+                maybe.update(hinted)
+                if exact and not _alone(text, last - size, last + 1):
+                    continue
+                sure.update(exact)
+                settled.add(k)
         return sure, maybe
 
 

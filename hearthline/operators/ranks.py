@@ -40,3 +40,16 @@ def deciles(df: DataFrame, order: list[str], name: str = "decile") -> DataFrame:
 def folds(df: DataFrame, key: str, k: int, name: str = "fold") -> DataFrame:
     """df with a round-robin fold by position in the order of key."""
     return global_rank(df, [key], "__rank").withColumn(name, ((F.col("__rank") - 1) % k).cast("int")).drop("__rank")
+
+
+def least_before(rows: DataFrame, keys: list[str], order: str, value: str, name: str, bucket: int = 65536) -> DataFrame:
+    """rows with the least value of the key's rows before each in order, an integer; null for a key's first. A key's rows are cut into buckets of the order, whose least values are carried on, so a hot key is spread."""
+    cut = rows.withColumn("__bucket", F.expr(f"`{order}` div {bucket}"))
+    here = Window.partitionBy(*keys, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = cut.groupBy(*keys, "__bucket").agg(F.min(value).alias("__least"))
+    carried = ends.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__bucket").alias("__b"), F.min("__least").over(ahead).alias("__carry"))
+    same = F.col("__bucket") == F.col("__b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return cut.withColumn("__own", F.min(value).over(here)).join(carried, same).select(*rows.columns, F.least("__own", "__carry").alias(name))

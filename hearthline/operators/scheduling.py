@@ -34,6 +34,14 @@ def window_weights(windows: DataFrame, yields: DataFrame, as_of: dt.date, days:
     return joined.select(*windows.columns, "average", "scans", warming.alias("warming"), window_weight(F.col("average"), F.col("most"), warming, epsilon).alias("weight"))
 
 
+def matching_windows(moments: DataFrame, windows: DataFrame, time: str, weight: str = "weight", cap: str = "cap") -> DataFrame:
+    """moments (source_id, time, ...) that are in a window of their source (source_id, day_of_week, hour_start, hour_end), with the greatest weight and the least cap of those. Windows become hours first, so this is an equality join."""
+    hours = windows.select("source_id", "day_of_week", F.explode(F.sequence(F.col("hour_start"), F.col("hour_end") - 1)).alias("__hour"), weight, cap)
+    slots = hours.groupBy("source_id", F.col("day_of_week").alias("__day"), "__hour").agg(F.max(weight).alias(weight), F.min(cap).alias(cap))
+    day, hour = local_slot(F.col(time), "UTC")
+    return moments.withColumns({"__day": day, "__hour": hour}).join(slots, ["source_id", "__day", "__hour"]).drop("__day", "__hour")
+
+
 def overlapping_windows(windows: DataFrame) -> DataFrame:
     """source_id, day_of_week, a, b: windows of a source and day that share an hour."""
     a, b = windows.alias("a"), windows.alias("b")

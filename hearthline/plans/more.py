@@ -237,12 +237,18 @@ def a24_geocode_cache(spark: SparkSession, d: str) -> DataFrame:
     return probing.cached_answers(asked, cache)[0].select("o_orderkey", F.coalesce("hit", F.lit(False)).alias("cached"), F.col("lat").alias("n"))
 
 
-@query("""WITH r(code, d, rate) AS (VALUES ('a', 1, 10), ('a', 2, 11), ('x', 1, 9)), m AS (SELECT 'a' AS code, 1 AS d, 99 AS rate UNION ALL SELECT 'a', 3, 12) SELECT code, d::INTEGER AS d, min(rate)::INTEGER AS rate FROM (SELECT * FROM r WHERE code = 'a' UNION ALL SELECT * FROM m WHERE (code, d) NOT IN (SELECT code, d FROM r)) GROUP BY ALL""")
+@query("""WITH official AS (SELECT o_orderpriority AS code, (o_orderkey % 50)::INTEGER AS d, min(o_orderkey)::INTEGER AS rate FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL), mirror AS (SELECT o_orderpriority AS code, (o_orderkey % 60)::INTEGER AS d, max(o_orderkey)::INTEGER AS rate FROM orders WHERE o_orderkey % 3 = 1 GROUP BY ALL)
+    SELECT code, d, rate FROM (SELECT * FROM official UNION ALL SELECT * FROM mirror ANTI JOIN official USING (code, d)) WHERE code <> '3-MEDIUM'""")
 def a18_two_channels(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as rates: two channels that share some days, and a currency that isn't known."""
     from hearthline.sources.feeds import merged_rates
 
-    frame = lambda rows: spark.createDataFrame(rows, "base string, quote string, rate_date int, rate int")
-    rates, _ = merged_rates(frame([("E", "a", 1, 10), ("E", "a", 2, 11), ("E", "x", 1, 9)]), frame([("E", "a", 1, 99), ("E", "a", 3, 12)]), spark.createDataFrame([("a",)], "code string"))
+    k, of = F.col("o_orderkey"), [F.lit("E").alias("base"), F.col("o_orderpriority").alias("quote")]
+    rows = t(spark, d, "orders")
+    official = rows.where(k % 3 == 0).groupBy(*of, (k % 50).cast("int").alias("rate_date")).agg(F.min(k).cast("int").alias("rate"))
+    mirror = rows.where(k % 3 == 1).groupBy(*of, (k % 60).cast("int").alias("rate_date")).agg(F.max(k).cast("int").alias("rate"))
+    known = rows.where("o_orderpriority <> '3-MEDIUM'").select(F.col("o_orderpriority").alias("code")).distinct()
+    rates, _ = merged_rates(official, mirror, known)
     return rates.select(F.col("quote").alias("code"), F.col("rate_date").alias("d"), "rate")
 
 

@@ -44,9 +44,9 @@ def d09_semi_exists(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "customer").join(pending, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+@query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 40)")
 def d10_anti_not_exists(spark: SparkSession, d: str) -> DataFrame:
-    returned = t(spark, d, "lineitem").where("l_returnflag = 'R'")
+    returned = t(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 40")
     return t(spark, d, "part").join(returned, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey", "p_name")
 
 
@@ -64,22 +64,29 @@ def d19_chained_joins(spark: SparkSession, d: str) -> DataFrame:
     return chain.groupBy("n_name", "p_brand").agg(F.sum(market.cents("l_extendedprice")).alias("price_minor"), F.count("*").alias("n"))
 
 
-@query("""WITH w(day, lo, hi, weight, cap) AS (VALUES (1, 8, 12, 3, 10), (1, 11, 18, 5, 6), (3, 0, 24, 2, 8), (6, 20, 24, 1, 4))
-    SELECT event_id, max(weight)::INTEGER AS weight, min(cap)::INTEGER AS cap FROM events JOIN w ON extract(dow FROM ts) = day AND extract(hour FROM ts) >= lo AND extract(hour FROM ts) < hi GROUP BY event_id""")
+_WINDOWS_SQL = "SELECT s_nationkey % 4 AS source_id, s_suppkey AS window_id, (s_suppkey % 7)::INTEGER AS day, (s_suppkey * 5 % 20)::INTEGER AS lo, (s_suppkey * 5 % 20 + 1 + s_suppkey % 4)::INTEGER AS hi, (s_suppkey % 9)::INTEGER AS weight, (s_suppkey % 11 + 1)::INTEGER AS cap FROM supplier"
+
+
+def _windows(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as crawl windows of four sources."""
+    k = F.col("s_suppkey")
+    low = (k * 5 % 20).cast("int")
+    return t(spark, d, "supplier").select((F.col("s_nationkey") % 4).alias("source_id"), k.alias("window_id"), (k % 7).cast("int").alias("day_of_week"), low.alias("hour_start"), (low + 1 + k % 4).cast("int").alias("hour_end"), (k % 9).cast("int").alias("weight"), (k % 11 + 1).cast("int").alias("cap"))
+
+
+@query(f"WITH w AS ({_WINDOWS_SQL}) SELECT event_id, max(weight)::INTEGER AS weight, min(cap)::INTEGER AS cap FROM events JOIN w ON user_id % 4 = source_id AND extract(dow FROM ts) = day AND extract(hour FROM ts) >= lo AND extract(hour FROM ts) < hi GROUP BY event_id")
 def d26_window_match(spark: SparkSession, d: str) -> DataFrame:
-    windows = spark.createDataFrame([(1, 8, 12, 3, 10), (1, 11, 18, 5, 6), (3, 0, 24, 2, 8), (6, 20, 24, 1, 4)], "day int, lo int, hi int, weight int, cap int")
-    slots = windows.select("day", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("hour"), "weight", "cap").groupBy("day", "hour").agg(F.max("weight").alias("weight"), F.min("cap").alias("cap"))
-    events = t(spark, d, "events").select("event_id", (F.dayofweek("ts") - 1).alias("day"), F.hour("ts").alias("hour"))
-    return events.join(F.broadcast(slots), ["day", "hour"]).select("event_id", "weight", "cap")  # at most 168 slots
+    from hearthline.operators.scheduling import matching_windows
+
+    moments = t(spark, d, "events").select("event_id", (F.col("user_id") % 4).cast("int").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return matching_windows(moments, _windows(spark, d), "ts").select("event_id", "weight", "cap")
 
 
-@query("""WITH w(id, day, lo, hi) AS (VALUES (1, 1, 8, 12), (2, 1, 11, 18), (3, 1, 12, 13), (4, 2, 8, 12))
-    SELECT a.id AS a, b.id AS b FROM w a JOIN w b ON a.day = b.day AND a.id < b.id AND a.lo < b.hi AND b.lo < a.hi""")
+@query(f"WITH w AS ({_WINDOWS_SQL}) SELECT a.window_id AS a, b.window_id AS b FROM w a JOIN w b ON a.source_id = b.source_id AND a.day = b.day AND a.window_id < b.window_id AND a.lo < b.hi AND b.lo < a.hi")
 def d27_overlaps(spark: SparkSession, d: str) -> DataFrame:
     from hearthline.operators.scheduling import overlapping_windows
 
-    windows = spark.createDataFrame([("s", i, day, lo, hi) for i, day, lo, hi in [(1, 1, 8, 12), (2, 1, 11, 18), (3, 1, 12, 13), (4, 2, 8, 12)]], "source_id string, window_id int, day_of_week int, hour_start int, hour_end int")
-    return overlapping_windows(windows).select("a", "b")
+    return overlapping_windows(_windows(spark, d)).select("a", "b")
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS reuse_id FROM documents QUALIFY count(*) OVER (PARTITION BY sha256(text)) > 1 AND doc_id <> min(doc_id) OVER (PARTITION BY sha256(text))")
@@ -350,12 +357,13 @@ def c13_trailing_days(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").where((F.col("ts") >= as_of - F.expr("INTERVAL 7 DAYS")) & (F.col("ts") < as_of)).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, min(ts) OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) < ts AS moved_forward FROM events")
+@query("SELECT event_id, coalesce(min(p) OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < p, false) AS moved_forward FROM (SELECT *, ts::DATE - (event_id * 7 % 30)::INTEGER AS p FROM events)")
 def c26_moved_forward(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+    """Events as sightings that say a date of posting up to 29 days before."""
+    from hearthline.operators.delisting import moved_forward
 
-    w = Window.partitionBy("user_id", "event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return t(spark, d, "events").select("event_id", (F.min("ts").over(w) < F.col("ts")).alias("moved_forward"))
+    rows = t(spark, d, "events").select("event_id", "user_id", "event_type", F.date_sub(F.to_date("ts"), (F.col("event_id") * 7 % 30).cast("int")).alias("posted_at"))
+    return moved_forward(rows, ["user_id", "event_type"], "event_id", "posted_at").select("event_id", "moved_forward")
 
 
 @query("""WITH gaps AS (SELECT c_custkey, k AS attr_key FROM customer CROSS JOIN (VALUES ('click'), ('view'), ('purchase')) r(k)) SELECT c_custkey, attr_key FROM gaps WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND event_type = attr_key)""")

@@ -139,9 +139,16 @@ def e14_slot_weights(spark: SparkSession, d: str) -> DataFrame:
     return slots.select("slot_key", "scans", "new_objects", F.round(window_weight(F.col("a"), most), 6).alias("weight"))
 
 
-@query("SELECT user_id % 5 AS pool, round(sum(round(value)::BIGINT)::DOUBLE / count(*), 6) AS average FROM events GROUP BY 1")
+@query("""WITH r AS (SELECT user_id % 5 AS pool, dayofweek(ts)::INTEGER AS day, hour(ts) >= 12 AS late, round(value)::BIGINT AS n FROM events WHERE ts::DATE >= DATE '2024-01-20' - 14), w AS (SELECT DISTINCT user_id % 5 AS pool, day::INTEGER AS day, late FROM events, range(7) a(day), (VALUES (false), (true)) b(late))
+    SELECT pool, w.day AS day, late, count(r.n) AS scans, round(coalesce(sum(r.n), 0)::DOUBLE / greatest(count(r.n), 1), 6) AS average FROM w LEFT JOIN r USING (pool, day, late) GROUP BY ALL""")
 def e26_pooled_average(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "events").groupBy((F.col("user_id") % 5).alias("pool")).agg(F.round(F.sum(F.round("value").cast("long")).cast("double") / F.count("*"), 6).alias("average"))
+    """Half-day windows of five sources: new objects per scan over a window's slots, not the mean of the slots' means."""
+    rows = t(spark, d, "events").select((F.col("user_id") % 5).alias("source_id"), F.col("ts").cast("timestamp").alias("started_at"), F.lit("complete").alias("completeness"), F.round("value").cast("long").alias("new_objects"))
+    half = F.explode(F.array(F.struct(F.lit(0).alias("hour_start"), F.lit(12).alias("hour_end")), F.struct(F.lit(12).alias("hour_start"), F.lit(24).alias("hour_end")))).alias("h")
+    windows = rows.select("source_id").distinct().select("source_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("day_of_week")).select("source_id", "day_of_week", half).select("source_id", "day_of_week", "h.*")
+    windows = windows.withColumn("window_id", F.col("day_of_week") * 100 + F.col("hour_start"))
+    got = scheduling.window_weights(windows, scheduling.slot_yields(rows), dt.date(2024, 1, 20))
+    return got.select(F.col("source_id").alias("pool"), F.col("day_of_week").alias("day"), (F.col("hour_start") == 12).alias("late"), "scans", F.round("average", 6).alias("average"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, round(least(4320, 60 * 2 ** (greatest(l_quantity, 1) - 1)))::BIGINT AS minutes, greatest(floor(l_linenumber * (1 - l_discount * 10)), 0)::INTEGER AS cap FROM lineitem")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from hearthline.functions import areas
 from hearthline.operators import asof, catalog, delisting, latest, matching, merging, quality, queues, ranks, rules, scheduling, spatial
 from hearthline.operators.phrases import needed
+from hearthline.operators.trigrams import TrigramIndex
 
 T0 = dt.datetime(2026, 8, 1)
 
@@ -585,3 +586,38 @@ def test_model_history(spark):
     assert history.count() == 4 and {(r["n_completed_events"], r["n_person_periods"], r["brier_score"], r["c_index"]) for r in history.collect()} == {(3, 5, 0.2, None)}
     due = survival.transitions(history).orderBy("computed_at").collect()
     assert [(r["before"], r["status"]) for r in due] == [("insufficient_history", "published"), ("published", "uncalibrated")]
+
+
+def test_trigram_index(spark, tmp_path, market):
+    """Finds what a scan finds, also after rows were added again, and reads the partitions of the rarest trigrams only."""
+    rng = random.Random(8)
+    rows = [(i, None if i % 50 == 0 else "".join(rng.choice("abcčŽ ") for _ in range(rng.randrange(12)))) for i in range(600)]
+    frame = spark.createDataFrame(rows, "id long, address string")
+    index = TrigramIndex(spark, str(tmp_path / "i"), frame.schema["id"].dataType, 16)
+    index.add(frame.where("id < 400"), "id", "address")
+    index.add(frame.where("id >= 300"), "id", "address")
+    for term in ["abc", "ABCA", "čž ", "a", "", "zzzz", "cab ca", "Ž"]:
+        assert sorted(r["id"] for r in index.search(frame, "id", "address", term).collect()) == [i for i, a in rows if a is not None and term.lower() in a.lower()]
+    with pytest.raises(ValueError):
+        index.candidates("ab")
+    plan = index.candidates("abca", 1)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    objects, values, photos = market
+    index = TrigramIndex(spark, str(tmp_path / "j"), objects.schema["id"].dataType, 16)
+    index.add(objects, "id", "address")
+    for q in ("special 1", "ecial 7", "cia", "sp", "nothing"):
+        pages = [catalog.list_objects(objects, values, photos, {"q": q}, by) for by in (None, index)]
+        assert [r["id"] for r in pages[0][0].collect()] == [r["id"] for r in pages[1][0].collect()] and pages[0][1].first() == pages[1][1].first()
+
+
+def test_matching_windows_and_dates(spark):
+    """Overlapping windows give the greatest weight and the least cap; a later date of posting shows against earlier sightings only, across buckets and for null keys."""
+    windows = spark.createDataFrame([(1, 6, 8, 12, 3, 10), (1, 6, 11, 18, 5, 6), (2, 6, 0, 24, 1, 1)], "source_id int, day_of_week int, hour_start int, hour_end int, weight int, cap int")
+    moments = spark.createDataFrame([(i, s, dt.datetime(2026, 8, 1, h)) for i, (s, h) in enumerate([(1, 8), (1, 11), (1, 18), (2, 3), (3, 3), (1, 12)])], "i int, source_id int, at timestamp")
+    assert sorted((r["i"], r["weight"], r["cap"]) for r in scheduling.matching_windows(moments, windows, "at").collect()) == [(0, 3, 10), (1, 5, 6), (3, 1, 1), (5, 5, 6)]
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, *range(8)])) for i in range(300)]
+    got = {r["n"]: r["moved_forward"] for r in delisting.moved_forward(spark.createDataFrame(rows, "k string, n long, posted int"), ["k"], "n", "posted").collect()}
+    assert got == {n: p is not None and any(q is not None and q < p for j, m, q in rows if j == k and m < n) for k, n, p in rows}
+    least = {r["n"]: r["m"] for r in ranks.least_before(spark.createDataFrame(rows, "k string, n long, posted int"), ["k"], "n", "posted", "m", 7).collect()}
+    assert least == {n: min((q for j, m, q in rows if j == k and m < n and q is not None), default=None) for k, n, p in rows}
