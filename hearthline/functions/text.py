@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import string
 from collections.abc import Callable
 from html import unescape
 
@@ -13,10 +15,9 @@ from pyspark.sql import functions as F
 #: ASCII word boundaries, whatever letters stand around.
 LEFT, RIGHT = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 REDACTED = "[REDACTED]"
-#: Mail addresses, and phone numbers of nine digits: with the country's prefix, in groups of three, or after a word for phone. No look-around, so that other engines read them too.
-MAIL_ADDRESS = r"[\w%+-][\w.%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
-COUNTRY, PHONE_WORDS = "420", ["telefon", "tel", "phone", "mobil"]
-PHONES = [rf"\+{COUNTRY}(?:[ -]?\d){{9}}", r"\b[67]\d\d(?:[ -]\d{3}){2}\b", rf"(?i)(?:{'|'.join(PHONE_WORDS)})[ .:]*[67]\d{{8}}"]
+#: The country's prefix, first digits of its mobile numbers, how many digits a number has and in what groups it is written, and words that announce one.
+COUNTRY, MOBILE, DIGITS, GROUPS = "420", "67", 9, (3, 3, 3)
+PHONE_WORDS = ["telefon", "tel", "phone", "mobil"]
 #: JSON keys that hold a contact.
 CONTACT_KEYS = "phone tel telefon mobile mobil email e-mail mail contact kontakt seller inzerent makler makléř broker agent jmeno jméno name advertiser".split()
 ACCENTS = ("áčďéěíňóřšťúůýžÁČĎÉĚÍŇÓŘŠŤÚŮÝŽ", "acdeeinorstuuyzACDEEINORSTUUYZ")
@@ -82,12 +83,86 @@ def html_title(html: Column) -> Column:
     return when_found(html, r"(?is)<title[^>]*>(.*?)</title>")
 
 
-def redact(text: Column) -> Column:
-    for pattern in (MAIL_ADDRESS, *PHONES):
-        text = F.regexp_replace(text, pattern, REDACTED)
+BLANKS = " \t\n\f\r"
+_NUMBER = re.compile(rf"\+?[0-9](?:[{BLANKS}-]?[0-9])*")
+_MAILBOX = frozenset("%+-._" + string.ascii_letters + string.digits)
+_HOST = frozenset("-." + string.ascii_letters + string.digits)
+_WORD = frozenset("_" + string.ascii_letters + string.digits)
+_LONGEST_WORD = max(map(len, PHONE_WORDS))
+
+
+def _mail_spans(text: str) -> list[tuple[int, int]]:
+    """Mail addresses: what can stand in a mailbox before an at sign, and behind it a host whose last part has two letters or more."""
+    spans, at, low = [], text.find("@"), 0
+    while at >= 0:
+        start, stop = at, at + 1
+        while start > low and text[start - 1] in _MAILBOX:
+            start -= 1
+        while stop < len(text) and text[stop] in _HOST:
+            stop += 1
+        end, dot = 0, stop
+        while not end and (dot := text.rfind(".", at + 2, dot)) >= 0:
+            letters = dot + 1
+            while letters < stop and text[letters].isalpha():
+                letters += 1
+            end = letters if letters > dot + 2 else 0
+        if start < at and end:
+            spans.append((start, end))
+            low = end
+        at = text.find("@", max(at + 1, end))
+    return spans
+
+
+def _phone_spans(text: str) -> list[tuple[int, int]]:
+    """Phone numbers: digits in groups that single blanks or dashes part, judged by prefix, first digit, sizes of groups, and the word before."""
+    spans = []
+    for m in _NUMBER.finditer(text):
+        runs = [(g.start() + m.start(), g.end() + m.start()) for g in re.finditer("[0-9]+", m[0])]
+        places = [i for a, b in runs for i in range(a, b)]
+        size = len(COUNTRY) + DIGITS
+        if m[0].startswith("+" + COUNTRY) and len(places) >= size:
+            spans.append((m.start(), places[size - 1] + 1))
+            runs = [r for r in runs if r[0] > places[size - 1]]
+        elif m[0][0] in MOBILE and runs[0][1] - runs[0][0] >= DIGITS:
+            end = m.start()
+            while end and text[end - 1] in BLANKS + ".:":
+                end -= 1
+            said = text[max(0, end - _LONGEST_WORD):end].lower()
+            if word := next(filter(said.endswith, PHONE_WORDS), None):
+                spans.append((end - len(word), m.start() + DIGITS))
+        k = 0
+        while k + len(GROUPS) <= len(runs):
+            some = runs[k:k + len(GROUPS)]
+            inside = text[some[0][0]] in MOBILE and tuple(b - a for a, b in some) == GROUPS
+            apart = (some[0][0] == 0 or text[some[0][0] - 1] not in _WORD) and (some[-1][1] == len(text) or text[some[-1][1]] not in _WORD)
+            if inside and apart:
+                spans.append((some[0][0], some[-1][1]))
+                k += len(GROUPS)
+            else:
+                k += 1
+    return spans
+
+
+def redacted(text: str) -> str:
+    """The text without mail addresses and phone numbers."""
+    for find in (_mail_spans, _phone_spans):
+        parts, at = [], 0
+        for start, stop in find(text):
+            parts += [text[at:start], REDACTED]
+            at = stop
+        text = "".join(parts) + text[at:]
     return text
 
 
+def redact(text: Column) -> Column:
+    """Mail addresses and phone numbers of the country taken out: with its prefix, in groups of three, or after a word for phone; blanks of any kind or dashes may part the digits."""
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(redacted, na_action="ignore")
+
+    return run(text)
+
+
 def redact_json(body: Column) -> Column:
     """A JSON body without the values of contact keys at any depth, then redacted as text; a body that is no JSON as text."""
     @F.pandas_udf("string")

@@ -23,11 +23,13 @@ def build_session(name: str = "hearthline", master: str | None = None, **setting
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; where it is unset, and all run in one local process as in tests, one of our own. On a cluster an unset folder is an error."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not held.isDefined():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()

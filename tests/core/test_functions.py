@@ -50,6 +50,10 @@ def test_redact(spark):
     raw = ["mail a.b@c.cz end", "+420 777 123 456", "call 777 123 456 now", "tel: 608111222", "price 6 500 000", "code 1777 123 4567"]
     r = text.REDACTED
     assert column(spark, raw, text.redact) == [f"mail {r} end", r, f"call {r} now", r, "price 6 500 000", "code 1777 123 4567"]
+    odd = ["tel: 777\t123\t456", "tel.\n777123456", "+420\n777-123 456", "+420777123456789", "Telefon...608111222x", "phone 6081112223", "hotel:608111222", "+608111222", "a777 123 456", "777 123 456a", "777  123 456", "777 123 456 777 123 456", "1 777 123 456 2", "577 123 456",
+           "x@y.cz.", "@y.cz", "a@b", "a@b.c1", "a..b+%_-@x-y.co.uk, b@c.com@d.cz", "a@.cz", "ž@y.cz", "a@b.c.d", "", "777 123 45", "tel 5 608111222", "+421 777 123 456"]
+    assert column(spark, odd, text.redact) == [f"tel: {r}", r, r, f"{r}789", f"{r}x", f"{r}3", f"ho{r}", "+608111222", "a777 123 456", "777 123 456a", "777  123 456", f"{r} {r}", f"1 {r} 2", "577 123 456",
+                                              f"{r}.", "@y.cz", "a@b", "a@b.c1", f"{r}, {r}@d.cz", "a@.cz", "ž@y.cz", "a@b.c.d", "", "777 123 45", "tel 5 608111222", f"+421 {r}"]
     body = ['{"title": "flat", "seller": {"email": "x@y.cz"}, "list": [{"Phone": "1"}], "n": 3}', "[1, 2]", "no json", '{"bad', None]
     assert column(spark, body, text.redact_json) == ['{"title": "flat", "seller": "[REDACTED]", "list": [{"Phone": "[REDACTED]"}], "n": 3}', "[1, 2]", "no json", '{"bad', None]
 
