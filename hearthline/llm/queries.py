@@ -23,8 +23,8 @@ from hearthline.llm.url_trust import url_verdicts
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-#: Passages are alike if 0.8 of their 5-word shingles are equal; these seeds find every such passage of 50 words. Repeats across documents are asked for, not those within one.
-PASSAGES = dict(k=5, window=10, least_seeds=2, most=8, shingle=5, similarity=0.8, min_words=50, within=False)
+#: Passages are alike if 0.8 of their 5-word shingles are equal; these seeds find every such passage of 50 words, across documents and within one.
+PASSAGES = dict(k=5, window=10, least_seeds=2, most=8, shingle=5, similarity=0.8, min_words=50)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -597,9 +597,10 @@ def without_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id
             out.append("".join([*kept, text[at:]]))
         return pd.Series(out, dtype=object)
 
-    spans = passages.groupBy(F.col("doc_id").alias("__passage_doc"), F.col("text_key").alias("__passage_text")).agg(
-        F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"))).alias("__passages"))
+    spans = passages.groupBy(F.col("doc_id").alias("of"), "text_key").agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"))).alias("spans"))
     spans = spans.hint("merge")  # passages grow with the documents, so they aren't broadcast
-    joined = docs.join(spans, (docs[id_col] == spans["__passage_doc"]) & (text_key(docs[text_col]) == spans["__passage_text"]), "left")
-    changed = F.when(F.col("__passages").isNull(), docs[text_col]).otherwise(cut(docs[text_col], F.col("__passages"))).alias(text_col)
-    return joined.select(*(changed if c == text_col else docs[c] for c in docs.columns))
+    rows = docs.select(docs[id_col].alias("id"), text_key(docs[text_col]).alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # a struct, whatever its columns are called
+    joined = rows.join(spans, (rows["id"] == spans["of"]) & (rows["key"] == spans["text_key"]), "left")
+    text = F.col("row")[text_col]
+    changed = F.when(F.col("spans").isNull(), text).otherwise(cut(text, F.col("spans"))).alias(text_col)
+    return joined.select(*(changed if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

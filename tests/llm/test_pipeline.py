@@ -74,3 +74,18 @@ def test_rows_are_dropped_by_their_own_decision(spark):
         left = steps[name](spark, docs, SF)
         assert left.columns == docs.columns
         assert sorted(map(tuple, left.collect()), key=str) == sorted([(1, same), (2, other), (None, third)], key=str)
+
+
+def test_columns_of_any_name(spark):
+    """Columns that are called as the stages' own come through every stage with their values, rows that share an id included."""
+    words = [f"w{i}" for i in range(200)]
+    text, near, other = " ".join(words), " ".join(words[:199] + ["end"]), " ".join(words[::-1])
+    names = ["__key", "key", "row", "id", "named", "of", "decided", "kept", "n", "spans", "text_key", "__passages", "component", "digest", "fp", "score"]
+    texts = [(1, text), (2, text), (2, other), (None, text), (None, near), (3, other + " " + text), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, *[f"{i}/{n}" for n in names]) for i, t in texts], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, SF)
+        assert left.columns == docs.columns and left.schema["text"].dataType == docs.schema["text"].dataType
+        rows = left.collect()
+        assert rows and all(r[n] == f"{r['doc_id']}/{n}" for r in rows for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= len(texts)
