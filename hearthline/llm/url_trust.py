@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.shared import written
+from hearthline.llm.shared import discard, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A link's host: what follows "//" in an href, quoted or not.
@@ -39,24 +39,26 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return rule, verdict
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, bound: int = 10_000, step: int = 6) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, bound: int = 10_000) -> DataFrame:
     """Personalised PageRank of each kind: edges (kind, src, dst, share), shares of a src sum to 1; seeds (kind, host, seed) -> (kind, host, rank).
 
-    Ranks only grow from round to round, as they start from the seeds' own. The loop ends when a round changes no host's
-    rank by more than tolerance of it, so not before every host that the seeds reach is reached. Every step rounds are one written table.
+    Ranks only grow from round to round, as they start from the seeds' own. The loop ends when a round changes no host's rank by more than tolerance of it, so not before every host that the seeds reach is reached. Each round is
+    a written table, so that its plan doesn't hold those of the rounds before; what a hub passes on is summed in each task first, and its links are split where its partition is skewed.
     """
     own = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank"))
-    rank = written(own)
-    for _ in range(0, bound, step):
-        for _ in range(step):
-            before = rank.select(F.col("kind").alias("of"), F.col("host").alias("at"), F.col("rank").alias("had"))
-            moved = edges.join(before, (edges.kind == F.col("of")) & (edges.src == F.col("at"))).select("kind", F.col("dst").alias("host"), (damping * F.col("had") * F.col("share")).alias("rank"), F.lit(0.0).alias("had"))
-            kept = before.select(F.col("of").alias("kind"), F.col("at").alias("host"), F.lit(0.0).alias("rank"), "had")
-            rank = moved.unionByName(own.withColumn("had", F.lit(0.0))).unionByName(kept).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("had").alias("had"))
-        rank = written(rank)
+    old: list[str] = []
+    rank = written(own, old)
+    for _ in range(bound):
+        before = rank.select(F.col("kind").alias("of"), F.col("host").alias("at"), F.col("rank").alias("had"))
+        moved = edges.join(before, (edges.kind == F.col("of")) & (edges.src == F.col("at"))).select("kind", F.col("dst").alias("host"), (damping * F.col("had") * F.col("share")).alias("rank"), F.lit(0.0).alias("had"))
+        kept = before.select(F.col("of").alias("kind"), F.col("at").alias("host"), F.lit(0.0).alias("rank"), "had")
+        summed = moved.unionByName(own.withColumn("had", F.lit(0.0))).unionByName(kept).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("had").alias("had"))
+        new: list[str] = []
+        rank = written(summed, new)
+        discard(edges.sparkSession, old)
+        old = new
         if rank.where(F.abs(F.col("rank") - F.col("had")) > tolerance * F.col("rank")).isEmpty():
             return rank.select("kind", "host", "rank")
-        rank = rank.select("kind", "host", "rank")
     raise RuntimeError(f"ranks did not settle in {bound} rounds")
 
 
@@ -66,8 +68,12 @@ def _shares(edges: DataFrame) -> DataFrame:
 
 
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                 damping: float = 0.85, threshold: float = 0.0) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust, distrust: one row per row of pages."""
+                 damping: float = 0.85, threshold: float = 0.01) -> DataFrame:
+    """page_id, host, path, rule, verdict, trust, distrust: one row per row of pages.
+
+    A host is blocked whose distrust is above its trust and above threshold times the rank that each host with pages would have if all had the same. A hundredth of it lets a host that a long chain of links or a crowd of other sources
+    parts from anything blocked go, and keeps hosts with blocked pages of their own, whose distrust is 0.15 of their share of the seeds at least.
+    """
     few = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     named = few.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
@@ -86,5 +92,6 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: st
     linked = written(_shares(edges).select(trusts, "*").unionByName(_shares(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")).select(distrusts, "*")))
     ranks = spread(linked, written(start("good").select(trusts, "*").unionByName(start("bad").select(distrusts, "*"))), damping)
     both = ranks.groupBy("host").agg(*(F.coalesce(F.max(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")))
-    method = F.when((F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
+    least = threshold / F.greatest(seeds.agg(F.count("*")).scalar(), F.lit(1))
+    method = F.when((F.col("distrust") > least) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     return judged.join(both, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "trust", "distrust")

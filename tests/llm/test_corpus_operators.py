@@ -432,6 +432,17 @@ def test_unrelated_link_changes_no_verdict(spark):
     assert url_verdicts(spark.createDataFrame([], "page_id long, url string, html string"), Q.RULES).count() == 0
 
 
+def test_faint_distrust_blocks_nothing(spark):
+    """A host that hundreds of hosts part from a blocked page is allowed, a direct neighbour of it isn't."""
+    crowd = [(i, f"http://c{i}.dev/", "<a href='http://mid.dev/'>t</a>") for i in range(10, 310)]
+    rows = [(1, "http://bad.net/x", ""), (2, "http://mid.dev/", "<a href='http://bad.net/'>t</a>"), *crowd, (400, "http://far.dev/", "<a href='http://c10.dev/'>t</a><a href='http://c11.dev/'>t</a>"), *((500 + i, f"http://d{i}.dev/", "<a href='http://c10.dev/'>t</a>") for i in range(60))]
+    got = {r["host"]: r for r in url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string"), Q.RULES).collect()}
+    assert got["mid.dev"]["verdict"] == "block" and got["bad.net"]["verdict"] == "block"
+    faint = [h for h in got if h.startswith("d")]
+    assert all(0 < got[h]["distrust"] < 0.01 / len(got) and got[h]["verdict"] == "allow" for h in faint)
+    assert got["c200.dev"]["verdict"] == "block"
+
+
 def test_ranks_settle(spark):
     """Ranks are those of the solved linear system, also over a chain of 20 hosts."""
     n = 20
