@@ -2,7 +2,7 @@
 
 A page is read once, from left to right, as a sequence of words and tags. Words score positive, by the kind of block and link that they stand in and by the names (class, id, role) of the elements around them;
 tags score negative, most of all those that main text rarely holds. The weights are log-odds counted over labelled pages. One linear scan finds the contiguous region of the highest score, and its words are the text, by whole blocks;
-elements inside that can't be article text (navigation, adverts, forms, comments, scripts) are taken out before the scan and only cost what a tag does.
+elements inside that can't be article text (navigation, adverts, forms to fill in, comments, scripts) are taken out before the scan and only cost what a tag does.
 
 A name that is known whole ("sidebar") decides for its element. A name of which only parts are known ("has-sidebar", "no-ads") counts by its parts, but not against an element that holds over half of the page's words, which is a wrapper.
 
@@ -34,7 +34,9 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe textarea title svg math object xmp".split())
 BLOCK = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-NEVER = set("head nav aside footer form button select dialog menu datalist".split())
+NEVER = set("head nav aside footer button select dialog menu datalist".split())
+CONTROLS = set("input select textarea button".split())
+FORM_WORDS = 25  # a form with fewer words a control is one that is filled in; others are wrappers around a page
 CLOSES_P = BLOCK - set("body html head br option td th tr tbody thead tfoot caption li dd dt summary figcaption".split())
 HIDES_P = set("td th button table".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -54,6 +56,7 @@ class Element:
     block: str = ""  # the block that its words stand in
     link: bool = False
     words: int = 0  # of the whole element
+    controls: int = 0  # of the whole element
     score: float = 0.0  # of the names of this element and those around it
     out: bool = False  # no article text in it
 
@@ -208,17 +211,24 @@ def default_weights() -> Weights:
     return learn(labelled_pages.pages())
 
 
+def _never(e: Element) -> bool:
+    return e.tag in NEVER or e.tag == "form" and e.words < FORM_WORDS * max(1, e.controls)
+
+
 def _judge(page: Page, weights: Weights) -> None:
     """Fill words, score and out of all elements; parents come before their children."""
-    for element, text, _ in page.items:
+    for element, text, tag in page.items:
         if text is not None:
             element.words += len(text.split())
+        elif tag in CONTROLS:
+            element.controls += 1
     for element in reversed(page.elements[1:]):
         element.parent.words += element.words
+        element.parent.controls += element.controls
     most = page.elements[0].words / 2
     for e in page.elements[1:]:
         if not e.names and not e.hidden and e.tag != "header":
-            e.score, e.out = e.parent.score, e.parent.out or e.tag in NEVER
+            e.score, e.out = e.parent.score, e.parent.out or _never(e)
             continue
         known = [weights.whole[n] for n in (n.lower() for n in e.names) if n in weights.whole]
         guessed = [sum(weights.parts.get(p, 0.0) for p in _parts(n)) for n in e.names if n.lower() not in weights.whole]
@@ -230,7 +240,7 @@ def _judge(page: Page, weights: Weights) -> None:
             within = within.parent
         header = e.tag == "header" and within is None and own <= 0
         e.score = e.parent.score + own
-        e.out = e.parent.out or e.hidden or e.tag in NEVER or header or own <= -1.5
+        e.out = e.parent.out or e.hidden or _never(e) or header or own <= -1.5
 
 
 def item_scores(page: Page, weights: Weights) -> list[float]:
@@ -247,22 +257,62 @@ def item_scores(page: Page, weights: Weights) -> list[float]:
     return out
 
 
-def region(page: Page, weights: Weights) -> tuple[int, int] | None:
-    """First and last item of the contiguous region with the highest score; None if no score is over zero."""
-    best, best_range, running, first = 0.0, None, 0.0, 0
-    for i, score in enumerate(item_scores(page, weights)):
+def _holders(element: Element) -> list[Element]:
+    out = [element]
+    while out[-1].parent is not None:
+        out.append(out[-1].parent)
+    return out
+
+
+def _stretches(scores: list[float]) -> list[tuple[float, int, int]]:
+    """(score, first, last) of the best region of each stretch in which the running score stays over zero."""
+    found: list[tuple[float, int, int]] = []
+    running, first, high, last = 0.0, 0, 0.0, -1
+    for i, score in enumerate(scores):
         if running <= 0:
-            running, first = 0.0, i
+            if high > 0:
+                found.append((high, first, last))
+            running, first, high = 0.0, i, 0.0
         running += score
-        if running > best:
-            best, best_range = running, (first, i)
-    return best_range
+        if running > high:
+            high, last = running, i
+    return [*found, (high, first, last)] if high > 0 else found
+
+
+def region(page: Page, weights: Weights) -> tuple[int, int] | None:
+    """First and last item of the contiguous region with the highest score; None if no score is over zero."""
+    best = max(_stretches(item_scores(page, weights)), key=lambda f: f[0], default=None)
+    return best and best[1:]
+
+
+def article_region(page: Page, weights: Weights, share: float = 0.25) -> tuple[int, int] | None:
+    """The best region, drawn out over what parts an article in two.
+
+    What stands in the middle of an article may cost more than either half of it is worth, a long list of links for one. So the region goes on to those other stretches that have a share of its score or more and lie in the same element:
+    the smallest around the words of the best one, where that is a section, article, division, form or cell.
+    """
+    found = _stretches(item_scores(page, weights))
+    if not found:
+        return None
+    best = max(found, key=lambda f: f[0])
+    words = lambda f: [e for e, text, _ in page.items[f[1]:f[2] + 1] if text is not None and not e.out and text.strip()]
+    common: list[Element] | None = None
+    for e in dict.fromkeys(words(best)):
+        held = _holders(e)
+        known = set(held)
+        common = held if common is None else [h for h in common if h in known]
+    around = next((h for h in common or [] if h.tag in BLOCK), None)
+    if around is None or around.tag not in SECTION | {"div", "form", "td"}:
+        return best[1:]
+    inside = lambda f: all(around in _holders(e) for own in [words(f)] for e in (own[:1] + own[-1:] or page.elements[:1]))
+    near = [f for f in found if f[0] >= share * best[0] and inside(f)]
+    return min(f[1] for f in near), max(f[2] for f in near)
 
 
 def main_text(source: str | None, weights: Weights | None = None) -> str:
     weights = weights or default_weights()
     page = parse(source or "")
-    found = region(page, weights)
+    found = article_region(page, weights)
     if found is None:
         return ""
     blocks: list[str] = []

@@ -432,6 +432,21 @@ def test_unrelated_link_changes_no_verdict(spark):
     assert url_verdicts(spark.createDataFrame([], "page_id long, url string, html string"), Q.RULES).count() == 0
 
 
+def test_page_in_a_form_and_article_in_halves():
+    words = lambda n, s: " ".join(f"{s}word{i}" for i in range(n))
+    half = lambda s: "".join(f"<p>{words(40, s + str(i))}.</p>" for i in range(4))
+    menu = "<div class=menu>" + "".join(f"<a href=/x{i}>link {i}</a>" for i in range(12)) + "</div>"
+    plain = "\n".join(f"{words(40, 'a' + str(i))}." for i in range(4))
+    form = f"<html><body><form id=aspnetForm method=post><input type=hidden name=v value=x>{menu}<div><h1>Title here</h1>{half('a')}</div></form></body></html>"
+    assert plain in main_text(form) and "link 3" not in main_text(form)
+    asked = f"<html><body><div>{half('a')}<form><label>Your name please</label><input name=n><label>Your mail please</label><input name=m><button>Send</button></form></div></body></html>"
+    assert main_text(asked) == plain
+    links = "<ul>" + "".join(f"<li><a href=/l{i}>item {i}</a></li>" for i in range(25)) + "</ul>"
+    split = f"<html><body>{menu}<div><h1>Title</h1>{half('a')}{links}{half('b')}</div><div class=footer>{words(30, 'f')}</div></body></html>"
+    got = main_text(split)
+    assert plain in got and "\n".join(f"{words(40, 'b' + str(i))}." for i in range(4)) in got and "fword1" not in got and "link 3" not in got
+
+
 def test_faint_distrust_blocks_nothing(spark):
     """A host that hundreds of hosts part from a blocked page is allowed, a direct neighbour of it isn't."""
     crowd = [(i, f"http://c{i}.dev/", "<a href='http://mid.dev/'>t</a>") for i in range(10, 310)]
