@@ -97,13 +97,13 @@ def resolve_position(lat: Column, lng: Column, level: Column, zoom: Column, geo_
     return F.struct(pick(geo_lat, lat).alias("lat"), pick(geo_lng, lng).alias("lng"), pick(theirs, own).alias("level"), pick(F.lit("geocoder"), F.lit("source")).alias("source"))
 
 
-def _edges(ring: Column) -> Column:
+def edges(ring: Column) -> Column:
     return F.zip_with(ring, F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1)), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
     """Ray casting; an edge belongs to the lower side, so a shared border belongs to one of two neighbours."""
-    crossed = F.filter(_edges(ring), lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]))
+    crossed = F.filter(edges(ring), lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]))
     return F.size(crossed) % 2 == 1
 
 
@@ -113,7 +113,7 @@ def in_polygon(x: Column, y: Column, rings: Column) -> Column:
 
 
 def ring_area(ring: Column) -> Column:
-    twice = F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + e["x1"] * e["y2"] - e["x2"] * e["y1"])
+    twice = F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + e["x1"] * e["y2"] - e["x2"] * e["y1"])
     return F.abs(twice) / 2
 
 
@@ -132,7 +132,7 @@ def inner_point(rings: Column) -> Column:
     """A point inside the polygon: on the level line through the middle of its height, the middle of the widest stretch inside."""
     box = bounds(rings)
     y = (box["y1"] + box["y2"]) / 2
-    crossings = F.array_sort(F.flatten(F.transform(rings, lambda ring: F.transform(F.filter(_edges(ring), lambda e: (e["y1"] > y) != (e["y2"] > y)), lambda e: (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))))
+    crossings = F.array_sort(F.flatten(F.transform(rings, lambda ring: F.transform(F.filter(edges(ring), lambda e: (e["y1"] > y) != (e["y2"] > y)), lambda e: (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(crossings) - 1, F.lit(1)), F.lit(2)), lambda i: F.struct((F.try_element_at(crossings, i + 1) - F.try_element_at(crossings, i)).alias("w"), ((F.try_element_at(crossings, i + 1) + F.try_element_at(crossings, i)) / 2).alias("x")))
     return F.struct(F.array_max(pairs)["x"].alias("x"), y.alias("y"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hearthline.functions import geo
 from hearthline.functions.classes import DEVIATION_CLASSES, deviation_class
 from hearthline.operators.latest import first_last, latest_per_key, majority, top_per_key, trend
+from hearthline.operators.medians import exact_median
 from hearthline.operators.trigrams import TrigramIndex
 
 SELLERS = ["private", "agency", "developer", "auction_organizer"]
@@ -179,13 +180,14 @@ def zone_cards(objects: DataFrame, history: DataFrame, least: int = 30) -> DataF
     active = objects.where((F.col("status") == "active") & F.col("zone_id").isNotNull())
     sized = F.col("area_sqm") > 0
     cards = active.groupBy("zone_id").agg(
-        F.count("*").alias("n"), F.rint(F.median("current_price_minor")).cast("long").alias("median_minor"),
+        F.count("*").alias("n"),
         F.round(F.sum("current_price_minor") / F.count("*")).cast("long").alias("mean_minor"),
         F.round(F.sum(F.when(sized, F.col("current_price_minor"))) / F.sum(F.when(sized, F.col("area_sqm")))).cast("long").alias("per_area_minor"), F.min("currency").alias("currency"))
     ranked = top_per_key(history, ["object_id"], [F.col("change_at").desc(), F.col("id").desc()], 2, "__k")
     two = ranked.groupBy("object_id").agg(F.max(F.when(F.col("__k") == 1, F.col("price_minor"))).alias("p0"), F.max(F.when(F.col("__k") == 2, F.col("price_minor"))).alias("p1"), F.count("*").alias("k")).where("k = 2")
     moved = active.select("id", "zone_id").join(two, F.col("id") == F.col("object_id")).groupBy("zone_id").agg(F.count("*").alias("n_history"), F.count_if(F.col("p0") < F.col("p1")).alias("n_down"))
-    joined = cards.join(moved, "zone_id", "left").na.fill(0, ["n_history", "n_down"])
+    middle = exact_median(active, ["zone_id"], "current_price_minor").select("zone_id", F.rint("median").cast("long").alias("median_minor"))
+    joined = cards.join(middle, "zone_id", "left").join(moved, "zone_id", "left").na.fill(0, ["n_history", "n_down"])
     enough = (F.col("n_history") >= least) & (F.col("n_history") > 0)
     return joined.withColumn("down_share", F.when(enough, F.col("n_down") / F.col("n_history"))).withColumn("trend_reason", F.when(F.col("n_history") < least, "insufficient_history"))
 

@@ -15,16 +15,29 @@ from hearthline.operators.latest import top_per_key
 ZONE_LEVELS = ["zone", "municipality", "region"]
 
 
+def _cut(zones: DataFrame, groups: tuple[str, ...], size: float) -> DataFrame:
+    """(groups, zone_id, cell, border) for the grid cells that a zone touches: border where an edge's box meets the cell, else the cell lies inside."""
+    boxed = zones.select(*groups, F.col("id").alias("zone_id"), "rings", F.explode(geo.cells_of(geo.bounds(F.col("rings")), size)).alias("cell"))
+    x, y = F.col("cell.i") * size, F.col("cell.j") * size
+    slack = size * 1e-6
+    meets = lambda e: (F.least(e["x1"], e["x2"]) <= x + size + slack) & (F.greatest(e["x1"], e["x2"]) >= x - slack) & (F.least(e["y1"], e["y2"]) <= y + size + slack) & (F.greatest(e["y1"], e["y2"]) >= y - slack)
+    border = F.exists(F.col("rings"), lambda ring: F.exists(geo.edges(ring), meets))
+    return boxed.select(*groups, "zone_id", "cell", border.alias("border"), geo.in_polygon(x + size / 2, y + size / 2, F.col("rings")).alias("inside")).where("border or inside").drop("inside")
+
+
 def covering_pairs(points: DataFrame, zones: DataFrame, key: str, size: float = 0.1, groups: list[str] = ("country",)) -> DataFrame:
     """(key, zone_id, level, area) for each point (lng, lat) and zone (id, level, rings) that covers it.
 
-    Zones are cut up by the grid cells their boxes touch, points fall in one cell; only pairs of a cell are tested exactly.
+    Zones are cut up by grid cells, points fall in one cell. What meets in a cell are ids; a cell inside a zone settles its points, and only pairs in a border cell fetch the zone's rings and are tested exactly.
     """
-    cut = zones.select(*groups, F.col("id").alias("zone_id"), "level", "rings", geo.bounds(F.col("rings")).alias("box"), geo.polygon_area(F.col("rings")).alias("area"))
-    cut = cut.select("*", F.explode(geo.cells_of(F.col("box"), size)).alias("cell"))
+    cut = _cut(zones, tuple(groups), size)
     here = points.where("lat is not null and lng is not null").select(*groups, key, F.col("lng").cast("double").alias("x"), F.col("lat").cast("double").alias("y")).withColumn("cell", geo.cell_of(F.col("x"), F.col("y"), size))
+    met = here.join(cut, [*groups, "cell"])
+    facts = zones.select(F.col("id").alias("zone_id"), "level", geo.polygon_area(F.col("rings")).alias("area"))
+    shapes = zones.select(F.col("id").alias("zone_id"), "rings", geo.bounds(F.col("rings")).alias("box"))
     box = F.col("x").between(F.col("box.x1"), F.col("box.x2")) & F.col("y").between(F.col("box.y1"), F.col("box.y2"))
-    return here.join(cut, [*groups, "cell"]).where(box & geo.in_polygon(F.col("x"), F.col("y"), F.col("rings"))).select(key, "zone_id", "level", "area")
+    tested = met.where("border").join(shapes, "zone_id").where(box & geo.in_polygon(F.col("x"), F.col("y"), F.col("rings")))
+    return met.where("not border").select(key, "zone_id").unionByName(tested.select(key, "zone_id")).join(facts, "zone_id").select(key, "zone_id", "level", "area")
 
 
 def assign_zones(points: DataFrame, zones: DataFrame, key: str = "id", size: float = 0.1) -> DataFrame:
@@ -49,6 +62,21 @@ def reassign(objects: DataFrame, zones: DataFrame, size: float = 0.1) -> tuple[D
     return joined.select(*[zone.alias(c) if c == "zone_id" else dirty.alias(c) if c == "zone_dirty" else F.col(c) for c in objects.columns]), report
 
 
+def cell_index(objects: DataFrame, size: float = 0.1) -> DataFrame:
+    """(country, cell, id): which objects lie in a cell; to be written, and kept up as objects come and move."""
+    return objects.where("lat is not null and lng is not null").select("country", geo.cell_of(F.col("lng").cast("double"), F.col("lat").cast("double"), size).alias("cell"), "id")
+
+
+def touched_by_zones(objects: DataFrame, index: DataFrame, before: DataFrame, after: DataFrame, size: float = 0.1) -> DataFrame:
+    """objects with zone_dirty where a zone has come, gone or changed (rings or level) in a cell of theirs, by its shape before or after; index is their cell_index. Other objects keep their flag, and no polygon is tested against them."""
+    shape = lambda zones, when: zones.select("country", "id", F.xxhash64("level", F.to_json("rings")).alias(when))
+    changed = shape(before, "was").join(shape(after, "now"), ["country", "id"], "full").where(~F.col("was").eqNullSafe(F.col("now"))).select("country", "id")
+    cells = before.select("country", "id", "rings").unionByName(after.select("country", "id", "rings")).join(changed, ["country", "id"], "left_semi").select("country", F.explode(geo.cells_of(geo.bounds(F.col("rings")), size)).alias("cell")).distinct()
+    hit = index.join(cells, ["country", "cell"], "left_semi").select(F.col("id").alias("__hit")).distinct()
+    joined = objects.join(hit, objects["id"] == hit["__hit"], "left")
+    return joined.select(*[(objects["zone_dirty"] | F.col("__hit").isNotNull()).alias(c) if c == "zone_dirty" else objects[c] for c in objects.columns])
+
+
 def link_parents(zones: DataFrame, size: float = 0.5) -> DataFrame:
     """id, parent_id: the smallest zone of the next level up that covers a point inside the zone; null if none does."""
     above = {"zone": "municipality", "municipality": "region"}

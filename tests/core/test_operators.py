@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import statistics
 
 import pytest
 import regex
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from hearthline.functions import areas
 from hearthline.operators import asof, catalog, delisting, latest, matching, merging, quality, queues, ranks, rules, scheduling, spatial
+from hearthline.operators.medians import exact_median
 from hearthline.operators.phrases import needed
 from hearthline.operators.trigrams import TrigramIndex
 
@@ -621,3 +623,50 @@ def test_matching_windows_and_dates(spark):
     assert got == {n: p is not None and any(q is not None and q < p for j, m, q in rows if j == k and m < n) for k, n, p in rows}
     least = {r["n"]: r["m"] for r in ranks.least_before(spark.createDataFrame(rows, "k string, n long, posted int"), ["k"], "n", "posted", "m", 7).collect()}
     assert least == {n: min((q for j, m, q in rows if j == k and m < n and q is not None), default=None) for k, n, p in rows}
+
+
+def test_exact_median(spark):
+    """One group with most rows, ties, an even and an odd number, one value, none; nulls and NaN don't count; over several rounds of bins."""
+    rng = random.Random(6)
+    rows = [("big", rng.choice([rng.uniform(0, 1), rng.uniform(0, 1e9), 7.0])) for _ in range(4001)] + [("even", float(i)) for i in range(10)] + [("ties", v) for v in [5.0] * 900 + [1.0, 9.0]] + [("one", -3.0), ("none", None), ("none", float("nan")), (None, 2.0), (None, 4.0), ("skew", 1e12)] + [("skew", i / 1e6) for i in range(500)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    want = {k: statistics.median(v for j, v in rows if j == k and v is not None and v == v) for k in {k for k, _ in rows} - {"none"}}
+    for bins, few in ((8, 5), (1024, 4096), (2, 1)):
+        got = {r["k"]: r["median"] for r in exact_median(frame, ["k"], "v", bins=bins, few=few).collect()}
+        assert got == pytest.approx(want, rel=1e-15)
+    assert exact_median(frame.limit(0), ["k"], "v").collect() == []
+
+
+def test_zones_by_cells(spark):
+    """Cells inside a zone settle points without a test, border cells test them; a hole, a triangle, several countries."""
+    rng = random.Random(12)
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in [*p, p[0]]]
+    shapes = [(1, "CZ", "region", [ring((0, 0), (3, 0), (3, 3), (0, 3)), ring((1, 1), (2, 1), (2, 2), (1, 2))]), (2, "CZ", "zone", [ring((0.5, 0.2), (2.7, 0.4), (1.1, 2.9))]), (3, "SK", "zone", [ring((0, 0), (3, 0), (3, 3), (0, 3))]), (4, "CZ", "municipality", [ring((2.95, 2.95), (2.96, 2.95), (2.96, 2.96))])]
+    kind = "id long, country string, level string, rings array<array<struct<x:double,y:double>>>"
+    rows = [(i, rng.choice(["CZ", "SK"]), rng.uniform(-0.5, 3.5), rng.uniform(-0.5, 3.5)) for i in range(400)] + [(900, "CZ", 2.957, 2.952), (901, "CZ", None, 1.0)]
+    points = spark.createDataFrame(rows, "id long, country string, lng double, lat double")
+    cross = lambda x, y, r: sum((a["y"] > y) != (b["y"] > y) and x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"] for a, b in zip(r, r[1:])) % 2 == 1
+    want = {(i, z) for i, c, x, y in rows if x is not None for z, country, _, rings in shapes if c == country and cross(x, y, rings[0]) and not any(cross(x, y, h) for h in rings[1:])}
+    for size in (0.1, 0.5, 10.0):
+        assert {(r["id"], r["zone_id"]) for r in spatial.covering_pairs(points, spark.createDataFrame(shapes, kind), "id", size).collect()} == want
+    assert (900, 4) in want
+
+
+def test_touched_by_zones(spark):
+    """After zones changed, re-assigning what lies in their cells gives what re-assigning all gives, and looks at no other objects."""
+    rng = random.Random(13)
+    old = [(i, "CZ", "zone", box(i * 1.0, 0.0, i + 0.9, 1.0)) for i in range(6)] + [(7, "SK", "zone", box(0, 0, 6, 1))]
+    new = [z for z in old if z[0] not in (1, 3)] + [(3, "CZ", "zone", box(3.0, 0.0, 3.4, 0.5)), (8, "CZ", "zone", box(5.5, 2.0, 5.9, 2.5))]
+    kind = "id long, country string, level string, rings array<array<struct<x:double,y:double>>>"
+    before, after = (spark.createDataFrame([(i, c, lv, [[{k: float(v) for k, v in p.items()} for p in r] for r in rings]) for i, c, lv, rings in z], kind) for z in (old, new))
+    rows = [(i, rng.choice(["CZ", "SK"]), rng.uniform(0, 6), rng.uniform(0, 2.6), None, False, False) for i in range(300)] + [(500, "CZ", None, None, None, False, False)]
+    objects = spark.createDataFrame(rows, "id long, country string, lng double, lat double, zone_id long, zone_dirty boolean, zone_terminal boolean")
+    held, _ = spatial.reassign(objects, before)
+    held = held.where("zone_id is not null or lat is null")
+    marked = spatial.touched_by_zones(held, spatial.cell_index(held), before, after)
+    assert marked.columns == held.columns
+    dirty = {r["id"] for r in marked.where("zone_dirty").collect()}
+    assert 0 < len(dirty) < held.count() / 2
+    assert not dirty & {r["id"] for r in held.where("country = 'SK' or (lng < 0.9 or lng between 2.1 and 2.9)").collect()}
+    full, _ = spatial.reassign(held.withColumn("zone_dirty", F.lit(True)), after)
+    assert {r["id"]: r["zone_id"] for r in spatial.reassign(marked, after)[0].collect()} == {r["id"]: r["zone_id"] for r in full.collect()}
