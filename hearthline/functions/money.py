@@ -68,5 +68,15 @@ def format_minor(minor: Column, exponent: int = 2) -> Column:
     return F.concat(sign, F.substring(size, F.lit(1), F.length(size) - exponent), F.lit("."), F.right(size, F.lit(exponent)))
 
 
+def shown_price(minor: Column, currency: Column, exponent: int = 2) -> Column:
+    """450000000 -> "4 500 000 CZK": thousands apart, without a fraction of zero."""
+    plain = format_minor(minor, exponent)
+    number = F.regexp_replace(plain, r"\.0+$", "")
+    whole, fraction = F.substring_index(number, ".", 1), F.when(number.contains("."), F.concat(F.lit("."), F.substring_index(number, ".", -1))).otherwise("")
+    digits = F.reverse(F.replace(whole, F.lit("-"), F.lit("")))
+    apart = F.reverse(F.array_join(F.regexp_extract_all(digits, F.lit(r"\d{1,3}"), 0), " "))
+    return F.concat(F.when(number.startswith("-"), "-").otherwise(""), apart, fraction, F.lit(" "), currency)
+
+
 def price_per_area(minor: Column, area: Column) -> Column:
     return F.round(minor / F.when(area > 0, area)).cast("long")

@@ -210,3 +210,35 @@ def model_states(objects: DataFrame, valuations: DataFrame) -> DataFrame:
     reasons = joined.where("price_deviation is null and deviation_null_reason is not null").groupBy(*pair, F.substring_index("deviation_null_reason", ":", 1).alias("reason")).agg(F.count("*").alias("c"))
     lead = top_per_key(reasons, pair, [F.desc("c"), F.asc("reason")]).select(*pair, F.col("reason").alias("lead_reason"))
     return states.join(lead, pair, "left")
+
+
+def object_view(objects: DataFrame, history: DataFrame, listings: DataFrame, sources: DataFrame, object_id: int) -> DataFrame:
+    """One object's row with price_history (price_minor, currency, change_at), oldest first, and listings (source_id, source_name, external_id, source_url) by source name and external id; no row if there is no such object.
+
+    history: object_id, id, change_at, price_minor, currency; listings: object_id, source_id, external_id, source_url; sources: id, name. Only this object's rows leave the scans.
+    """
+    mine = lambda df: df.where(F.col("object_id") == object_id)
+    points = mine(history).agg(F.array_sort(F.collect_list(F.struct("change_at", "id", "price_minor", "currency"))).alias("points"))
+    points = points.select(F.transform("points", lambda p: F.struct(p["price_minor"].alias("price_minor"), p["currency"].alias("currency"), p["change_at"].alias("change_at"))).alias("price_history"))
+    named = mine(listings).join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name")), "source_id")
+    held = named.agg(F.array_sort(F.collect_list(F.struct("source_name", "external_id", "source_id", "source_url"))).alias("rows"))
+    held = held.select(F.transform("rows", lambda r: F.struct(r["source_id"].alias("source_id"), r["source_name"].alias("source_name"), r["external_id"].alias("external_id"), r["source_url"].alias("source_url"))).alias("listings"))
+    return objects.where(F.col("id") == object_id).join(F.broadcast(points)).join(F.broadcast(held))  # both have one row
+
+
+DEAL_TYPES = ["sale", "rent"]
+
+
+def latest_model(models: DataFrame, params: dict) -> DataFrame:
+    """The latest run of a hazard model, of a country and deal type where those are asked for; no row before the first run. ValueError names a wrong parameter."""
+    for name in params:
+        if name not in ("country", "deal_type"):
+            raise ValueError(f"unknown parameter: {name}")
+    rows = models
+    if country := params.get("country"):
+        if len(country) != 2:
+            raise ValueError("country: a code of two letters")
+        rows = rows.where(F.col("country") == country)
+    if kind := _one_of(params, "deal_type", DEAL_TYPES):
+        rows = rows.where(F.col("deal_type") == kind)
+    return rows.orderBy(F.desc("computed_at"), F.desc("id")).limit(1)

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthline.functions import geo
-from hearthline.operators import queues, rules
+from hearthline.operators import catalog, queues, rules
 from hearthline.operators.merging import upsert, upsert_adding
 from hearthline.operators.trigrams import TrigramIndex
+from hearthline.plans import market
 from hearthline.plans.registry import query
 from hearthline.session import shared_folder
 from hearthline.sources.tables import table as t
@@ -133,3 +134,54 @@ def i18_resolved_positions(spark: SparkSession, d: str) -> DataFrame:
     own, theirs = F.when(k % 5 > 0, 50.0), F.when(k % 7 > 0, 50 + (k % 4) * 0.2)
     got = geo.resolve_position(own, F.when(k % 5 > 0, 14.0), level, k % 20, theirs, F.when(k % 7 > 0, 14.0), kind, k % 11 > 0, k % 2 == 0)
     return t(spark, d, "customer").select(k.alias("k"), got["lat"].alias("lat"), got["level"].alias("level"), got["source"].alias("source"))
+
+
+@query("""WITH last AS (SELECT user_id FROM events GROUP BY 1 ORDER BY count(*) DESC, user_id LIMIT 1), pts AS (SELECT round(value * 100)::BIGINT AS p, ts, event_id FROM events WHERE user_id = (SELECT user_id FROM last)),
+    ls AS (SELECT o_orderkey, o_orderpriority FROM orders WHERE o_custkey = (SELECT user_id FROM last))
+    SELECT c_custkey AS id, c_name AS name, (SELECT string_agg(p::VARCHAR, ',' ORDER BY ts, event_id) FROM pts) AS prices, coalesce((SELECT string_agg(o_orderpriority || '/' || o_orderkey, ',' ORDER BY o_orderpriority, o_orderkey::VARCHAR) FROM ls), '') AS listings FROM customer WHERE c_custkey = (SELECT user_id FROM last)""")
+def m_object_view(spark: SparkSession, d: str) -> DataFrame:
+    """A customer with all prices and listings: the one with most events."""
+    events, orders = t(spark, d, "events"), t(spark, d, "orders")
+    asked = events.groupBy("user_id").count().orderBy(F.desc("count"), "user_id").first()["user_id"]
+    history = events.select(F.col("user_id").alias("object_id"), F.col("event_id").alias("id"), F.col("ts").alias("change_at"), F.round(F.col("value") * 100).cast("long").alias("price_minor"), F.lit("EUR").alias("currency"))
+    listings = orders.select(F.col("o_custkey").alias("object_id"), F.substring("o_orderpriority", 1, 1).alias("source_id"), F.col("o_orderkey").cast("string").alias("external_id"), F.lit(None).cast("string").alias("source_url"))
+    sources = orders.select(F.substring("o_orderpriority", 1, 1).alias("id"), F.col("o_orderpriority").alias("name")).distinct()
+    view = catalog.object_view(t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), history, listings, sources, asked)
+    join = lambda c, f: F.array_join(F.transform(c, f), ",")
+    return view.select("id", "name", join("price_history", lambda p: p["price_minor"].cast("string")).alias("prices"), join("listings", lambda r: F.concat_ws("/", r["source_name"], r["external_id"])).alias("listings"))
+
+
+_MODEL_ASKED = [{}, {"country": "C1"}, {"deal_type": "rent"}, {"country": "C3", "deal_type": "sale"}, {"country": "C9"}, {"country": "C22"}, {"deal_type": "lease"}, {"zone": "1"}]
+
+
+@query("""WITH m AS (SELECT o_orderkey AS id, 'C' || o_custkey % 5 AS country, CASE WHEN o_orderkey % 2 = 0 THEN 'sale' ELSE 'rent' END AS deal_type, o_orderdate AS ts FROM orders), asked(n, country, deal) AS (VALUES (0, NULL, NULL), (1, 'C1', NULL), (2, NULL, 'rent'), (3, 'C3', 'sale'), (4, 'C9', NULL)),
+    found AS (SELECT n, max({'ts': ts, 'id': id}).id AS id FROM asked a JOIN m ON (a.country IS NULL OR a.country = m.country) AND (a.deal IS NULL OR a.deal = m.deal_type) GROUP BY n)
+    SELECT n::INTEGER AS n, id, NULL AS error FROM found UNION ALL SELECT * FROM (VALUES (5, NULL, 'country: a code of two letters'), (6, NULL, 'deal_type: sale | rent'), (7, NULL, 'unknown parameter: zone'))""")
+def m_latest_model(spark: SparkSession, d: str) -> DataFrame:
+    """The latest model for several requests, and what is wrong with others."""
+    models = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("C"), F.col("o_custkey") % 5).alias("country"), F.when(F.col("o_orderkey") % 2 == 0, "sale").otherwise("rent").alias("deal_type"), F.col("o_orderdate").alias("computed_at"))
+    out = spark.createDataFrame([], "n int, id long, error string")
+    for n, params in enumerate(_MODEL_ASKED):
+        try:
+            out = out.unionByName(catalog.latest_model(models, params).select(F.lit(n).alias("n"), "id", F.lit(None).cast("string").alias("error")))
+        except ValueError as e:
+            out = out.unionByName(spark.createDataFrame([(n, None, str(e))], "n int, id long, error string"))
+    return out
+
+
+_LIST_ASKED = [{}, {"country": ""}, {"rooms": "2"}, {"price_min": "20000000", "status": "active"}, {"colour": "red"}, {"rooms": "many"}, {"price_min": "5", "price_max": "4"}, {"q": "x"}]
+
+
+@query(f"""WITH {market.OBJECTS_SQL} SELECT 0::INTEGER AS n, count(*) AS total, NULL AS error FROM objects UNION ALL SELECT 1, count(*), NULL FROM objects UNION ALL SELECT 2, count(*) FILTER (WHERE rooms = 2), NULL FROM objects UNION ALL SELECT 3, count(*) FILTER (WHERE current_price_minor >= 20000000 AND status = 'active'), NULL FROM objects
+    UNION ALL SELECT * FROM (VALUES (4, NULL, 'unknown parameter: colour'), (5, NULL, 'rooms: not a number'), (6, NULL, 'price_min > price_max: 5 > 4'), (7, NULL, 'q: at least 2 characters'))""")
+def c03_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of list requests whose filters are optional, and what is wrong with others."""
+    photos = spark.createDataFrame([], "object_id long, ord int, original_url string")
+    out = spark.createDataFrame([], "n int, total long, error string")
+    for n, params in enumerate(_LIST_ASKED):
+        try:
+            _, total = catalog.list_objects(market.objects(spark, d), market.valuations(spark, d), photos, params)
+            out = out.unionByName(total.select(F.lit(n).alias("n"), "total", F.lit(None).cast("string").alias("error")))
+        except ValueError as e:
+            out = out.unionByName(spark.createDataFrame([(n, None, str(e))], "n int, total long, error string"))
+    return out

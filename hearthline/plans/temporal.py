@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.functions.money import apply_rate, convert, format_minor, parse_money
+from hearthline.functions.money import apply_rate, convert, format_minor, parse_money, shown_price
 from hearthline.functions.scheduling import backoff_minutes, effective_cap, slot_key, window_weight
 from hearthline.operators import asof, delisting, metrics, queues, ranks, scheduling, survival
 from hearthline.plans import market
@@ -224,3 +224,12 @@ def i11_convert_through_euro(spark: SparkSession, d: str) -> DataFrame:
 def i08_money_text(spark: SparkSession, d: str) -> DataFrame:
     shown = format_minor(market.cents("o_totalprice"))
     return t(spark, d, "orders").select("o_orderkey", parse_money(F.replace(shown, F.lit("."), F.lit(",")))["minor"].alias("minor"), shown.alias("shown"))
+
+
+@query("""WITH m AS (SELECT o_orderkey, (round(o_totalprice * 100)::BIGINT * CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE 1 END) // CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE 1 END * CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE 1 END AS minor FROM orders)
+    SELECT o_orderkey, CASE WHEN minor < 0 THEN '-' ELSE '' END || replace(format('{:,}', abs(minor) // 100), ',', ' ') || CASE WHEN abs(minor) % 100 > 0 THEN '.' || lpad((abs(minor) % 100)::VARCHAR, 2, '0') ELSE '' END || ' CZK' AS shown FROM m""")
+def i09_shown_prices(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    minor = market.cents("o_totalprice") * F.when(k % 5 == 0, -1).otherwise(1)
+    minor = F.when(k % 3 == 0, (F.floor(F.abs(minor) / 100) * 100 * F.signum(minor)).cast("long")).otherwise(minor)
+    return t(spark, d, "orders").select("o_orderkey", shown_price(minor, F.lit("CZK")).alias("shown"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hearthline.functions import areas, language, text, urls
 from hearthline.operators import matching, rules
-from hearthline.plans.registry import query
+from hearthline.plans.registry import ORACLE, query
 from hearthline.sources.tables import table as t
 
 
@@ -80,6 +80,13 @@ def i31_language(spark: SparkSession, d: str) -> DataFrame:
     return language.detect(t(spark, d, "documents").select("doc_id", "text"), "text", "found", "sure").select("doc_id", F.col("found").alias("lang"), F.round("sure", 6).alias("confidence"))
 
 
+@query(f"WITH found AS ({ORACLE['i31_language']}) SELECT doc_id, CASE WHEN f.lang IS NOT NULL AND f.confidence >= 0.35 THEN f.lang ELSE d.lang END AS kept FROM found f JOIN documents d USING (doc_id)")
+def i31_kept_language(spark: SparkSession, d: str) -> DataFrame:
+    """The language that a document has, or the one that is detected surely."""
+    found = language.detect(t(spark, d, "documents").select("doc_id", "lang", "text"), "text", "found", "sure")
+    return found.select("doc_id", language.kept_language(F.col("lang"), F.col("found"), F.round("sure", 6)).alias("kept"))
+
+
 @query("SELECT page_id, nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS title FROM pages")
 def a08_titles(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", F.nullif(text.html_title(F.col("html")), F.lit("")).alias("title"))
