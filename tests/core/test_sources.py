@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from hearthline.sources import feeds, pages, tables
+from hearthline.sources import feeds, paged, pages, tables
 
 CARD = '<div class="inzeraty inzeratyflex"><a href="/inzerat/{id}/byt.php">x</a> [{date}] {price}<div class="inzeratylok">Praha 5<br>152 00</div><div class="popis">Hezký <b>byt</b> &amp; sklep</div></div>'
 PRICED = '<div class="inzeratycena"><b>14 500 000 Kč</b></div>'
@@ -125,3 +125,39 @@ def test_tables(spark, tmp_path):
         tables.register("cards", pages.cards)
     with pytest.raises(ValueError):
         tables.connector("unknown")
+
+
+def test_paged_source(spark, tmp_path):
+    """A folder of pages read in ranges, as a batch and as a stream that goes on where it stopped; what fails makes a run partial or failed."""
+    paged.register(spark)
+    folder = tmp_path / "pages"
+    folder.mkdir()
+    write = lambda n, cards: (folder / f"{n:05d}.html").write_text("inzerátů z 7" + "".join(CARD.format(id=i, date="27.8. 2026", price=PRICED) for i in cards))
+    for n in (1, 2, 3, 5):
+        write(n, [10 * n, 10 * n + 1])
+    (folder / "notes.txt").write_text("x")
+    load = lambda **options: spark.read.format("listing_pages").options(path=str(folder), **options).load()
+    whole = load(pagesPerPartition="2")
+    assert whole.rdd.getNumPartitions() == 3 and sorted((r["page"], r["problem"]) for r in whole.collect()) == [(1, None), (2, None), (3, None), (4, "network"), (5, None)]
+    listings, report = paged.scan(whole, base="https://s")
+    assert {r["external_id"] for r in listings.collect()} == {"10", "11", "20", "21", "30", "31", "50", "51"}
+    assert report.first().asDict() == {"completeness": "partial", "pages": 5, "failed_pages": 1, "bad_cards": 0, "issues": {"network": 1}}
+    assert paged.scan(load(pages="3"))[1].first().asDict() == {"completeness": "complete", "pages": 3, "failed_pages": 0, "bad_cards": 0, "issues": {}}
+    (folder / "00004.html").write_bytes(b"\xff\xfe")
+    (folder / "00006.html").write_text('<div class="g-recaptcha"></div>')
+    write(7, [])
+    (folder / "00007.html").write_text(CARD.replace("/inzerat/{id}/", "/jine/").format(date="1.1. 2026", price=PRICED))
+    assert paged.scan(load())[1].first().asDict() == {"completeness": "partial", "pages": 7, "failed_pages": 2, "bad_cards": 1, "issues": {"captcha": 1, "layout_change": 2}}
+    gone = spark.read.format("listing_pages").options(path=str(tmp_path / "none"), pages="2").load()
+    assert paged.scan(gone)[1].first()["completeness"] == "failed"
+    with pytest.raises(Exception, match="pagesPerPartition"):
+        load(pagesPerPartition="0").collect()
+
+    stream = spark.readStream.format("listing_pages").option("path", str(folder)).option("pagesPerPartition", "3").load()
+    batches = []
+    for n in (7, 9):
+        for k in range(8, n + 1):
+            write(k, [10 * k])
+        q = stream.writeStream.foreachBatch(lambda df, _: batches.append(sorted(r["page"] for r in df.collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    assert [p for b in batches for p in b] == list(range(1, 10)) and batches[-1] == [8, 9]
