@@ -212,6 +212,11 @@ def model_states(objects: DataFrame, valuations: DataFrame) -> DataFrame:
     return states.join(lead, pair, "left")
 
 
+def corpus(objects: DataFrame, country: str, deal_type: str) -> DataFrame:
+    """The active objects of a market."""
+    return objects.where((F.col("country") == country) & (F.col("deal_type") == deal_type) & (F.col("status") == "active"))
+
+
 def object_view(objects: DataFrame, history: DataFrame, listings: DataFrame, sources: DataFrame, object_id: int) -> DataFrame:
     """One object's row with price_history (price_minor, currency, change_at), oldest first, and listings (source_id, source_name, external_id, source_url) by source name and external id; no row if there is no such object.
 

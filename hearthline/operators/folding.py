@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def fold_by_key(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], Any], step: Callable[[Any, dict], tuple[Any, dict | None]], schema: str) -> DataFrame:
-    """For each row, in order within its keys, step(state, row) -> (new state, output row or None).
+def fold_by_key(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, tuple | None]], schema: str) -> DataFrame:
+    """For each row, in order within its keys, step(state, row) -> (new state, output row or None); rows are tuples, keys must be the first columns.
 
     Rows are dealt by key and sorted; a task passes through them batch by batch, so a key with very many rows needs no more memory
     than others. The fold itself is sequential within a key.
@@ -20,9 +20,9 @@ def fold_by_key(rows: DataFrame, keys: list[str], order: list[str], start: Calla
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = object(), None
         for batch in batches:
-            out: list[dict] = []
-            for row in batch.to_dict("records"):
-                own = tuple(row[k] for k in keys)
+            out: list[tuple] = []
+            for row in zip(*(batch[c].tolist() for c in batch.columns)):
+                own = row[:len(keys)]
                 if own != key:
                     key, state = own, start()
                 state, made = step(state, row)

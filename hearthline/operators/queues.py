@@ -27,10 +27,10 @@ def depth_alert(notifications: DataFrame, as_of: dt.datetime, limit_minutes: int
 
 def without_repeats(alerts: DataFrame, keys: list[str], time: str, tie: str, seconds: float) -> DataFrame:
     """Alerts that come at least `seconds` after the last one of their keys that was let through."""
-    def step(last: float | None, row: dict) -> tuple[float | None, dict | None]:
-        if last is not None and row["__s"] - last < seconds:
+    def step(last: float | None, row: tuple) -> tuple[float | None, tuple | None]:
+        if last is not None and row[-1] - last < seconds:
             return last, None
-        return row["__s"], {c: row[c] for c in [*keys, tie]}
+        return row[-1], row[:-1]
 
     kinds = dict(alerts.dtypes)
     rows = alerts.select(*keys, tie, (F.unix_micros(time) / 1e6).alias("__s"))

@@ -86,14 +86,14 @@ def cooldown_ladder(outcomes: DataFrame, base_minutes: float = 60, multiplier: f
     A failure adds a strike, halves the factor (not below least_factor) and starts a cooldown that doubles with each strike; a success clears the strikes
     and raises the factor by one step, to 1 at most.
     """
-    def step(state: tuple[int, float], row: dict) -> tuple[tuple[int, float], dict]:
+    def step(state: tuple[int, float], row: tuple) -> tuple[tuple[int, float], tuple]:
         strikes, factor = state
-        if row["ok"]:
+        if row[2]:
             strikes, factor, minutes = 0, min(1.0, factor * recovery), 0.0
         else:
             strikes += 1
             factor, minutes = max(least_factor, factor / 2), min(cap_minutes, base_minutes * multiplier ** min(strikes - 1, 60))
-        return (strikes, factor), row | {"strikes": strikes, "rate_factor": factor, "cooldown_minutes": minutes}
+        return (strikes, factor), (*row, strikes, factor, minutes)
 
     rows = outcomes.select("source_id", "at", "ok")
     kinds = dict(rows.dtypes)

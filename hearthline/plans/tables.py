@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthline.functions import geo
-from hearthline.operators import catalog, queues, rules
+from hearthline.operators import catalog, probing, queues, rules
 from hearthline.operators.merging import upsert, upsert_adding
 from hearthline.operators.trigrams import TrigramIndex
 from hearthline.plans import market
 from hearthline.plans.registry import query
 from hearthline.session import shared_folder
 from hearthline.sources.tables import table as t
+from hearthline.streaming import states
 from hearthline.streaming.sinks import KeyedTable
 
 
@@ -185,3 +186,52 @@ def c03_requests(spark: SparkSession, d: str) -> DataFrame:
         except ValueError as e:
             out = out.unionByName(spark.createDataFrame([(n, None, str(e))], "n int, total long, error string"))
     return out
+
+
+@query("""WITH r AS (SELECT o_orderkey AS id, o_orderkey % 7 AS k, o_orderkey % 35 AS n, o_orderkey % 3 = 0 AS full_ FROM orders)
+    SELECT id, CASE WHEN k = 0 THEN 'direct' WHEN k = 1 THEN 'mirror' WHEN k = 2 THEN 'agency_site' WHEN k = 3 THEN 'excluded_no_data' WHEN n >= 30 AND full_ THEN 'direct' ELSE 'excluded_no_data' END AS class FROM r""")
+def i37_probe_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Finished probes: observed classes, mirrors and agencies by their home page, another country, complete samples."""
+    k, kind, n = F.col("o_orderkey"), F.col("o_orderkey") % 7, F.col("o_orderkey") % 35
+    home = F.when(kind == 1, F.repeat(F.lit("<a href=//x.CeskeReality.cz>"), 5)).when(kind == 2, "<title>Century 21 Brno").otherwise(F.repeat(F.lit("ceskereality "), 4))
+    some = F.when(k % 3 == 0, n).otherwise(n - 1)
+    coverage = F.struct(n.alias("n"), n.alias("external_id"), n.alias("url"), some.alias("price"), n.alias("deal_type"), n.alias("property_type"))
+    return t(spark, d, "orders").select(k.alias("id"), probing.probe_class(F.when(kind == 0, "direct").otherwise("pending"), home, F.when(kind == 3, "a.sk").otherwise("a.cz"), coverage).alias("class"))
+
+
+@query("""WITH e AS (SELECT p_partkey AS o, p_name AS pattern, CASE WHEN p_partkey % 97 = 0 THEN 'no' ELSE 'yes' END AS v, length(p_name) % 3 AS kind FROM part), h AS (SELECT DISTINCT pattern, kind, CASE kind WHEN 1 THEN 'yes' ELSE 'no' END AS value, CASE kind WHEN 1 THEN 'active' ELSE 'disabled' END AS status FROM e WHERE kind > 0),
+    f AS (SELECT pattern, kind, arg_min(v, o) AS first FROM e GROUP BY ALL), j AS (SELECT f.pattern, f.kind, coalesce(h.value, f.first) AS value, coalesce(h.status, 'candidate') AS status FROM f LEFT JOIN h USING (pattern)),
+    c AS (SELECT j.pattern, j.kind, j.value, j.status, count(*) FILTER (e.v = j.value) AS yes, count(*) FILTER (e.v <> j.value) AS no FROM j JOIN e USING (pattern) GROUP BY ALL)
+    SELECT pattern, value, CASE WHEN no > 0 AND status IN ('candidate', 'active') THEN 'conflict' ELSE status END AS status, CASE kind WHEN 1 THEN 0.5 ELSE 0.9 END::DOUBLE AS confidence, (yes + CASE WHEN kind > 0 THEN 3 ELSE 0 END)::BIGINT AS occurrences, no::BIGINT AS conflicts FROM c""")
+def b05_mined_into(spark: SparkSession, d: str) -> DataFrame:
+    """Mined events merged into templates that are active or disabled, and new ones."""
+    k = F.col("p_partkey")
+    parts = t(spark, d, "part")
+    events = parts.select(k.alias("seq"), F.lit("CZ").alias("country"), F.lit("handy").alias("attr_key"), F.col("p_name").alias("pattern"), F.col("p_name").alias("quote"), F.col("p_name").alias("text"), F.when(k % 97 == 0, "no").otherwise("yes").alias("value"), F.lit(0.9).alias("confidence"), k.cast("long").alias("object_id"))
+    kind, none = F.length("p_name") % 3, F.expr("cast(array() as array<bigint>)")
+    held = parts.select("p_name").distinct().where(kind > 0).select(
+        F.lit("CZ").alias("country"), F.lit("handy").alias("attr_key"), F.col("p_name").alias("pattern"), F.when(kind == 1, "yes").otherwise("no").alias("value"), F.when(kind == 1, "active").otherwise("disabled").alias("status"), F.when(kind == 1, 0.5).otherwise(0.95).alias("confidence"),
+        F.lit(3).cast("long").alias("occurrences"), F.lit(0).cast("long").alias("conflicts"), none.alias("example_object_ids"), none.alias("last_ids"))
+    return rules.mine(held, events).select("pattern", "value", "status", "confidence", "occurrences", "conflicts")
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_type <> 'error' AND event_type <> 'view' AS found, event_id FROM events), g AS (SELECT *, count(*) FILTER (found) OVER w AS g FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+    m AS (SELECT *, count(*) FILTER (NOT found) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS misses FROM g), p AS (SELECT *, lag(misses) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM m)
+    SELECT user_id AS object_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS run_at, CASE WHEN found THEN 'active' ELSE 'delisted' END AS status FROM p WHERE (NOT found AND misses = 2) OR (found AND before >= 2)""")
+def k02_lifecycle_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Events as sightings, streamed in three parts in order of time: an object is delisted at its second miss and comes back when it is seen."""
+    rows = t(spark, d, "events").select(F.col("user_id").cast("long").alias("object_id"), F.col("ts").cast("timestamp").alias("run_at"), (~F.col("event_type").isin("error", "view")).alias("found"))
+    ends = rows.agg(F.min(F.unix_micros("run_at")).alias("a"), F.max(F.unix_micros("run_at")).alias("b")).first()
+    at, place = F.unix_micros("run_at"), _place(spark, "sightings")
+    edges = [ends["a"] + (ends["b"] - ends["a"]) * k // 3 for k in range(3)] + [ends["b"] + 1]
+    for low, high in zip(edges, edges[1:]):
+        rows.where((at >= low) & (at < high)).write.mode("append").parquet(f"{place}/in/{low}")
+        stream = states.lifecycle(spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{place}/in"))
+        stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/out").select("object_id", F.date_format("run_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("run_at"), "status")
+
+
+@query(f"""WITH {market.OBJECTS_SQL} SELECT id FROM objects WHERE country = 'NATION_3' AND deal_type = 'sale' AND status = 'active'""")
+def c18_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The objects that a market's model learns from."""
+    return catalog.corpus(market.objects(spark, d), "NATION_3", "sale").select("id")
