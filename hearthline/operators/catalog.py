@@ -212,6 +212,41 @@ def model_states(objects: DataFrame, valuations: DataFrame) -> DataFrame:
     return states.join(lead, pair, "left")
 
 
+#: Columns of a list's rows: those of objects, and by side table the names of its columns (theirs -> the row's).
+OBJECT_COLUMNS = ("id country deal_type zone_id title address area_sqm rooms property_type seller_type seller_name current_price_minor currency status delisted_reason first_seen_at last_seen_at delisted_at "
+                  "description_original language_original geo_confidence").split()
+VALUATION_COLUMNS = {"model_version": "model_version", "price_deviation": "price_deviation", "null_reason": "deviation_null_reason", "predicted_price_minor": "predicted_price_minor", "interval_low_minor": "interval_low_minor",
+                     "interval_high_minor": "interval_high_minor", "sample_size": "sample_size", "r_squared": "r_squared", "zone_fallback": "zone_fallback", "computed_at": "valued_at"}
+ESTIMATE_COLUMNS = {"horizon_days": "horizon_days", "hazard_probability": "hazard_probability", "null_reason": "hazard_null_reason", "model_version": "hazard_model_version", "events_in_training": "events_in_training", "computed_at": "hazard_at"}
+TRANSLATION_COLUMNS = {"text": "text", "model": "model", "token_cost": "tokens", "translated_at": "at"}
+COVER_COLUMNS = {"ord": "cover_ord", "original_url": "cover_url", "file_card": "cover_card", "file_list": "cover_list"}
+
+
+def _packed(rows: DataFrame, columns: dict[str, str], pick: Column, order: Column, name: str) -> DataFrame:
+    """(__of, name): of each object's rows the one that pick (max_by or min_by) finds by order, as one struct; summed in each task first."""
+    return rows.groupBy(F.col("object_id").alias("__of")).agg(pick(F.struct(*[F.col(c).alias(n) for c, n in columns.items()]), order).alias(name))
+
+
+def list_projection(objects: DataFrame, zones: DataFrame, valuations: DataFrame, estimates: DataFrame, history: DataFrame, photos: DataFrame, translations: DataFrame, languages: tuple[str, ...] = ("ru", "en")) -> DataFrame:
+    """Each object once with every column of a list's row: its own, the zone's, the first and last price, the latest valuation and hazard estimate with their samples, translations of the present text, the cover, and whether and where it lies.
+
+    Objects without a known position show no valuation, as they aren't modelled. Side tables are reduced to one row an object before they are joined.
+    """
+    prices = first_last(history, ["object_id"], "change_at", "id", "price_minor").select(F.col("object_id").alias("__of"), F.struct(F.col("first_value").alias("first_price"), F.col("last_value").alias("last_price"), F.col("n_points").alias("n_points")).alias("__p"))
+    value = _packed(valuations, VALUATION_COLUMNS, F.max_by, F.struct("computed_at", "id"), "__v")
+    hazards = _packed(estimates, ESTIMATE_COLUMNS, F.max_by, F.struct("computed_at", "horizon_days"), "__h")
+    covers = _packed(photos, COVER_COLUMNS, F.min_by, F.col("ord"), "__c")
+    rows = objects.select(*OBJECT_COLUMNS, F.col("lat").alias("geo_y"), F.col("lng").alias("geo_x"), F.col("geo_confidence").isNull().alias("not_modeled"), F.sha2("description_original", 256).alias("__hash"))
+    rows = rows.join(zones.select(F.col("id").alias("__zone"), F.col("name").alias("zone_name"), F.col("level").alias("zone_level"), F.col("source").alias("zone_source")), F.col("zone_id") == F.col("__zone"), "left").drop("__zone")
+    for side in (prices, value, hazards, covers):
+        rows = rows.join(side, F.col("id") == F.col("__of"), "left").drop("__of")
+    said = translations.groupBy(F.col("object_id").alias("__of"), F.col("source_hash").alias("__said")).agg(
+        *[F.max(F.when(F.col("lang") == x, F.struct(*[F.col(c).alias(f"{x}_{n}") for c, n in TRANSLATION_COLUMNS.items()]))).alias(f"__{x}") for x in languages])
+    rows = rows.join(said, (F.col("id") == F.col("__of")) & (F.col("__hash") == F.col("__said")), "left")
+    modeled = [F.when(~F.col("not_modeled"), F.col(f"__v.{n}")).alias(n) for n in VALUATION_COLUMNS.values()]
+    return rows.select(*OBJECT_COLUMNS, "__p.*", "zone_name", "zone_level", "zone_source", *modeled, "__h.*", *[f"__{x}.*" for x in languages], "__c.*", "not_modeled", "geo_y", "geo_x")
+
+
 def corpus(objects: DataFrame, country: str, deal_type: str) -> DataFrame:
     """The active objects of a market."""
     return objects.where((F.col("country") == country) & (F.col("deal_type") == deal_type) & (F.col("status") == "active"))

@@ -235,3 +235,35 @@ def k02_lifecycle_stream(spark: SparkSession, d: str) -> DataFrame:
 def c18_corpus(spark: SparkSession, d: str) -> DataFrame:
     """The objects that a market's model learns from."""
     return catalog.corpus(market.objects(spark, d), "NATION_3", "sale").select("id")
+
+
+@query(f"""WITH {market.OBJECTS_SQL}, {market.HISTORY_SQL}, v AS (SELECT DISTINCT ON (l_orderkey) l_orderkey AS k, l_linenumber, l_discount, l_quantity, l_extendedprice, l_shipdate FROM lineitem ORDER BY l_orderkey, l_shipdate DESC, l_linenumber * 1000000 + l_partkey DESC),
+    h AS (SELECT DISTINCT ON (l_orderkey) l_orderkey AS k, l_tax, l_linenumber * 1000000 + l_partkey AS days, l_shipdate FROM lineitem WHERE l_orderkey % 2 = 0 ORDER BY l_orderkey, l_shipdate DESC, l_linenumber * 1000000 + l_partkey DESC),
+    c AS (SELECT DISTINCT ON (l_orderkey) l_orderkey AS k, l_linenumber * 1000000 + l_partkey AS ord FROM lineitem WHERE l_orderkey % 3 = 0 ORDER BY l_orderkey, ord), p AS (SELECT object_id, arg_min(price_minor, (change_at, id)) AS p0, arg_max(price_minor, (change_at, id)) AS p1, count(*) AS n FROM history GROUP BY 1),
+    z AS (SELECT n_nationkey::BIGINT AS id, n_name AS name FROM nation WHERE n_nationkey % 4 > 0)
+    SELECT o.id, o.country, o.deal_type, o.zone_id, 'T' || o.id AS title, o.address, o.area_sqm, o.rooms, 'flat' AS property_type, o.seller_type, NULL AS seller_name, o.current_price_minor, o.currency, o.status, CASE WHEN o.status = 'delisted' THEN 'gone' END AS delisted_reason,
+        strftime(o.first_seen_at, '%Y-%m-%d') AS first_seen_at, NULL AS last_seen_at, NULL AS delisted_at, o.address AS description_original, 'cs' AS language_original, CASE WHEN o.id % 5 > 0 THEN 'street' END AS geo_confidence, p0 AS first_price, p1 AS last_price, n AS n_points,
+        z.name AS zone_name, CASE WHEN z.id IS NOT NULL THEN 'zone' END AS zone_level, CASE WHEN z.id IS NOT NULL THEN 'osm' END AS zone_source,
+        CASE WHEN o.id % 5 > 0 THEN 'm' || v.l_linenumber END AS model_version, CASE WHEN o.id % 5 > 0 THEN v.l_discount END AS price_deviation, CASE WHEN o.id % 5 > 0 AND v.l_linenumber % 3 = 0 THEN 'no_price' END AS deviation_null_reason, CASE WHEN o.id % 5 > 0 THEN round(v.l_extendedprice * 100)::BIGINT END AS predicted_price_minor,
+        CASE WHEN o.id % 5 > 0 THEN round(v.l_extendedprice * 100)::BIGINT - 500 END AS interval_low_minor, CASE WHEN o.id % 5 > 0 THEN round(v.l_extendedprice * 100)::BIGINT + 500 END AS interval_high_minor, CASE WHEN o.id % 5 > 0 THEN v.l_quantity::BIGINT END AS sample_size, CASE WHEN o.id % 5 > 0 THEN v.l_discount * 2 END AS r_squared,
+        CASE WHEN o.id % 5 > 0 THEN v.l_linenumber % 2 = 0 END AS zone_fallback, CASE WHEN o.id % 5 > 0 THEN strftime(v.l_shipdate, '%Y-%m-%d') END AS valued_at, h.days AS horizon_days, h.l_tax AS hazard_probability, NULL AS hazard_null_reason, CASE WHEN h.k IS NOT NULL THEN 'h1' END AS hazard_model_version, CASE WHEN h.k IS NOT NULL THEN 7 END AS events_in_training, strftime(h.l_shipdate, '%Y-%m-%d') AS hazard_at,
+        CASE WHEN o.id % 12 = 0 AND o.id % 8 > 0 THEN 'ru ' || o.id END AS ru_text, CASE WHEN o.id % 12 = 0 AND o.id % 8 > 0 THEN 'gpt' END AS ru_model, CASE WHEN o.id % 12 = 0 AND o.id % 8 > 0 THEN o.id END AS ru_tokens, NULL AS ru_at, CASE WHEN o.id % 4 = 0 AND o.id % 8 > 0 THEN 'en ' || o.id END AS en_text, CASE WHEN o.id % 4 = 0 AND o.id % 8 > 0 THEN 'gpt' END AS en_model,
+        CASE WHEN o.id % 4 = 0 AND o.id % 8 > 0 THEN o.id END AS en_tokens, NULL AS en_at, c.ord AS cover_ord, 'u' || c.ord AS cover_url, 'c' || c.ord AS cover_card, NULL AS cover_list, o.id % 5 = 0 AS not_modeled, o.lat AS geo_y, o.lng AS geo_x
+    FROM objects o LEFT JOIN v ON v.k = o.id LEFT JOIN h ON h.k = o.id LEFT JOIN c ON c.k = o.id LEFT JOIN p ON p.object_id = o.id LEFT JOIN z ON z.id = o.zone_id""")
+def c01_list_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All columns of a list's rows."""
+    k, none = F.col("l_orderkey"), F.lit(None).cast("string")
+    lines = t(spark, d, "lineitem").withColumn("nr", F.col("l_linenumber") * 1000000 + F.col("l_partkey"))
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    values = lines.select(k.alias("object_id"), F.col("nr").alias("id"), F.concat(F.lit("m"), "l_linenumber").alias("model_version"), F.col("l_discount").alias("price_deviation"), F.when(F.col("l_linenumber") % 3 == 0, "no_price").alias("null_reason"), cents.alias("predicted_price_minor"),
+                          (cents - 500).alias("interval_low_minor"), (cents + 500).alias("interval_high_minor"), F.col("l_quantity").cast("long").alias("sample_size"), (F.col("l_discount") * 2).alias("r_squared"), (F.col("l_linenumber") % 2 == 0).alias("zone_fallback"), F.col("l_shipdate").alias("computed_at"))
+    hazards = lines.where(k % 2 == 0).select(k.alias("object_id"), F.col("nr").alias("horizon_days"), F.col("l_tax").alias("hazard_probability"), none.alias("null_reason"), F.lit("h1").alias("model_version"), F.lit(7).alias("events_in_training"), F.col("l_shipdate").alias("computed_at"))
+    photos = lines.where(k % 3 == 0).select(k.alias("object_id"), F.col("nr").alias("ord"), F.concat(F.lit("u"), "nr").alias("original_url"), F.concat(F.lit("c"), "nr").alias("file_card"), none.alias("file_list"))
+    i = F.col("id")
+    rows = market.objects(spark, d)
+    rows = rows.withColumns({"title": F.concat(F.lit("T"), i), "property_type": F.lit("flat"), "seller_name": none, "delisted_reason": F.when(F.col("status") == "delisted", "gone"), "last_seen_at": none, "delisted_at": none, "description_original": F.col("address"), "language_original": F.lit("cs"), "geo_confidence": F.when(i % 5 > 0, "street")})
+    said = rows.where(i % 4 == 0).select(i.alias("object_id"), F.explode(F.when(i % 12 == 0, F.array(F.lit("ru"), F.lit("en"))).otherwise(F.array(F.lit("en")))).alias("lang"), F.sha2(F.when(i % 8 == 0, "old").otherwise(F.col("address")), 256).alias("source_hash"))
+    said = said.select("*", F.concat_ws(" ", "lang", F.col("object_id").cast("string")).alias("text"), F.lit("gpt").alias("model"), F.col("object_id").alias("token_cost"), none.alias("translated_at"))
+    zones = t(spark, d, "nation").where("n_nationkey % 4 > 0").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.lit("zone").alias("level"), F.lit("osm").alias("source"))
+    got = catalog.list_projection(rows, zones, values, hazards, market.history(spark, d), photos, said)
+    return got.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first_seen_at", "valued_at", "hazard_at")})
