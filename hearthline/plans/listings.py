@@ -105,6 +105,21 @@ def a13_parameters(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").select("p_partkey", *[F.try_element_at(held, F.lit(k)).alias(k) for k in ("condition", "kind", "floor")])
 
 
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'very_good' WHEN 1 THEN 'good' END AS condition, CASE p_partkey % 4 WHEN 0 THEN 'cihlova' WHEN 1 THEN 'jina' ELSE 'drevena' END AS material, CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END AS lift, (p_size + 0.5)::DOUBLE AS area, CASE WHEN p_partkey % 7 > 0 THEN p_partkey % 7 END::INTEGER AS floor,
+    CASE WHEN p_partkey % 6 < 5 THEN p_partkey % 6 + 1 END::INTEGER AS rooms, 1900 + p_partkey % 100 AS year_built, 'gas,wood' AS heating, 'Plyn, Dřevo' AS heating_label, p_type AS protection, (p_partkey % 3 = 2) AS lacks_condition FROM part""")
+def a13_typed_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters of detail pages as typed attributes, and a bag of the others."""
+    k = F.col("p_partkey")
+    page = _filled('«"buildingCondition":«"options":[{condition}]»,"material":«"options":[«"id":"{material}","title":"x"»]»,"lift":«"value":{lift}»,"usableArea":«"value":"{area},5 m²"»,"floorNumber":«"value":{floor}»,"roomCount":«"options":[«"id":"{rooms}"»]»,"yearBuilt":«"value":{year}»,"objectAge":«"value":30»,"heating":«"options":[«"id":"gas","title":"Plyn"»,«"id":"wood","title":"Dřevo"»]»,"protection":«"value":"{kind}"»,"none":«»,"gas":null»',
+                   condition=F.when(k % 3 == 0, '{"id":"veryGood"}').when(k % 3 == 1, '{"id":"good","title":"Dobrý"}').otherwise('{"id":"a"},{"id":"b"}'), material=F.when(k % 4 == 0, "brick").when(k % 4 == 1, "mud").otherwise("wooden"), lift=F.when(k % 2 == 0, "true").otherwise('"Ne"'), area=F.col("p_size"), floor=k % 7,
+                   rooms=F.element_at(F.array(*map(F.lit, [*pages.ROOM_COUNTS, "manyRooms"])), (k % 6 + 1).cast("int")), year=k % 100 + 1900, kind=F.col("p_type"))
+    rows = pages.typed_parameters(t(spark, d, "part").select("p_partkey", page.alias("body")), "body")
+    has, bag = (lambda a: F.try_element_at("attributes", F.lit(a))), (lambda a: F.try_element_at("unmapped", F.lit(a)))
+    return rows.select(
+        "p_partkey", has("condition").alias("condition"), has("building_material").alias("material"), has("has_elevator").alias("lift"), has("area_sqm").cast("double").alias("area"), has("floor").cast("int").alias("floor"), has("rooms").cast("int").alias("rooms"), has("year_built").cast("long").alias("year_built"),
+        bag("heating").alias("heating"), bag("heating_label").alias("heating_label"), bag("protection").alias("protection"), (~F.map_contains_key("attributes", "condition")).alias("lacks_condition"))
+
+
 def _features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A collection a region: the region, its nations as municipalities, and one nation without a name."""
     ring = "[[[0,0],[4,0],[4,4],[0,0]]]"

@@ -157,3 +157,53 @@ def parameters(page_json: Column, codes: dict[str, dict[str, str]]) -> Column:
 
 def yes(value: Column) -> Column:
     return without_accents(F.lower(value)).isin("ano", "yes", "true", "1")
+
+
+#: The source's names of parameters, the attribute each gives, and how it is read; codes that are called otherwise here; names of room counts.
+TYPED = [("energyEfficiencyRating", "energy_class", "letter"), ("buildingCondition", "condition", "code"), ("material", "building_material", "code"), ("ownership", "ownership_type", "code"), ("gas", "has_gas", "yes"), ("lift", "has_elevator", "yes"),
+         ("usableArea", "area_sqm", "area"), ("estateArea", "plot_area", "area"), ("floors", "floors", "count"), ("floorNumber", "floor", "count"), ("roomCount", "rooms", "rooms"), ("propertyType", "property_type", "code"), ("objectAge", "year_built", "year"), ("yearBuilt", "year_built", "year")]
+CODES = {"condition": {"veryGood": "very_good"}, "building_material": {"brick": "cihlova", "panel": "panelova", "wood": "drevena", "wooden": "drevena", "stone": "kamenna"}, "ownership_type": {"personal": "osobni", "private": "osobni", "cooperative": "druzstevni"}}
+OTHER_CODE = {"building_material": "jina"}
+ROOM_COUNTS = ["oneRoom", "twoRooms", "threeRooms", "fourRooms", "fiveRooms"]
+
+
+def typed_parameters(pages: DataFrame, body: str) -> DataFrame:
+    """pages with attributes and unmapped, both maps of strings, of detail pages' parameters in a JSON column ({name: {value, options: [{id, title}]}}).
+
+    attributes holds what TYPED names, read as its kind says and left out where it can't be. What TYPED doesn't name goes to unmapped, so that nothing is lost: the ids of chosen options and, as <name>_label, their titles; else the value.
+    """
+    kind_of = "struct<value:string,options:array<struct<id:string,title:string>>>"
+    some = lambda a: F.filter(a, lambda x: x.isNotNull() & (x != ""))
+    alone = lambda a: F.when(F.size(a) == 1, a[0])
+    rows = pages.withColumn("__held", F.from_json(body, f"map<string,{kind_of}>"))  # each step is a column, so that it is worked out once
+    rows = rows.withColumn("__said", F.transform_values("__held", lambda _, v: F.struct(F.nullif(v["value"], F.lit("")).alias("value"), F.coalesce(some(v["options"]["id"]), F.array().cast("array<string>")).alias("ids"), F.coalesce(some(v["options"]["title"]), F.array().cast("array<string>")).alias("titles"))))
+    one = F.transform_values("__said", lambda _, v: F.struct(alone(v["ids"]).alias("code"), F.coalesce(v["value"], alone(v["titles"])).alias("text")))
+    rows = rows.withColumn("__one", one)
+    rows = rows.withColumns({f"__p{i}": F.try_element_at("__one", F.lit(name)) for i, (name, _, _) in enumerate(TYPED)})
+    found: dict[str, Column] = {}
+    for i, (_, attribute, kind) in enumerate(TYPED):
+        code, text = F.col(f"__p{i}.code"), F.col(f"__p{i}.text")
+        known = CODES.get(attribute, {})
+        named = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), code), F.lit(OTHER_CODE[attribute]) if attribute in OTHER_CODE else code) if known else code
+        whole = F.trim(text).try_cast("double")
+        if kind == "letter":
+            read = F.upper(F.coalesce(code, text))
+        elif kind == "code":
+            read = F.when(code.isNotNull(), named)
+        elif kind == "yes":
+            both = F.lower(F.concat_ws(" ", text, code))
+            read = F.when(both != "", (both.contains("ano") | both.isin("yes", "true")).cast("string"))
+        elif kind == "area":
+            number = F.regexp_extract(F.replace(text, F.lit(","), F.lit(".")), r"\d[\d.]*", 0).try_cast("double")
+            read = F.when(number > 0, number).cast("string")
+        elif kind == "rooms":
+            read = F.nullif(F.array_position(F.array(*map(F.lit, ROOM_COUNTS)), code), F.lit(0)).cast("string")
+        else:
+            read = F.when(whole >= 1 if kind == "count" else whole > 1800, whole).cast("int").cast("string")
+        found[attribute] = F.coalesce(found[attribute], read) if attribute in found else read
+    attributes = F.map_filter(F.create_map(*[x for a, v in found.items() for x in (F.lit(a), v)]), lambda _, v: v.isNotNull())
+    typed = sorted({name for name, _, _ in TYPED})
+    rows = rows.withColumns({"__attributes": attributes, "__rest": F.map_filter("__said", lambda k, _: ~k.isin(typed))})
+    values = F.transform_values("__rest", lambda _, v: F.when(F.size(v["ids"]) > 0, F.array_join(v["ids"], ",")).otherwise(F.coalesce(v["value"], alone(v["titles"]))))
+    labels = F.transform_keys(F.transform_values("__rest", lambda _, v: F.when(F.size(v["ids"]) > 0, F.nullif(F.array_join(v["titles"], ", "), F.lit("")))), lambda k, _: F.concat(k, F.lit("_label")))
+    return rows.select(*pages.columns, F.col("__attributes").alias("attributes"), F.map_filter(F.map_concat(values, labels), lambda _, v: v.isNotNull()).alias("unmapped"))
