@@ -183,3 +183,31 @@ def simplified(ring: Column, tolerance: float) -> Column:
 def geojson(rings: Column) -> Column:
     """A Polygon geometry as JSON text."""
     return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.transform(rings, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))).alias("coordinates")))
+
+
+#: Fixed values of the WGS 84 spheroid: half the equator's diameter in metres, and its eccentricity.
+EQUATOR_M, ECCENTRICITY = 6378137.0, 0.0818191908426215
+
+
+def _zonal(lat: Column) -> Column:
+    """Twice the area of the spheroid between the equator and a latitude, per radian of longitude and square of the equator's radius."""
+    e, s = ECCENTRICITY, F.sin(F.radians(lat))
+    return (1 - e * e) * (s / (1 - e * e * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
+
+
+def spheroid_area(rings: Column) -> Column:
+    """Square metres of a polygon on the spheroid, holes taken off. Edges are straight on an equal-area map, so boxes of meridians and parallels are exact; rings don't cross the date line."""
+    twice = lambda ring: F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + F.radians(e["x2"] - e["x1"]) * (_zonal(e["y1"]) + _zonal(e["y2"])) / 2)
+    areas = F.transform(rings, lambda ring: F.abs(twice(ring)) * (EQUATOR_M * EQUATOR_M / 2))
+    return F.aggregate(F.slice(areas, 2, F.greatest(F.size(areas) - 1, F.lit(0))), F.element_at(areas, 1), lambda s, hole: s - hole)
+
+
+def _number(v: Column) -> Column:
+    return F.regexp_replace(v.cast("string"), r"\.0$", "")
+
+
+def wkt(polygons: Column) -> Column:
+    """Well-known text of an array of polygons, each an array of closed rings: POLYGON, or MULTIPOLYGON where there are several."""
+    ring = lambda r: F.concat(F.lit("("), F.array_join(F.transform(r, lambda p: F.concat_ws(" ", _number(p["x"]), _number(p["y"]))), ","), F.lit(")"))
+    text = F.transform(polygons, lambda rings: F.concat(F.lit("("), F.array_join(F.transform(rings, ring), ","), F.lit(")")))
+    return F.when(F.size(polygons) == 1, F.concat(F.lit("POLYGON"), text[0])).when(F.size(polygons) > 1, F.concat(F.lit("MULTIPOLYGON("), F.array_join(text, ","), F.lit(")")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -124,3 +125,71 @@ def outside_hull(points: DataFrame, hull: list[tuple[float, float]], x: str = "l
     for (x1, y1), (x2, y2) in zip(hull, hull[1:] + hull[:1]):
         out = out | ((x2 - x1) * (F.col(y) - y1) - (y2 - y1) * (F.col(x) - x1) < 0)
     return points.withColumn("outside", out)
+
+
+def ring_polygons(borders: list[tuple[float, float, float, float]]) -> list[list[list[tuple[float, float]]]]:
+    """Polygons, each an outer ring and its holes, of border edges that have the inside on their left. Rings are closed, have no corner on a straight line, start at their least corner and come in order of it.
+
+    Where borders touch in a corner, a walk turns as far left as it can, so that polygons which meet in a point stay apart.
+    """
+    after: dict[tuple[float, float], list[tuple[float, float]]] = {}
+    for x1, y1, x2, y2 in sorted(borders):
+        after.setdefault((x1, y1), []).append((x2, y2))
+    rings = []
+    while after:
+        first = min(after)
+        at, ring, heading = first, [], None
+        while True:
+            ways = after[at]
+            turn = lambda p: 0.0 if heading is None else (math.atan2(p[1] - at[1], p[0] - at[0]) - heading + 3 * math.pi) % (2 * math.pi)  # noqa: B023, E731
+            way = max(ways, key=turn)
+            ways.remove(way)
+            if not ways:
+                del after[at]
+            ring.append(at)
+            heading, at = math.atan2(way[1] - at[1], way[0] - at[0]), way
+            if at == first:
+                break
+        cross = lambda a, b, c: (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0])
+        ring = [b for a, b, c in zip([ring[-1], *ring], ring, [*ring[1:], ring[0]]) if cross(a, b, c)]
+        k = ring.index(min(ring))
+        rings.append([*ring[k:], *ring[:k], ring[k]])
+    size = lambda r: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:])) / 2
+    outer = sorted((r for r in rings if size(r) > 0), key=lambda r: r[0])
+    polygons = [[r] for r in outer]
+    for hole in sorted((r for r in rings if size(r) < 0), key=lambda r: r[0]):
+        (hx, hy), (nx, ny) = hole[0], hole[1]
+        x, y = (hx + nx) / 2, (hy + ny) / 2
+        around = [p for p in polygons if sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(p[0], p[0][1:])) % 2]
+        min(around, key=lambda p: size(p[0])).append(hole)
+    return polygons
+
+
+def dissolved(zones: DataFrame, group: str, size: float = 0.1) -> DataFrame:
+    """group and polygons (array of polygons, each an array of rings): the union of each group's zones (group, rings), which may touch and don't overlap.
+
+    Edges are cut where another zone's corner lies on them; what two zones share then comes once in each direction and cancels in a sum that every task begins on its own. Only borders of the unions are left, which are as long as the
+    result's own rings; a task per group walks them. Coordinates are compared exactly.
+    """
+    signed = F.transform("rings", lambda r: F.struct(r.alias("r"), F.aggregate(geo.edges(r), F.lit(0.0), lambda s, e: s + e["x1"] * e["y2"] - e["x2"] * e["y1"]).alias("area")))
+    # the outer ring goes round to the left, holes to the right
+    turned = F.transform(signed, lambda r, i: F.when((r["area"] > 0) == (i == 0), r["r"]).otherwise(F.reverse(r["r"])))
+    lines = zones.select(group, F.explode(F.flatten(F.transform(turned, geo.edges))).alias("e")).select(group, "e.*").where("x1 <> x2 or y1 <> y2")
+    box = F.struct(F.least("x1", "x2").alias("x1"), F.least("y1", "y2").alias("y1"), F.greatest("x1", "x2").alias("x2"), F.greatest("y1", "y2").alias("y2"))
+    ends = lines.select(group, F.col("x1").alias("px"), F.col("y1").alias("py")).distinct().withColumn("cell", geo.cell_of(F.col("px"), F.col("py"), size))
+    inside = (F.col("px").between(F.least("x1", "x2"), F.greatest("x1", "x2")) & F.col("py").between(F.least("y1", "y2"), F.greatest("y1", "y2")) & ((F.col("x2") - F.col("x1")) * (F.col("py") - F.col("y1")) == (F.col("y2") - F.col("y1")) * (F.col("px") - F.col("x1"))))
+    on = lines.distinct().withColumn("cell", F.explode(geo.cells_of(box, size))).join(ends, [group, "cell"]).where(inside).groupBy(group, "x1", "y1", "x2", "y2").agg(
+        F.array_sort(F.collect_set(F.struct(((F.col("px") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("py") - F.col("y1")) * (F.col("y2") - F.col("y1"))).alias("at"), F.col("px").alias("x"), F.col("py").alias("y")))).alias("on"))
+    parts = lines.join(on, [group, "x1", "y1", "x2", "y2"]).select(group, F.explode(F.zip_with(F.slice("on", 1, F.size("on") - 1), F.slice("on", 2, F.size("on") - 1), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))).alias("e")).select(group, "e.*")
+    forward = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
+    one = lambda a, b: F.when(forward, F.struct(F.col(f"x{a}").alias("x"), F.col(f"y{a}").alias("y"))).otherwise(F.struct(F.col(f"x{b}").alias("x"), F.col(f"y{b}").alias("y")))
+    left = parts.groupBy(group, one(1, 2).alias("a"), one(2, 1).alias("b")).agg(F.sum(F.when(forward, 1).otherwise(-1)).alias("n")).where("n <> 0")
+    kind = dict(zones.dtypes)[group]
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        borders = [(*(a if n > 0 else b), *(b if n > 0 else a)) for a, b, n in zip(zip(rows["ax"], rows["ay"]), zip(rows["bx"], rows["by"]), rows["n"])]
+        rings = [[[{"x": x, "y": y} for x, y in ring] for ring in polygon] for polygon in ring_polygons(borders)]
+        return pd.DataFrame({group: [rows[group].iloc[0]], "polygons": [rings]})
+
+    flat = left.select(group, F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"), "n")
+    return flat.groupBy(group).applyInPandas(walk, f"{group} {kind}, polygons array<array<array<struct<x:double,y:double>>>>")

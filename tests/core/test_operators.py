@@ -670,3 +670,40 @@ def test_touched_by_zones(spark):
     assert not dirty & {r["id"] for r in held.where("country = 'SK' or (lng < 0.9 or lng between 2.1 and 2.9)").collect()}
     full, _ = spatial.reassign(held.withColumn("zone_dirty", F.lit(True)), after)
     assert {r["id"]: r["zone_id"] for r in spatial.reassign(marked, after)[0].collect()} == {r["id"]: r["zone_id"] for r in full.collect()}
+
+
+def test_dissolved(spark):
+    """Unions of squares of a grid against the cells that they cover: holes, corners that touch, edges of unequal length, several groups; the hull of a union."""
+    rng = random.Random(21)
+    square = lambda x, y, w, h: [{"x": float(a), "y": float(b)} for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y))]
+    rows, cells = [], {}
+    for g in range(6):
+        held = {(x, y) for x in range(6) for y in range(6) if rng.random() < 0.6}
+        cells[g] = set(held)
+        while held:
+            x, y = min(held)
+            w = 2 if (x + 1, y) in held and rng.random() < 0.5 else 1
+            ring = square(x, y, w, 1)
+            rows.append((g, [ring if rng.random() < 0.5 else ring[::-1]]))
+            held -= {(x + i, y) for i in range(w)}
+    rows.append((9, [square(0, 0, 3, 3), square(1, 1, 1, 1)]))
+    cells[9] = {(x, y) for x in range(3) for y in range(3)} - {(1, 1)}
+    got = {r["g"]: r["polygons"] for r in spatial.dissolved(spark.createDataFrame(rows, "g int, rings array<array<struct<x:double,y:double>>>"), "g", 1.0).collect()}
+    crossed = lambda x, y, ring: sum((a["y"] > y) != (b["y"] > y) and x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"] for a, b in zip(ring, ring[1:])) % 2
+    for g, polygons in got.items():
+        inside = {(x, y) for x in range(7) for y in range(7) if any(crossed(x + 0.5, y + 0.5, p[0]) and not any(crossed(x + 0.5, y + 0.5, h) for h in p[1:]) for p in polygons)}
+        assert inside == cells[g]
+        area = sum(sum(a["x"] * b["y"] - b["x"] * a["y"] for a, b in zip(ring, ring[1:])) / 2 for p in polygons for ring in p)
+        assert area == len(cells[g])
+        seen, parts = set(), 0
+        for c in cells[g]:
+            parts, todo = parts + (c not in seen), [c]
+            while todo:
+                x, y = todo.pop()
+                if (x, y) in cells[g] and (x, y) not in seen:
+                    seen.add((x, y))
+                    todo += [(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)]
+        assert len(polygons) == parts
+    assert len(got) == 7 and len(got[9][0]) == 2
+    points = spark.createDataFrame([(p["x"], p["y"]) for p in got[9][0][0]], "lng double, lat double")
+    assert sorted((r["x"], r["y"]) for r in spatial.convex_hull(points).collect()) == [(0, 0), (0, 3), (3, 0), (3, 3)]
