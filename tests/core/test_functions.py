@@ -2,11 +2,13 @@
 
 import datetime as dt
 import math
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from hearthline.functions import areas, attributes, classes, geo, language, money, scheduling, student, text, urls
+from hearthline.session import shared_folder
 
 
 def column(spark, values, f, kind="string"):
@@ -194,3 +196,13 @@ def test_student():
         assert student.t_quantile(0.975, freedom) == pytest.approx(want, abs=1e-5)
     assert student.t_cdf(0, 17) == pytest.approx(0.5) and student.t_cdf(1.3, 9) + student.t_cdf(-1.3, 9) == pytest.approx(1)
     assert student.t_quantile(0.1, 7) == -student.t_quantile(0.9, 7)
+
+
+def test_shared_folder_on_a_cluster():
+    """Without spark.checkpoint.dir only a local session gets a folder of its own."""
+    unset = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: unset)))
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_folder(cluster)
+    assert shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: "hdfs://x/y"))) == "hdfs://x/y"
