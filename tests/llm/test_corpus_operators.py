@@ -764,6 +764,16 @@ def test_production_seeds_find_exact_passages(spark):
     assert not missed
 
 
+def test_query_covers_what_the_default_finds(spark):
+    """On sf0.01 the query's seeds and likeness report nine tenths or more of the words that the operator's own defaults do, repeats within documents included."""
+    def words(**options):
+        found = repeated_passages(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), **options).collect()
+        return {(r["doc_id"], w) for r in found for w in range(r["start"], r["start"] + r["n_words"])}
+
+    default, query = words(), words(**Q.PASSAGES)
+    assert len(default) > 50_000 and len(default & query) >= 0.9 * len(default)
+
+
 def test_chains_against_brute_force():
     """Fenwick trees over slabs give each run the best of all that it may follow."""
     rng = np.random.default_rng(25)
