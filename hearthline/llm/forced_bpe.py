@@ -5,7 +5,7 @@ between are looked up in a bounded cache. A word that isn't there is normalised
 pair of the table, and its fragments are encoded one by one, the last of a pre-token with the vocabulary's
 end-of-word mark and the others without; the ids are concatenated. Words with special-token strings take the library's own path.
 
-Null texts count as empty and have no ids. An empty table gives an empty result; rows that share an id are
+Null texts count as empty and have no ids. Very long texts are encoded whole; a task holds the ids of one. An empty table gives an empty result; rows that share an id are
 encoded each; other columns are ignored.
 """
 

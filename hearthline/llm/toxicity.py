@@ -187,7 +187,7 @@ def toxicity_score(model: Model, text: str | Column) -> Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **training) -> DataFrame:
-    """doc_id, held_out, score, predicted: one row per row of docs."""
+    """doc_id, held_out, score, predicted: one row per row of docs. held_out is null for a null id, which is never learnt from."""
     model = train(docs, labels, id_col, text_col, **training)
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     scored = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", toxicity_score(model, "text").alias("score"))
