@@ -84,4 +84,4 @@ def merge_details(objects: DataFrame, details: DataFrame, fetched_at: Column) ->
 
 def days_on_market(first_seen: Column, last_seen: Column, delisted_at: Column, status: Column, now: Column) -> Column:
     end = F.when(status == "delisted", F.coalesce(delisted_at, last_seen)).otherwise(now)
-    return F.greatest(F.floor((F.unix_seconds(end) - F.unix_seconds(first_seen)) / 86400), F.lit(0)).cast("int")
+    return F.greatest(F.floor((F.unix_micros(end) - F.unix_micros(first_seen)) / 86_400_000_000), F.lit(0)).cast("int")
