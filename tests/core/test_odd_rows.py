@@ -34,3 +34,9 @@ def test_days_begin_at_the_microsecond(against_sql):
 def test_cover_by_the_sum_of_line_and_part(against_sql):
     lines = [(7, 1, 1_150_000), (7, 2, 40), (8, 1, 900_000), (8, 2, 10)]
     assert against_sql("d06_cover", lineitem=[{"l_orderkey": k, "l_linenumber": n, "l_partkey": p} for k, n, p in lines]) is None
+
+
+def test_near_by_rounded_metres(against_sql):
+    """Pairs 40.0002 and 40.0005 metres apart are 40 and 40.001 when rounded, or 40 both."""
+    ids = [111_978, 337_527, 794_153, 55_818, 737_993, 674_192, 448_643]
+    assert against_sql("d13_near_pairs", customer=[{"c_custkey": 0, "c_nationkey": 1}], orders=[{"o_orderkey": k, "o_custkey": 0} for k in ids]) is None
