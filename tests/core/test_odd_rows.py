@@ -40,3 +40,8 @@ def test_near_by_rounded_metres(against_sql):
     """Pairs 40.0002 and 40.0005 metres apart are 40 and 40.001 when rounded, or 40 both."""
     ids = [111_978, 337_527, 794_153, 55_818, 737_993, 674_192, 448_643]
     assert against_sql("d13_near_pairs", customer=[{"c_custkey": 0, "c_nationkey": 1}], orders=[{"o_orderkey": k, "o_custkey": 0} for k in ids]) is None
+
+
+def test_text_of_unfinished_references(against_sql):
+    html = ["<p>a &amp</p>b", "x &am</p>; &copy &quot;y&quot", "&amp;lt; &nbsp;&amp;amp", "&#39 &lt;b&gt;", None]
+    assert against_sql("i33_page_text", pages=[{"page_id": i, "html": h} for i, h in enumerate(html)]) is None
