@@ -1,8 +1,11 @@
 """How operators run: what is shuffled instead of broadcast, how rows are dealt over tasks, and results that don't hang on the order of rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401  it registers the queries
 from hearthline.operators import catalog, matching
+from hearthline.plans.registry import QUERIES
 
 
 def plan_of(df):
@@ -20,3 +23,9 @@ def test_cover_of_equal_numbers(spark):
     for urls in (["b", "a", "c"], ["a", "c", "b"]):
         photos = spark.createDataFrame([(1, 7, u) for u in urls], "object_id long, ord int, original_url string").coalesce(1)
         assert catalog.with_cover(objects, photos).first()["cover"] == "a"
+
+
+@pytest.mark.parametrize("name", ["i22_area_numbers", "a09_label_blocks", "i21_attributes"])
+def test_rows_are_dealt_over_tasks(spark, name):
+    """A million parts lie in one row group, so one task read and parsed them all."""
+    assert f"RoundRobinPartitioning({4 * spark.sparkContext.defaultParallelism})" in plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
