@@ -12,7 +12,7 @@ from hearthline.operators import asof, catalog, configs, delisting, gram, probin
 from hearthline.plans import market
 from hearthline.plans.registry import query
 from hearthline.sources import feeds, pages
-from hearthline.sources.tables import table as t
+from hearthline.sources.tables import spread, table as t
 
 AS_OF = dt.datetime(1999, 6, 1)
 
@@ -54,7 +54,7 @@ def a08_details(spark: SparkSession, d: str) -> DataFrame:
     html = F.concat(_filled("<H1 class=nadpisdetail>Byt ​{name}</H1>", name=F.col("s_name")), body, _filled(
         "Jméno:</td><td><span class=paction>{name}</span> Cena:</td><td colspan=2><br><b> {price} Kč</b> <a href='https://x/maps/place/{lat},14.25/@{lat},14.25,16z'>m</a> <a title=\"Přibližná lokalita\" rel=\"nofollow\">150 00</a>"
         " Vidělo:</td><td colspan=2><br> {views} lidí https://www.a.cz/img/{k}/12/1.jpg https://www.a.cz/img/{k}/12/1.jpg https://www.a.cz/img/9{k}/12/2.jpg", name=F.col("s_name"), price=F.floor(F.abs("s_acctbal")) + 1, lat=F.format_string("%.2f", 50 + (k % 100) / 100), views=k % 50, k=k))
-    found = pages.detail(t(spark, d, "supplier").select("s_suppkey", html.alias("html")))
+    found = pages.detail(spread(t(spark, d, "supplier")).select("s_suppkey", html.alias("html")))
     return found.select("s_suppkey", "title", "price_minor", "currency", "seller_name", "lat", "lng", "zoom", "postcode", "views", F.size("photos").alias("n_photos"), "problem", F.try_element_at("block", F.lit("Plocha")).alias("plot"))
 
 
@@ -63,7 +63,7 @@ def a09_label_blocks(spark: SparkSession, d: str) -> DataFrame:
     said = _filled("{name}\nPlocha:\n{size} m²\n uvnitř \n\nStavba\n{kind}\nNeznámé: x\nPlocha:\nagain\n", name=F.col("p_name"), size=F.col("p_size"), kind=F.col("p_type"))
     block = pages.label_block(said)
     value = lambda label: F.try_element_at(block, F.lit(label))
-    return t(spark, d, "part").select("p_partkey", value("Plocha").alias("plot"), value("Stavba").alias("building"), value("Energetická náročnost").alias("energy"))
+    return spread(t(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_type")).select("p_partkey", value("Plocha").alias("plot"), value("Stavba").alias("building"), value("Energetická náročnost").alias("energy"))
 
 
 def _adverts(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +71,7 @@ def _adverts(spark: SparkSession, d: str) -> DataFrame:
     advert = _filled('«"id":"{id}","uri":"/a/{id}","price":{price},"currency":"{currency}","surface":{surface},"estateType":"BYT","gps":«"lat":{lat},"lng":{lng}»,"address(«\\"locale\\":\\"CS\\"»)":"{name}","disposition":"DISP_2_KK"»',
                      id=k % 200, price=F.format_string("%.2f", "c_acctbal"), currency=F.when(k % 3 == 0, "eur").otherwise(""), surface=k % 100 + 20, lat=k % 6 + 46, lng=F.lit(14.5), name=F.col("c_name"))
     html = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"apolloCache":{"Query":{"a":1},"Advert:1":'), advert, F.lit("}}}}</script>"))
-    return pages.embedded_adverts(t(spark, d, "customer").select(k.alias("page_id"), html.alias("html"))).drop("html")
+    return pages.embedded_adverts(spread(t(spark, d, "customer")).select(k.alias("page_id"), html.alias("html"))).drop("html")
 
 
 _ADVERTS = """adverts AS (SELECT c_custkey AS page_id, (c_custkey % 200)::VARCHAR AS external_id, '/a/' || c_custkey % 200 AS url, CASE WHEN c_acctbal > 0 THEN round(c_acctbal * 100)::BIGINT END AS price_minor, CASE WHEN c_acctbal > 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'EUR' ELSE 'CZK' END END AS currency,
@@ -336,7 +336,7 @@ def i19_streets(spark: SparkSession, d: str) -> DataFrame:
     number, city = (k % 90 + 1).cast("string"), F.concat(F.lit("Praha "), (k % 9 + 1).cast("string"))
     said = F.when(k % 4 == 0, "byt v ulici Lesní, u parku").when(k % 4 == 1, F.concat(F.lit("na ulici Dlouhá "), number, F.lit(" v klidu"))).when(k % 4 == 2, F.concat(F.lit("ul. Na Vršku "), number, F.lit("/5, Ostrava"))).otherwise("pod kopcem")
     place = attributes.city_postcode(F.concat(city, F.lit(", 1"), (k % 9).cast("string"), F.lit("000")))
-    return t(spark, d, "supplier").select("s_suppkey", attributes.street(said, city).alias("street"), place["city"].alias("city"), place["postcode"].alias("postcode"))
+    return spread(t(spark, d, "supplier").select("s_suppkey")).select("s_suppkey", attributes.street(said, city).alias("street"), place["city"].alias("city"), place["postcode"].alias("postcode"))
 
 
 @query("""SELECT p_partkey, (p_partkey % 8 + 1)::VARCHAR AS rooms, (p_partkey % 12 + 1)::VARCHAR AS floor, (p_partkey % 5 + 2)::VARCHAR AS floors, CASE p_partkey % 3 WHEN 0 THEN 'cihlova' WHEN 1 THEN 'panelova' ELSE 'drevena' END AS material, substr('ABCDEFG', (p_partkey % 7 + 1)::INTEGER, 1) AS energy,
