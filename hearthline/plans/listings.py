@@ -346,7 +346,7 @@ def i21_attributes(spark: SparkSession, d: str) -> DataFrame:
     said = _filled("V {floor}. patře domu s {floors} podlažími, {material}, {lift}, {owner}, {state}. Třída {energy}. Dům byl postaven v roce {year}? Poplatky {monthly} Kč/měsíc. Pozemek o výměře {plot} ar.", floor=k % 12 + 1, floors=k % 5 + 2, material=F.when(k % 3 == 0, "cihlový").when(k % 3 == 1, "panelák").otherwise("dřevostavba"),
                    lift=F.when(k % 2 == 0, "s výtahem").otherwise("bez výtahu"), owner=F.when(k % 2 == 0, "v osobním vlastnictví").otherwise("družstevní"), state=F.when(k % 2 == 0, "velmi dobrý stav").otherwise("po rekonstrukci"), energy=F.substring(F.lit("ABCDEFG"), (k % 7 + 1).cast("int"), F.lit(1)), year=k % 120 + 1900, monthly=F.col("p_size") + 1000, plot=F.col("p_size") + 10)
     said = F.regexp_replace(said, "Dům byl postaven", "Postaven")
-    rows = t(spark, d, "part").select("p_partkey", F.concat(F.lit("Byt "), (k % 8 + 1).cast("string"), F.lit("+kk")).alias("title"), said.alias("text"), F.expr("cast(map() as map<string,string>)").alias("block"))
+    rows = spread(t(spark, d, "part").select("p_partkey", "p_size")).select("p_partkey", F.concat(F.lit("Byt "), (k % 8 + 1).cast("string"), F.lit("+kk")).alias("title"), said.alias("text"), F.expr("cast(map() as map<string,string>)").alias("block"))
     found = attributes.derive(attributes.Listing(F.col("title"), F.col("text"), F.col("block")))
     names = ["rooms", "floor", "floors", "material", "energy", "ownership", "condition", "elevator", "year_built", "monthly"]
     return rows.select("p_partkey", *[found[n]["value"].alias(n) for n in names], found["plot_area"]["value"].cast("double").alias("plot"), found["rooms"]["method"].alias("method"))
