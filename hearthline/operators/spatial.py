@@ -79,11 +79,11 @@ def touched_by_zones(objects: DataFrame, index: DataFrame, before: DataFrame, af
 
 
 def link_parents(zones: DataFrame, size: float = 0.5) -> DataFrame:
-    """id, parent_id: the smallest zone of the next level up that covers a point inside the zone; null if none does."""
+    """id, parent_id: the smallest zone of the next level up that covers a point inside the zone; null if none does. A point meets zones of that level only, not the many of its own that share its cell."""
     above = {"zone": "municipality", "municipality": "region"}
     inside = zones.where(F.col("level").isin(list(above))).select("country", "id", "level", geo.inner_point(F.col("rings")).alias("p")).select("country", F.col("id").alias("child"), F.col("level").alias("of"), F.col("p.x").alias("lng"), F.col("p.y").alias("lat"))
     wanted = F.when(F.col("of") == "zone", "municipality").otherwise("region")
-    pairs = covering_pairs(inside, zones, "child", size).join(inside.select("child", wanted.alias("wanted")), "child").where("level = wanted")
+    pairs = covering_pairs(inside.withColumn("level", wanted), zones.where(F.col("level").isin(list(above.values()))), "child", size, ("country", "level"))
     best = top_per_key(pairs, ["child"], [F.asc("area"), F.asc("zone_id")])
     return zones.select("id").join(best.select(F.col("child").alias("id"), F.col("zone_id").alias("parent_id")), "id", "left")
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  it registers the queries
-from hearthline.operators import catalog, matching
+from hearthline.operators import catalog, matching, spatial
 from hearthline.plans.registry import QUERIES
 
 
@@ -29,3 +29,14 @@ def test_cover_of_equal_numbers(spark):
 def test_rows_are_dealt_over_tasks(spark, name):
     """A million parts lie in one row group, so one task read and parsed them all."""
     assert f"RoundRobinPartitioning({4 * spark.sparkContext.defaultParallelism})" in plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_parents_are_sought_one_level_up(spark, monkeypatch):
+    """Zones that share a cell with many of their own level don't meet them."""
+    seen, real = [], spatial.covering_pairs
+    monkeypatch.setattr(spatial, "covering_pairs", lambda points, zones, *more: seen.append(zones) or real(points, zones, *more))
+    ring = lambda a, b: [[{"x": x, "y": y} for x, y in ((a, a), (b, a), (b, b), (a, b), (a, a))]]
+    zones = spark.createDataFrame([(1, "X", "region", ring(0.0, 1.0)), (2, "X", "municipality", ring(0.1, 0.6)), (3, "X", "zone", ring(0.2, 0.3)), (4, "X", "zone", ring(0.7, 0.8))], "id long, country string, level string, rings array<array<struct<x:double,y:double>>>")
+    got = spatial.link_parents(zones)
+    assert {r["level"] for r in seen[0].select("level").collect()} == {"municipality", "region"}
+    assert {r["id"]: r["parent_id"] for r in got.collect()} == {1: None, 2: 1, 3: 2, 4: None}
