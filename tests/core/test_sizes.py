@@ -40,3 +40,16 @@ def test_parents_are_sought_one_level_up(spark, monkeypatch):
     got = spatial.link_parents(zones)
     assert {r["level"] for r in seen[0].select("level").collect()} == {"municipality", "region"}
     assert {r["id"]: r["parent_id"] for r in got.collect()} == {1: None, 2: 1, 3: 2, 4: None}
+
+
+def test_only_losers_look_again(spark, monkeypatch):
+    """Each round ranked and read the candidates of all listings; now a place's are ranked once, and a listing that holds its object isn't looked at again."""
+    seen, real = [], matching._judged
+    monkeypatch.setattr(matching, "_judged", lambda active, *more: seen.append(sorted(r["listing_id"] for r in active.select("listing_id").collect())) or real(active, *more))
+    market = "country string, deal_type string, lat double, lng double, address_key string, rooms int, property_type string, area_sqm double"
+    at = lambda n: ("CZ", "sale", 50.0 + n, 14.0, "", 1, "flat", 50.0)
+    objects = spark.createDataFrame([(i, *at(0)) for i in (1, 2, 3)] + [(9, *at(1))], f"object_id long, {market}")
+    listings = spark.createDataFrame([(10 + i, "a", str(i), *at(0)) for i in range(4)] + [(20, "a", "x", *at(1))], f"listing_id long, source_id string, external_id string, {market}")
+    got = matching.match_listings(listings, objects, spark.createDataFrame([], "source_id string, external_id string, object_id long"), nearest=1)
+    assert {r["listing_id"]: r["object_id"] for r in got.collect()} == {10: 1, 11: 2, 12: 3, 13: None, 20: 9}
+    assert seen == [[10, 11, 12, 13, 20], [11, 12, 13], [12, 13], [12, 13], [13]]
