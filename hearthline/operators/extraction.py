@@ -24,8 +24,9 @@ def attributes_of(answers: DataFrame, registry: DataFrame, cap: float = 0.9, obj
     An attribute needs a registry entry that its value fits, and a confidence from 0 to 1, which is cut at cap. A total area whose quote speaks of
     the living area only is dropped, and so are both areas where the object's area would exceed its total area.
     """
-    parsed = answers.select(object_id, F.col(known).alias("__known"), F.from_json(answer_json(F.col(answer)), ANSWER).alias("a"))
-    rows = parsed.select(object_id, "__known", F.explode("a").alias("attr_key", "e")).select(object_id, "__known", "attr_key", "e.*")
+    held = lambda key: F.try_element_at(F.col(known), F.lit(key)).try_cast("double")
+    parsed = answers.select(object_id, held("area_sqm").alias("__area"), held("total_area").alias("__total"), F.from_json(answer_json(F.col(answer)), ANSWER).alias("a"))
+    rows = parsed.select(object_id, "__area", "__total", F.explode("a").alias("attr_key", "e")).select(object_id, "__area", "__total", "attr_key", "e.*")
     joined = rows.join(registry.select(F.col("key").alias("attr_key"), "data_type", "allowed_values", "value_min", "value_max"), "attr_key", "left")
     said = F.lower(F.concat_ws(" ", "quote", "pattern"))
     living = (said.contains("obytn") | said.contains("užitn") | said.contains("uzitn")) & ~said.contains("celkov") & ~said.contains("total")
@@ -34,10 +35,12 @@ def attributes_of(answers: DataFrame, registry: DataFrame, cap: float = 0.9, obj
               .when((F.col("attr_key") == "total_area") & living, "living_area"))
     judged = joined.withColumn("reason", reason).withColumn("confidence", F.least("confidence", F.lit(cap))).withColumn("value", F.when(F.col("data_type").isin("bool", "enum"), F.lower(F.trim("value"))).otherwise(F.trim("value")))
     number = lambda key: F.max(F.when((F.col("attr_key") == key) & F.col("reason").isNull(), F.col("value").try_cast("double")))
-    areas = judged.groupBy(object_id).agg(number("area_sqm").alias("__a"), number("total_area").alias("__t"), F.first("__known").alias("__k"))
-    held = lambda key: F.try_element_at("__k", F.lit(key)).try_cast("double")
-    clash = areas.where(F.coalesce("__a", held("area_sqm")) > F.coalesce("__t", held("total_area"))).select(object_id, F.lit(True).alias("__clash"))
-    final = judged.join(clash, object_id, "left").withColumn("reason", F.coalesce("reason", F.when(F.col("__clash") & F.col("attr_key").isin("area_sqm", "total_area"), "area_over_total")))
+    # only rows of areas are grouped and joined; a null key counts as another attribute
+    of_area = F.coalesce(F.col("attr_key").isin("area_sqm", "total_area"), F.lit(False))
+    areas = judged.where(of_area).groupBy(object_id).agg(number("area_sqm").alias("__a"), number("total_area").alias("__t"), F.max("__area").alias("__ka"), F.max("__total").alias("__kt"))
+    clash = areas.where(F.coalesce("__a", "__ka") > F.coalesce("__t", "__kt")).select(object_id, F.lit(True).alias("__clash"))
+    checked = judged.where(of_area).join(clash, object_id, "left").withColumn("reason", F.coalesce("reason", F.when(F.col("__clash"), "area_over_total"))).drop("__clash")
+    final = judged.where(~of_area).unionByName(checked)
     return final.where("reason is null").select(object_id, "attr_key", "value", "confidence"), final.where("reason is not null").select(object_id, "attr_key", "reason")
 
 

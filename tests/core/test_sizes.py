@@ -53,3 +53,8 @@ def test_only_losers_look_again(spark, monkeypatch):
     got = matching.match_listings(listings, objects, spark.createDataFrame([], "source_id string, external_id string, object_id long"), nearest=1)
     assert {r["listing_id"]: r["object_id"] for r in got.collect()} == {10: 1, 11: 2, 12: 3, 13: None, 20: 9}
     assert seen == [[10, 11, 12, 13, 20], [11, 12, 13], [12, 13], [12, 13], [13]]
+
+
+def test_answers_are_hashed(spark):
+    """Only rows of areas are grouped; a map in the groups made each task sort all its answers."""
+    assert "SortAggregate" not in plan_of(QUERIES["i27_model_answers"](spark, "/root/testdata/sf0.001"))
