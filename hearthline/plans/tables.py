@@ -97,7 +97,7 @@ def k08_rule_life(spark: SparkSession, d: str) -> DataFrame:
     """Rules mined from the names of parts, replayed on their latest confirmations, promoted, and checked against what every fifth part holds."""
     k = F.col("p_partkey")
     said = F.concat(F.lit("A "), F.col("p_name"), F.lit(" for sale"))
-    parts = t(spark, d, "part")
+    parts = t(spark, d, "part").select("p_partkey", "p_name").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")  # groups that hold text are sorted in each task, and a million parts lie in one
     events = parts.select(k.alias("seq"), F.lit("CZ").alias("country"), F.lit("handy").alias("attr_key"), F.col("p_name").alias("pattern"), F.col("p_name").alias("quote"), said.alias("text"), F.when(k % 97 == 0, "no").otherwise("yes").alias("value"), F.lit(0.9).alias("confidence"), k.cast("long").alias("object_id"))
     none = spark.createDataFrame([], "country string, attr_key string, pattern string, value string, status string, confidence double, occurrences long, conflicts long, example_object_ids array<long>, last_ids array<long>")
     mined = rules.mine(none, events)
