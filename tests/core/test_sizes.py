@@ -58,3 +58,9 @@ def test_only_losers_look_again(spark, monkeypatch):
 def test_answers_are_hashed(spark):
     """Only rows of areas are grouped; a map in the groups made each task sort all its answers."""
     assert "SortAggregate" not in plan_of(QUERIES["i27_model_answers"](spark, "/root/testdata/sf0.001"))
+
+
+def test_parts_are_dealt_by_key(spark):
+    """A million parts are few bytes, so one task sorted them all; dealing them by key needs no sort."""
+    plan = plan_of(QUERIES["k08_rule_life"](spark, "/root/testdata/sf0.001"))
+    assert "hashpartitioning(p_partkey#" in plan and f", {4 * spark.sparkContext.defaultParallelism}), REPARTITION_BY_NUM" in plan
