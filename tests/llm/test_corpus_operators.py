@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import random
 import re
 import time
 import zlib
@@ -160,6 +161,27 @@ def test_forced_bpe(spark):
     assert encode_digests(empty_docs(spark), Q.WORD_BPE).count() == 0
 
 
+def test_forced_bpe_encodes_a_pretoken_once():
+    """Words that differ only in case or signs share a pre-token, which the model is asked for once; the fast pre-tokens are the library's."""
+    own, asked = ForcedBpe(Q.WORD_BPE), []
+    real = own.ending
+
+    class Counted:
+        def tokenize(self, text):
+            asked.append(text)
+            return real.tokenize(text)
+
+    own.ending = Counted()
+    text = "Wörterbuch wörterbuch, WÖRTERBUCH! (wörterbuch) wörterbuch's"
+    ids = own.whole.encode(text, add_special_tokens=False).ids
+    assert own.encode(text) == (" ".join(map(str, ids)), own.whole.decode(ids, skip_special_tokens=False))
+    assert len(asked) == len(set(asked)) == 6  # the word, four signs, and 's
+    rng, letters = random.Random(6), [chr(c) for c in [*range(33, 127), *range(0xC0, 0x100), 0x130, 0x178, 0xB5, 0xAA, 0x301]] + list("'''stremvld")
+    assert own.known
+    for word in ("".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(20_000)):
+        assert own.pretokens(word) == [p for p, _ in own.whole.pre_tokenizer.pre_tokenize_str(own.whole.normalizer.normalize_str(word))], word
+
+
 def check_packing(rows, expected, capacity=1024):
     """expected: doc_id -> ids as a list of lists (several rows may share an id only if equal)."""
     by_doc, by_sequence = {}, {}
