@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -336,9 +337,18 @@ def _stretches(equal: np.ndarray, least: int, similarity: float) -> list[tuple[i
 
 def _grown(equal: np.ndarray) -> int:
     """How many columns to go on for, so that equal ones outweigh others most at three to one."""
-    gain = np.cumsum(np.where(equal, 1, -3))
-    best = int(gain.argmax()) if len(gain) else 0
-    return best + 1 if len(gain) and gain[best] > 0 else 0
+    if not len(equal):
+        return 0
+    gain = np.where(equal, 1, -3).cumsum()
+    best = int(gain.argmax())
+    return best + 1 if gain[best] > 0 else 0
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    """0 and the running sums."""
+    out = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values, out=out[1:])
+    return out
 
 
 def _shingles(equal: np.ndarray, size: int) -> np.ndarray:
@@ -368,7 +378,7 @@ def _outward(u: np.ndarray, v: np.ndarray) -> tuple[Columns, int]:
             a, b = i + max(0, -s), j + max(0, s)
             if a < len(u) and b < len(v) and u[a] == v[b]:
                 m = min(len(u) - a, len(v) - b)
-                if np.cumsum(np.where(u[a:a + m] == v[b:b + m], 1, -3)).max() > 3 * abs(s):
+                if m > 3 * abs(s) and np.where(u[a:a + m] == v[b:b + m], 1, -3).cumsum().max() > 3 * abs(s):
                     out.append((np.zeros(abs(s), bool), int(s < 0), int(s > 0)))
                     i, j, done = a, b, done + abs(s)
                     break
@@ -429,7 +439,7 @@ def aligned(runs: list[int], left: tuple[int, np.ndarray], right: tuple[int, np.
                 continue
             gap = min(nx - px, ny - py)  # on the old diagonal first, then on this one
             old, new = same(px, py, gap), same(nx - gap, ny - gap, gap)
-            held = np.concatenate(([0], np.cumsum(old))) + np.concatenate((np.cumsum(new[::-1])[::-1], [0]))
+            held = _sums(old) + _sums(new[::-1])[::-1]
             turn = int(held.argmax())
             skipped = nx - px - (ny - py)  # words of one side only
             if gap - held[turn] > 3:  # or on others in between
@@ -442,9 +452,13 @@ def aligned(runs: list[int], left: tuple[int, np.ndarray], right: tuple[int, np.
     last = sum(len(c[0]) for c in columns) + grown
     columns += after
     good = _shingles(np.concatenate([c[0] for c in columns]), shingle)
-    total = np.concatenate(([0], np.cumsum(good)))
-    xs = x + np.concatenate(([0], np.cumsum(np.concatenate([np.full(len(c[0]), c[1]) for c in columns]))))
-    ys = y + np.concatenate(([0], np.cumsum(np.concatenate([np.full(len(c[0]), c[2]) for c in columns]))))
+    total = _sums(good)
+    sizes = [len(c[0]) for c in columns]
+    if all(c[1] and c[2] for c in columns):  # one diagonal
+        xs = x + np.arange(sum(sizes) + 1)
+        ys = xs + (y - x)
+    else:
+        xs, ys = x + _sums(np.repeat([c[1] for c in columns], sizes)), y + _sums(np.repeat([c[2] for c in columns], sizes))
 
     def span(i: int, j: int) -> tuple[int, int, int, int, int, int]:
         return int(xs[i]), int(xs[j]), int(ys[i]), int(ys[j]), int(total[j - shingle + 1] - total[i]), int(words(i, j)) - shingle + 1
@@ -466,6 +480,15 @@ def aligned(runs: list[int], left: tuple[int, np.ndarray], right: tuple[int, np.
     return [span(first + i, first + j + shingle - 1) for i, j in _stretches(good[first:last - shingle + 1], least - shingle + 1, similarity)]
 
 
+def _bytes(values: pa.Array) -> Iterator[bytes]:
+    """The values of a binary array; null is empty."""
+    values = values.cast(pa.large_binary())
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, np.int64)[values.offset:values.offset + len(values) + 1].tolist() if len(values) else [0]
+    whole = memoryview(data) if data is not None else memoryview(b"")
+    return (bytes(whole[a:b]) for a, b in zip(ends, ends[1:]))
+
+
 def _blocks(low: Column, high: Column) -> Column:
     """Numbers of the blocks from _MARGIN words before low to as many after high, none of them of another text."""
     start = F.shiftleft(F.shiftright(low, 32), 32)
@@ -503,7 +526,9 @@ def alignments(docs: DataFrame, candidates: DataFrame, least: int = 50, similari
         mine: dict[int, bytes] = {}
         theirs: dict[int, bytes] = {}
         for batch in batches:
-            for doc, owner, x0, y0, side, block, words, runs in zip(*(c.to_pylist() for c in batch.columns)):
+            numbers = [pc.fill_null(batch.column(i), -1).to_numpy(zero_copy_only=False).tolist() for i in range(6)]  # to_pylist makes an object of each value first
+            ends, held = batch.column(7).offsets.to_numpy(), batch.column(7).values.to_numpy(zero_copy_only=False)
+            for row, (doc, owner, x0, y0, side, block, words) in enumerate(zip(*numbers, _bytes(batch.column(6)))):
                 if of != doc:
                     of, mine = doc, {}
                 if side == 0:
@@ -514,6 +539,7 @@ def alignments(docs: DataFrame, candidates: DataFrame, least: int = 50, similari
                 if side == 1:
                     theirs[block] = words
                     continue
+                runs = held[ends[row]:ends[row + 1]].tolist()
                 first = max(x0 - _MARGIN, x0 >> 32 << 32) // _BLOCK
                 wanted = [mine[i] for i in range(first, (runs[-2] + _MARGIN) // _BLOCK + 1) if i in mine]
                 if wanted and theirs:

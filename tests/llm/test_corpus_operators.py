@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -182,6 +183,15 @@ def test_forced_bpe_encodes_a_pretoken_once():
         assert own.pretokens(word) == [p for p, _ in own.whole.pre_tokenizer.pre_tokenize_str(own.whole.normalizer.normalize_str(word))], word
 
 
+def test_words_of_blocks_are_read_from_the_buffer():
+    """Bytes of a binary column as to_pylist gives them, also of a slice, with nulls, and of no rows."""
+    from hearthline.llm.substring_chain import _bytes
+
+    held = pa.array([b"ab", None, b"", b"\0c", b"def"], pa.binary())
+    for part in (held, held[1:4], held[3:], held[:0], held.cast(pa.large_binary())[1:], pa.array([], pa.binary()), pa.nulls(2, pa.binary())):
+        assert list(_bytes(part)) == [v or b"" for v in part.to_pylist()]
+
+
 def check_packing(rows, expected, capacity=1024):
     """expected: doc_id -> ids as a list of lists (several rows may share an id only if equal)."""
     by_doc, by_sequence = {}, {}
