@@ -90,7 +90,8 @@ def links(classes: DataFrame, max_bits: int = 4) -> DataFrame:
             here |= at.between(lo, hi - 1) & earlier & ((at == lo) | (differ.bitwiseAND(F.lit(whole[k]).cast("long")) != 0))
         return here
 
-    joined = a.join(b, (F.col("a.wildcard") == F.col("b.wildcard")) & (F.col("a.rest") == F.col("b.rest"))
+    # Spark takes what explode makes for as small as the fingerprints, so without the hint the driver would gather 64 rows of each
+    joined = a.join(b.hint("merge"), (F.col("a.wildcard") == F.col("b.wildcard")) & (F.col("a.rest") == F.col("b.rest"))
                     & (F.col("a.rep") < F.col("b.rep")) & (F.bit_count(differ) <= max_bits) & first_shared())
     return joined.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
 

@@ -130,6 +130,12 @@ def test_simhash_links(spark):
     assert len(segments(4)) == 3
 
 
+def test_simhash_variants_are_shuffled(spark):
+    """A fingerprint has 64 variants, which the planner takes for as small as the fingerprint."""
+    classes = spark.range(100).select(F.xxhash64("id").alias("rep"), F.xxhash64("id").alias("fp"))
+    assert "Broadcast" not in links(classes)._jdf.queryExecution().executedPlan().toString()
+
+
 # 6, 9, 3: tokens ----------------------------------------------------------------------------------------------------
 
 
