@@ -504,6 +504,7 @@ def alignments(docs: DataFrame, candidates: DataFrame, least: int = 50, similari
     own = own.select("doc_id", none.alias("owner"), none.alias("x0"), none.alias("y0"), F.lit(0).alias("side"), F.col("doc_id").alias("of"), "block")
     sides = own.unionByName(ends.select(*key, F.lit(1).alias("side"), F.col("owner").alias("of"), F.explode(_blocks(F.col("y0"), F.col("y1"))).alias("block")))
     needed = sides.select("of", "block").distinct().groupBy("of").agg(F.collect_list("block").alias("blocks"))  # a document has so many at most
+    sides, needed = sides.hint("merge"), needed.hint("merge")  # blocks grow with the passages' lengths, which the planner doesn't see, so they aren't broadcast
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

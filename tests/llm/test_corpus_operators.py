@@ -25,7 +25,7 @@ from hearthline.llm.html_extract import default_weights, extract_text, item_scor
 from hearthline.llm.separator_scan import flat_blocks, separator_scan, token_counts, token_files
 from hearthline.llm.shared import components
 from hearthline.llm.simhash_dedup import fingerprint, links, segments, simhash_dedup
-from hearthline.llm.substring_chain import aligned, chains, repeated_passages, without_passages
+from hearthline.llm.substring_chain import aligned, alignments, chains, repeated_passages, without_passages
 from hearthline.llm.toxicity import gram_set, toxicity, train
 from hearthline.llm.url_trust import url_verdicts
 from hearthline.llm.word_hashes import kmers, minimizers, word_hashes
@@ -786,6 +786,13 @@ def test_shingle_passages(spark):
     assert len(want) > 100 and not want - got
 
 
+def test_passages_blocks_are_shuffled(spark):
+    """A long passage has very many blocks, which the planner takes for as small as its ends."""
+    docs = spark.range(2).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("base"), F.lit("a b c").alias("text"))
+    found = spark.range(1).select((F.col("id") + 1).alias("doc_id"), F.col("id").alias("owner"), F.col("id").alias("x0"), F.expr("array(0L, 0L, 3L, 0L, 3L)").alias("runs"))
+    assert "Broadcast" not in alignments(docs, found)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_production_seeds_find_exact_passages(spark):
     """On the smallest tables: what every exact run of 50 words covers, within documents too, lies in reported passages."""
     texts = {i: t.lower().split() for i, t in texts_of(spark).items()}
