@@ -1,5 +1,8 @@
 """How operators run: what is shuffled instead of broadcast, how rows are dealt over tasks, and results that don't hang on the order of rows."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +58,28 @@ def test_only_losers_look_again(spark, monkeypatch):
     assert seen == [[10, 11, 12, 13, 20], [11, 12, 13], [12, 13], [12, 13], [13]]
 
 
+def test_crowded_places_look_near_first(spark, monkeypatch):
+    """All objects within the radius were ranked for each place, pairs that grow with the square of a crowd; now those farther out are sought when the nearer ones are used up."""
+    seen, real = [], matching.near_pairs
+    monkeypatch.setattr(matching, "near_pairs", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+    rng = random.Random(3)
+    market = "country string, deal_type string, lat double, lng double, address_key string, rooms int, property_type string, area_sqm double"
+    rows = lambda first, n, more: [(first + i, *more(i), "CZ", "sale", 50 + rng.random() * 0.0006, 14 + rng.random() * 0.0009, "", rng.randint(1, 2), "flat", 50.0) for i in range(n)]
+    objects, listings = rows(0, 300, lambda i: ()), rows(1000, 250, lambda i: ("ab"[i % 5 == 0], str(i)))
+    links = spark.createDataFrame([], "source_id string, external_id string, object_id long")
+    got = matching.match_listings(spark.createDataFrame(listings, f"listing_id long, source_id string, external_id string, {market}"), spark.createDataFrame(objects, f"object_id long, {market}"), links, nearest=2)
+    got = {r["listing_id"]: r["object_id"] for r in got.collect()}
+    rad, taken, want, within = math.radians, {"a": set(), "b": set()}, {}, 0
+    for id_, source, _, _, _, la, lo, _, rooms, *_ in listings:
+        far = lambda o: 2000 * 6371 * math.asin(math.sqrt(math.sin(rad(o[3] - la) / 2) ** 2 + math.cos(rad(la)) * math.cos(rad(o[3])) * math.sin(rad(o[4] - lo) / 2) ** 2))  # noqa: B023, E731
+        near = sorted((far(o), o[0], o[6]) for o in objects if far(o) <= 50)
+        within += len(near)
+        want[id_] = next((o for _, o, r in [x for x in near if x[1] not in taken[source]][:2] if r == rooms), None)
+        taken[source] |= {want[id_]} - {None}
+    assert got == want
+    assert len(seen) > 1 and seen[0].count() < within / 2
+
+
 def test_answers_are_hashed(spark):
     """Only rows of areas are grouped; a map in the groups made each task sort all its answers."""
     assert "SortAggregate" not in plan_of(QUERIES["i27_model_answers"](spark, "/root/testdata/sf0.001"))
